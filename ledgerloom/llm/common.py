@@ -40,6 +40,7 @@ def workspace(spark: SparkSession, name: str) -> str:
 
     Workers map files of this folder into memory, so it has to be a file system that all machines mount.
     """
+    ship(spark)
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
@@ -52,6 +53,24 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python may not have it: once for each application."""
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_ledgerloom_shipped", None):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.join(tempfile.mkdtemp(), "ledgerloom.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(top)))
+    context.addPyFile(name)
+    context._ledgerloom_shipped = name
+
+
 def store(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet into a shared folder and reads it again: this cuts the lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(f"file://{path}")

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 #: The vocabulary of byte_bpe_50k.json, as ranks: the ids are equal, and pieces of words are merged faster.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
@@ -195,6 +197,7 @@ def pack(docs: DataFrame, capacity: int = 1024, ranks: str = RANKS, end_id: int
                     found = []
         yield batch_of(found + list(rows(packer.settle())))
 
+    C.ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
