@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing
+from . import decontaminate, jaccard_join, line_dedup, packing, quality
 
 MODULES = {
     "op1_packing": packing,
+    "op3_quality_classifier": quality,
     "op4_line_dedup": line_dedup,
     "op8_decontamination": decontaminate,
+    "op10_ngram_jaccard_join": jaccard_join,
 }
 
 QUERIES = {name: m.query for name, m in MODULES.items()}
