@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup, packing, quality
+from . import decontaminate, html_extract, jaccard_join, line_dedup, packing, quality
 
 MODULES = {
     "op1_packing": packing,
+    "op2_html_extraction": html_extract,
     "op3_quality_classifier": quality,
     "op4_line_dedup": line_dedup,
     "op8_decontamination": decontaminate,
