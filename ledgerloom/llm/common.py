@@ -35,6 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+UNMIX_A, UNMIX_B = U64(pow(int(MIX_A), -1, 2**64)), U64(pow(int(MIX_B), -1, 2**64))
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix()."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> U64(31)) ^ (x >> U64(62))) * UNMIX_B
+        x = (x ^ (x >> U64(27)) ^ (x >> U64(54))) * UNMIX_A
+        return x ^ (x >> U64(30)) ^ (x >> U64(60))
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` (where that is unset, as in tests, below a temporary one), as a local path.
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, line_dedup, packing, quality
+from . import additive_ann, chunk_dedup, decontaminate, html_extract, jaccard_join, line_dedup, ngram_lm, packing, quality, warc
 
 MODULES = {
     "op1_packing": packing,
     "op2_html_extraction": html_extract,
     "op3_quality_classifier": quality,
     "op4_line_dedup": line_dedup,
+    "op5_additive_ann": additive_ann,
+    "op6_lm_scoring": ngram_lm,
+    "op7_substring_dedup": chunk_dedup,
     "op8_decontamination": decontaminate,
+    "op9_warc_derivatives": warc,
     "op10_ngram_jaccard_join": jaccard_join,
 }
 
