@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ledgerloom.shipping import ship
+
 KINDS = {"text": T.StringType(), "longtext": T.StringType(), "int": T.LongType(), "money": T.LongType(), "percent": T.IntegerType(), "date": T.StringType(), "datetime": T.StringType(), "choice": T.StringType(), "project": T.LongType(), "real": T.DoubleType()}
 
 
@@ -97,7 +99,7 @@ BINDINGS: dict[str, str] = {
         p_retailprice AS entry_price, l_quantity AS margin, 1 + l_linenumber AS leverage, l_extendedprice / l_quantity AS exit_price, l_tax AS entry_fee,
         p_retailprice * 0.9 AS sl, p_retailprice * 1.3 AS tp, CAST(o_orderdate AS DATE) AS opened_at, CAST(l_shipdate AS DATE) AS closed_at
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= o_orderdate""",
-    "transfers": """SELECT s_suppkey AS id, CAST(round(s_acctbal * 100) AS BIGINT) AS amount, CAST(DATE '1995-01-01' + CAST(s_suppkey % 2000 AS INT) AS DATE) AS at FROM supplier""",
+    "transfers": """SELECT s_suppkey AS id, CAST(round(s_acctbal * 100) AS BIGINT) AS amount, CAST(DATE '1995-01-01' + CAST(s_suppkey % 2000 AS INT) AS DATE) AS day FROM supplier""",
 }
 
 
@@ -113,6 +115,7 @@ class Bound:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        ship(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -61,7 +61,7 @@ def with_exits(trades: DataFrame) -> DataFrame:
 
 def events(journal: DataFrame, transfers: DataFrame) -> DataFrame:
     """Transfers and each exit's net result, in whole cents: at, rank (transfers first), ord, amount, transfer."""
-    t = transfers.select("at", F.lit(0).alias("rank"), F.col("id").alias("ord"), F.col("amount"), F.col("amount").alias("transfer"))
+    t = transfers.select(F.col("day").alias("at"), F.lit(0).alias("rank"), F.col("id").alias("ord"), F.col("amount"), F.col("amount").alias("transfer"))
     share = F.col("net") / F.size("exits")
     leaves = journal.withColumn("n", share).select(F.explode("exits").alias("e"), "id", "n", "opened_at")
     x = leaves.select(F.coalesce(F.col("e.at"), F.col("opened_at")).alias("at"), F.lit(1).alias("rank"), F.col("id").alias("ord"), F.round(F.col("n") * 100).cast("long").alias("amount"), F.lit(0).cast("long").alias("transfer"))

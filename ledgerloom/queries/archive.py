@@ -1,4 +1,171 @@
-"""Placeholder."""
+"""Letters, progress, alerts and story on the fixture tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import sets
+from ledgerloom.plans import archive as A
+from ledgerloom.plans.reports import day
 from ledgerloom.queries.book import Book
 
 BOOK = Book()
+AS_OF, LATE = "2024-02-15", "1998-06-15"
+LETTERS = "l AS (SELECT id, CAST(id AS VARCHAR) AS key, CAST(ref_no AS VARCHAR) AS ref_key, letter_date, letter_date AS ref_date, contains(text, '?') OR role = 'user' AS asks FROM letters)"
+EDGES = """c AS (SELECT a.id AS src, a.ref_key, b.id AS dst, CASE WHEN b.letter_date = a.ref_date THEN 0 ELSE 1 END AS other FROM l a JOIN l b ON a.ref_key = b.key AND a.id <> b.id AND (b.letter_date IS NULL OR a.letter_date IS NULL OR b.letter_date <= a.letter_date)),
+e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src, ref_key ORDER BY other, dst) AS r FROM c) WHERE r = 1)"""
+
+
+def letters(b):
+    d = b.entity("letters")
+    asks = F.col("text").contains("?") | (F.col("role") == "user")
+    return d.select("id", F.col("id").cast("string").alias("key"), F.col("ref_no").cast("string").alias("ref_key"), "letter_date", F.col("letter_date").alias("ref_date"), asks.alias("asks"))
+
+
+@BOOK.add("reply_graph", f"WITH {LETTERS}, {EDGES} SELECT src, dst FROM e", ("letters",))
+def reply_graph(b):
+    return A.reply_graph(letters(b))
+
+
+@BOOK.add("missing_refs", f"WITH {LETTERS} SELECT ref_key AS key, id AS src FROM l WHERE ref_key IS NOT NULL AND ref_key NOT IN (SELECT key FROM l)", ("letters",))
+def missing_refs(b):
+    return A.missing(letters(b))
+
+
+@BOOK.add("unanswered", f"WITH {LETTERS}, {EDGES} SELECT id, CAST(greatest(0, DATE '{AS_OF}' - letter_date) AS INT) AS waiting_days FROM l WHERE asks AND letter_date IS NOT NULL AND id NOT IN (SELECT dst FROM e)", ("letters",))
+def unanswered(b):
+    rows = letters(b)
+    return A.unanswered(rows, A.reply_graph(rows), day(AS_OF))
+
+
+@BOOK.add("archive_overview", """
+SELECT p.id AS project_id, p.name, count(l.id) AS docs, count(l.id) FILTER (l.role = 'user') AS letters, CAST(max(l.letter_date) AS VARCHAR) AS last_date FROM projects p LEFT JOIN letters l ON l.project_id = p.id GROUP BY p.id, p.name""", ("projects", "letters"))
+def archive_overview(b):
+    docs = b.entity("letters").select("project_id", F.when(F.col("role") == "user", "letter").otherwise("other").alias("category"), F.col("letter_date").alias("doc_date"))
+    return A.overview(b.entity("projects"), docs).withColumn("last_date", F.col("last_date").cast("string"))
+
+
+@BOOK.add("category_counts", """
+SELECT coalesce(CASE WHEN n >= 1 THEN 'software' WHEN m >= 3 THEN 'table' END, 'other') AS category, count(*) AS docs FROM
+(SELECT len(regexp_extract_all(text, 'License')) + len(regexp_extract_all(text, 'Version')) AS n, len(regexp_extract_all(text, ' \\| ')) AS m FROM documents) GROUP BY 1""")
+def category_counts(b):
+    licensed = A.classify(F.col("text"), [("software", ("License", "Version"))], least=1, other="")
+    kind = F.when(licensed != "", licensed).otherwise(A.classify(F.col("text"), [("table", (r" \| ",))], least=3))
+    return b.table("documents").groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@BOOK.add("header_vote", """
+WITH v AS (SELECT o_custkey, o_orderpriority AS value, sum(1 + o_orderkey % 2) AS votes, min(o_orderkey) AS first FROM orders GROUP BY ALL)
+SELECT o_custkey, value, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY votes DESC, first) AS r FROM v) WHERE r = 1""")
+def header_vote(b):
+    rows = b.table("orders").select("o_custkey", F.col("o_orderpriority").alias("value"), (1 + F.col("o_orderkey") % 2).alias("w"), F.col("o_orderkey").alias("ord"))
+    return sets.vote(rows, ["o_custkey"], "value", "w", "ord")
+
+
+@BOOK.add("boilerplate_lines", """
+WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM l GROUP BY source),
+o AS (SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM l WHERE length(line) > 0 GROUP BY ALL)
+SELECT o.source, line, on_pages FROM o JOIN n ON o.source = n.source WHERE on_pages >= greatest(3, pages // 10)""")
+def boilerplate_lines(b):
+    rows = b.table("documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return A.boilerplate(rows, "source", "doc_id", "line", 10)
+
+
+DUE = "SELECT id, project_id, CAST(due_date + CAST(id % 90 AS INT) AS DATE) AS due FROM tasks WHERE due_date IS NOT NULL AND status <> 'done'"
+
+
+def dues(b):
+    t = b.entity("tasks").filter("due_date IS NOT NULL AND status <> 'done'")
+    return t.select("id", "project_id", F.date_add("due_date", (F.col("id") % 90).cast("int")).alias("due"))
+
+
+@BOOK.add("deadlines", f"""
+WITH d AS ({DUE}) SELECT id, CAST(due AS VARCHAR) AS due, CAST(due - DATE '{LATE}' AS INT) AS days_left FROM d
+ORDER BY due < DATE '{LATE}', CASE WHEN due >= DATE '{LATE}' THEN due - DATE '{LATE}' END, CASE WHEN due < DATE '{LATE}' THEN due - DATE '{LATE}' END DESC, id LIMIT 12""", ("tasks",))
+def deadlines(b):
+    return A.deadlines(dues(b), day(LATE)).select("id", F.col("due").cast("string").alias("due"), "days_left")
+
+
+@BOOK.add("guarantees", f"WITH d AS ({DUE}) SELECT CASE WHEN due < DATE '{LATE}' THEN 'late' WHEN due - DATE '{LATE}' <= 30 THEN 'soon' ELSE 'later' END AS state, count(*) AS n FROM d GROUP BY 1", ("tasks",))
+def guarantees(b):
+    return dues(b).groupBy(A.deadline_state(F.col("due"), day(LATE)).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@BOOK.add("invoice_progress", """
+WITH i AS (SELECT id, project_id, submit_date, coalesce(net_amount, gross_amount - deductions) AS work, CASE WHEN id % 6 <> 0 THEN id % 50 END AS no FROM invoices),
+o AS (SELECT *, row_number() OVER w AS seq, sum(work) OVER (w ROWS UNBOUNDED PRECEDING) AS total, lead(id) OVER w IS NULL AS is_last FROM i WINDOW w AS (PARTITION BY project_id ORDER BY no NULLS LAST, submit_date NULLS LAST, id))
+SELECT id, project_id, CAST(seq AS INT) AS seq, CAST(total AS BIGINT) AS total, CAST(total - work AS BIGINT) AS prev, CAST(work AS BIGINT) AS period, is_last FROM o""", ("invoices",))
+def invoice_progress(b):
+    i = b.entity("invoices").select("id", "project_id", "submit_date", F.coalesce("net_amount", F.col("gross_amount") - F.col("deductions")).alias("work"), F.when(F.col("id") % 6 != 0, F.col("id") % 50).alias("no"))
+    return A.progress(i).select("id", "project_id", "seq", "total", "prev", "period", "is_last")
+
+
+@BOOK.add("s_curve", """
+WITH d AS (SELECT project_id, submit_date AS day, sum(gross_amount) AS work FROM invoices GROUP BY ALL)
+SELECT project_id, CAST(day AS VARCHAR) AS day, CAST(day - min(day) OVER (PARTITION BY project_id) AS INT) AS x, CAST(sum(work) OVER (PARTITION BY project_id ORDER BY day) AS BIGINT) AS y FROM d""", ("invoices",))
+def s_curve(b):
+    points = b.entity("invoices").select("project_id", F.col("submit_date").alias("day"), F.col("gross_amount").alias("work"))
+    return A.s_curve(points).select("project_id", F.col("day").cast("string").alias("day"), "x", "y")
+
+
+@BOOK.add("control_alerts", f"""
+WITH f AS (SELECT project_id, min(submit_date) AS s, max(submit_date) AS e, CAST(sum(gross_amount) AS DOUBLE) AS claimed, CAST(sum(coalesce(approved_amount, net_amount, 0)) AS DOUBLE) AS approved,
+  100.0 * count(*) FILTER (status = 'paid') / count(*) AS work_pct, max(CASE WHEN submit_date <= DATE '{LATE}' THEN submit_date END) AS li FROM invoices GROUP BY project_id),
+g AS (SELECT *, least(100.0, 100.0 * CAST(DATE '{LATE}' - s AS DOUBLE) / nullif(e - s, 0)) - work_pct AS gap, e - DATE '{LATE}' AS lft, (claimed - approved) / nullif(claimed, 0) AS cut FROM f)
+SELECT project_id, rule, severity FROM (
+ SELECT project_id, 'gap' AS rule, CASE WHEN gap >= 30 THEN 'red' WHEN gap >= 15 THEN 'amber' WHEN gap <= -10 THEN 'info' END AS severity FROM g UNION ALL
+ SELECT project_id, 'end', CASE WHEN lft < 0 THEN 'red' WHEN lft <= 60 THEN 'amber' END FROM g UNION ALL SELECT project_id, 'cut', CASE WHEN cut >= 0.03 THEN 'amber' END FROM g UNION ALL
+ SELECT project_id, 'invoice', CASE WHEN DATE '{LATE}' - li > 60 THEN 'amber' END FROM g UNION ALL SELECT project_id, 'guarantee', CASE WHEN lft < 0 THEN 'red' WHEN lft <= 30 THEN 'amber' END FROM g UNION ALL
+ SELECT project_id, 'letters', CASE WHEN project_id % 30 >= 14 THEN 'amber' END FROM g) WHERE severity IS NOT NULL""", ("invoices",))
+def control_alerts(b):
+    i = b.entity("invoices")
+    facts = i.groupBy("project_id").agg(
+        F.min("submit_date").alias("start_date"),
+        F.max("submit_date").alias("end_date"),
+        F.sum("gross_amount").cast("double").alias("claimed"),
+        F.sum(F.coalesce("approved_amount", "net_amount", F.lit(0))).cast("double").alias("approved"),
+        (100.0 * F.count_if(F.col("status") == "paid") / F.count(F.lit(1))).alias("work_pct"),
+        F.max(F.when(F.col("submit_date") <= day(LATE), F.col("submit_date"))).alias("last_invoice"),
+    )
+    facts = facts.withColumns({"waiting_days": F.col("project_id") % 30, "guarantee_until": F.col("end_date")})
+    return A.alerts(facts, day(LATE))
+
+
+@BOOK.add("story_timeline", """
+WITH e AS (SELECT id, project_id, report_date AS day, work_done AS kind, CAST(amount % 3 AS VARCHAR) AS subject FROM daily_reports),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, day, kind, subject ORDER BY id) AS r FROM e) WHERE r = 1),
+g AS (SELECT *, row_number() OVER w AS seq, day - lag(day) OVER w AS gap FROM k WINDOW w AS (PARTITION BY project_id, date_trunc('month', day) ORDER BY day, id))
+SELECT id, CAST(seq AS INT) AS seq, CAST(gap AS INT) AS gap, CASE WHEN gap IS NULL THEN 'first' WHEN gap = 0 THEN 'same day' WHEN gap = 1 THEN 'next day' WHEN gap <= 3 THEN 'days later' ELSE 'on date' END AS connector FROM g""", ("daily_reports",))
+def story_timeline(b):
+    e = b.entity("daily_reports").select("id", "project_id", F.col("report_date").alias("day"), F.col("work_done").alias("kind"), (F.col("amount") % 3).cast("string").alias("subject"))
+    return A.story_order(e).select("id", "seq", "gap", "connector")
+
+
+SHEET = "SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS role, CAST(round(l_extendedprice) AS BIGINT) AS prev, CAST(round(l_quantity * 100) AS BIGINT) AS period, CAST(round(l_extendedprice) AS BIGINT) + CAST(round(l_quantity * 100) AS BIGINT) + CASE WHEN l_linenumber = 4 THEN 1000 ELSE l_linenumber END AS total, l_linenumber = 7 AS is_sum FROM lineitem"
+
+
+def sheet(b):
+    li, n = b.table("lineitem"), F.col("l_linenumber")
+    prev, period = F.round("l_extendedprice").cast("long"), F.round(F.col("l_quantity") * 100).cast("long")
+    return li.select((F.col("l_orderkey") * 10 + n).alias("id"), F.col("l_returnflag").alias("role"), prev.alias("prev"), period.alias("period"), (prev + period + F.when(n == 4, 1000).otherwise(n)).alias("total"), (n == 7).alias("is_sum"))
+
+
+@BOOK.add("sheet_rollup", f"WITH s AS ({SHEET}) SELECT role, CAST(sum(prev) AS BIGINT) AS prev, CAST(sum(period) AS BIGINT) AS period, CAST(sum(total) AS BIGINT) AS total FROM s WHERE NOT is_sum GROUP BY role")
+def sheet_rollup(b):
+    return A.roll_up(sheet(b))
+
+
+@BOOK.add("sheet_residuals", f"WITH s AS ({SHEET}) SELECT id, prev, period, total, prev + period - total AS residual, abs(prev + period - total) <= 10 AS ok, CASE WHEN abs(prev + period - total) <= 10 THEN total ELSE prev + period END AS total_fixed FROM s")
+def sheet_residuals(b):
+    return A.reconcile(sheet(b)).select("id", "prev", "period", "total", "residual", "ok", "total_fixed")
+
+
+RULES = [("en", "License", "license", 1), ("en", "Version", "version", 2), ("fr", "License", "licence", 1), ("de", " | ", "tabelle", 3)]
+
+
+@BOOK.add("learned_rules", f"""
+WITH r(category, label, value, rank) AS (VALUES {', '.join(map(str, RULES))})
+SELECT doc_id, CAST(rank AS INT) AS rank, value FROM (SELECT d.doc_id, r.rank, r.value, row_number() OVER (PARTITION BY doc_id ORDER BY rank, value) AS n FROM documents d JOIN r ON r.category = d.lang AND contains(d.text, r.label)) WHERE n = 1""")
+def learned_rules(b):
+    rules = b.spark.createDataFrame(RULES, "category string, label string, value string, rank int")
+    return A.learned(b.table("documents").select("doc_id", "text", F.col("lang").alias("category")), rules)

@@ -1,4 +1,33 @@
-"""Placeholder."""
+"""Import of a file made of the stored transactions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.plans import importing as I
 from ledgerloom.queries.book import Book
 
 BOOK = Book()
+FILE = "f AS (SELECT id, tx_date, kind, amount, description, category FROM transactions WHERE id % 4 = 0 UNION ALL SELECT id, tx_date, kind, amount, description, category FROM transactions WHERE id % 12 = 0 UNION ALL SELECT id + 1, tx_date, kind, amount + 1, description, category FROM transactions WHERE id % 9 = 0)"
+STORE = "s AS (SELECT tx_date, kind, amount, description FROM transactions WHERE id % 8 = 0)"
+
+
+def file(b):
+    t = b.entity("transactions").select("id", "tx_date", "kind", "amount", "description", "category")
+    changed = t.filter("id % 9 = 0").withColumns({"id": F.col("id") + 1, "amount": F.col("amount") + 1})
+    return t.filter("id % 4 = 0").unionByName(t.filter("id % 12 = 0")).unionByName(changed)
+
+
+@BOOK.add("import_dedup", f"""
+WITH {FILE}, {STORE}, r AS (SELECT tx_date, kind, amount, description FROM f EXCEPT ALL SELECT * FROM s)
+SELECT CAST(tx_date AS VARCHAR) AS tx_date, kind, amount, description, count(*) AS n FROM r GROUP BY ALL""", ("transactions",))
+def import_dedup(b):
+    new = I.new_rows(file(b), b.entity("transactions").filter("id % 8 = 0"))
+    return new.groupBy(F.col("tx_date").cast("string").alias("tx_date"), "kind", "amount", "description").agg(F.count(F.lit(1)).alias("n"))
+
+
+@BOOK.add("import_preview", f"""
+WITH {FILE} SELECT kind, CASE WHEN kind = 'expense' THEN category END AS category, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n, CAST(min(tx_date) AS VARCHAR) AS first_day, CAST(max(tx_date) AS VARCHAR) AS last_day
+FROM f GROUP BY 1, 2""", ("transactions",))
+def import_preview(b):
+    return I.preview(file(b))

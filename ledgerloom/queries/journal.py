@@ -15,7 +15,7 @@ g AS (SELECT *, value * (abs(entry_price - sl) / entry_price) + value * (entry_f
   qty * (exit_price - entry_price) * s AS gross, qty * exit_price * entry_fee / 100 + value * (entry_fee / 100) AS fees FROM m),
 j AS (SELECT *, gross - fees AS net, (gross - fees) / risk AS actual_r, 100 * (gross - fees) / margin AS gain_pct,
   CASE WHEN abs(gross) <= greatest(0.001 * margin, fees) AND abs(gross - fees) <= fees + 0.001 * margin THEN 'be' WHEN gross - fees > 0 THEN 'win' ELSE 'loss' END AS result FROM g)"""
-EVENTS = """e AS (SELECT at, 0 AS rank, id AS ord, amount, amount AS transfer FROM transfers UNION ALL SELECT closed_at, 1, id, CAST(round(net * 100) AS BIGINT), 0 FROM j)"""
+EVENTS = """e AS (SELECT day, 0 AS rank, id AS ord, amount, amount AS transfer FROM transfers UNION ALL SELECT closed_at, 1, id, CAST(round(net * 100) AS BIGINT), 0 FROM j)"""
 
 
 def journal(b):
@@ -38,8 +38,8 @@ def curve(b):
 
 
 @BOOK.add("equity_curve", f"""
-WITH {METRICS}, {EVENTS}, d AS (SELECT at, sum(amount) AS a, sum(transfer) AS t, count(*) AS n FROM e GROUP BY at)
-SELECT CAST(at AS VARCHAR) AS day, n, CAST(sum(a) OVER (ORDER BY at) AS BIGINT) AS balance, CAST(sum(t) OVER (ORDER BY at) AS BIGINT) AS transfers FROM d""", ("trades", "transfers"))
+WITH {METRICS}, {EVENTS}, d AS (SELECT day, sum(amount) AS a, sum(transfer) AS t, count(*) AS n FROM e GROUP BY day)
+SELECT CAST(day AS VARCHAR) AS day, n, CAST(sum(a) OVER (ORDER BY day) AS BIGINT) AS balance, CAST(sum(t) OVER (ORDER BY day) AS BIGINT) AS transfers FROM d""", ("trades", "transfers"))
 def equity_curve(b):
     _, days = curve(b)
     both = running.running_total(running.running_total(days, "at", [F.col("at")], "amount", "balance"), "at", [F.col("at")], "transfer", "transfers")
@@ -47,7 +47,7 @@ def equity_curve(b):
 
 
 @BOOK.add("max_drawdown", f"""
-WITH {METRICS}, {EVENTS}, c AS (SELECT at, rank, sum(amount) OVER w AS balance, sum(transfer) OVER w AS t, row_number() OVER w AS r FROM e WINDOW w AS (ORDER BY at, rank, ord, amount ROWS UNBOUNDED PRECEDING)),
+WITH {METRICS}, {EVENTS}, c AS (SELECT day, rank, sum(amount) OVER w AS balance, sum(transfer) OVER w AS t, row_number() OVER w AS r FROM e WINDOW w AS (ORDER BY day, rank, ord, amount ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT balance, rank, t + max(CASE WHEN rank = 1 THEN balance - t END) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS peak FROM c)
 SELECT round(coalesce(max(CASE WHEN peak > 0 AND rank = 1 THEN 100.0 * (CAST(peak AS DOUBLE) - CAST(balance AS DOUBLE)) / CAST(peak AS DOUBLE) END), 0.0), 6) AS max_drawdown FROM p""", ("trades", "transfers"))
 def max_drawdown(b):
@@ -65,8 +65,8 @@ def streaks(b):
 
 
 @BOOK.add("prior_balance_asof", f"""
-WITH {METRICS}, {EVENTS}, d AS (SELECT at, sum(sum(amount)) OVER (ORDER BY at) AS balance FROM e GROUP BY at)
-SELECT j.id, CAST(j.opened_at AS VARCHAR) AS opened_at, round(j.net, 4) AS net, CAST(coalesce(d.balance, 0) AS BIGINT) AS balance FROM j ASOF LEFT JOIN d ON j.opened_at >= d.at""", ("trades", "transfers"))
+WITH {METRICS}, {EVENTS}, d AS (SELECT day, sum(sum(amount)) OVER (ORDER BY day) AS balance FROM e GROUP BY day)
+SELECT j.id, CAST(j.opened_at AS VARCHAR) AS opened_at, round(j.net, 4) AS net, CAST(coalesce(d.balance, 0) AS BIGINT) AS balance FROM j ASOF LEFT JOIN d ON j.opened_at >= d.day""", ("trades", "transfers"))
 def prior_balance_asof(b):
     j = journal(b)
     rows = J.events(j, b.entity("transfers"))

@@ -1,4 +1,117 @@
-"""Placeholder."""
+"""Retrieval on documents and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import text as T
+from ledgerloom.plans import retrieval as R
 from ledgerloom.queries.book import Book
 
 BOOK = Book()
+TERMS = ["license", "the", "tion", "it"]
+WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+FIT = {t: f"starts_with(w, '{t}')" if len(t) >= 3 else f"w = '{t}'" for t in TERMS}
+TF = ", ".join(f"len(list_filter(w0, lambda w: {FIT[t]})) AS t{i}" for i, t in enumerate(TERMS))
+IDF = [f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) ELSE 1e-6 END" for i in range(len(TERMS))]
+BM25 = f"""w AS (SELECT doc_id, {WORDS} AS w0 FROM documents), c AS (SELECT doc_id, len(w0) AS len, {TF} FROM w),
+a AS (SELECT count(*) AS n, avg(len) AS av, {', '.join(f'count(*) FILTER (t{i} > 0) AS df{i}' for i in range(len(TERMS)))} FROM c),
+k AS (SELECT doc_id, {' + '.join(f'({IDF[i]}) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / av))' for i in range(len(TERMS)))} AS score FROM c, a WHERE {' OR '.join(f't{i} > 0' for i in range(len(TERMS)))})"""
+SEM = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 7),
+s AS (SELECT vec_id, list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe))) AS score FROM v, q ORDER BY score DESC, vec_id LIMIT 40),
+h AS (SELECT vec_id, score FROM s WHERE score >= greatest(0.2, (SELECT max(score) FROM s) - 0.9))"""
+
+
+def vector(b) -> list[float]:
+    row = b.table("embeddings").filter("vec_id = 7").select("embedding").first()
+    return [float(x) for x in row.embedding]
+
+
+@BOOK.add("normalized_tokens", r"""
+SELECT w AS word, count(*) AS n FROM (SELECT unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM documents WHERE lang IN ('en', 'fr')) GROUP BY w HAVING count(*) >= 5""")
+def normalized_tokens(b):
+    docs = b.table("documents").filter(F.col("lang").isin("en", "fr"))
+    return docs.select(F.explode(T.tokens(T.normalize_plain(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+
+
+@BOOK.add("text_quality_stats", r"""
+SELECT lang, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '[A-Za-z]'))) AS BIGINT) AS latin, CAST(sum(len(regexp_extract_all(text, '[0-9]'))) AS BIGINT) AS digits,
+  CAST(sum(len(regexp_extract_all(text, '[#$%&*|]'))) AS BIGINT) AS symbols FROM documents GROUP BY lang""")
+def text_quality_stats(b):
+    n = lambda p: F.sum(F.regexp_count("text", F.lit(p))).cast("long")
+    return b.table("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), n("[A-Za-z]").alias("latin"), n("[0-9]").alias("digits"), n("[#$%&*|]").alias("symbols"))
+
+
+@BOOK.add("text_quality")
+def text_quality(b):
+    q = T.quality(F.col("text"))
+    return b.table("documents").select("doc_id", q.alias("q")).select("doc_id", "q.score", "q.bad", "q.words")
+
+
+@BOOK.add("chunks")
+def chunks(b):
+    return b.table("documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("seq", "chunk")).select("doc_id", "seq", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("md5"))
+
+
+@BOOK.add("virtual_pages")
+def virtual_pages(b):
+    return b.table("documents").select("doc_id", F.posexplode(T.virtual_pages(F.col("text"))).alias("page", "body")).select("doc_id", "page", F.length("body").alias("n_chars"))
+
+
+@BOOK.add("keyword_search_bm25", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM k ORDER BY k.score DESC, doc_id LIMIT 40")
+def keyword_search_bm25(b):
+    return R.top(R.bm25(b.table("documents"), TERMS), 40, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@BOOK.add("semantic_topk", f"WITH {SEM} SELECT vec_id, round(score, 6) AS score FROM h")
+def semantic_topk(b):
+    return R.semantic(b.table("embeddings"), vector(b), 40, floor=0.2, band=0.9).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@BOOK.add("hybrid_rrf", f"""
+WITH {BM25}, {SEM}, k40 AS (SELECT doc_id AS id, score FROM k ORDER BY score DESC, doc_id LIMIT 40),
+u AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) AS part FROM k40 UNION ALL SELECT vec_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, vec_id) - 1) FROM h)
+SELECT id, round(sum(part), 6) AS score FROM u GROUP BY id""")
+def hybrid_rrf(b):
+    words = R.top(R.bm25(b.table("documents"), TERMS), 40, "doc_id").withColumnRenamed("doc_id", "id")
+    near = R.semantic(b.table("embeddings"), vector(b), 40, floor=0.2, band=0.9).withColumnRenamed("vec_id", "id")
+    return R.fuse(words, near, "id", 80).select("id", F.round("score", 6).alias("score"))
+
+
+SENT = r"""s AS (SELECT doc_id, unnest(l) AS sentence, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?؟؛])\s+', '\1' || chr(10), 'g'), '\n'), lambda x: trim(x, ' ')), lambda x: length(x) > 10) AS l FROM documents))"""
+HITS = " + ".join(f"CAST(contains(lower(sentence), '{t}') AS INT)" for t in ("license", "version", "under"))
+
+
+@BOOK.add("best_sentences", f"""
+WITH {SENT}, h AS (SELECT doc_id, CAST(pos AS INT) AS pos, sentence, {HITS} AS hits FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, pos) AS r FROM h WHERE hits > 0)
+SELECT doc_id, pos, sentence, hits FROM r WHERE r <= 2""")
+def best_sentences(b):
+    return R.best_sentences(b.table("documents"), ["license", "version", "under"])
+
+
+@BOOK.add("extractive_answer", rf"""
+WITH {SENT}, n AS (SELECT doc_id, sentence, array_to_string(list_filter(regexp_split_to_array(lower(sentence), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), ' ') AS norm FROM s),
+g AS (SELECT *, {HITS} - CASE WHEN length(sentence) < 40 THEN 0.5 ELSE 0.0 END AS score FROM n WHERE length(norm) >= 15),
+o AS (SELECT norm, min(doc_id) AS doc_id, arg_min(sentence, (doc_id, sentence)) AS sentence, max(score) AS score FROM g WHERE score > 0 GROUP BY norm)
+SELECT doc_id, sentence, CAST(score AS DOUBLE) AS score FROM o WHERE score >= greatest(1.0, (SELECT max(score) FROM o) / 2) ORDER BY o.score DESC, norm LIMIT 4""")
+def extractive_answer(b):
+    return R.answer(b.table("documents"), ["license", "version", "under"])
+
+
+@BOOK.add("summary_topn")
+def summary_topn(b):
+    return R.summary(b.table("documents")).select("doc_id", "pos", F.md5("sentence").alias("md5"))
+
+
+@BOOK.add("passage_recall", """
+SELECT item_id, count(*) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
+def passage_recall(b):
+    """Documents that hold a passage whole: candidates by its rarest form, its first five words, then the exact test."""
+    lead = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 5), " ")
+    items = b.table("benchmark").select("item_id", F.col("text").alias("passage"), lead(F.col("text")).alias("k"))
+    words = F.split("text", r"[ \n]")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 5), " "))
+    docs = b.table("documents").select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("k"))
+    from ledgerloom.operators.listing import small
+
+    return docs.join(small(items), "k").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
