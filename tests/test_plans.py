@@ -92,10 +92,11 @@ def test_fusion_prefers_the_first_list(spark):
 
 
 def test_csv_encodings(spark, tmp_path):
+    head = "عنوان"  # letters that all three encodings have
     for name, encoding, sep in (("a", "utf-8-sig", ";"), ("b", "utf-16", "\t"), ("c", "cp1256", ",")):
-        (tmp_path / f"{name}.csv").write_bytes(f"تاریخ{sep}مبلغ\n1403/01/01{sep}5\n{sep}\n".encode(encoding))
+        (tmp_path / f"{name}.csv").write_bytes(f"{head}{sep}مبلغ\n1403/01/01{sep}5\n{sep}\n".encode(encoding))
         df = tables.read_delimited(spark, str(tmp_path / f"{name}.csv"))
-        assert df.columns == ["تاریخ", "مبلغ"] and [tuple(r) for r in df.collect()] == [("1403/01/01", "5")]
+        assert df.columns == [head, "مبلغ"] and [tuple(r) for r in df.collect()] == [("1403/01/01", "5")]
 
 
 def test_queue_is_exactly_once_and_resumes(spark, tmp_path):
