@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import sets
 from ledgerloom.plans import archive as A
+from ledgerloom.plans import extraction as E
 from ledgerloom.plans.reports import day
 from ledgerloom.queries.book import Book
 
@@ -169,3 +170,16 @@ SELECT doc_id, CAST(rank AS INT) AS rank, value FROM (SELECT d.doc_id, r.rank, r
 def learned_rules(b):
     rules = b.spark.createDataFrame(RULES, "category string, label string, value string, rank int")
     return A.learned(b.table("documents").select("doc_id", "text", F.col("lang").alias("category")), rules)
+
+
+@BOOK.add("document_facts")
+def document_facts(b):
+    docs = b.table("documents").select("doc_id", F.concat(F.lit("page "), "source").alias("title"), "text", F.lit("pdf").alias("kind"), F.lit(1).alias("pages"))
+    return E.analyze(docs).select("doc_id", "info.category", "info.doc_date", "info.amount", F.size("info.refs").alias("refs"))
+
+
+@BOOK.add("sheet_mend")
+def sheet_mend(b):
+    """Order sheets whose last digit was misread in some totals."""
+    row = sheet(b).select((F.col("id") / 10).cast("long").alias("sheet"), F.col("id").alias("row"), F.col("role").alias("section"), F.lit("a").alias("role"), "prev", "period", (F.col("prev") + F.col("period") + F.when(F.col("id") % 10 == 4, 90).otherwise(0)).alias("total"), "is_sum")
+    return E.mend_sheets(row)
