@@ -137,6 +137,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 5, sample: int = 20
     some = np.concatenate([np.empty((0, dim)), *some])
     index = spark.sparkContext.broadcast(fit(some / lengths(some)[:, None], **options) if len(some) else None)
 
+    @C.tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = valid(batch, dim)
@@ -178,6 +179,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 5, sample: int = 20
         counts = [len(s) for s, _ in best]
         yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, counts)), "vec_id": pa.array(np.concatenate([np.empty(0, np.int64), *(f for _, f in best)])), "score": pa.array(np.concatenate([np.empty(0), *(s for s, _ in best)]))})
 
+    @C.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = valid(batch, dim)

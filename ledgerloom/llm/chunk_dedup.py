@@ -89,6 +89,7 @@ def dedup_chunks(docs: DataFrame, least: int = 12, average: int = 44, most: int
 
     twice = C.twice_seen(texts, keys_of, f"{path}/twice", filter_bits)
 
+    @C.tidy
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -147,6 +148,7 @@ def dedup_chunks(docs: DataFrame, least: int = 12, average: int = 44, most: int
             kept.append(text[last:].decode())
             yield kept, size, int(flags.sum()), dropped, spans
 
+    @C.tidy
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 2000):

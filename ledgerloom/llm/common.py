@@ -9,12 +9,17 @@ are written under a temporary name and then renamed, so a task that runs twice l
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import math
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -23,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.shipping import ship
+
 U64 = np.uint64
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -46,12 +53,37 @@ def unmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(30)) ^ (x >> U64(60))
 
 
+#: Rows that go to a Python worker at once: with long texts, Spark's own default makes large batches.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends this package to the executors, and makes Arrow batches smaller unless the session has its own setting."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, a function for mapInArrow, that gives freed memory back when a task ends; workers live on, and other tasks need it."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` (where that is unset, as in tests, below a temporary one), as a local path.
 
     Workers map files of this folder into memory, so it has to be a file system that all machines mount.
     """
-    ship(spark)
+    prepare(spark)
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
@@ -64,24 +96,6 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, whose Python may not have it: once for each application."""
-    import zipfile
-
-    context = spark.sparkContext
-    if getattr(context, "_ledgerloom_shipped", None):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.join(tempfile.mkdtemp(), "ledgerloom.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for folder, _, files in os.walk(top):
-            for f in files:
-                if f.endswith(".py"):
-                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(top)))
-    context.addPyFile(name)
-    context._ledgerloom_shipped = name
-
-
 def store(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet into a shared folder and reads it again: this cuts the lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(f"file://{path}")
@@ -235,11 +249,10 @@ def twice_seen(df: DataFrame, keys_of, path: str, bits: int = 27) -> Twice:
     A filter has 2**bits bits, whatever the input: beyond about 2**bits / 8 keys it lets more single keys pass, which the exact
     step behind it sorts out.
     """
-    import zlib
-
     os.makedirs(path, exist_ok=True)
     step = 1 << (SEGMENT_BITS - 3)
 
+    @tidy
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice, some = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 3), np.uint8), False
         for batch in batches:
@@ -256,6 +269,7 @@ def twice_seen(df: DataFrame, keys_of, path: str, bits: int = 27) -> Twice:
                 if a.any():
                     yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": pa.array([zlib.compress(a, 1)], pa.binary()), "twice": pa.array([zlib.compress(b, 1)], pa.binary())})
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:

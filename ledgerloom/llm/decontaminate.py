@@ -79,7 +79,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_
     broadcast_words words; a larger one is written to the shared folder and mapped from there.
     """
     spark = docs.sparkSession
-    C.ship(spark)
+    C.prepare(spark)
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
     items = [(r.item_id, r.text.encode()) for r in known.toLocalIterator()]
     made = Windows(items, n)
@@ -105,6 +105,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_
     i_text = names[docs.columns.index("text")]
     flat = docs.toDF(*names).withColumn(i_text, F.col(i_text).cast("string"))
 
+    @C.tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = get()
         number = grams.vocabulary.get

@@ -266,11 +266,12 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages with the column ``text``: the main text of ``html``."""
-    C.ship(pages.sparkSession)
+    C.prepare(pages.sparkSession)
     names = [f"c{i}" for i in range(len(pages.columns))]
     i_html = names[pages.columns.index("html")]
     flat = pages.toDF(*names)
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x) for x in batch[i_html].cast(pa.string()).to_pylist()]

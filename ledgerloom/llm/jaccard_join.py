@@ -34,7 +34,7 @@ from . import common as C
 
 NULL_ID = -(2**63)
 #: Shingles that are looked up at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 400_000
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -188,6 +188,7 @@ def connect(edges: DataFrame, path: str) -> Roots:
         tables.append(C.write_table(hooks, at))
         last = Roots(tables[-1:])
 
+        @C.tidy
         def contract(batches: Iterator[pa.RecordBatch], last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 a, b = last.find(C.longs(batch["a"])), last.find(C.longs(batch["b"]))
@@ -213,6 +214,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     # 1. sets and nodes
+    @C.tidy
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sets in sets_of(batch, k):
@@ -235,6 +237,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
             yield [m for m, x in zip(marks, mine, strict=True) if x], [s & keep for s, x in zip(sets, mine, strict=True) if x]
 
     # 2. document frequencies of shared shingles
+    @C.tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in nodes(batch):
@@ -259,6 +262,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     shared = C.Table(f"{path}/shared", bits, 1)
 
     # 3. survivors: nodes that share enough; a rank is the frequency, then the hash
+    @C.tidy
     def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for marks, sets in nodes(batch):
@@ -299,6 +303,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
         return [prefix(n, np.frombuffer(r, np.int64)) for n, r in zip(batch["n"].to_pylist(), batch["ranks"].to_pylist(), strict=True)]
 
     # 4. leaders
+    @C.tidy
     def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = prefixes(batch)
@@ -309,6 +314,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     held = survivors.mapInArrow(fits, "token long, node long, fit int").groupBy("token").agg(F.max(F.struct("fit", "node")).alias("best"), F.min("node").alias("low"), F.max("node").alias("high"))
     leaders = C.write_table(held.filter("low <> high").select("token", F.col("best.node").alias("leader")), f"{path}/leaders")
 
+    @C.tidy
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, keys = C.longs(batch["node"]), prefixes(batch)
@@ -328,6 +334,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     roots = connect(links, f"{path}/first")
 
     # 5. shingles between components
+    @C.tidy
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, node = prefixes(batch), C.longs(batch["node"])
@@ -338,6 +345,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     groups = open_.filter("r1 <> r2").groupBy("c", "sig", "low", "high").agg(F.min("token").alias("token")).select("token", "c")
     contested = C.write_table(groups, f"{path}/contested")
 
+    @C.tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, node = prefixes(batch), C.longs(batch["node"])
@@ -349,6 +357,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
             token, owner, mine = (np.repeat(x, blocks) for x in (token, owner, mine))
             yield pa.RecordBatch.from_pydict({"token": pa.array(token), "i": pa.array(np.minimum(mine, other)), "j": pa.array(np.maximum(mine, other)), "node": pa.array(owner)})
 
+    @C.tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
 
@@ -397,6 +406,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     more = C.store(dealt.mapInArrow(join, "a long, b long").distinct(), f"{path}/more")
 
     # 6. components of nodes, and their smallest doc_id
+    @C.tidy
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"a": pa.array(roots.find(C.longs(batch["a"]))), "b": pa.array(roots.find(C.longs(batch["b"])))})
@@ -404,6 +414,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     last = connect(more.mapInArrow(rooted, "a long, b long").filter("a <> b"), f"{path}/second")
     every = Roots(roots.tables + last.tables)
 
+    @C.tidy
     def with_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n"], pa.array(every.find(C.longs(batch["f1"])))], names=["doc_id", "n", "root"])
@@ -411,6 +422,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     named = rows.mapInArrow(with_root, "doc_id long, n long, root long")
     smallest = C.write_table(named.filter("n > 0").groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("low")).filter("c > 1 AND low IS NOT NULL").select("root", "low"), f"{path}/smallest")
 
+    @C.tidy
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = C.longs(batch["n"])
@@ -434,6 +446,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     gone = components(docs, k, percent).filter("doc_id <> component_id").select("doc_id")
 
+    @C.tidy
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"key": pa.array(C.mix(C.longs(batch["doc_id"]).view(C.U64)).view(np.int64))})
@@ -442,6 +455,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     i_id = names[docs.columns.index("doc_id")]
 
+    @C.tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch[i_id].cast(pa.int64())

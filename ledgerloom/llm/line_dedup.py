@@ -54,6 +54,7 @@ def repeated_lines(docs: DataFrame, path: str, min_chars: int, min_docs: int, fi
 
     twice = C.twice_seen(texts, keys_of, f"{path}/twice", filter_bits)
 
+    @C.tidy
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, ids = [np.empty((0, 2), C.U64)], []
@@ -85,6 +86,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_
     i_id, i_text = names[where["doc_id"]], names[where["text"]]
     flat = docs.toDF(*names).withColumn(i_text, F.col(i_text).cast("string"))
 
+    @C.tidy
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch[i_id].to_pylist(), C.binary(batch[i_text])

@@ -28,7 +28,7 @@ from . import common as C
 
 #: The hash of the end token, which is also the context of the first word; no text has this word, as it holds a space.
 END = C.word_hashes([b" end "])[0]
-AT_ONCE = 1_500_000
+AT_ONCE = 700_000
 
 
 def tokens_of(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -104,6 +104,7 @@ def train(texts: DataFrame, path: str) -> tuple[Model, Numbers]:
     bits = C.table_bits(spark)
 
     # 1. words
+    @C.tidy
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -126,6 +127,7 @@ def train(texts: DataFrame, path: str) -> tuple[Model, Numbers]:
     numbers = Numbers(known, base)
 
     # 2. pairs
+    @C.tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -168,6 +170,7 @@ def train(texts: DataFrame, path: str) -> tuple[Model, Numbers]:
     buckets = C.store(texts.mapInArrow(deal, "bucket int, pairs binary, counts binary, large binary").groupBy("bucket").applyInArrow(merge, "bucket int"), f"{path}/buckets")
 
     # counts of pairs by context (with counts 1, 2, 3 or more) and by follower, and counts of counts
+    @C.tidy
     def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket in batch["bucket"].to_pylist():
@@ -231,6 +234,7 @@ def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 def known_numbers(vocabulary: DataFrame, numbers: Numbers) -> DataFrame:
     """word, c and id of the vocabulary."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(numbers.get(C.longs(batch["word"]).view(C.U64)))], names=["word", "c", "id"])
@@ -259,6 +263,7 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 def score(docs: DataFrame, model: Model, numbers: Numbers) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, discount = 2.0**-52, np.array(model.discount)
         for batch in batches:

@@ -34,7 +34,7 @@ RUN = re.compile(r" (?=\s|\Z)(?<=\s )")
 class Encoder:
     """Ids of texts, as little-endian 32-bit numbers; pieces between spaces are remembered, up to a number of them."""
 
-    def __init__(self, ranks: str, remembered: int = 300_000):
+    def __init__(self, ranks: str, remembered: int = 200_000):
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -167,6 +167,7 @@ def pack(docs: DataFrame, capacity: int = 1024, ranks: str = RANKS, end_id: int
     Windows that sum-of-squares packing leaves open at a partition's end are merged, cutting pieces where a window is full.
     """
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer, serial = Encoder(ranks), SumOfSquares(capacity, max_open), [TaskContext.get().partitionId() << 40]
         end, step = np.uint32(end_id).tobytes(), 4 * capacity
@@ -197,7 +198,7 @@ def pack(docs: DataFrame, capacity: int = 1024, ranks: str = RANKS, end_id: int
                     found = []
         yield batch_of(found + list(rows(packer.settle())))
 
-    C.ship(docs.sparkSession)
+    C.prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

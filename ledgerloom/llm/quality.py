@@ -68,12 +68,13 @@ def statistics(text: bytes | None) -> list[float]:
 def featured(docs: DataFrame) -> DataFrame:
     """doc_id and stats of every row."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [statistics(t) for t in C.binary(batch["text"])]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "stats": pa.array(rows, pa.list_(pa.float64()))})
 
-    C.ship(docs.sparkSession)
+    C.prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
 
 
@@ -132,6 +133,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, bandwidth: flo
     size = 1 + STATISTICS + features
     rows = stats.join(labels.select("doc_id", F.col("y").cast("double").alias("y")).filter("y IS NOT NULL"), "doc_id").select("stats", "y")
 
+    @C.tidy
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size + 2))
         for batch in batches:
@@ -140,6 +142,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, bandwidth: flo
         if total[0, 0]:
             yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
 
+    @C.tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, some = np.zeros(size * (size + 2)), False
         for batch in batches:
@@ -160,6 +163,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, bandwidth: flo
         model.knots, model.values = np.array([0.0]), np.array([share])
         return model
 
+    @C.tidy
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = model.raw(matrix(batch["stats"]))
@@ -179,6 +183,7 @@ def training(labels: DataFrame):
 def scored(stats: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each row of stats."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "score": pa.array(model.score(matrix(batch["stats"])))})
@@ -200,6 +205,7 @@ def accept(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) ->
     i_text = names[docs.columns.index("text")]
     flat = docs.toDF(*names)
 
+    @C.tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = np.array([statistics(t) for t in C.binary(batch[i_text].cast(pa.string()))]).reshape(-1, STATISTICS)

@@ -94,9 +94,10 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records of pages (page_id, url, html), with page_id behind them."""
-    C.ship(pages.sparkSession)
+    C.prepare(pages.sparkSession)
     schema = ARROW.append(pa.field("page_id", pa.int64()))
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -114,10 +115,11 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 
 def derive(records: DataFrame, *keep: str) -> DataFrame:
     """Metadata and conversion records of the responses among records; keep: columns to carry along."""
-    C.ship(records.sparkSession)
+    C.prepare(records.sparkSession)
     plain = records.select("record_id", "warc_type", "target_uri", "date", "headers", "block", *keep)
     extra = plain.schema.fields[6:]
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
@@ -140,9 +142,10 @@ def encoded(headers: dict[str, str], block: bytes) -> bytes:
 
 def write_warc(records: DataFrame, folder: str) -> list[str]:
     """Writes records as .warc.gz files into a folder that all machines mount: one for each partition; their paths."""
-    C.ship(records.sparkSession)
+    C.prepare(records.sparkSession)
     os.makedirs(folder, exist_ok=True)
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc.gz"
         part, some = f"{name}.{uuid.uuid4().hex}", False
@@ -162,8 +165,9 @@ def write_warc(records: DataFrame, folder: str) -> list[str]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of .warc or .warc.gz files, by Spark's reader of binary files: a file to a task."""
-    C.ship(spark)
+    C.prepare(spark)
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"].to_pylist():
