@@ -158,7 +158,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, bandwidth: flo
     penalty = ridge * np.eye(size)
     penalty[0, 0] = 1e-6
     model.weights = np.linalg.solve(total[:, :size] + penalty, total[:, size])
-    if not 0 < share < 1:
+    if not n or not 0 < share < 1:
         model.weights[:] = 0
         model.knots, model.values = np.array([0.0]), np.array([share])
         return model
