@@ -24,7 +24,7 @@ def edits(before: Column, now: Column) -> Column:
 
 def listed(text: Column, mark: str = "،") -> Column:
     """The values of a text that separates several by a mark."""
-    return F.filter(F.transform(F.split(text, mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def distinct_first(values: Column, n: int) -> Column:

@@ -79,7 +79,7 @@ def fuse(first: DataFrame, second: DataFrame, key: str, k: int) -> DataFrame:
 
 def sentences(text: Column) -> Column:
     """Sentences of more than 10 characters."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?؟؛])\s+|\n"), F.trim), lambda s: F.length(s) > 10)
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?؟؛])\s+|\n"), lambda x: F.trim(x)), lambda s: F.length(s) > 10)
 
 
 def hits_of(sentence: Column, terms: list[str]) -> Column:
