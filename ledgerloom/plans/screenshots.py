@@ -35,7 +35,7 @@ def parse(text: str | None) -> dict:
     out["side"] = "short" if SHORT.search(low) else "long" if LONG.search(low) else None
     if m := LEVERAGE.search(low):
         out["leverage"] = float(m[1] or m[2])
-    for line, below in zip(lines, [*lines[1:], ""], strict=True):
+    for line, below in zip(lines, [*lines[1:], ""], strict=False):
         for name, label in LABELS.items():
             if out[name] is None and (m := re.search(label, line)):
                 found = number(line[m.end() :])
