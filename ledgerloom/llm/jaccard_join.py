@@ -333,29 +333,40 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     links = C.store(survivors.mapInArrow(star, "a long, b long").distinct(), f"{path}/star")
     roots = connect(links, f"{path}/first")
 
-    # 5. shingles between components
+    # 5. shingles between components. The first common shingle of a linked pair is in the prefix of the larger set and in the
+    # shorter index prefix of the smaller one; groups with the same holders in the same roles are joined once
     @C.tidy
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, node = prefixes(batch), C.longs(batch["node"])
             sizes = [len(x) for x in keys]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([np.empty(0, C.U64), *keys]).view(np.int64)), "node": pa.array(np.repeat(node, sizes)), "root": pa.array(np.repeat(roots.find(node), sizes))})
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([np.empty(0, C.U64), *keys]).view(np.int64)), "node": pa.array(np.repeat(node, sizes)), "root": pa.array(np.repeat(roots.find(node), sizes)), "indexed": pa.array(roles(batch, sizes), pa.int32())})
 
-    open_ = survivors.mapInArrow(labelled, "token long, node long, root long").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("node").alias("sig"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    groups = open_.filter("r1 <> r2").groupBy("c", "sig", "low", "high").agg(F.min("token").alias("token")).select("token", "c")
+    def roles(batch: pa.RecordBatch, sizes: list[int]) -> np.ndarray:
+        """Of each prefix shingle: 1 if it is in the index prefix."""
+        short = [len(r) // 8 + (-2 * percent * n // (100 + percent)) + 1 for n, r in zip(batch["n"].to_pylist(), batch["ranks"].to_pylist(), strict=True)]
+        return np.concatenate([np.empty(0, np.int32), *((np.arange(a) < b).astype(np.int32) for a, b in zip(sizes, short, strict=True))])
+
+    index_only = F.when(F.col("indexed") == 1, F.col("node")).otherwise(F.lit(0))
+    open_ = survivors.mapInArrow(labelled, "token long, node long, root long, indexed int").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("node").alias("sig"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.sum("indexed").alias("c2"), F.bit_xor(index_only).alias("sig2"))
+    groups = open_.filter("r1 <> r2 AND c2 > 0").groupBy("c", "sig", "low", "high", "c2", "sig2").agg(F.min(F.struct("token", "r1")).alias("t")).select("t.token", "c", "t.r1")
     contested = C.write_table(groups, f"{path}/contested")
 
     @C.tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, node = prefixes(batch), C.longs(batch["node"])
+            sizes = [len(x) for x in keys]
             every = np.concatenate([np.empty(0, C.U64), *keys])
-            found, (c,) = contested.get(every)
-            owner, token, blocks = np.repeat(node, [len(x) for x in keys])[found], every[found].view(np.int64), -(-c[found] // group)
+            found, (c, r1) = contested.get(every)
+            owner, token, blocks = np.repeat(node, sizes)[found], every[found].view(np.int64), -(-c[found] // group)
+            role = roles(batch, sizes)[found]
+            # groups of a family meet in a task, which remembers what it has compared; large families are dealt to several
+            family = (C.mix(r1[found].view(C.U64) + every[found] % np.maximum(1, c[found] // 64).astype(C.U64))).view(np.int64)
             mine = (C.mix(owner.view(C.U64)) % np.maximum(blocks, 1).astype(C.U64)).astype(np.int64)
             other = np.concatenate([np.empty(0, np.int64), *(np.arange(x) for x in blocks)])
-            token, owner, mine = (np.repeat(x, blocks) for x in (token, owner, mine))
-            yield pa.RecordBatch.from_pydict({"token": pa.array(token), "i": pa.array(np.minimum(mine, other)), "j": pa.array(np.maximum(mine, other)), "node": pa.array(owner)})
+            family, token, owner, mine, role = (np.repeat(x, blocks) for x in (family, token, owner, mine, role))
+            yield pa.RecordBatch.from_pydict({"family": pa.array(family), "token": pa.array(token), "i": pa.array(np.minimum(mine, other)), "j": pa.array(np.maximum(mine, other)), "node": pa.array(owner), "indexed": pa.array(role, pa.int32())})
 
     @C.tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,43 +377,53 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
                 parent[x] = x = parent.get(up, up)
             return x
 
-        held: list[int] = []
+        held: dict[int, int] = {}
         at = None
         edges: list[tuple[int, int]] = []
+        compared: set[tuple[int, int]] = set()
 
         def close() -> None:
-            members = sorted(set(held))
+            members = sorted(held)
             for i, root in zip(members, roots.find(np.array(members, np.int64)).tolist(), strict=True):
                 if i != root and i not in parent:
                     parent[i] = root
-            if len({find(i) for i in members}) < 2:
+            indexed = [i for i in members if held[i]]
+            if len({find(i) for i in members}) < 2 or not indexed:
+                return
+            probes = members
+            if len(indexed) * len(members) <= 100_000:  # else remembering costs more than comparing
+                probes = [x for x in members if any((x, y) not in compared and find(x) != find(y) for y in indexed)]
+                if len(compared) > 2_000_000:
+                    compared.clear()
+                compared.update((x, y) for x in probes for y in indexed)
+            if not probes:
                 return
-            found = [(i, *sets.get(i)) for i in members]
-            tree = PrefixTree(found, percent, find)
-            for x, n, ranks in found:
+            tree = PrefixTree([(i, *sets.get(i)) for i in indexed], percent, find)
+            for x in probes:
 
                 def link(y: int, x=x) -> None:
                     edges.append((x, y))
                     parent[find(x)] = find(y)
 
-                tree.probe(n, ranks, lambda y, x=x: find(x) == find(y), link)
+                tree.probe(*sets.get(x), lambda y, x=x: find(x) == find(y), link)
 
         for batch in batches:
-            for token, i, j, node in zip(*(batch[c].to_pylist() for c in ("token", "i", "j", "node")), strict=True):
+            for token, i, j, node, role in zip(*(batch[c].to_pylist() for c in ("token", "i", "j", "node", "indexed")), strict=True):
                 if (token, i, j) != at:
                     if held:
                         close()
-                    at, held = (token, i, j), []
+                    at, held = (token, i, j), {}
                     if len(parent) > 500_000:
                         parent.clear()
-                held.append(node)
+                held[node] = max(role, held.get(node, 0))
             yield pairs_batch(edges)
             edges.clear()
         if held:
             close()
         yield pairs_batch(edges)
 
-    dealt = survivors.mapInArrow(spread, "token long, i long, j long, node long").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = survivors.mapInArrow(spread, "family long, token long, i long, j long, node long, indexed int").repartition(parts, "family", "i", "j").sortWithinPartitions("family", "token", "i", "j")
     more = C.store(dealt.mapInArrow(join, "a long, b long").distinct(), f"{path}/more")
 
     # 6. components of nodes, and their smallest doc_id
