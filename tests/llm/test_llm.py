@@ -326,6 +326,22 @@ def test_nearest_recall_and_ties(spark, empty):
     assert additive_ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_nearest_in_a_hot_group(spark):
+    """More vectors than codebooks are fitted on, a third of them near copies: the result is that of brute force."""
+    gen = np.random.default_rng(17)
+    x = gen.normal(size=(6000, 32))
+    x[::3] = x[0] + 0.02 * gen.normal(size=(2000, 32)) * np.abs(x[0]).mean()
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in additive_ann.nearest(vectors, vectors.filter("vec_id % 40 = 0"), sample=1500, books=4, words=64, rerank=50).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    norms = np.sqrt((x * x).sum(axis=1))
+    for q in range(0, 6000, 40):
+        s = (x * x[q]).sum(axis=1) / (norms * norms[q])
+        s[q] = -2
+        assert got[q] == np.lexsort((np.arange(6000), -s))[:5].tolist(), q
+
+
 def test_chunks(spark, odd, empty):
     text = prose(2000).encode()
     ends = chunk_dedup.borders(text, 12, 44, 96)
