@@ -4,7 +4,8 @@ Steps, each over all rows and none with a join on a hot key:
 1. every text becomes its set of shingle hashes; equal sets become one node (combined before the shuffle);
 2. each shingle's document frequency is counted exactly over the nodes: tasks send sorted 32-bit remainders, dealt by the top
    bits of the hash; only shingles in two nodes or more are kept, as a sorted table that workers map into memory;
-3. a node survives if enough of its shingles are shared; its shared shingles, in the global order (rare first), are stored;
+3. a node survives if enough of its shingles are shared; its shared shingles, in the global order (rare first), are stored
+   once, however many rows stand for it;
 4. two linked sets share a shingle of their prefixes. For each prefix shingle one leader is chosen; survivors are probed
    against their leaders, which connects groups of near copies without forming their pairs;
 5. shingles whose holders are still in two components or more are joined group by group: a prefix tree of the sets, in order of
@@ -278,7 +279,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "ranks"])
 
-    survivors = C.store(texts.mapInArrow(survive, "node long, n long, ranks binary"), f"{path}/survivors")
+    survivors = C.store(texts.mapInArrow(survive, "node long, n long, ranks binary").dropDuplicates(["node"]), f"{path}/survivors")
     few = C.table_bits(spark)
     C.os.makedirs(f"{path}/sets")
 
@@ -347,9 +348,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
         short = [len(r) // 8 + (-2 * percent * n // (100 + percent)) + 1 for n, r in zip(batch["n"].to_pylist(), batch["ranks"].to_pylist(), strict=True)]
         return np.concatenate([np.empty(0, np.int32), *((np.arange(a) < b).astype(np.int32) for a, b in zip(sizes, short, strict=True))])
 
-    index_only = F.when(F.col("indexed") == 1, F.col("node")).otherwise(F.lit(0))
-    open_ = survivors.mapInArrow(labelled, "token long, node long, root long, indexed int").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("node").alias("sig"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.sum("indexed").alias("c2"), F.bit_xor(index_only).alias("sig2"))
-    groups = open_.filter("r1 <> r2 AND c2 > 0").groupBy("c", "sig", "low", "high", "c2", "sig2").agg(F.min(F.struct("token", "r1")).alias("t")).select("t.token", "c", "t.r1")
+    # holders are known by a sum of mixed nodes, in two halves that can't overflow; a xor would lose those that come twice
+    mixed = F.xxhash64("node")
+    halves = {"1": mixed.bitwiseAND(F.lit(2**32 - 1)), "2": F.shiftrightunsigned(mixed, 32)}
+    signs = [f(x).alias(name + i) for i, x in halves.items() for name, f in (("sig", F.sum), ("own", lambda x: F.sum(x * F.col("indexed"))))]
+    open_ = survivors.mapInArrow(labelled, "token long, node long, root long, indexed int").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.sum("indexed").alias("c2"), *signs)
+    groups = open_.filter("r1 <> r2 AND c2 > 0").groupBy("c", "low", "high", "c2", "sig1", "sig2", "own1", "own2").agg(F.min(F.struct("token", "r1")).alias("t")).select("t.token", "c", "t.r1")
     contested = C.write_table(groups, f"{path}/contested")
 
     @C.tidy

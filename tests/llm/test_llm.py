@@ -217,6 +217,23 @@ def test_jaccard_components(spark, odd, empty, group):
     assert jaccard_join.components(empty).count() == 0
 
 
+def test_jaccard_of_repeated_rows(spark):
+    """Each row twice: groups of rare shingles with the same outermost holders (two compilations) are told apart."""
+    own = random.Random(21)
+    words = lambda n: [f"w{own.randrange(10**9)}" for _ in range(n)]
+    pairs, boiler = [words(60) for _ in range(6)], words(4000)
+    near = [" ".join(p[:-1] + ["other"]) for p in pairs]
+    texts = [" ".join(p) for p in pairs] + near + [" ".join(boiler + words(i * 9000)) for i in (1, 2, 3)]
+    node = lambda t: jaccard_join.fingerprint(jaccard_join.shingles(t.encode(), 5))[0]
+    inside = [node(t) for t in texts]
+    quoted = " ".join(x for p in pairs for x in p) + " " + " ".join(boiler)
+    first = next(t for i in range(10**4) if node(t := f"{quoted} first{i}") < min(inside))
+    last = next(t for i in range(10**4) if node(t := f"{quoted} last{i}") > max(inside))
+    rows = [(i, t) for i, t in enumerate([*texts, first, last])] * 2
+    got = collections.Counter(map(tuple, jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    assert got == brute_components(rows)
+
+
 def test_one_of_each(spark):
     rows = families(20)
     kept = jaccard_join.one_of_each(spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, c0 string"))
