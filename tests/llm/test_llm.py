@@ -388,6 +388,38 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="arti
 <form><label>Name</label><textarea>x</textarea></form><footer>&copy; 2020</footer></body></html>"""
 
 
+def test_chunks_take_whole_passages(spark):
+    """Passages of 51 words, and of characters without spaces, go from end to end, whatever stands around them."""
+    own = random.Random(31)
+    words = lambda n: " ".join("".join(own.choices("abcdefghij", k=own.randint(2, 9))) for _ in range(n))
+    signs = lambda n: "".join(chr(own.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passages = [words(51) for _ in range(150)] + [signs(150) for _ in range(30)]
+    rows = []
+    for i, p in enumerate(passages):
+        around = words if " " in p else signs
+        rows += [(i, around(40) + p + around(30)), (1000 + i, around(35) + p + around(50))]
+    twice = words(60)
+    rows += [(3000, twice), (3000, "before it " + twice), (None, twice + " x"), (None, twice)]
+    got = [(r.doc_id, r.text, r.n_dropped) for r in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), filter_bits=20).collect()]
+    by_id = {d: (t, n) for d, t, n in got}
+    for i, p in enumerate(passages):
+        assert by_id[i] == (rows[2 * i][1], 0)
+        assert len(p) <= by_id[1000 + i][1] < len(p) + 8, i
+    assert sum(twice in t for _, t, _ in got) == 1 and sum(n >= len(twice) for _, _, n in got) == 3
+
+
+def test_agreeing_and_extended():
+    own = random.Random(32)
+    for _ in range(300):
+        common_part = bytes(own.choices(b"ab", k=own.randrange(300)))
+        assert chunk_dedup.agreeing(common_part + b"x", common_part + b"yz") == len(common_part)
+    text, other = "§ before, middle, after é".encode(), "¨ before, middle, after è".encode()
+    at = text.index(b"middle")
+    a, b = chunk_dedup.extended(text, at, at + 6, other, other.index(b"middle"))
+    assert text[a:b].decode() == " before, middle, after "
+    assert chunk_dedup.extended(b"y" * 9999 + b"z", 9000, 9100, b"y" * 9999, 9000) == (0, 9999)
+
+
 def test_main_text(spark):
     want = "The title First paragraph, with some words in it. It goes on. Short one. Second <b> paragraph here é."
     assert html_extract.main_text(PAGE) == want
