@@ -94,7 +94,7 @@ class Model:
         rng = np.random.default_rng(seed)
         self.centre, self.scale = centre, scale
         self.w, self.phase = rng.normal(0, 1 / bandwidth, (STATISTICS, features)), rng.uniform(0, 2 * np.pi, features)
-        self.weights, self.knots, self.values = None, None, None
+        self.weights, self.knots, self.values, self.constant = None, None, None, None
 
     def features(self, stats: np.ndarray) -> np.ndarray:
         x = np.clip((stats - self.centre) / self.scale, -5, 5)
@@ -104,7 +104,9 @@ class Model:
         return self.features(stats) @ self.weights
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        """Calibrated scores; a small share of the raw score keeps the order within a calibrated level."""
+        """Calibrated scores; a small share of the raw score keeps the order within a calibrated level. A constant stays as it is."""
+        if self.constant is not None:
+            return np.full(len(stats), self.constant)
         raw = self.raw(stats)
         return np.clip(0.99 * np.interp(raw, self.knots, self.values) + 0.01 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
 
@@ -159,8 +161,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, bandwidth: flo
     penalty[0, 0] = 1e-6
     model.weights = np.linalg.solve(total[:, :size] + penalty, total[:, size])
     if not n or not 0 < share < 1:
-        model.weights[:] = 0
-        model.knots, model.values = np.array([0.0]), np.array([share])
+        model.constant = float(share)
         return model
 
     @C.tidy

@@ -309,6 +309,14 @@ def test_quality(spark, empty):
     assert quality.score(empty, train).count() == 0
 
 
+def test_quality_without_labels_keeps_all(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([prose(50), "### " * 9, "", None])], "doc_id long, text string")
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, y int")
+    for rows, score in ([], 0.5), ([(0, None), (1, None)], 0.5), ([(77, 1), (78, 0)], 0.5), ([(0, 1), (1, 1)], 1.0), ([(0, 0)], 0.0):
+        assert [r.score for r in quality.score(docs, labels(rows)).collect()] == [score] * 4
+        assert quality.accept(docs, labels(rows)).count() == (4 if score >= 0.5 else 0)
+
+
 def test_isotonic_is_monotone():
     x, y = np.arange(50.0), np.array([rng.random() for _ in range(50)])
     knots, levels = quality.isotonic(x, y, np.ones(50))
