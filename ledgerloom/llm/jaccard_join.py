@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common as C
 
@@ -49,18 +50,19 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
-    """doc_ids and sets of a batch, about AT_ONCE shingles at a time."""
-    ids, sets, size = [], [], 0
+def sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[list[int | None], list[np.ndarray], list[bytes | None]]]:
+    """doc_ids, sets and texts of a batch, about AT_ONCE shingles at a time."""
+    ids, sets, texts, size = [], [], [], 0
     for doc_id, text in zip(batch["doc_id"].to_pylist(), C.binary(batch["text"]), strict=True):
         ids.append(doc_id)
         sets.append(shingles(text, k))
+        texts.append(text)
         size += len(sets[-1])
         if size >= AT_ONCE:
-            yield ids, sets
-            ids, sets, size = [], [], 0
+            yield ids, sets, texts
+            ids, sets, texts, size = [], [], [], 0
     if ids:
-        yield ids, sets
+        yield ids, sets, texts
 
 
 class Sets:
@@ -204,8 +206,13 @@ def pairs_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable over links) of every row.
+def row_key(doc_id: int | None, text: bytes | None) -> int:
+    """A digest of a row's id and text, as a signed number."""
+    return xxhash.xxh3_64_intdigest(text or b"", (NULL_ID if doc_id is None else doc_id) & (2**64 - 1)) - 2**63
+
+
+def linked(docs: DataFrame, k: int, percent: int, group: int) -> tuple[DataFrame, Roots, str]:
+    """doc_id, n, f1, f2 (of the set) and key (of the row) of every row; the components of all f1; and the folder.
 
     Two rows link when 100 * intersection >= percent * union of their sets of k-word shingles. group: rows of a shingle from
     which on it is dealt in pairs of blocks.
@@ -218,11 +225,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     @C.tidy
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets in sets_of(batch, k):
+            for ids, sets, whole in sets_of(batch, k):
                 marks = [fingerprint(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1))], names=["doc_id", "n", "f1", "f2"])
+                keys = [row_key(i, t) for i, t in zip(ids, whole, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)), pa.array(keys, pa.int64())], names=["doc_id", "n", "f1", "f2", "key"])
 
-    rows = C.store(texts.mapInArrow(prints, "doc_id long, n long, f1 long, f2 long"), f"{path}/rows")
+    rows = C.store(texts.mapInArrow(prints, "doc_id long, n long, f1 long, f2 long, key long"), f"{path}/rows")
     classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("holder"), F.max("n").alias("n"))
     total = classes.agg(F.sum("n")).first()[0] or 0
     copied = C.write_table(classes.filter("c > 1").select("f1", "f2", "holder"), f"{path}/copied")
@@ -231,7 +239,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
 
     def nodes(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
         """The sets of a batch's rows that stand for their nodes."""
-        for ids, sets in sets_of(batch, k):
+        for ids, sets, _ in sets_of(batch, k):
             marks = [fingerprint(s) for s in sets]
             found, (second, holder) = copied.get(np.array([m[0] for m in marks], np.int64).view(C.U64))
             mine = [len(s) > 0 and (not f or b != m[1] or h == (NULL_ID if i is None else i)) for i, s, m, f, b, h in zip(ids, sets, marks, found.tolist(), second.tolist(), holder.tolist(), strict=True)]
@@ -437,7 +445,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
             yield pa.RecordBatch.from_pydict({"a": pa.array(roots.find(C.longs(batch["a"]))), "b": pa.array(roots.find(C.longs(batch["b"])))})
 
     last = connect(more.mapInArrow(rooted, "a long, b long").filter("a <> b"), f"{path}/second")
-    every = Roots(roots.tables + last.tables)
+    return rows, Roots(roots.tables + last.tables), path
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable over links) of every row; see linked()."""
+    rows, every, path = linked(docs, k, percent, group)
 
     @C.tidy
     def with_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,29 +479,53 @@ def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True)
 
 
-def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id."""
-    spark = docs.sparkSession
-    gone = components(docs, k, percent).filter("doc_id <> component_id").select("doc_id")
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000) -> DataFrame:
+    """One row of each component of docs, and all rows without words.
+
+    Each row is judged by its own text. The smallest doc_id stays, a row without one only where no row of the component has one;
+    of different texts of that doc_id the one with the smallest digest; of rows with the same doc_id and text any one.
+    """
+    rows, every, path = linked(docs, k, percent, group)
 
     @C.tidy
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"key": pa.array(C.mix(C.longs(batch["doc_id"]).view(C.U64)).view(np.int64))})
+            yield pa.RecordBatch.from_arrays([pa.array(every.find(C.longs(batch["f1"]))), batch["doc_id"], batch["key"]], names=["root", "doc_id", "key"])
 
-    table = C.write_table(gone.mapInArrow(keyed, "key long").distinct(), C.workspace(spark, "copies"))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    i_id = names[docs.columns.index("doc_id")]
+    rooted = C.store(rows.filter("n > 0").mapInArrow(with_root, "root long, doc_id long, key long").groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("times")), f"{path}/rooted")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "times")).alias("first")
+    winners = C.store(rooted.groupBy("root").agg(F.sum("times").alias("c"), first).filter("c > 1").select("root", "first.key", "first.times"), f"{path}/winners")
+    stays = C.write_table(winners.select("root", "key"), f"{path}/stays")
 
     @C.tidy
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch[i_id].cast(pa.int64())
-            found, _ = table.get(C.mix(C.longs(ids.fill_null(0)).view(C.U64)))
-            yield batch.filter(pa.array(~found | np.array(ids.is_null())))
-
+            key = C.longs(batch["key"])
+            found, (best,) = stays.get(C.longs(batch["root"]).view(C.U64))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[found & (key != best)])})
+
+    gone = C.write_table(rooted.mapInArrow(losers, "key long").distinct(), f"{path}/gone")
+    again = winners.filter("times > 1").select("key").distinct()
+    some = not again.isEmpty()
+    repeated = C.write_table(again, f"{path}/repeated")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    i_id, i_text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
     flat = docs.toDF(*names)
-    return flat.mapInArrow(keep, flat.schema).toDF(*docs.columns)
+
+    def kept(batches: Iterator[pa.RecordBatch], twice: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array([row_key(i, t) for i, t in zip(batch[i_id].cast(pa.int64()).to_pylist(), C.binary(batch[i_text].cast(pa.string())), strict=True)], np.int64)
+            more, _ = repeated.get(keys.view(C.U64))
+            if twice:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "key"]).filter(pa.array(more))
+            else:
+                yield batch.filter(pa.array(~(gone.get(keys.view(C.U64))[0] | more)))
+
+    out = flat.mapInArrow(C.tidy(lambda batches: kept(batches, False)), flat.schema)
+    if some:
+        with_key = StructType([*flat.schema, StructField("key", LongType())])
+        out = out.unionByName(flat.mapInArrow(C.tidy(lambda batches: kept(batches, True)), with_key).dropDuplicates(["key"]).drop("key"))
+    return out.toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -241,6 +241,16 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({k[2] for k in brute_components(rows)})
 
 
+def test_one_of_each_judges_rows(spark):
+    one, two, three, four = (prose(40) for _ in range(4))
+    rows = [(1, one), (2, one), (2, two), (3, two), (None, one), (None, three), (None, three), (4, four), (4, four), (4, four + " end"), (5, ""), (5, ""), (None, None)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    count = collections.Counter((r.doc_id, r.text) for r in kept)
+    fours = [x for x in count.elements() if x[0] == 4]
+    assert len(fours) == 1 and fours[0] in rows
+    assert count == collections.Counter([(1, one), (2, two), (None, three), *fours, (5, ""), (5, ""), (None, None)])
+
+
 def test_prefix_tree_equals_pairs():
     sets = {i: np.unique(np.array(rng.choices(range(60), k=rng.randint(5, 40)))) for i in range(80)}
     tree = jaccard_join.PrefixTree([(i, len(s), s) for i, s in sets.items()], 60)
