@@ -12,28 +12,40 @@ from ledgerloom.llm import common, decontaminate, jaccard_join, line_dedup, pack
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null or empty text is scored like any other, rows without doc_id are judged by their text, repeated rows alike; an empty
+    table stays empty; without labels nothing goes. Extra columns, whatever their names, pass through here and in all stages.
+    """
     return quality.accept(docs, quality.training(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Repeated lines go; n_chars, where the table has it, follows the text.
+
+    A null text stays null, with null n_chars; rows without doc_id lose repeated lines and never hold the one that stays; rows that
+    repeat a doc_id count as one document. No row goes, one that loses all its lines stays with an empty text.
+    """
+    out = line_dedup.dedup_lines(docs)
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the smallest doc_id stays."""
+    """Of each group of linked documents one row stays, that of the smallest doc_id.
+
+    Rows are judged by their own texts, so of repeated rows one stays; null, empty and blank texts are linked with nothing, and all
+    their rows stay.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(~decontaminate.contaminated()).select(docs.columns)
+    """Contaminated documents go. Null and empty texts have no words and stay; repeated rows are judged alike."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences, as pieces of documents."""
+    """Training sequences, as pieces of documents. A null or empty text is the end id alone; repeated rows are packed once each."""
     return packing.pack(docs)
 
 

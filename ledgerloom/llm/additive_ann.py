@@ -3,14 +3,15 @@
 A vector, scaled to length 1, is coded as a sum of one full-dimensional codeword from each codebook. Codebooks start as those of
 residual k-means and are then fitted together by least squares, with codes found by beam search. For each code the squared norm
 of its sum is stored, so that a look-up table of a query's products with all codewords gives its distance from every code by a
-few additions. The best codes of each batch are compared exactly, and then every other vector that its code doesn't rule out: a
-query's product with a vector differs from that with its code by the length of what the code leaves out at most, which is stored.
+few additions. The codes' order picks what is compared exactly first; the rest of the shortlist is every vector that its code
+doesn't rule out: a query's product with a vector differs from that with its code by the length of what the code leaves out at
+most, which is stored.
 
-Scale: codebooks are fitted on at most `sample` vectors (those with the smallest hashes of their ids), every vector is indexed,
-in one map. Queries go to the workers in blocks of a fixed size; each task keeps only the nearest found for each query of the
-block, and these few rows meet in a window by query. A batch of n rows has max(rerank, n / 40) vectors compared exactly first;
-the n-th best so far then decides which others have to be, ties included. So no neighbour is lost, in groups of near copies
-neither, whatever the codebooks were fitted on; good codes only save comparisons. Checked against brute force in tests/llm.
+Scale: codebooks are fitted on at most `sample` vectors (those with the smallest hashes of their ids), in one task; every vector
+is indexed, in one map. Queries go to the workers in blocks of a fixed size; each task keeps only the nearest found for each query
+of the block, and these few rows meet in a window by query. The `rerank` best codes of a batch are compared first, and the n-th
+best exact score so far decides which others have to be, ties included. So the result is that of brute force, however rows are
+dealt to batches, in groups of near copies too, and whatever the codebooks were fitted on: good codes only save comparisons.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length
 than most have, nor rows without vec_id; equal scores go by the smaller vec_id, and rows that repeat a vec_id appear once each;
@@ -103,17 +104,18 @@ def fit(x: np.ndarray, books: int = 16, words: int = 256, beam: int = 4, rounds:
         near = np.argmin((made[-1] * made[-1]).sum(1) - 2 * rest @ made[-1].T, axis=1)
         rest = rest - made[-1][near]
     index = Index(np.stack(made), beam)
-    for _ in range(rounds if len(x) >= 4 * books * words else 0):  # least squares over all codewords at once
-        codes = np.concatenate([index.encode(x[a : a + 2000].astype(np.float32))[0] for a in range(0, len(x), 2000)])
-        at = codes.astype(np.int64) + words * np.arange(books)
-        gram, right = np.zeros((books * words, books * words)), np.zeros((books * words, x.shape[1]))
+    for _ in range(rounds):  # least squares over all codewords at once; unused ones stay where they are
+        codes = np.concatenate([index.encode(x[a : a + 2000].astype(np.float32))[0] for a in range(0, len(x), 2000)]).astype(np.int64)
+        at = codes + words * np.arange(books)
+        gram, right = np.zeros((books * words, books * words), np.float32), np.zeros((books * words, x.shape[1]), np.float32)
         for a in range(books):
-            np.add.at(right, at[:, a], x)
+            np.add.at(right, at[:, a], x.astype(np.float32))
             for b in range(books):
-                np.add.at(gram, (at[:, a], at[:, b]), 1.0)
+                both = np.bincount(codes[:, a] * words + codes[:, b], minlength=words * words)
+                gram[a * words : (a + 1) * words, b * words : (b + 1) * words] = both.reshape(words, words)
         gram[np.diag_indices_from(gram)] += 1.0
         start = index.books.reshape(-1, x.shape[1])
-        index = Index((start + np.linalg.solve(gram, right - gram @ start)).reshape(books, words, -1).astype(np.float32), beam)
+        index = Index((start + np.linalg.solve(gram, right - gram @ start)).reshape(books, words, -1), beam)
     return index
 
 
@@ -126,10 +128,10 @@ def top(scores: np.ndarray, n: int) -> np.ndarray:
     return np.r_[over, np.flatnonzero(scores == least)[: n - len(over)]]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int = 5, sample: int = 20_000, rerank: int = 200, block: int = 2048, **options) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, n: int = 5, sample: int = 20_000, rerank: int = 40, block: int = 2048, **options) -> DataFrame:
     """query_id, rank, vec_id and score: for each query the n nearest other rows of vectors by cosine.
 
-    Both are (vec_id, embedding). sample bounds the vectors that codebooks are fitted on.
+    Both are (vec_id, embedding). sample bounds the vectors that codebooks are fitted on; rerank changes the speed alone.
     """
     spark = vectors.sparkSession
     path = C.workspace(spark, "ann")
@@ -137,10 +139,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 5, sample: int = 20
     vectors, queries = plain(vectors), plain(queries)
     sizes = vectors.filter("embedding IS NOT NULL AND size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = sizes.d if sizes else 1
-    some = vectors.filter(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    some = [valid(b, dim)[1] for b in some.to_batches()]
-    some = np.concatenate([np.empty((0, dim)), *some])
-    index = spark.sparkContext.broadcast(fit(some / lengths(some)[:, None], **options) if len(some) else None)
+    beam = options.get("beam", 4)
+
+    @C.tidy
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate([np.empty((0, dim)), *(valid(b, dim)[1] for b in batches)])
+        if len(x):
+            made = fit(x / lengths(x)[:, None], **options).books.astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"books": pa.array([made.tobytes()], pa.binary()), "count": pa.array([made.shape[0]], pa.int64()), "words": pa.array([made.shape[1]], pa.int64())})
+
+    some = vectors.filter(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    made = some.coalesce(1).mapInArrow(fitted, "books binary, count long, words long").first()
+    index = spark.sparkContext.broadcast(Index(np.frombuffer(made.books, np.float32).reshape(made["count"], made.words, dim), beam) if made else None)
 
     @C.tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +195,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 5, sample: int = 20
                     product += tables[i, m][at]
                 guess = 2 * product - norm
                 guess[vec == ids[i]] = -np.inf
-                at = top(guess, max(rerank, len(vec) // 40))
+                at = top(guess, rerank)
                 compare(i, at[vec[at] != ids[i]])
                 open_ = product + reach >= (best[i][0][-1] if len(best[i][0]) == n else -np.inf)
                 open_ &= vec != ids[i]

@@ -8,13 +8,13 @@ goes where it holds at least min_words words or min_chars characters (texts with
 that texts share by chance. A repeated passage is missed where it holds no whole common chunk, or all its chunks occur still
 earlier in other company.
 
-Scale: four scans of the texts, each a map. Twin Bloom filters pick the digests seen twice; only those shuffle, as 16-byte
+Scale: four scans of the texts, each a map, and one that only measures them to size the filters. Twin Bloom filters pick the digests seen twice; only those shuffle, as 16-byte
 digests with their place, combined before the shuffle, so a passage in a third of all documents costs each task a row a chunk.
 First places go into a sorted table that workers map into memory, and so do the texts that hold one, each once.
 
 Defined results: a null or empty text has no chunks; a row without doc_id counts as later than all others; different texts of
 one doc_id, or of none, go by their digests, and equal ones hold the same first place, so all keep it; no cut splits a
-character; extra columns pass through; an empty table gives an empty table.
+character; extra columns pass through, and an own column whose name is taken gets a _ behind it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ class Texts:
         return data[index[1, i] : index[2, i]].tobytes()
 
 
-def dedup_chunks(docs: DataFrame, least: int = 12, average: int = 44, most: int = 96, min_words: int = 16, filter_bits: int = 28, min_chars: int = 100) -> DataFrame:
+def dedup_chunks(docs: DataFrame, least: int = 12, average: int = 44, most: int = 96, min_words: int = 16, min_chars: int = 100) -> DataFrame:
     """docs with repeated passages taken out of ``text``, and ``n_chunks``, ``n_repeated`` (chunks), ``n_dropped`` (characters)
     and ``spans`` (the dropped passages' first characters and those after their last, in the text as it was)."""
     path = C.workspace(docs.sparkSession, "chunks")
@@ -162,7 +162,8 @@ def dedup_chunks(docs: DataFrame, least: int = 12, average: int = 44, most: int
         if held:
             yield np.concatenate(held)
 
-    twice = C.twice_seen(texts, keys_of, f"{path}/twice", filter_bits)
+    size = texts.agg(F.sum(F.octet_length("text")), F.count_if(F.octet_length("text") > 0)).first()
+    twice = C.twice_seen(texts, keys_of, f"{path}/twice", C.filter_bits((size[0] or 0) // max(1, average) + size[1]))
 
     @C.tidy
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +187,7 @@ def dedup_chunks(docs: DataFrame, least: int = 12, average: int = 44, most: int
     place = F.struct("doc", "name", "at")
     counted = texts.mapInArrow(suspects, "h1 long, h2 long, doc long, name long, at long").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = C.store(counted.filter("first <> last").select("h1", "h2", F.col("first.name").alias("name"), F.col("first.at").alias("at")), f"{path}/first-places")
-    table = C.write_table(firsts, f"{path}/firsts")
+    table = C.write_table(firsts, f"{path}/firsts", firsts.count())
 
     # the texts that hold a first place; a name is a digest, so evenly spread
     holders = C.write_table(firsts.select("name").distinct(), f"{path}/holders")
@@ -201,7 +202,7 @@ def dedup_chunks(docs: DataFrame, least: int = 12, average: int = 44, most: int
             at = np.array([i for i, k in zip(at.tolist(), key[at].tolist(), strict=True) if not (k in seen or seen.add(k))], np.int64)
             yield pa.RecordBatch.from_pydict({"name": pa.array(key[at]), "text": pa.array([rows[1][i] for i in at.tolist()], pa.binary())})
 
-    few = C.table_bits(docs.sparkSession)
+    few = C.table_bits(docs.sparkSession, (size[0] or 0) // 32)  # files of 64 MB at most, of texts that all hold a first place
     C.os.makedirs(f"{path}/texts")
 
     def keep_texts(part: pa.Table) -> pa.Table:
@@ -214,9 +215,9 @@ def dedup_chunks(docs: DataFrame, least: int = 12, average: int = 44, most: int
             whole[b - len(one) : b] = one
         C.save(whole, f"{path}/texts/{bucket:05d}-bytes.npy")
         C.save(np.stack([name[order], np.r_[0, ends[:-1]], ends]), f"{path}/texts/{bucket:05d}-index.npy")
-        return pa.table({"n": pa.array([len(order)], pa.int64())})
+        return C.only(bucket)
 
-    texts.mapInArrow(held, "name long, text binary").withColumn("bucket", C.bucket_of(F.col("name"), few)).groupBy("bucket").applyInArrow(keep_texts, "n long").write.format("noop").mode("overwrite").save()
+    C.per_bucket(texts.mapInArrow(held, "name long, text binary").withColumn("bucket", C.bucket_of(F.col("name"), few)), few, keep_texts)
     sources = Texts(f"{path}/texts", few)
 
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -284,7 +285,7 @@ def dedup_chunks(docs: DataFrame, least: int = 12, average: int = 44, most: int
 
     new = [StructField("n_chunks", LongType()), StructField("n_repeated", LongType()), StructField("n_dropped", LongType()), StructField("spans", ArrayType(ArrayType(LongType())))]
     schema = StructType([*(StructField(f.name, StringType() if f.name == i_text else f.dataType) for f in flat.schema), *new])
-    return flat.mapInArrow(clean, schema).toDF(*docs.columns, "n_chunks", "n_repeated", "n_dropped", "spans")
+    return flat.mapInArrow(clean, schema).toDF(*docs.columns, *C.free_names(docs.columns, "n_chunks", "n_repeated", "n_dropped", "spans"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import functools
 import gc
 import math
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -78,13 +79,32 @@ def tidy(f: Callable) -> Callable:
     return run
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The names of an operator's own columns: as wanted, with a _ behind those that the input has already (case is ignored)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """Where the column of this exact name is, the first if there are several."""
+    return df.columns.index(name)
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (where that is unset, as in tests, below a temporary one), as a local path.
+    """A new folder below ``spark.checkpoint.dir``, as a local path. Where that is unset, as in tests, it is below a temporary one,
+    which only a session of one machine may use.
 
     Workers map files of this folder into memory, so it has to be a file system that all machines mount.
     """
     prepare(spark)
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all machines mount")
     if not root:
         root = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
     at = urlparse(root)
@@ -116,6 +136,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
 
 
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if len(values):
+        cuts = np.flatnonzero(np.diff(values)) + 1
+        yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True)
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive words, given the hashes of the words; n = 1 or more, at least n words."""
     with np.errstate(over="ignore"):
@@ -126,9 +153,14 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def table_bits(spark: SparkSession) -> int:
-    """Files of a table, as a power of two: about one for each shuffle partition, so that a file is as large as a partition."""
-    return min(16, max(0, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+#: Rows that a file of a table holds, about.
+FILE_ROWS = 2_000_000
+
+
+def table_bits(spark: SparkSession, rows: int = 0) -> int:
+    """Files of a table, as a power of two: one for each shuffle partition, and more where they would hold over FILE_ROWS rows."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(16, max(0, math.ceil(math.log2(parts)), (rows // FILE_ROWS).bit_length()))
 
 
 def bucket_of(key, bits: int):
@@ -136,22 +168,40 @@ def bucket_of(key, bits: int):
     return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
 
 
+def per_bucket(df: DataFrame, bits: int, put: Callable[[pa.Table], pa.Table]) -> np.ndarray:
+    """Runs put, which writes a file and returns its ``bucket``, on the rows of each bucket; a flag for each that has rows.
+
+    One bucket of a partition after the other is held by a task. The flags are at most 2**16.
+    """
+    parts = max(1 << bits, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    there = np.zeros(1 << bits, bool)
+    for r in df.repartition(parts, "bucket").groupBy("bucket").applyInArrow(put, "bucket int").collect():
+        there[r.bucket] = True
+    return there
+
+
+def only(bucket: int) -> pa.Table:
+    return pa.table({"bucket": pa.array([bucket], pa.int32())})
+
+
 class Table:
-    """A sorted table in the shared folder: key (64 bits, evenly spread) -> values (64-bit integers). Picklable; workers map it."""
+    """A sorted table in the shared folder: key (64 bits, evenly spread) -> values (64-bit integers). Picklable; workers map it.
+
+    there: which of its files exist. A file that is in the list and not in the folder is an error, never an empty file.
+    """
 
-    def __init__(self, path: str, bits: int, width: int):
-        self.path, self.bits, self.width, self.files = path, bits, width, {}
+    def __init__(self, path: str, bits: int, width: int, there: np.ndarray):
+        self.path, self.bits, self.width, self.there, self.files = path, bits, width, there, {}
 
     def __getstate__(self):
-        return self.path, self.bits, self.width
+        return self.path, self.bits, self.width, self.there
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def file(self, bucket: int) -> np.ndarray | None:
         if bucket not in self.files:
-            name = f"{self.path}/{bucket:05d}.npy"
-            self.files[bucket] = np.load(name, mmap_mode="r") if os.path.exists(name) else None
+            self.files[bucket] = np.load(f"{self.path}/{bucket:05d}.npy", mmap_mode="r") if self.there[bucket] else None
         return self.files[bucket]
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -164,7 +214,7 @@ class Table:
         tops = (ordered >> U64(64 - self.bits)) if self.bits else np.zeros(len(keys), U64)
         starts = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
-            if (data := self.file(int(tops[a]))) is None:
+            if (data := self.file(int(tops[a]))) is None or not data.shape[1]:
                 continue
             have = data[0].view(U64)
             at = np.searchsorted(have, ordered[a:b])
@@ -184,29 +234,34 @@ def save(array: np.ndarray, name: str) -> None:
     os.replace(part, name)
 
 
-def write_table(df: DataFrame, path: str) -> Table:
-    """Writes df, whose first column is an evenly spread 64-bit key without repeats and the others are long, as a Table."""
+def write_table(df: DataFrame, path: str, rows: int = 0) -> Table:
+    """Writes df, whose first column is an evenly spread 64-bit key without repeats and the others are long, as a Table.
+
+    rows: how many there are, where that is known; it sets the number of files.
+    """
     os.makedirs(path, exist_ok=True)
-    bits, names = table_bits(df.sparkSession), df.columns
+    bits, names = table_bits(df.sparkSession, rows), df.columns
 
     def put(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
         rows = np.stack([longs(group[c].combine_chunks()) for c in names])
         save(rows[:, np.argsort(rows[0].view(U64))], f"{path}/{bucket:05d}.npy")
-        return pa.table({"bucket": pa.array([bucket], pa.int32())})
+        return only(bucket)
 
-    df.withColumn("bucket", bucket_of(F.col(names[0]), bits)).groupBy("bucket").applyInArrow(put, "bucket int").write.format("noop").mode("overwrite").save()
-    return Table(path, bits, len(names) - 1)
+    return Table(path, bits, len(names) - 1, per_bucket(df.withColumn("bucket", bucket_of(F.col(names[0]), bits)), bits, put))
 
 
 class Twice:
-    """The filter of hashes seen twice, made by twin Bloom filters; workers map it from the shared folder."""
+    """The filter of hashes seen twice, made by twin Bloom filters; workers map it from the shared folder.
 
-    def __init__(self, path: str, bits: int):
-        self.path, self.bits, self.data = path, bits, None
+    there: which of its segments have a file; the others have no bit. A listed file that is missing is an error.
+    """
+
+    def __init__(self, path: str, bits: int, there: np.ndarray):
+        self.path, self.bits, self.there, self.data = path, bits, there, None
 
     def __getstate__(self):
-        return self.path, self.bits
+        return self.path, self.bits, self.there
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -216,8 +271,11 @@ class Twice:
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         if self.data is None:
-            self.data = [np.load(f"{self.path}/{s:05d}.npy", mmap_mode="r") if os.path.exists(f"{self.path}/{s:05d}.npy") else None for s in range(1 << (self.bits - SEGMENT_BITS))]
-            self.data = np.concatenate([np.zeros(1 << (SEGMENT_BITS - 3), np.uint8) if x is None else x for x in self.data])
+            step = 1 << (SEGMENT_BITS - 3)
+            data = np.zeros(len(self.there) * step, np.uint8)
+            for s in np.flatnonzero(self.there).tolist():
+                data[s * step : (s + 1) * step] = np.load(f"{self.path}/{s:05d}.npy", mmap_mode="r")
+            self.data = data
         return has_bits(self.data, keys, self.bits)
 
 
@@ -241,13 +299,21 @@ def put_bits(data: np.ndarray, keys: np.ndarray, bits: int) -> None:
         np.bitwise_or.at(data, p >> U64(3), np.uint8(1) << (p & U64(7)).astype(np.uint8))
 
 
-def twice_seen(df: DataFrame, keys_of, path: str, bits: int = 27) -> Twice:
+#: Bits of the largest filter: 128 MB, of which a task holds two.
+MOST_BITS = 30
+
+
+def filter_bits(keys: int) -> int:
+    """Bits of a filter, as a power of two: 8 or more for each key, up to MOST_BITS."""
+    return min(MOST_BITS, max(SEGMENT_BITS, (8 * max(1, keys) - 1).bit_length()))
+
+
+def twice_seen(df: DataFrame, keys_of, path: str, bits: int) -> Twice:
     """Twin Bloom filters over all rows of df; keys_of(batch) gives the 64-bit keys of an Arrow batch, as arrays.
 
     Each task fills a once-seen filter and, with what it finds there already, a twice-seen filter. Tasks send the segments of
     both, compressed; a segment's filters are merged one by one: seen twice is what any task has seen twice, or two tasks once.
-    A filter has 2**bits bits, whatever the input: beyond about 2**bits / 8 keys it lets more single keys pass, which the exact
-    step behind it sorts out.
+    bits: see filter_bits(). Beyond 2**MOST_BITS / 8 keys more and more single keys pass, which the exact step behind sorts out.
     """
     os.makedirs(path, exist_ok=True)
     step = 1 << (SEGMENT_BITS - 3)
@@ -282,9 +348,11 @@ def twice_seen(df: DataFrame, keys_of, path: str, bits: int = 27) -> Twice:
                     held[s] = [a, b]
         for s, (_, b) in held.items():
             save(b, f"{path}/{s:05d}.npy")
-        yield pa.RecordBatch.from_pydict({"n": pa.array([len(held)], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"segment": pa.array(list(held), pa.int32())})
 
     n = max(1, min(1 << (bits - SEGMENT_BITS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     parts = df.mapInArrow(fill, "segment int, once binary, twice binary").repartition(n, "segment")
-    parts.mapInArrow(merge, "n int").write.format("noop").mode("overwrite").save()
-    return Twice(path, bits)
+    there = np.zeros(1 << (bits - SEGMENT_BITS), bool)
+    for r in parts.mapInArrow(merge, "segment int").collect():  # at most 2**(bits - SEGMENT_BITS) numbers
+        there[r.segment] = True
+    return Twice(path, bits, there)

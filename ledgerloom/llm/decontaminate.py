@@ -1,19 +1,20 @@
-"""Benchmark decontamination: a set of normalised benchmark n-grams against the windows of all training tokens.
+"""Benchmark decontamination: a hash set of normalised benchmark n-grams against the windows of all training tokens.
 
-Scale: one map over the documents, no shuffle. The benchmark's windows go to every worker: as a broadcast up to a checked size,
-beyond it as files in the shared folder that workers map into memory. A word outside the benchmark's vocabulary gets the number
-0; windows are found by a rolling hash over word numbers and then verified number by number, so hits are exact.
+A window is known by a 64-bit hash of the 64-bit hashes of its words; a hit is verified word by word against the stored window.
+
+Scale: one map over the documents, no shuffle. The benchmark's windows are cut and counted in Spark and written as sorted arrays
+into the shared folder, with the items that hold each. The hash set itself is broadcast where its counted size is within
+`broadcast_windows` (8 bytes each); of more windows, workers map the arrays from the folder, and a bit table says what to look up.
 
 Defined results: a null or empty text has no words and no hits; benchmark rows without text, words or item_id take no part;
-repeated benchmark rows count once; rows of documents are judged one by one, repeated or not; an empty benchmark hits nothing.
+repeated benchmark rows count once; rows of documents are judged one by one, repeated or not; an empty benchmark hits nothing; an
+empty table gives an empty table; extra columns pass through, and an own column whose name is taken gets a _ behind it.
 """
 
 from __future__ import annotations
 
-import os
-import pickle
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,115 +33,165 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The benchmark's windows, by their length: sorted hashes, the word numbers to verify, and the items that hold each."""
-
-    def __init__(self, items: list[tuple[int, bytes]], n: int):
-        self.vocabulary: dict[bytes, int] = {}
-        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        by: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for item_id, text in items:
-            ids = [number(w) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                by.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(item_id)
-        self.by = {}
-        for size, owners in by.items():
-            grams = np.array(list(owners), np.uint64)
-            hashes = C.windows(C.mix(grams.reshape(-1)), size)[::size] if size > 1 else C.windows(C.mix(grams[:, 0]), 1)
-            order = np.argsort(hashes, kind="stable")
-            listed = [sorted(x) for x in owners.values()]
-            near = np.zeros(1 << 16, bool)
-            near[hashes >> np.uint64(48)] = True
-            self.by[size] = near, hashes[order], grams[order], [listed[i] for i in order]
-
-    def hits(self, ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[list[int]]]]:
-        """Over the word numbers of many documents: for each length, where windows begin, and the items that hold each."""
-        mixed = C.mix(ids)
-        for size, (near, hashes, grams, owners) in self.by.items():
-            if len(ids) < size:
+    """The benchmark's windows in the shared folder; picklable, mapped by workers.
+
+    A bucket has four files: sorted hashes, the words' hashes of each window, where each window's items begin, and the items.
+    held: all hashes, where they are broadcast; lengths: the windows' lengths.
+    """
+
+    def __init__(self, path: str, bits: int, there: np.ndarray, lengths: list[int], held):
+        self.path, self.bits, self.there, self.lengths, self.held, self.files = path, bits, there, lengths, held, {}
+
+    def __getstate__(self):
+        return self.path, self.bits, self.there, self.lengths, self.held
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def file(self, bucket: int) -> tuple:
+        if bucket not in self.files:
+            self.files[bucket] = tuple(np.load(f"{self.path}/{bucket:05d}-{x}.npy", mmap_mode="r") for x in ("keys", "grams", "starts", "items"))
+        return self.files[bucket]
+
+    @cached_property
+    def near(self) -> np.ndarray:
+        """A flag for the first bits of each hash, to look up few others."""
+        keys = [self.held.value] if self.held else (self.file(b)[0] for b in np.flatnonzero(self.there).tolist())
+        flags = np.zeros(1 << NEAR, bool)
+        for k in keys:
+            flags[k >> C.U64(64 - NEAR)] = True
+        return flags
+
+    def hits(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """Over the word hashes of many documents: for each length, where windows begin, and the items that hold each."""
+        for size in self.lengths:
+            if len(words) < size:
                 continue
-            found = C.windows(mixed, size)
-            at = np.flatnonzero(near[found >> np.uint64(48)])
-            at = at[(ids[at] > 0) & (doc[at] == doc[at + size - 1])]
-            row = np.searchsorted(hashes, found[at])
-            good = np.zeros(len(at), bool)
-            inside = np.flatnonzero(row < len(hashes))
-            equal = inside[hashes[row[inside]] == found[at[inside]]]
-            if len(equal):
-                good[equal] = (ids[at[equal][:, None] + np.arange(size)] == grams[row[equal]]).all(axis=1)
-            yield size, at[good], [owners[i] for i in row[good]]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_words: int = 5_000_000) -> DataFrame:
+            found = keys_of(words, size)
+            at = np.flatnonzero(self.near[found >> C.U64(64 - NEAR)])
+            at = at[doc[at] == doc[at + size - 1]]
+            if self.held and len(at):
+                held = self.held.value
+                at = at[held[np.minimum(np.searchsorted(held, found[at]), len(held) - 1)] == found[at]]
+            at = at[np.argsort(found[at], kind="stable")]
+            tops = (found[at] >> C.U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(at), np.int64)
+            good, owners = [np.empty(0, np.int64)], []
+            for a, b in C.runs(tops):
+                if not self.there[tops[a]]:
+                    continue
+                keys, grams, starts, items = self.file(int(tops[a]))
+                own = at[a:b]
+                row = np.minimum(np.searchsorted(keys, found[own]), len(keys) - 1)
+                same = (keys[row] == found[own]) & (words[own[:, None] + np.arange(size)] == grams[row, :size]).all(axis=1)
+                good.append(own[same])
+                owners += [items[starts[r] : starts[r + 1]] for r in row[same].tolist()]
+            yield size, np.concatenate(good), owners
+
+
+#: Bits of a hash that say whether it is looked up.
+NEAR = 22
+
+
+def keys_of(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows of a length."""
+    return C.mix(C.windows(words, size) ^ C.U64(size))
+
+
+def windows_of(benchmark: DataFrame, n: int, broadcast_windows: int) -> Windows:
+    """Cuts the items of a benchmark into windows, and writes them; none of it passes through the driver but a checked hash set."""
+    spark = benchmark.sparkSession
+    path = C.workspace(spark, "benchmark")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+
+    @C.tidy
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch["item_id"].to_pylist(), C.binary(batch["text"]), strict=True):
+                words = C.word_hashes(words_of(text))
+                size = min(n, len(words))
+                if size:
+                    keys = keys_of(words, size)
+                    grams = np.zeros((len(keys), n), C.U64)
+                    grams[:, :size] = np.lib.stride_tricks.sliding_window_view(words, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), size, np.int32)), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(np.full(len(keys), item))], names=["key", "size", "gram", "item_id"])
+
+    made = C.store(items.mapInArrow(cut, "key long, size int, gram binary, item_id long").distinct(), f"{path}/cut")
+    rows = made.count()
+    bits = C.table_bits(spark, rows)
+
+    def put(part: pa.Table) -> pa.Table:
+        bucket, item = part["bucket"][0].as_py(), C.longs(part["item_id"].combine_chunks())
+        key = C.longs(part["key"].combine_chunks()).view(C.U64)
+        order = np.lexsort((item, key))
+        key, item = key[order], item[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        data = part["gram"].to_pylist()
+        grams = np.frombuffer(b"".join(data[i] for i in order[first].tolist()), C.U64).reshape(-1, n)
+        for name, array in (("keys", key[first]), ("grams", grams), ("starts", np.r_[first, len(key)]), ("items", item)):
+            C.save(array, f"{path}/{bucket:05d}-{name}.npy")
+        return C.only(bucket)
+
+    there = C.per_bucket(made.withColumn("bucket", C.bucket_of(F.col("key"), bits)), bits, put)
+    held = None
+    if rows <= broadcast_windows:
+        keys = made.select("key").distinct().toArrow()["key"].combine_chunks()
+        held = spark.sparkContext.broadcast(np.sort(C.longs(keys).view(C.U64))) if len(keys) else None
+    return Windows(path, bits, there, [r.size for r in made.select("size").distinct().collect()], held)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_windows: int = 10_000_000) -> DataFrame:
     """docs with ``n_words``, ``n_hit`` (words in any occurrence of a window), ``item_ids`` (sorted list of the items found) and
     ``spans`` (places of hit words, as first word and the one after the last).
 
-    A window is n consecutive words of an item, or all words of a shorter one. The benchmark is broadcast up to
-    broadcast_words words; a larger one is written to the shared folder and mapped from there.
+    A window is n consecutive words of an item, or all words of a shorter one. Up to broadcast_windows windows of items the hash
+    set is broadcast, at most 80 MB; of more, it is mapped from the shared folder.
     """
-    spark = docs.sparkSession
-    C.prepare(spark)
-    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
-    items = [(r.item_id, r.text.encode()) for r in known.toLocalIterator()]
-    made = Windows(items, n)
-    if sum(len(t) for _, t in items) <= 6 * broadcast_words:
-        shared = spark.sparkContext.broadcast(made)
-        get = lambda: shared.value
-    else:
-        path = os.path.join(C.workspace(spark, "benchmark"), "windows")
-        for size, (near, hashes, grams, owners) in list(made.by.items()):
-            C.save(hashes, f"{path}-{size}-hashes.npy")
-            C.save(grams, f"{path}-{size}-grams.npy")
-            made.by[size] = near, f"{path}-{size}-hashes.npy", f"{path}-{size}-grams.npy", owners
-        with open(f"{path}.pickle", "wb") as f:
-            pickle.dump(made, f)
-
-        def get() -> Windows:
-            with open(f"{path}.pickle", "rb") as f:
-                read = pickle.load(f)
-            read.by = {k: (a, np.load(b, mmap_mode="r"), np.load(c, mmap_mode="r"), d) for k, (a, b, c, d) in read.by.items()}
-            return read
-
+    shared = windows_of(benchmark, n, broadcast_windows)
+    own = C.free_names(docs.columns, *OWN)
     names = [f"c{i}" for i in range(len(docs.columns))]
     i_text = names[docs.columns.index("text")]
     flat = docs.toDF(*names).withColumn(i_text, F.col(i_text).cast("string"))
 
     @C.tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = get()
-        number = grams.vocabulary.get
         for batch in batches:
-            parts, sizes = [], []
-            for text in C.binary(batch[i_text]):
-                words = words_of(text)
-                sizes.append(len(words))
-                parts.append(np.fromiter(map(number, words, repeat(0)), np.uint64, len(words)))
-            ids = np.concatenate([np.empty(0, np.uint64), *parts])
+            parts = [C.word_hashes(words_of(text)) for text in C.binary(batch[i_text])]
+            sizes = [len(p) for p in parts]
+            ids = np.concatenate([np.empty(0, C.U64), *parts])
             doc = np.repeat(np.arange(len(sizes)), sizes)
             starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
             edge, items = np.zeros(len(ids) + 1, np.int32), {}
-            for size, at, owners in grams.hits(ids, doc):
+            for size, at, owners in shared.hits(ids, doc):
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + size, -1)
-                for d, own in zip(doc[at].tolist(), owners, strict=True):
-                    items.setdefault(d, set()).update(own)
+                for d, found in zip(doc[at].tolist(), owners, strict=True):
+                    items.setdefault(d, set()).update(found.tolist())
             hit = np.cumsum(edge[:-1]) > 0
             total = np.r_[0, np.cumsum(hit)]
             n_hit = total[starts[1:]] - total[starts[:-1]]
             spans: list[list[list[int]]] = [[] for _ in sizes]
             for d in items:
-                own = np.flatnonzero(np.diff(np.r_[False, hit[starts[d] : starts[d + 1]], False]))
-                spans[d] = own.reshape(-1, 2).tolist()
+                cuts = np.flatnonzero(np.diff(np.r_[False, hit[starts[d] : starts[d + 1]], False]))
+                spans[d] = cuts.reshape(-1, 2).tolist()
             out = [pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(items.get(i, ())) for i in range(len(sizes))], pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "n_words", "n_hit", "item_ids", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *(f.name for f in more)])
 
     more = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("item_ids", ArrayType(LongType())), StructField("spans", ArrayType(ArrayType(LongType())))]
-    return flat.mapInArrow(scan, StructType([*flat.schema, *more])).toDF(*docs.columns, "n_words", "n_hit", "item_ids", "spans")
+    return flat.mapInArrow(scan, StructType([*flat.schema, *more])).toDF(*docs.columns, *own)
+
+
+OWN = ("n_words", "n_hit", "item_ids", "spans")
+
+
+def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
+    """The rule: at least a twentieth of a document's words are hit. The columns' names are those that decontaminate() gave them."""
+    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def contaminated():
-    """The rule: at least a twentieth of a document's words are hit."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are not contaminated."""
+    n_words, n_hit, *_ = C.free_names(docs.columns, *OWN)
+    return decontaminate(docs, benchmark, **options).filter(~contaminated(n_words, n_hit)).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Exact Jaccard self-join of n-gram sets with a prefix tree, as connected components.
+"""Jaccard self-join of n-gram sets with a prefix tree, as connected components.
 
 Steps, each over all rows and none with a join on a hot key:
 1. every text becomes its set of shingle hashes; equal sets become one node (combined before the shuffle);
-2. each shingle's document frequency is counted exactly over the nodes: tasks send sorted 32-bit remainders, dealt by the top
-   bits of the hash; only shingles in two nodes or more are kept, as a sorted table that workers map into memory;
+2. each shingle's document frequency is counted over the nodes: tasks send their hashes, dealt by the top bits; only shingles in
+   two nodes or more are kept, numbered by frequency, file and place, as a sorted table that workers map into memory;
 3. a node survives if enough of its shingles are shared; its shared shingles, in the global order (rare first), are stored
    once, however many rows stand for it;
 4. two linked sets share a shingle of their prefixes. For each prefix shingle one leader is chosen; survivors are probed
@@ -13,7 +13,8 @@ Steps, each over all rows and none with a join on a hot key:
    overlap, and whole subtrees accepted where every set below must link. Groups over a size are dealt in pairs of blocks;
 6. components by hooking to the smallest neighbour and contracting, until no link between components is left.
 
-Sets are compared by 64-bit hashes of shingles, nodes by 64 bits of a digest.
+Exact but for the digests: sets are compared by whole 64-bit hashes of shingles, and nodes are 64 bits of a digest. Of n different
+shingles, or sets, any two share one with a chance of n^2 / 2^65.
 
 Defined results: texts without words (null, empty, blank) have n_shingles 0 and are linked with nothing; a row without doc_id
 gets the smallest doc_id of its component, null if it has none; rows that repeat a doc_id are judged by their own texts; extra
@@ -35,6 +36,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import common as C
 
 NULL_ID = -(2**63)
+#: Rows of groups with a component in common that are joined in one task.
+FAMILY = 500
 #: Shingles that are looked up at once.
 AT_ONCE = 400_000
 
@@ -234,8 +237,7 @@ def linked(docs: DataFrame, k: int, percent: int, group: int) -> tuple[DataFrame
     classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("holder"), F.max("n").alias("n"))
     total = classes.agg(F.sum("n")).first()[0] or 0
     copied = C.write_table(classes.filter("c > 1").select("f1", "f2", "holder"), f"{path}/copied")
-    bits = max(C.table_bits(spark), (total // 2_000_000).bit_length())
-    keep = C.U64(2**64 - 2 ** (32 - bits))  # of a hash, bits + 32 bits count
+    bits = C.table_bits(spark, total)
 
     def nodes(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
         """The sets of a batch's rows that stand for their nodes."""
@@ -243,7 +245,7 @@ def linked(docs: DataFrame, k: int, percent: int, group: int) -> tuple[DataFrame
             marks = [fingerprint(s) for s in sets]
             found, (second, holder) = copied.get(np.array([m[0] for m in marks], np.int64).view(C.U64))
             mine = [len(s) > 0 and (not f or b != m[1] or h == (NULL_ID if i is None else i)) for i, s, m, f, b, h in zip(ids, sets, marks, found.tolist(), second.tolist(), holder.tolist(), strict=True)]
-            yield [m for m, x in zip(marks, mine, strict=True) if x], [s & keep for s, x in zip(sets, mine, strict=True) if x]
+            yield [m for m, x in zip(marks, mine, strict=True) if x], [s for s, x in zip(sets, mine, strict=True) if x]
 
     # 2. document frequencies of shared shingles
     @C.tidy
@@ -252,32 +254,29 @@ def linked(docs: DataFrame, k: int, percent: int, group: int) -> tuple[DataFrame
             for _, sets in nodes(batch):
                 every = np.sort(np.concatenate([np.empty(0, C.U64), *sets]))
                 top = (every >> C.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(every), np.int64)
-                rest = (every >> C.U64(32 - bits)).astype(np.uint32)
                 cuts = np.r_[0, np.flatnonzero(np.diff(top)) + 1, len(top)] if len(top) else np.zeros(1, np.int64)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(top[cuts[:-1]], pa.int32()), "rest": pa.array([rest[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(top[cuts[:-1]], pa.int32()), "hashes": pa.array([every[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     C.os.makedirs(f"{path}/shared")
 
     def count(part: pa.Table) -> pa.Table:
+        """Writes hash -> rank, a number of its own: the frequency (up to 2**19), the file, the place in the file."""
         bucket = part["bucket"][0].as_py()
-        rest, counts = np.unique(np.frombuffer(b"".join(part["rest"].to_pylist()), np.uint32), return_counts=True)
-        rest, counts = rest[counts > 1].astype(C.U64), counts[counts > 1]
-        keys = (C.U64(bucket) << C.U64(64 - bits) if bits else C.U64(0)) | (rest << C.U64(32 - bits))
-        if len(keys):
-            C.save(np.stack([keys.view(np.int64), counts]), f"{path}/shared/{bucket:05d}.npy")
-        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+        keys, counts = np.unique(np.frombuffer(b"".join(part["hashes"].to_pylist()), C.U64), return_counts=True)
+        keys, counts = keys[counts > 1], counts[counts > 1]
+        ranks = (np.minimum(counts, 2**19 - 1) << 44) | (bucket << 28) | np.arange(len(keys))
+        C.save(np.stack([keys.view(np.int64), ranks]), f"{path}/shared/{bucket:05d}.npy")
+        return C.only(bucket)
 
-    texts.mapInArrow(deal, "bucket int, rest binary").groupBy("bucket").applyInArrow(count, "n long").write.format("noop").mode("overwrite").save()
-    shared = C.Table(f"{path}/shared", bits, 1)
+    shared = C.Table(f"{path}/shared", bits, 1, C.per_bucket(texts.mapInArrow(deal, "bucket int, hashes binary"), bits, count))
 
-    # 3. survivors: nodes that share enough; a rank is the frequency, then the hash
+    # 3. survivors: nodes that share enough
     @C.tidy
     def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for marks, sets in nodes(batch):
                 every = np.concatenate([np.empty(0, C.U64), *sets])
-                found, (freq,) = shared.get(every)
-                ranks = (np.minimum(freq, 2 ** (31 - bits) - 1) << (32 + bits)) | (every >> C.U64(32 - bits)).astype(np.int64)
+                found, (ranks,) = shared.get(every)
                 out, start = [], 0
                 for (f1, _), tokens in zip(marks, sets, strict=True):
                     mine = found[start : start + len(tokens)]
@@ -288,7 +287,7 @@ def linked(docs: DataFrame, k: int, percent: int, group: int) -> tuple[DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "ranks"])
 
     survivors = C.store(texts.mapInArrow(survive, "node long, n long, ranks binary").dropDuplicates(["node"]), f"{path}/survivors")
-    few = C.table_bits(spark)
+    few = C.table_bits(spark, survivors.agg(F.sum("n")).first()[0] or 0)
     C.os.makedirs(f"{path}/sets")
 
     def keep_sets(part: pa.Table) -> pa.Table:
@@ -299,9 +298,9 @@ def linked(docs: DataFrame, k: int, percent: int, group: int) -> tuple[DataFrame
         ends = np.cumsum([len(x) // 8 for x in data])
         C.save(np.frombuffer(b"".join(data), np.int64), f"{path}/sets/{bucket:05d}-ranks.npy")
         C.save(np.stack([node[order], n[order], np.r_[0, ends[:-1]], ends]), f"{path}/sets/{bucket:05d}-index.npy")
-        return pa.table({"n": pa.array([len(node)], pa.int64())})
+        return C.only(bucket)
 
-    survivors.withColumn("bucket", C.bucket_of(F.col("node"), few)).groupBy("bucket").applyInArrow(keep_sets, "n long").write.format("noop").mode("overwrite").save()
+    C.per_bucket(survivors.withColumn("bucket", C.bucket_of(F.col("node"), few)), few, keep_sets)
     sets = Sets(f"{path}/sets", few)
 
     def prefix(n: int, ranks: np.ndarray) -> np.ndarray:
@@ -333,7 +332,7 @@ def linked(docs: DataFrame, k: int, percent: int, group: int) -> tuple[DataFrame
             wanted = wanted[:, wanted[0] != node[wanted[1]]]
             sizes, data = batch["n"].to_pylist(), batch["ranks"].to_pylist()
             edges: list[tuple[int, int]] = []
-            for a, b in runs(wanted[0]):
+            for a, b in C.runs(wanted[0]):
                 n, ranks = sets.get(int(wanted[0, a]))
                 tree = PrefixTree([(int(node[i]), sizes[i], np.frombuffer(data[i], np.int64)) for i in wanted[1, a:b].tolist()], percent)
                 tree.probe(n, ranks, lambda i: False, lambda i, to=int(wanted[0, a]): edges.append((i, to)))
@@ -362,7 +361,9 @@ def linked(docs: DataFrame, k: int, percent: int, group: int) -> tuple[DataFrame
     signs = [f(x).alias(name + i) for i, x in halves.items() for name, f in (("sig", F.sum), ("own", lambda x: F.sum(x * F.col("indexed"))))]
     open_ = survivors.mapInArrow(labelled, "token long, node long, root long, indexed int").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.sum("indexed").alias("c2"), *signs)
     groups = open_.filter("r1 <> r2 AND c2 > 0").groupBy("c", "low", "high", "c2", "sig1", "sig2", "own1", "own2").agg(F.min(F.struct("token", "r1")).alias("t")).select("t.token", "c", "t.r1")
-    contested = C.write_table(groups, f"{path}/contested")
+    groups = C.store(groups, f"{path}/groups")
+    contested = C.write_table(groups, f"{path}/contested", groups.count())
+    families = C.write_table(groups.groupBy("r1").agg(F.sum("c").alias("size")), f"{path}/families")
 
     @C.tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,8 +374,9 @@ def linked(docs: DataFrame, k: int, percent: int, group: int) -> tuple[DataFrame
             found, (c, r1) = contested.get(every)
             owner, token, blocks = np.repeat(node, sizes)[found], every[found].view(np.int64), -(-c[found] // group)
             role = roles(batch, sizes)[found]
-            # groups of a family meet in a task, which remembers what it has compared; large families are dealt to several
-            family = (C.mix(r1[found].view(C.U64) + every[found] % np.maximum(1, c[found] // 64).astype(C.U64))).view(np.int64)
+            # groups of a family meet in a task, which remembers what it has compared, up to FAMILY rows; beyond, in several
+            share = -(-families.get(r1[found].view(C.U64))[1][0] // FAMILY)
+            family = (C.mix(r1[found].view(C.U64) + every[found] % np.maximum(1, share).astype(C.U64))).view(np.int64)
             mine = (C.mix(owner.view(C.U64)) % np.maximum(blocks, 1).astype(C.U64)).astype(np.int64)
             other = np.concatenate([np.empty(0, np.int64), *(np.arange(x) for x in blocks)])
             family, token, owner, mine, role = (np.repeat(x, blocks) for x in (family, token, owner, mine, role))
@@ -472,13 +474,6 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000
     return rows.mapInArrow(finish, "doc_id long, n_shingles long, component_id long")
 
 
-def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Begin and end of each run of equal values."""
-    cuts = np.flatnonzero(np.diff(values)) + 1
-    if len(values):
-        yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True)
-
-
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75, group: int = 4000) -> DataFrame:
     """One row of each component of docs, and all rows without words.
 

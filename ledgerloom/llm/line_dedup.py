@@ -1,7 +1,7 @@
 """Line deduplication with twin Bloom filters.
 
-Scale: three scans of the texts, each a map. What shuffles are the segments of the Bloom filters (a fixed size for each task)
-and the suspected repeats, as 16-byte digests with a doc_id; counting them combines before the shuffle, so a line that a third
+Scale: three scans of the texts, each a map, and one that only measures them to size the filters. What shuffles are the segments
+of the Bloom filters (8 bits a key for each task, compressed) and the suspected repeats, as 16-byte digests with a doc_id; counting them combines before the shuffle, so a line that a third
 of all documents hold costs each task one row. Keys confirmed as repeats go into a sorted table that workers map into memory.
 
 Defined results: a null or empty text is one empty line; a row without doc_id is judged like the others but never holds the
@@ -43,7 +43,7 @@ def digests(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), C.U64).reshape(-1, 2)
 
 
-def repeated_lines(docs: DataFrame, path: str, min_chars: int, min_docs: int, filter_bits: int) -> tuple[C.Twice, C.Table]:
+def repeated_lines(docs: DataFrame, path: str, min_chars: int, min_docs: int) -> tuple[C.Twice, C.Table]:
     """The filter of suspected repeats, and the table of confirmed ones: digest -> second half of it, largest doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -52,7 +52,10 @@ def repeated_lines(docs: DataFrame, path: str, min_chars: int, min_docs: int, fi
             if text and (keys := line_keys(text, min_chars)[2]):
                 yield np.unique(digests(keys)[:, 0])
 
-    twice = C.twice_seen(texts, keys_of, f"{path}/twice", filter_bits)
+    # no more keys than lines, nor than min_chars bytes a key allow
+    lines, least = F.regexp_count("text", F.lit("\n")) + 1, F.octet_length("text") / min_chars
+    keys = texts.agg(F.sum(F.least(lines, F.ceil(least)))).first()[0] or 0
+    twice = C.twice_seen(texts, keys_of, f"{path}/twice", C.filter_bits(int(keys)))
 
     @C.tidy
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,14 +76,14 @@ def repeated_lines(docs: DataFrame, path: str, min_chars: int, min_docs: int, fi
     return twice, C.write_table(confirmed, f"{path}/lines")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_bits: int = 27) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with the repeated lines taken out of ``text``, and the columns ``n_lines`` (before) and ``n_dropped``.
 
     A line whose key (stripped, A-Z lower-cased) has at least min_chars code points and is found in at least min_docs
     documents stays only in the largest doc_id that holds it.
     """
     path = C.workspace(docs.sparkSession, "lines")
-    twice, table = repeated_lines(docs, path, min_chars, min_docs, filter_bits)
+    twice, table = repeated_lines(docs, path, min_chars, min_docs)
     names = [f"c{i}" for i in range(len(docs.columns))]
     where = {c: i for i, c in reversed(list(enumerate(docs.columns)))}
     i_id, i_text = names[where["doc_id"]], names[where["text"]]
@@ -111,7 +114,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_
             yield pa.RecordBatch.from_arrays(columns + counts, names=[*batch.schema.names, "n_lines", "n_dropped"])
 
     schema = StructType([*(StructField(f.name, StringType() if f.name == i_text else f.dataType) for f in flat.schema), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    return flat.mapInArrow(clean, schema).toDF(*docs.columns, "n_lines", "n_dropped")
+    return flat.mapInArrow(clean, schema).toDF(*docs.columns, *C.free_names(docs.columns, "n_lines", "n_dropped"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

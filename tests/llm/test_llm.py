@@ -131,10 +131,10 @@ def test_line_dedup(spark, odd, empty):
         lines = (t or "").split("\n")
         kept = [x for x in lines if key(x) not in gone or gone[key(x)] == d]
         want[d, len(lines), len(lines) - len(kept), None if t is None else "\n".join(kept)] += 1
-    out = line_dedup.dedup_lines(odd, filter_bits=20)
-    assert out.columns == [*odd.columns, "n_lines", "n_dropped"]
+    out = line_dedup.dedup_lines(odd)
+    assert out.columns == [*odd.columns, "n_lines_", "n_dropped"]
     assert collections.Counter((r[0], r[5], r[6], r[1]) for r in out.collect()) == want
-    assert gone and line_dedup.dedup_lines(empty, filter_bits=20).count() == 0
+    assert gone and line_dedup.dedup_lines(empty).count() == 0
 
 
 def test_filters_have_no_false_negatives(spark, tmp_path):
@@ -146,13 +146,13 @@ def test_filters_have_no_false_negatives(spark, tmp_path):
     assert twice.has(again).all() and twice.has(once).mean() < 0.1
 
 
-@pytest.mark.parametrize("words", [0, 10**6])
-def test_decontamination(spark, odd, empty, words):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_decontamination(spark, odd, empty, most):
     texts = {d: t for d, t, *_ in odd_documents() if d is not None}
     items = [(1, texts[16]), (2, "Word ONE"), (3, None), (None, "one word"), (4, "!!"), (5, "x" * 5000), (1, texts[16]), (12, texts[18])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    got = decontaminate.decontaminate(odd, bench, broadcast_words=words).collect()
+    got = decontaminate.decontaminate(odd, bench, broadcast_windows=most).collect()
     assert len(got) == len(odd_documents())
     for r in got:
         w, hit, found = split(r.text), set(), set()
@@ -384,7 +384,7 @@ def test_chunks(spark, odd, empty):
     moved = chunk_dedup.digests(new := b"inserted words here " + text, chunk_dedup.borders(new, 12, 44, 96))
     kept = set(map(bytes, chunk_dedup.digests(text, ends)))
     assert len(kept & set(map(bytes, moved))) > 0.95 * len(kept)
-    out = chunk_dedup.dedup_chunks(odd, filter_bits=20)
+    out = chunk_dedup.dedup_chunks(odd)
     assert out.columns[:5] == odd.columns
     rows = out.collect()
     before = collections.Counter((d, t) for d, t, *_ in odd_documents())
@@ -395,7 +395,7 @@ def test_chunks(spark, odd, empty):
     dropped = {r.doc_id: r.n_dropped for r in rows}
     assert dropped[16] == 0 and all(dropped[i] > 150 for i in (17, 18, 19)), dropped
     assert all(dropped[i] == 0 for i in (0, 1, 2, 3, 4, 5, 8))
-    assert chunk_dedup.dedup_chunks(empty, filter_bits=20).count() == 0
+    assert chunk_dedup.dedup_chunks(empty).count() == 0
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="article-page"><header class="site-header"><h1>Site name</h1></header>
@@ -418,7 +418,7 @@ def test_chunks_take_whole_passages(spark):
         rows += [(i, around(40) + p + around(30)), (1000 + i, around(35) + p + around(50))]
     twice = words(60)
     rows += [(3000, twice), (3000, "before it " + twice), (None, twice + " x"), (None, twice)]
-    got = [(r.doc_id, r.text, r.n_dropped) for r in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), filter_bits=20).collect()]
+    got = [(r.doc_id, r.text, r.n_dropped) for r in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     by_id = {d: (t, n) for d, t, n in got}
     for i, p in enumerate(passages):
         assert by_id[i] == (rows[2 * i][1], 0)
