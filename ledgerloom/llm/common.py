@@ -132,6 +132,12 @@ def longs(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
+def whole(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of integers, or of doubles as their bits."""
+    column = column.combine_chunks()
+    return column.to_numpy(zero_copy_only=False).view(np.int64) if pa.types.is_floating(column.type) else longs(column)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
 
@@ -235,7 +241,7 @@ def save(array: np.ndarray, name: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, rows: int = 0) -> Table:
-    """Writes df, whose first column is an evenly spread 64-bit key without repeats and the others are long, as a Table.
+    """Writes df, whose first column is an evenly spread 64-bit key without repeats and the others are long or double, as a Table.
 
     rows: how many there are, where that is known; it sets the number of files.
     """
@@ -244,7 +250,7 @@ def write_table(df: DataFrame, path: str, rows: int = 0) -> Table:
 
     def put(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
-        rows = np.stack([longs(group[c].combine_chunks()) for c in names])
+        rows = np.stack([whole(group[c]) for c in names])
         save(rows[:, np.argsort(rows[0].view(U64))], f"{path}/{bucket:05d}.npy")
         return only(bucket)
 

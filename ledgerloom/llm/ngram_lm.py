@@ -1,12 +1,18 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays that workers map into memory.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark, stored as sorted hash arrays that workers map into memory.
 
-Counting: (1) words, combined in each task and in Spark; the sorted table of word hashes gives each word a number. (2) Pairs of
-word numbers, counted in each task, dealt by a hash of the pair (so the followers of a frequent word spread over all files) and
-merged file by file. Counts of pairs by context and by follower are summed in Spark, combined before they shuffle. (3) Discounts
-come from the counts of counts, which are a few numbers. The model is a table of words (count, probability, context weight) and
-a table of pairs (a bijective hash of the two numbers, and the count). Scoring is one map.
+The order is 2 or 3. Counting: (1) words, combined in each task and in Spark; the sorted table of word hashes gives each word a
+number. (2) n-grams of word numbers, counted in each task, dealt by a hash of their last two words (so the followers of a frequent
+word spread over all files) as compressed differences, and merged file by file. A merge has all that stands before a pair, so it
+counts the pair's continuations itself, and deals its n-grams' contexts to the files of those. (3) Sums by word, combined before
+they shuffle. Discounts come from the counts of counts, which are a few numbers.
 
-Scale: what shuffles is linear in the distinct words and pairs of each task; no table is held in memory or broadcast.
+The model: words (hash -> count, probability of continuation, sum and weight as a context), pairs (hash of two numbers -> count,
+or continuations, and sum and weight as a context), and, at order 3, triples (hash -> count). Scoring is one map.
+
+A text begins with two ends, which nothing precedes; pairs of an end and a first word count as often as they are there.
+
+Scale: what shuffles is linear in the distinct words and n-grams of each task; no table is held in memory or broadcast, and the
+number of files follows the counted tokens. Of n different n-grams any two share a 64-bit hash with a chance of n^2 / 2^65.
 
 Defined results: a null or empty text is the end token alone; rows without doc_id are scored and never learned from; repeated
 rows count as often as they are there; extra columns are ignored; with no training rows each score is that of an unknown word
@@ -29,6 +35,8 @@ from . import common as C
 #: The hash of the end token, which is also the context of the first word; no text has this word, as it holds a space.
 END = C.word_hashes([b" end "])[0]
 AT_ONCE = 700_000
+HALF = C.U64(32)
+LOW = C.U64(2**32 - 1)
 
 
 def tokens_of(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -47,16 +55,90 @@ def tokens_of(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndar
         yield rows, np.array(sizes), np.concatenate(parts)
 
 
+def before(tokens: np.ndarray, sizes: np.ndarray, end) -> np.ndarray:
+    """What stands before each token of rows of these sizes; end before the first."""
+    out = np.r_[tokens[:1], tokens[:-1]]
+    out[np.r_[0, np.cumsum(sizes)[:-1]]] = end
+    return out
+
+
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and their sums of counts."""
     if counts is None:
         return np.unique(keys, return_counts=True)
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    starts = firsts(keys)
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def grams_of(pair: np.ndarray, first: np.ndarray | None, counts: np.ndarray | None = None) -> tuple:
+    """Distinct n-grams in order of their last pair and then their first word, with their counts."""
+    if first is None:
+        pair, counts = counted(pair, counts)
+        return pair, None, counts
+    order = np.lexsort((first, pair))
+    pair, first = pair[order], first[order]
+    starts = firsts(pair, first)
+    if counts is None:
+        counts = np.diff(np.r_[starts, len(pair)])
+    else:
+        counts = np.add.reduceat(counts[order], starts) if len(starts) else counts
+    return pair[starts], first[starts], counts
+
+
+# Arrays on their way: differences of sorted keys, bytes of a place together, counts in a byte where they fit.
+
+
+def squeezed(array: np.ndarray) -> bytes:
+    return zlib.compress(array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes(), 1)
+
+
+def released(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
+
+def packed(keys: np.ndarray, first: np.ndarray | None, counts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    big = counts > 254
+    parts = squeezed(np.diff(keys, prepend=C.U64(0))), b"" if first is None else squeezed(first), zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1), counts[big].astype(np.int64).tobytes()
+    return parts
+
+
+def unpacked(keys: bytes, first: bytes, counts: bytes, large: bytes) -> tuple:
+    out = np.frombuffer(zlib.decompress(counts), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, np.int64)
+    return np.cumsum(released(keys, C.U64), dtype=C.U64), released(first, np.uint32) if first else None, out
+
+
+SENT = "bucket int, keys binary, first binary, counts binary, large binary"
+
+
+def sent(pair: np.ndarray, first: np.ndarray | None, counts: np.ndarray, bits: int, by: np.ndarray | None = None) -> pa.RecordBatch:
+    """Sorted n-grams as a row for each bucket of their pair."""
+    bucket = (C.mix(pair if by is None else by) >> C.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(pair), np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rows = [(int(bucket[order[a]]), *packed(pair[o := order[a:b]], None if first is None else first[o], counts[o])) for a, b in C.runs(bucket[order])]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "keys", "first", "counts", "large"])
+
+
+def received(part: pa.Table) -> tuple:
+    """The n-grams of a bucket's rows, merged."""
+    rows = [unpacked(*r) for r in zip(*(part[c].to_pylist() for c in ("keys", "first", "counts", "large")), strict=True)]
+    keys, first, counts = zip(*rows, strict=True)
+    return np.concatenate(keys), None if first[0] is None else np.concatenate(first), np.concatenate(counts)
+
+
 def discounts(n: dict[int, int]) -> list[float]:
     """Discounts for counts of 0, 1, 2 and 3 or more, from the numbers of entries with counts of 1 to 4."""
     n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
@@ -66,44 +148,114 @@ def discounts(n: dict[int, int]) -> list[float]:
     return [0.0, *(min(i - 0.01, max(0.01, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
 
 
-class Model:
-    """Where the tables are, and the constants. Words: hash -> count, probability of continuation, weight left to it."""
-
-    def __init__(self, path: str, bits: int, total: int, distinct: int, unknown: float, discount: list[float]):
-        self.path, self.bits, self.total, self.distinct, self.unknown, self.discount = path, bits, total, distinct, unknown, discount
-        self.words = C.Table(f"{path}/words", bits, 3)
-        self.files: dict[int, tuple] = {}
+def triple_hash(pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return C.mix(C.mix(pair) + C.mix(first.astype(C.U64)))
 
-    def __getstate__(self):
-        return self.path, self.bits, self.total, self.distinct, self.unknown, self.discount
 
-    def __setstate__(self, state):
-        self.__init__(*state)
+class Small:
+    """Sorted hashes with a count each, in a byte where it fits; large counts stand apart, with their places."""
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """How often the training texts have each (mixed) pair."""
-        out = np.zeros(len(keys), np.int64)
+    @staticmethod
+    def save(name: str, keys: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(keys)
-        ordered = keys[order]
-        for a, b in runs((ordered >> C.U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)):
-            s = int(ordered[a] >> C.U64(64 - self.bits)) if self.bits else 0
-            if s not in self.files:
-                name = f"{self.path}/pairs/{s:05d}"
-                self.files[s] = (np.load(f"{name}-keys.npy", mmap_mode="r"), np.load(f"{name}-counts.npy", mmap_mode="r")) if os.path.exists(f"{name}-keys.npy") else None
-            if self.files[s] is not None:
-                have, counts = self.files[s]
-                at = np.minimum(np.searchsorted(have, ordered[a:b]), len(have) - 1)
-                hit = np.flatnonzero(have[at] == ordered[a:b])
-                out[order[a:b][hit]] = counts[at[hit]]
+        counts = counts[order]
+        big = np.flatnonzero(counts > 254)
+        C.save(np.stack([big, counts[big]]), f"{name}-large.npy")
+        C.save(np.minimum(counts, 255).astype(np.uint8), f"{name}-counts.npy")
+        C.save(keys[order], f"{name}-keys.npy")
+
+    def __init__(self, name: str):
+        self.keys, self.counts, self.large = (np.load(f"{name}-{x}.npy", mmap_mode="r") for x in ("keys", "counts", "large"))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys there are, and their places."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        return hit, at[hit]
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        out = self.counts[places].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        out[big] = self.large[1][np.searchsorted(self.large[0], places[big])]
         return out
 
 
-def train(texts: DataFrame, path: str) -> tuple[Model, Numbers]:
-    """Counts the texts (column ``text``) and writes the model below path."""
-    spark = texts.sparkSession
-    bits = C.table_bits(spark)
+class Pairs(Small):
+    """Pairs: their count, and as contexts the sum and, where that is over 1, the weight left (else the discount of 1)."""
 
-    # 1. words
+    @staticmethod
+    def write(name: str, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray, left: np.ndarray) -> None:
+        order = np.argsort(keys)
+        keys, counts, sums, left = keys[order], counts[order], sums[order], left[order]
+        Small.save(name, keys, counts)
+        more = np.flatnonzero(sums > 1)
+        C.save(sums == 1, f"{name}-once.npy")
+        C.save(more.astype(np.uint32), f"{name}-more.npy")
+        C.save(np.stack([sums[more].astype(np.float64), left[more]]), f"{name}-context.npy")
+
+    def __init__(self, name: str):
+        super().__init__(name)
+        self.once, self.more, self.about = (np.load(f"{name}-{x}.npy", mmap_mode="r") for x in ("once", "more", "context"))
+
+    def context(self, places: np.ndarray, once: float) -> tuple[np.ndarray, np.ndarray]:
+        sums, left = self.once[places].astype(np.float64), np.full(len(places), once)
+        if len(self.more):
+            at = np.minimum(np.searchsorted(self.more, places), len(self.more) - 1)
+            hit = self.more[at] == places
+            sums[hit], left[hit] = self.about[0][at[hit]], self.about[1][at[hit]]
+        return sums, left
+
+
+class Model:
+    """Where the tables are, and the constants. discount: lists by order."""
+
+    def __init__(self, path: str, bits: int, order: int, total: int, distinct: int, unknown: float, discount: dict[int, list[float]], words: C.Table, there: np.ndarray):
+        self.path, self.bits, self.order, self.total, self.distinct, self.unknown, self.discount, self.words, self.there = path, bits, order, total, distinct, unknown, discount, words, there
+        self.files: dict[tuple[str, int], Small] = {}
+
+    def __getstate__(self):
+        return self.path, self.bits, self.order, self.total, self.distinct, self.unknown, self.discount, self.words, self.there
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def file(self, kind: str, bucket: int) -> Small:
+        if (kind, bucket) not in self.files:
+            self.files[kind, bucket] = (Pairs if kind == "pairs" else Small)(f"{self.path}/{kind}/{bucket:05d}")
+        return self.files[kind, bucket]
+
+    def by_bucket(self, mixed: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Buckets that there are, and the places of the keys that belong to each, in their order."""
+        order = np.argsort(mixed)
+        for a, b in C.runs((mixed[order] >> C.U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(mixed), np.int64)):
+            bucket = int(mixed[order[a]] >> C.U64(64 - self.bits)) if self.bits else 0
+            if self.there[bucket]:
+                yield bucket, order[a:b]
+
+    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of pairs, and their sums and weights as contexts; 0 for unknown ones."""
+        count, sums, left = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
+        mixed = C.mix(keys)
+        once = self.discount[self.order][1]
+        for bucket, own in self.by_bucket(mixed):
+            file = self.file("pairs", bucket)
+            hit, at = file.find(mixed[own])
+            count[own[hit]] = file.at(at)
+            if self.order == 3:
+                sums[own[hit]], left[own[hit]] = file.context(at, once)
+        return count, sums, left
+
+    def triples(self, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+        count, mixed, keys = np.zeros(len(pair), np.int64), C.mix(pair), triple_hash(pair, first)
+        for bucket, own in self.by_bucket(mixed):
+            file = self.file("triples", bucket)
+            own = own[np.argsort(keys[own])]
+            hit, at = file.find(keys[own])
+            count[own[hit]] = file.at(at)
+        return count
+
+
+def count_words(texts: DataFrame) -> DataFrame:
     @C.tidy
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -119,90 +271,155 @@ def train(texts: DataFrame, path: str) -> tuple[Model, Numbers]:
             k, c = counted(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
             yield pa.RecordBatch.from_pydict({"word": pa.array(k.view(np.int64)), "c": pa.array(c)})
 
-    vocabulary = C.store(texts.mapInArrow(words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), f"{path}/vocabulary")
+    return texts.mapInArrow(words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
+    """Counts the texts (column ``text``) and writes the model below path."""
+    if order not in (2, 3):
+        raise ValueError(f"the order is 2 or 3, not {order}")
+    spark = texts.sparkSession
+
+    # 1. words
+    vocabulary = C.store(count_words(texts), f"{path}/vocabulary")
     n = vocabulary.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    known = C.write_table(vocabulary, f"{path}/known")
-    sizes = {r.b: r.n for r in vocabulary.groupBy(C.bucket_of(F.col("word"), bits).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    base = np.cumsum([0, *(sizes.get(i, 0) for i in range(1 << bits))])  # numbers of words go on from file to file
+    total, distinct = n.total or 0, n.distinct or 0
+    known = C.write_table(vocabulary, f"{path}/known", distinct)
+    sizes = {r.b: r.n for r in vocabulary.groupBy(C.bucket_of(F.col("word"), known.bits).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = np.cumsum([0, *(sizes.get(i, 0) for i in range(1 << known.bits))])  # numbers of words go on from file to file
     numbers = Numbers(known, base)
+    bits = C.table_bits(spark, total)
 
-    # 2. pairs
+    # 2. n-grams
     @C.tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
 
-        def send() -> Iterator[pa.RecordBatch]:
-            keys, counts = counted(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            bucket = (C.mix(keys) >> C.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-            order = np.argsort(bucket, kind="stable")
-            keys, counts, bucket = keys[order], counts[order], bucket[order]
-            cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+        def all_held() -> tuple:
+            pair, first, counts = zip(*held, strict=True)
             held.clear()
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                big = np.flatnonzero(counts[a:b] > 254)  # a byte for most counts
-                small = np.minimum(counts[a:b], 255).astype(np.uint8)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[a])], pa.int32()), "pairs": pa.array([packed_keys(keys[a:b])], pa.binary()), "counts": pa.array([small.tobytes()], pa.binary()), "large": pa.array([counts[a:b][big].astype(np.int64).tobytes()], pa.binary())})
+            return grams_of(np.concatenate(pair), None if order == 2 else np.concatenate(first), np.concatenate(counts))
 
+        end = numbers.get(np.array([END]))[0]
         for batch in batches:
             for _, sizes, hashes in tokens_of(batch):
                 ids = numbers.get(hashes)
-                held.append(counted(pair_keys(ids, sizes)))
-                if sum(len(k) for k, _ in held) > 3_000_000:
-                    yield from send()
+                left = before(ids, sizes, end)
+                pair = (left.astype(C.U64) << HALF) | ids.astype(C.U64)
+                held.append(grams_of(pair, None if order == 2 else before(left, sizes, end).astype(np.uint32)))
+                if sum(len(x[0]) for x in held) > 2_500_000:
+                    yield sent(*all_held(), bits)
         if held:
-            yield from send()
+            yield sent(*all_held(), bits)
 
-    os.makedirs(f"{path}/pairs")
+    for kind in ("pairs", "triples", "continued"):
+        os.makedirs(f"{path}/{kind}")
+    end = int(numbers.get(np.array([END]))[0])
 
     def merge(part: pa.Table) -> pa.Table:
+        """Writes the triples of a bucket, and what continues its pairs; sends the triples' contexts to their buckets."""
+        bucket = part["bucket"][0].as_py()
+        pair, first, counts = grams_of(*received(part))
+        Small.save(f"{path}/triples/{bucket:05d}", triple_hash(pair, first), counts)
+        # an end before an end is where a text begins: such pairs have their own count
+        times = np.where((first == end) & (pair >> HALF == C.U64(end)), counts, 1)
+        starts = firsts(pair)
+        C.save(np.stack([pair[starts].view(np.int64), np.add.reduceat(times, starts)]), f"{path}/continued/{bucket:05d}.npy")
+        context = (first.astype(C.U64) << HALF) | (pair >> HALF)
+        by = np.argsort(context, kind="stable")
+        away = sent(context[by], None, counts[by], bits)
+        mark = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, *packed(np.empty(0, C.U64), None, np.empty(0, np.int64))), away.schema.types, strict=True)], schema=away.schema)
+        return pa.Table.from_batches([away, mark]).append_column("own", pa.array([False] * len(away) + [True]))
+
+    def settle(part: pa.Table) -> pa.Table:
+        """The pairs of a bucket: how often they continue, and what follows them. Counts of both, by 1, 2, 3, 4 and more."""
         bucket = part["bucket"][0].as_py()
-        keys, counts = [], []
-        for p, c, big in zip(*(part[x].to_pylist() for x in ("pairs", "counts", "large")), strict=True):
-            keys.append(unpacked_keys(p))
-            small = np.frombuffer(c, np.uint8).astype(np.int64)
-            small[small == 255] = np.frombuffer(big, np.int64)
-            counts.append(small)
-        keys, counts = counted(C.mix(np.concatenate(keys)), np.concatenate(counts))
-        C.save(counts.astype(np.uint32), f"{path}/pairs/{bucket:05d}-counts.npy")
-        C.save(keys, f"{path}/pairs/{bucket:05d}-keys.npy")
-        return pa.table({"bucket": pa.array([bucket], pa.int32())})
-
-    buckets = C.store(texts.mapInArrow(deal, "bucket int, pairs binary, counts binary, large binary").groupBy("bucket").applyInArrow(merge, "bucket int"), f"{path}/buckets")
-
-    # counts of pairs by context (with counts 1, 2, 3 or more) and by follower, and counts of counts
+        keys, _, counts = received(part)
+        if order == 2:
+            keys, counts = counted(keys, counts)
+            sums, classes = np.zeros(len(keys), np.int64), np.zeros((3, len(keys)), np.int64)
+            levels = np.zeros(5, np.int64)
+        else:
+            by = np.argsort(keys)
+            keys, follow = keys[by], counts[by]
+            starts = firsts(keys)
+            sums = np.add.reduceat(follow, starts)
+            classes = np.stack([np.add.reduceat((np.minimum(follow, 3) == i).astype(np.int64), starts) for i in (1, 2, 3)])
+            levels = np.bincount(np.minimum(follow, 5), minlength=6)[1:]
+            contexts, keys, counts = keys[starts], *own_pairs(bucket, part)
+            every = np.unique(np.concatenate([contexts, keys]))
+            at, of = np.searchsorted(every, contexts), np.searchsorted(every, keys)
+            wide = np.zeros((5, len(every)), np.int64)
+            wide[0, at], wide[1:4, at], wide[4, of] = sums, classes, counts
+            keys, sums, classes, counts = every, wide[0], wide[1:4], wide[4]
+        C.save(np.concatenate([keys.view(np.int64)[None], counts[None], sums[None], classes]), f"{path}/continued/{bucket:05d}-all.npy")
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), **{f"t{i + 1}": pa.array([int(levels[i])], pa.int64()) for i in range(4)}})
+
+    def own_pairs(bucket: int, part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that merge() has written for this bucket; a mark among its rows says if it had any."""
+        if not any(part["own"].to_pylist()):
+            return np.empty(0, C.U64), np.empty(0, np.int64)
+        data = np.load(f"{path}/continued/{bucket:05d}.npy")
+        return data[0].view(C.U64), data[1]
+
+    dealt = texts.mapInArrow(deal, SENT)
+    parts = max(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if order == 3:
+        dealt = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(merge, f"{SENT}, own boolean")
+    about = "bucket int, t1 long, t2 long, t3 long, t4 long"
+    settled = C.store(dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(settle, about), f"{path}/settled")
+    there = np.zeros(1 << bits, bool)
+    levels: dict[int, int] = {}
+    for r in settled.collect():
+        there[r.bucket] = True
+        for i in (1, 2, 3, 4):
+            levels[i] = levels.get(i, 0) + r[f"t{i}"]
+
+    # 3. sums by word: of pairs by their first word (with counts 1, 2, 3 or more) and by their second, and counts of counts
     @C.tidy
-    def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket in batch["bucket"].to_pylist():
-                keys, counts = (np.load(f"{path}/pairs/{bucket:05d}-{x}.npy", mmap_mode="r") for x in ("keys", "counts"))
-                keys = C.unmix(np.asarray(keys))
-                left, right = (keys >> C.U64(32)).astype(np.int64), (keys & C.U64(2**32 - 1)).astype(np.int64)
-                code = left * 4 + np.minimum(counts, 3)
-                k, c = np.unique(code, return_counts=True)
-                w, f = np.unique(right, return_counts=True)
+                keys, counts = np.load(f"{path}/continued/{bucket:05d}-all.npy", mmap_mode="r")[:2]
+                keys, counts = keys[counts > 0].view(C.U64), counts[counts > 0]
+                code, back = np.unique((keys >> HALF).astype(np.int64) * 4 + np.minimum(counts, 3), return_inverse=True)
+                w, f = np.unique((keys & LOW).astype(np.int64), return_counts=True)
                 m, q = np.unique(np.minimum(counts, 5), return_counts=True)
-                for kind, a, b in ((0, k, c), (1, w, f), (2, m, q)):
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "k": pa.array(a.astype(np.int64)), "c": pa.array(b.astype(np.int64))})
-
-    parts = C.store(buckets.repartition(max(1, 1 << bits), "bucket").mapInArrow(about, "kind int, k long, c long").groupBy("kind", "k").agg(F.sum("c").alias("c")), f"{path}/parts")
-    d2 = discounts({r.k: r.c for r in parts.filter("kind = 2").collect()})
-    followers = parts.filter("kind = 1").select(F.col("k").alias("id"), "c")
-    levels = {r.k: r.n for r in followers.filter("c <= 4").groupBy(F.col("c").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    kinds = followers.agg(F.sum("c").alias("pairs"), F.count(F.lit(1)).alias("words"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("n2"), F.sum(F.when(F.col("c") > 2, 1).otherwise(0)).alias("n3")).first()
-    d1 = discounts(levels)
-    pairs_total, distinct = kinds.pairs or 1, n.distinct or 0
-    free = (d1[1] * (kinds.n1 or 0) + d1[2] * (kinds.n2 or 0) + d1[3] * (kinds.n3 or 0)) / pairs_total if kinds.pairs else 1.0
+                for kind, k, c, s in ((0, code, np.bincount(back, minlength=len(code)), np.bincount(back, counts, len(code))), (1, w, f, f), (2, m, q, q)):
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(k), kind, np.int32)), "k": pa.array(k.astype(np.int64)), "c": pa.array(c.astype(np.int64)), "s": pa.array(np.asarray(s).astype(np.int64))})
+
+    parts_ = C.store(settled.select("bucket").repartition(parts, "bucket").mapInArrow(summed, "kind int, k long, c long, s long").groupBy("kind", "k").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), f"{path}/parts")
+    discount = {2: discounts({r.k: r.c for r in parts_.filter("kind = 2").collect()})}
+    if order == 3:
+        discount[3] = discounts(levels)
+    followers = parts_.filter("kind = 1").select(F.col("k").alias("id"), F.col("c").alias("f"))
+    level = {r.k: r.n for r in followers.filter("f <= 4").groupBy(F.col("f").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    one = lambda i: F.count_if(F.col("f") == i if i < 3 else F.col("f") > 2)
+    kinds = followers.agg(F.sum("f").alias("pairs"), *(one(i).alias(f"n{i}") for i in (1, 2, 3))).first()
+    d1 = discount[1] = discounts(level)
+    pairs_total = kinds.pairs or 1
+    free = sum(d1[i] * kinds[f"n{i}"] for i in (1, 2, 3)) / pairs_total if kinds.pairs else 1.0
     unknown = free / (distinct + 1)
 
-    # 3. the model: words by hash (count, probability of continuation, weight left to it after the word), and pairs
-    contexts = parts.filter("kind = 0").groupBy(F.shiftright("k", 2).alias("id")).agg(F.sum(F.element_at(F.array(*(F.lit(x) for x in d2)), (F.col("k") % 4 + 1).cast("int")) * F.col("c")).alias("left"))
-    ids = known_numbers(vocabulary, numbers).join(followers.withColumnRenamed("c", "f"), "id", "left").join(contexts, "id", "left")
+    # 4. the model's words and pairs
+    worth = F.element_at(F.array(*(F.lit(x) for x in discount[2])), (F.col("k") % 4 + 1).cast("int"))
+    contexts = parts_.filter("kind = 0").groupBy(F.shiftright("k", 2).alias("id")).agg(F.sum(worth * F.col("c")).alias("left"), F.sum("s").alias("sum"))
+    ids = known_numbers(vocabulary, numbers).join(followers, "id", "left").join(contexts, "id", "left")
     taken = F.when(F.col("f") == 1, d1[1]).when(F.col("f") == 2, d1[2]).otherwise(d1[3])
     continued = F.when(F.col("f").isNull(), F.lit(unknown)).otherwise((F.col("f") - taken) / pairs_total + unknown)
-    rest = F.coalesce(F.col("left") / F.col("c"), F.lit(1.0))
-    as_bits = lambda e: (e * 2.0**52).cast("long")  # noqa: E731  probabilities as integers: tables hold nothing else
-    C.write_table(ids.select("word", "c", as_bits(continued).alias("p"), as_bits(rest).alias("w")), f"{path}/words")
-    return Model(path, bits, n.total or 0, distinct, unknown, d2), numbers
+    words = C.write_table(ids.select("word", "c", continued.alias("p"), F.coalesce("sum", F.lit(0)).alias("sum"), F.coalesce(F.col("left") / F.col("sum"), F.lit(1.0)).alias("left")), f"{path}/words", distinct)
+    d3 = np.array(discount.get(3, [0.0] * 4))
+
+    @C.tidy
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket in batch["bucket"].to_pylist():
+                data = np.load(f"{path}/continued/{bucket:05d}-all.npy")
+                Pairs.write(f"{path}/pairs/{bucket:05d}", C.mix(data[0].view(C.U64)), data[1], data[2], d3[1:] @ data[3:6])
+            yield pa.RecordBatch.from_arrays([batch["bucket"]], names=["bucket"])
+
+    settled.select("bucket").repartition(parts, "bucket").mapInArrow(finished, "bucket int").write.format("noop").mode("overwrite").save()
+    return Model(path, bits, order, total, distinct, unknown, discount, words, there), numbers
 
 
 class Numbers:
@@ -216,7 +433,7 @@ class Numbers:
         distinct, back = np.unique(hashes, return_inverse=True)
         out = np.full(len(distinct), -1, np.int64)
         tops = (distinct >> C.U64(64 - self.table.bits)).astype(np.int64) if self.table.bits else np.zeros(len(distinct), np.int64)
-        for a, b in runs(tops):
+        for a, b in C.runs(tops):
             if (data := self.table.file(int(tops[a]))) is not None:
                 have = data[0].view(C.U64)
                 at = np.minimum(np.searchsorted(have, distinct[a:b]), len(have) - 1)
@@ -225,12 +442,6 @@ class Numbers:
         return out[back]
 
 
-def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
-    if len(values):
-        cuts = np.flatnonzero(np.diff(values)) + 1
-        yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True)
-
-
 def known_numbers(vocabulary: DataFrame, numbers: Numbers) -> DataFrame:
     """word, c and id of the vocabulary."""
 
@@ -242,49 +453,45 @@ def known_numbers(vocabulary: DataFrame, numbers: Numbers) -> DataFrame:
     return vocabulary.mapInArrow(run, "word long, c long, id long")
 
 
-def pair_keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Pairs of word numbers (context, word) over rows that end with the end token, which is the first context too."""
-    before = np.r_[0, ids[:-1]]
-    ends = np.cumsum(sizes) - 1
-    before[0] = ids[ends[0]]
-    before[ends[:-1] + 1] = ids[ends[:-1]]
-    return (before.astype(C.U64) << C.U64(32)) | ids.astype(C.U64)
-
-
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted pairs, as compressed differences."""
-    return zlib.compress(np.diff(keys, prepend=C.U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T.copy().view(C.U64).ravel(), dtype=C.U64)
-
-
 def score(docs: DataFrame, model: Model, numbers: Numbers) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
 
     @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, discount = 2.0**-52, np.array(model.discount)
+        cut = {k: np.array(v) for k, v in model.discount.items()}
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for rows, sizes, hashes in tokens_of(batch):
+            for _, sizes, hashes in tokens_of(batch):
                 distinct, back = np.unique(hashes, return_inverse=True)
-                found, (count, p, w) = model.words.get(distinct)
+                found, (count, p, total, left) = model.words.get(distinct)
                 ids = numbers.get(distinct)
-                prob = np.where(found, p * unit, model.unknown)
-                left = np.where(found, w * unit, 1.0)
+                end = np.searchsorted(distinct, END)
+                prob = np.where(found, p.view(np.float64), model.unknown)
+                weight = np.where(found & (total > 0), left.view(np.float64), 1.0)
                 base = np.log10((count + 1) / (model.total + model.distinct + 1))
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                before = np.r_[0, back[:-1]]
-                before[starts] = np.searchsorted(distinct, END)
-                both = found[before] & found[back]
-                keys = (ids[before[both]].astype(C.U64) << C.U64(32)) | ids[back[both]].astype(C.U64)
-                seen = np.zeros(len(hashes))
-                c = model.pairs(C.mix(keys))
-                seen[both] = (c - discount[np.minimum(c, 3)]) / count[before[both]]
-                total = np.log10(seen + left[before] * prob[back])
-                for x, y in zip(out, (sizes, np.add.reduceat(found[back].astype(np.int64), starts), np.add.reduceat(base[back], starts), np.add.reduceat(total, starts)), strict=True):
+                prev = before(back, sizes, end)
+                score = weight[prev] * prob[back]
+                both = np.flatnonzero(found[prev] & found[back])
+                keys = (ids[prev[both]].astype(C.U64) << HALF) | ids[back[both]].astype(C.U64)
+                c, sums, rest = model.pairs(keys)
+                score[both] += np.where(c > 0, (c - cut[2][np.minimum(c, 3)]) / np.maximum(total[prev[both]], 1), 0.0)
+                if model.order == 3:
+                    # what a pair says as a context holds for the token behind it; a text begins after two ends
+                    about = np.zeros((2, len(hashes)))
+                    about[:, both] = sums, rest
+                    about = np.stack([before(x, sizes, 0.0) for x in about])
+                    if found[end]:
+                        _, s, r = model.pairs(np.array([(int(ids[end]) << 32) | int(ids[end])], C.U64))
+                        about[:, starts] = np.stack([s, r])
+                    context = about[0] > 0
+                    score[context] *= about[1][context] / about[0][context]
+                    all_known = both[context[both]]
+                    older = before(prev, sizes, end)
+                    c = model.triples((ids[prev[all_known]].astype(C.U64) << HALF) | ids[back[all_known]].astype(C.U64), ids[older[all_known]])
+                    score[all_known] += np.where(c > 0, (c - cut[3][np.minimum(c, 3)]) / about[0][all_known], 0.0)
+                score = np.log10(score)
+                for x, y in zip(out, (sizes, np.add.reduceat(found[back].astype(np.int64), starts), np.add.reduceat(base[back], starts), np.add.reduceat(score, starts)), strict=True):
                     x.append(y)
             columns = [np.concatenate(x) if x else np.empty(0) for x in out]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])

@@ -260,46 +260,65 @@ def test_prefix_tree_equals_pairs():
         assert sorted(found) == [j for j, o in sets.items() if 100 * len(np.intersect1d(s, o)) >= 60 * len(np.union1d(s, o))], i
 
 
-def test_language_model(spark, odd, empty):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(spark, odd, empty, order):
     got = ngram_lm
     rows = [(d, t) for d, t, *_ in odd_documents()]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), None]
-    one, two = collections.Counter(), collections.Counter()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for d, t in rows:
         if d is not None and not held(d):
             w = tokens(t)
             one.update(w)
             two.update(zip([None, *w], w, strict=False))
+            three.update(zip([None, None, *w], [None, *w], w, strict=False))
     total, distinct = sum(one.values()), len(one)
+    if order == 3:
+        two = collections.Counter()
+        for (u, v, w), c in three.items():
+            two[v, w] += c if u is None and v is None else 1
     before = collections.Counter(w for _, w in two)
 
     def discount(counts):
         n = collections.Counter(counts)
+        if not (n[1] and n[2] and n[3]):
+            return [0, 0.5, 0.75, 0.75]
         y = n[1] / (n[1] + 2 * n[2])
         return [0, *(min(i - 0.01, max(0.01, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3))]
 
-    d2, d1 = discount(two.values()), discount(before.values())
+    d3, d2, d1 = discount(three.values()), discount(two.values()), discount(before.values())
     free = sum(d1[min(c, 3)] for c in before.values()) / len(two) / (distinct + 1)
-    left = collections.Counter()
+    left, sums = collections.Counter(), collections.Counter()
     for (u, _), c in two.items():
         left[u] += d2[min(c, 3)]
+        sums[u] += c
+    for (u, v, _), c in three.items():
+        left[u, v] += d3[min(c, 3)]
+        sums[u, v] += c
 
-    def p(u, w):
+    def p(u, v, w):
         low = free + (before[w] - d1[min(before[w], 3)]) / len(two)
-        return low if u not in one else (two[u, w] - d2[min(two[u, w], 3)]) / one[u] + left[u] / one[u] * low
-
-    assert abs(sum(p(None, w) for w in one) + left[None] / one[None] * free - 1) < 1e-9
+        if v in sums:
+            low = (two[v, w] - d2[min(two[v, w], 3)]) / sums[v] + left[v] / sums[v] * low
+        if order == 3 and (u, v) in sums:
+            low = (three[u, v, w] - d3[min(three[u, v, w], 3)]) / sums[u, v] + left[u, v] / sums[u, v] * low
+        return low
+
+    some = next(iter(three))
+    for u, v in ((None, None), some[:2]):  # all words and the unknown one sum to 1
+        assert abs(sum(p(u, v, w) for w in one) + p(u, v, "unknown") - 1) < 1e-9
     from pyspark.sql import functions as F
 
     texts = odd.select("doc_id", "text")
-    model, numbers = got.train(texts.filter(F.col("doc_id").isNotNull() & ~got.held_out(F.col("doc_id"))).select("text"), common.workspace(spark, "test"))
+    model, numbers = got.train(texts.filter(F.col("doc_id").isNotNull() & ~got.held_out(F.col("doc_id"))).select("text"), common.workspace(spark, "test"), order)
     assert (model.total, model.distinct) == (total, distinct)
-    want = sorted((str(d), len(tokens(t)), sum(w in one for w in tokens(t)), sum(math.log10((one[w] + 1) / (total + distinct + 1)) for w in tokens(t)), sum(math.log10(p(u, w)) for u, w in zip([None, *tokens(t)], tokens(t), strict=False))) for d, t in rows)
+    chain = lambda t: zip([None, None, *tokens(t)], [None, *tokens(t)], tokens(t), strict=False)
+    want = sorted((str(d), len(tokens(t)), sum(w in one for w in tokens(t)), sum(math.log10((one[w] + 1) / (total + distinct + 1)) for w in tokens(t)), sum(math.log10(p(u, v, w)) for u, v, w in chain(t))) for d, t in rows)
     out = sorted((str(r[0]), *r[1:]) for r in got.score(texts, model, numbers).collect())
     for a, b in zip(out, want, strict=True):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-6)
-    none = got.train(empty.select("text"), common.workspace(spark, "none"))
+    none = got.train(empty.select("text"), common.workspace(spark, "none"), order)
     assert got.score(texts, *none).filter("score <> 0").count() == 0 and got.score(empty, *none).count() == 0
 
 
