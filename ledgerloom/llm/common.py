@@ -122,6 +122,11 @@ def store(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"file://{path}")
 
 
+def discard(path: str) -> None:
+    """Removes a table of the shared folder that nothing reads any more."""
+    shutil.rmtree(path, ignore_errors=True)
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """The texts of an Arrow column as bytes, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

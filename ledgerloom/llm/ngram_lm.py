@@ -153,25 +153,40 @@ def triple_hash(pair: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Small:
-    """Sorted hashes with a count each, in a byte where it fits; large counts stand apart, with their places."""
+    """Sorted hashes with a count each. Of a hash its block, an index into the array, and 32 more bits are kept, so one of 2**28
+    unknown keys is taken for another. A count has a byte where it fits; large ones stand apart, with their places."""
 
     @staticmethod
     def save(name: str, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        counts = counts[order]
+        """keys: sorted, evenly spread 64-bit numbers."""
+        bits = max(0, len(keys).bit_length() - 5)
+        block, rest = Small.parts(keys, bits)
         big = np.flatnonzero(counts > 254)
+        C.save(np.searchsorted(block, np.arange((1 << bits) + 1)).astype(np.uint32), f"{name}-index.npy")
         C.save(np.stack([big, counts[big]]), f"{name}-large.npy")
         C.save(np.minimum(counts, 255).astype(np.uint8), f"{name}-counts.npy")
-        C.save(keys[order], f"{name}-keys.npy")
+        C.save(rest, f"{name}-keys.npy")
+
+    @staticmethod
+    def parts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        block = (keys >> C.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        return block, (keys >> C.U64(32 - bits)).astype(np.uint32)
 
     def __init__(self, name: str):
-        self.keys, self.counts, self.large = (np.load(f"{name}-{x}.npy", mmap_mode="r") for x in ("keys", "counts", "large"))
+        self.keys, self.counts, self.large, self.index = (np.load(f"{name}-{x}.npy", mmap_mode="r") for x in ("keys", "counts", "large", "index"))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys there are, and their places."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == keys)
-        return hit, at[hit]
+        block, rest = Small.parts(keys, (len(self.index) - 1).bit_length() - 1)
+        low, end = self.index[block].astype(np.int64), self.index[block + 1].astype(np.int64)
+        high = end
+        while len(self.keys) and (low < high).any():
+            middle = np.minimum((low + high) >> 1, len(self.keys) - 1)
+            less = self.keys[middle] < rest
+            low, high = np.where(less & (low < high), middle + 1, low), np.where(less, high, np.minimum(high, middle))
+        hit = np.flatnonzero(low < end)
+        hit = hit[self.keys[low[hit]] == rest[hit]]
+        return hit, low[hit]
 
     def at(self, places: np.ndarray) -> np.ndarray:
         out = self.counts[places].astype(np.int64)
@@ -181,29 +196,47 @@ class Small:
 
 
 class Pairs(Small):
-    """Pairs: their count, and as contexts the sum and, where that is over 1, the weight left (else the discount of 1)."""
+    """Pairs: their count and, as contexts, the sum of what follows and how much of it has counts of 1, 2, 3 or more.
+
+    A sum of 1 is a bit; of the others four bytes each, or more, apart, where a number is large.
+    """
 
     @staticmethod
-    def write(name: str, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray, left: np.ndarray) -> None:
+    def write(name: str, pairs: np.ndarray, counts: np.ndarray, sums: np.ndarray, classes: np.ndarray) -> None:
+        keys = pair_hash(pairs)
         order = np.argsort(keys)
-        keys, counts, sums, left = keys[order], counts[order], sums[order], left[order]
-        Small.save(name, keys, counts)
+        Small.save(name, keys[order], counts[order])
+        sums, classes = sums[order], classes[:, order]
         more = np.flatnonzero(sums > 1)
-        C.save(sums == 1, f"{name}-once.npy")
+        about = np.concatenate([sums[None, more], classes[:, more]])
+        wide = np.flatnonzero((about > 254).any(axis=0))
+        C.save(np.packbits(sums == 1), f"{name}-once.npy")
         C.save(more.astype(np.uint32), f"{name}-more.npy")
-        C.save(np.stack([sums[more].astype(np.float64), left[more]]), f"{name}-context.npy")
+        C.save(np.minimum(about, 255).astype(np.uint8), f"{name}-about.npy")
+        C.save(np.concatenate([wide[None], about[:, wide]]), f"{name}-wide.npy")
 
     def __init__(self, name: str):
         super().__init__(name)
-        self.once, self.more, self.about = (np.load(f"{name}-{x}.npy", mmap_mode="r") for x in ("once", "more", "context"))
+        self.once, self.more, self.about, self.wide = (np.load(f"{name}-{x}.npy", mmap_mode="r") for x in ("once", "more", "about", "wide"))
 
-    def context(self, places: np.ndarray, once: float) -> tuple[np.ndarray, np.ndarray]:
-        sums, left = self.once[places].astype(np.float64), np.full(len(places), once)
+    def context(self, places: np.ndarray) -> np.ndarray:
+        """Sums and the numbers of counts, as four rows."""
+        out = np.zeros((4, len(places)), np.int64)
+        out[:2] = self.once[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1
         if len(self.more):
             at = np.minimum(np.searchsorted(self.more, places), len(self.more) - 1)
-            hit = self.more[at] == places
-            sums[hit], left[hit] = self.about[0][at[hit]], self.about[1][at[hit]]
-        return sums, left
+            hit = np.flatnonzero(self.more[at] == places)
+            at = at[hit]
+            found = self.about[:, at].astype(np.int64)
+            big = np.flatnonzero((found == 255).any(axis=0))
+            found[:, big] = self.wide[1:, np.searchsorted(self.wide[0], at[big])]
+            out[:, hit] = found
+        return out
+
+
+def pair_hash(pairs: np.ndarray) -> np.ndarray:
+    """A hash that doesn't follow from a pair's bucket."""
+    return C.mix(C.mix(pairs) ^ C.MIX_A)
 
 
 class Model:
@@ -235,21 +268,19 @@ class Model:
     def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of pairs, and their sums and weights as contexts; 0 for unknown ones."""
         count, sums, left = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
-        mixed = C.mix(keys)
-        once = self.discount[self.order][1]
-        for bucket, own in self.by_bucket(mixed):
+        for bucket, own in self.by_bucket(C.mix(keys)):
             file = self.file("pairs", bucket)
-            hit, at = file.find(mixed[own])
+            hit, at = file.find(pair_hash(keys[own]))
             count[own[hit]] = file.at(at)
             if self.order == 3:
-                sums[own[hit]], left[own[hit]] = file.context(at, once)
+                about = file.context(at)
+                sums[own[hit]], left[own[hit]] = about[0], np.array(self.discount[3][1:]) @ about[1:]
         return count, sums, left
 
     def triples(self, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
         count, mixed, keys = np.zeros(len(pair), np.int64), C.mix(pair), triple_hash(pair, first)
         for bucket, own in self.by_bucket(mixed):
             file = self.file("triples", bucket)
-            own = own[np.argsort(keys[own])]
             hit, at = file.find(keys[own])
             count[own[hit]] = file.at(at)
         return count
@@ -320,11 +351,14 @@ def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
         """Writes the triples of a bucket, and what continues its pairs; sends the triples' contexts to their buckets."""
         bucket = part["bucket"][0].as_py()
         pair, first, counts = grams_of(*received(part))
-        Small.save(f"{path}/triples/{bucket:05d}", triple_hash(pair, first), counts)
+        hashes = triple_hash(pair, first)
+        by = np.argsort(hashes)
+        Small.save(f"{path}/triples/{bucket:05d}", hashes[by], counts[by])
         # an end before an end is where a text begins: such pairs have their own count
         times = np.where((first == end) & (pair >> HALF == C.U64(end)), counts, 1)
         starts = firsts(pair)
-        C.save(np.stack([pair[starts].view(np.int64), np.add.reduceat(times, starts)]), f"{path}/continued/{bucket:05d}.npy")
+        for name, data in zip(("keys", "first", "counts", "large"), packed(pair[starts], None, np.add.reduceat(times, starts)), strict=True):
+            C.save(np.frombuffer(data, np.uint8), f"{path}/continued/{bucket:05d}-{name}.npy")
         context = (first.astype(C.U64) << HALF) | (pair >> HALF)
         by = np.argsort(context, kind="stable")
         away = sent(context[by], None, counts[by], bits)
@@ -332,66 +366,59 @@ def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
         return pa.Table.from_batches([away, mark]).append_column("own", pa.array([False] * len(away) + [True]))
 
     def settle(part: pa.Table) -> pa.Table:
-        """The pairs of a bucket: how often they continue, and what follows them. Counts of both, by 1, 2, 3, 4 and more."""
+        """Writes the pairs of a bucket: how often they continue, and what follows them.
+
+        Returns sums: of pairs by their first word and count (1, 2, 3 or more), by their second word, and by count (kinds 0 to 2);
+        of triples by count (3); and the bucket (4).
+        """
         bucket = part["bucket"][0].as_py()
         keys, _, counts = received(part)
+        levels = np.zeros(6, np.int64)
         if order == 2:
             keys, counts = counted(keys, counts)
-            sums, classes = np.zeros(len(keys), np.int64), np.zeros((3, len(keys)), np.int64)
-            levels = np.zeros(5, np.int64)
+            about = np.zeros((4, len(keys)), np.int64)
         else:
             by = np.argsort(keys)
-            keys, follow = keys[by], counts[by]
-            starts = firsts(keys)
-            sums = np.add.reduceat(follow, starts)
-            classes = np.stack([np.add.reduceat((np.minimum(follow, 3) == i).astype(np.int64), starts) for i in (1, 2, 3)])
-            levels = np.bincount(np.minimum(follow, 5), minlength=6)[1:]
-            contexts, keys, counts = keys[starts], *own_pairs(bucket, part)
-            every = np.unique(np.concatenate([contexts, keys]))
-            at, of = np.searchsorted(every, contexts), np.searchsorted(every, keys)
-            wide = np.zeros((5, len(every)), np.int64)
-            wide[0, at], wide[1:4, at], wide[4, of] = sums, classes, counts
-            keys, sums, classes, counts = every, wide[0], wide[1:4], wide[4]
-        C.save(np.concatenate([keys.view(np.int64)[None], counts[None], sums[None], classes]), f"{path}/continued/{bucket:05d}-all.npy")
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), **{f"t{i + 1}": pa.array([int(levels[i])], pa.int64()) for i in range(4)}})
+            contexts, follow = keys[by], counts[by]
+            levels = np.bincount(np.minimum(follow, 5), minlength=6)
+            starts = firsts(contexts)
+            keys, counts = own_pairs(bucket, part)
+            every = np.union1d(contexts[starts], keys)
+            about, wide = np.zeros((4, len(every)), np.int64), np.zeros(len(every), np.int64)
+            at = np.searchsorted(every, contexts[starts])
+            for i, x in enumerate((follow, follow == 1, follow == 2, follow > 2)):
+                about[i, at] = np.add.reduceat(x.astype(np.int64), starts) if len(starts) else 0
+            wide[np.searchsorted(every, keys)] = counts
+            keys, counts = every, wide
+        Pairs.write(f"{path}/pairs/{bucket:05d}", keys, counts, about[0], about[1:])
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        code, back = np.unique((keys >> HALF).astype(np.int64) * 4 + np.minimum(counts, 3), return_inverse=True)
+        w, f = np.unique((keys & LOW).astype(np.int64), return_counts=True)
+        m, q = np.unique(np.minimum(counts, 5), return_counts=True)
+        sums = [(0, code, np.bincount(back, minlength=len(code)), np.bincount(back, counts, len(code))), (1, w, f, f), (2, m, q, q), (3, np.arange(6), levels, levels), (4, np.array([bucket]), np.ones(1), np.ones(1))]
+        column = lambda i: pa.array(np.concatenate([np.asarray(x[i]).astype(np.int64) for x in sums]))
+        return pa.table({"kind": pa.array(np.repeat(np.arange(5, dtype=np.int32), [len(x[1]) for x in sums])), "k": column(1), "c": column(2), "s": column(3)})
 
     def own_pairs(bucket: int, part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """The pairs that merge() has written for this bucket; a mark among its rows says if it had any."""
         if not any(part["own"].to_pylist()):
             return np.empty(0, C.U64), np.empty(0, np.int64)
-        data = np.load(f"{path}/continued/{bucket:05d}.npy")
-        return data[0].view(C.U64), data[1]
+        keys, _, counts = unpacked(*(np.load(f"{path}/continued/{bucket:05d}-{x}.npy").tobytes() for x in ("keys", "first", "counts", "large")))
+        return keys, counts
 
     dealt = texts.mapInArrow(deal, SENT)
     parts = max(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if order == 3:
         dealt = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(merge, f"{SENT}, own boolean")
-    about = "bucket int, t1 long, t2 long, t3 long, t4 long"
-    settled = C.store(dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(settle, about), f"{path}/settled")
+    settled = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(settle, "kind int, k long, c long, s long")
+    # 3. sums by word, and counts of counts
+    parts_ = C.store(settled.groupBy("kind", "k").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), f"{path}/parts")
     there = np.zeros(1 << bits, bool)
-    levels: dict[int, int] = {}
-    for r in settled.collect():
-        there[r.bucket] = True
-        for i in (1, 2, 3, 4):
-            levels[i] = levels.get(i, 0) + r[f"t{i}"]
-
-    # 3. sums by word: of pairs by their first word (with counts 1, 2, 3 or more) and by their second, and counts of counts
-    @C.tidy
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket in batch["bucket"].to_pylist():
-                keys, counts = np.load(f"{path}/continued/{bucket:05d}-all.npy", mmap_mode="r")[:2]
-                keys, counts = keys[counts > 0].view(C.U64), counts[counts > 0]
-                code, back = np.unique((keys >> HALF).astype(np.int64) * 4 + np.minimum(counts, 3), return_inverse=True)
-                w, f = np.unique((keys & LOW).astype(np.int64), return_counts=True)
-                m, q = np.unique(np.minimum(counts, 5), return_counts=True)
-                for kind, k, c, s in ((0, code, np.bincount(back, minlength=len(code)), np.bincount(back, counts, len(code))), (1, w, f, f), (2, m, q, q)):
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(k), kind, np.int32)), "k": pa.array(k.astype(np.int64)), "c": pa.array(c.astype(np.int64)), "s": pa.array(np.asarray(s).astype(np.int64))})
-
-    parts_ = C.store(settled.select("bucket").repartition(parts, "bucket").mapInArrow(summed, "kind int, k long, c long, s long").groupBy("kind", "k").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), f"{path}/parts")
+    there[[r.k for r in parts_.filter("kind = 4").collect()]] = True
+    C.discard(f"{path}/continued")
     discount = {2: discounts({r.k: r.c for r in parts_.filter("kind = 2").collect()})}
     if order == 3:
-        discount[3] = discounts(levels)
+        discount[3] = discounts({r.k: r.c for r in parts_.filter("kind = 3").collect()})
     followers = parts_.filter("kind = 1").select(F.col("k").alias("id"), F.col("c").alias("f"))
     level = {r.k: r.n for r in followers.filter("f <= 4").groupBy(F.col("f").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
     one = lambda i: F.count_if(F.col("f") == i if i < 3 else F.col("f") > 2)
@@ -401,25 +428,17 @@ def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
     free = sum(d1[i] * kinds[f"n{i}"] for i in (1, 2, 3)) / pairs_total if kinds.pairs else 1.0
     unknown = free / (distinct + 1)
 
-    # 4. the model's words and pairs
+    # 4. the model's words
     worth = F.element_at(F.array(*(F.lit(x) for x in discount[2])), (F.col("k") % 4 + 1).cast("int"))
     contexts = parts_.filter("kind = 0").groupBy(F.shiftright("k", 2).alias("id")).agg(F.sum(worth * F.col("c")).alias("left"), F.sum("s").alias("sum"))
     ids = known_numbers(vocabulary, numbers).join(followers, "id", "left").join(contexts, "id", "left")
     taken = F.when(F.col("f") == 1, d1[1]).when(F.col("f") == 2, d1[2]).otherwise(d1[3])
     continued = F.when(F.col("f").isNull(), F.lit(unknown)).otherwise((F.col("f") - taken) / pairs_total + unknown)
     words = C.write_table(ids.select("word", "c", continued.alias("p"), F.coalesce("sum", F.lit(0)).alias("sum"), F.coalesce(F.col("left") / F.col("sum"), F.lit(1.0)).alias("left")), f"{path}/words", distinct)
-    d3 = np.array(discount.get(3, [0.0] * 4))
-
-    @C.tidy
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket in batch["bucket"].to_pylist():
-                data = np.load(f"{path}/continued/{bucket:05d}-all.npy")
-                Pairs.write(f"{path}/pairs/{bucket:05d}", C.mix(data[0].view(C.U64)), data[1], data[2], d3[1:] @ data[3:6])
-            yield pa.RecordBatch.from_arrays([batch["bucket"]], names=["bucket"])
-
-    settled.select("bucket").repartition(parts, "bucket").mapInArrow(finished, "bucket int").write.format("noop").mode("overwrite").save()
-    return Model(path, bits, order, total, distinct, unknown, discount, words, there), numbers
+    # the words lie in the order of known, so their places are their numbers
+    for name in ("known", "vocabulary", "parts"):
+        C.discard(f"{path}/{name}")
+    return Model(path, bits, order, total, distinct, unknown, discount, words, there), Numbers(words, base)
 
 
 class Numbers:
