@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, stored as sorted hash arrays that workers map into memory.
 
 The order is 2 or 3. Counting: (1) words, combined in each task and in Spark; the sorted table of word hashes gives each word a
-number. (2) n-grams of word numbers, counted in each task, dealt by a hash of their last two words (so the followers of a frequent
+number, small for frequent ones. (2) n-grams of word numbers, counted in each task, dealt by a hash of their last two words (so the followers of a frequent
 word spread over all files) as compressed differences, and merged file by file. A merge has all that stands before a pair, so it
 counts the pair's continuations itself, and deals its n-grams' contexts to the files of those. (3) Sums by word, combined before
 they shuffle. Discounts come from the counts of counts, which are a few numbers.
@@ -22,11 +22,11 @@ among one (N = V = 0); an empty table gives an empty table.
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,23 +99,26 @@ def grams_of(pair: np.ndarray, first: np.ndarray | None, counts: np.ndarray | No
 # Arrays on their way: differences of sorted keys, bytes of a place together, counts in a byte where they fit.
 
 
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeezed(array: np.ndarray) -> bytes:
-    return zlib.compress(array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes(), 1)
+    return PACK.compress(array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes())
 
 
 def released(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(UNPACK.decompress(data), np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
 
 
 def packed(keys: np.ndarray, first: np.ndarray | None, counts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     big = counts > 254
-    parts = squeezed(np.diff(keys, prepend=C.U64(0))), b"" if first is None else squeezed(first), zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1), counts[big].astype(np.int64).tobytes()
+    parts = squeezed(np.diff(keys, prepend=C.U64(0))), b"" if first is None else squeezed(first), PACK.compress(np.minimum(counts, 255).astype(np.uint8).tobytes()), counts[big].astype(np.int64).tobytes()
     return parts
 
 
 def unpacked(keys: bytes, first: bytes, counts: bytes, large: bytes) -> tuple:
-    out = np.frombuffer(zlib.decompress(counts), np.uint8).astype(np.int64)
+    out = np.frombuffer(UNPACK.decompress(counts), np.uint8).astype(np.int64)
     out[out == 255] = np.frombuffer(large, np.int64)
     return np.cumsum(released(keys, C.U64), dtype=C.U64), released(first, np.uint32) if first else None, out
 
@@ -305,7 +308,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
+def train(texts: DataFrame, path: str, order: int = 3) -> Model:
     """Counts the texts (column ``text``) and writes the model below path."""
     if order not in (2, 3):
         raise ValueError(f"the order is 2 or 3, not {order}")
@@ -315,10 +318,7 @@ def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
     vocabulary = C.store(count_words(texts), f"{path}/vocabulary")
     n = vocabulary.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = n.total or 0, n.distinct or 0
-    known = C.write_table(vocabulary, f"{path}/known", distinct)
-    sizes = {r.b: r.n for r in vocabulary.groupBy(C.bucket_of(F.col("word"), known.bits).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    base = np.cumsum([0, *(sizes.get(i, 0) for i in range(1 << known.bits))])  # numbers of words go on from file to file
-    numbers = Numbers(known, base)
+    numbers = numbered(vocabulary, f"{path}/known", distinct)
     bits = C.table_bits(spark, total)
 
     # 2. n-grams
@@ -369,7 +369,7 @@ def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
         """Writes the pairs of a bucket: how often they continue, and what follows them.
 
         Returns sums: of pairs by their first word and count (1, 2, 3 or more), by their second word, and by count (kinds 0 to 2);
-        of triples by count (3); and the bucket (4).
+        of triples by count (3); the bucket (4); and counts of 3 and more by the first word (5).
         """
         bucket = part["bucket"][0].as_py()
         keys, _, counts = received(part)
@@ -392,12 +392,14 @@ def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
             keys, counts = every, wide
         Pairs.write(f"{path}/pairs/{bucket:05d}", keys, counts, about[0], about[1:])
         keys, counts = keys[counts > 0], counts[counts > 0]
-        code, back = np.unique((keys >> HALF).astype(np.int64) * 4 + np.minimum(counts, 3), return_inverse=True)
+        code, n = np.unique((keys >> HALF).astype(np.int64) * 4 + np.minimum(counts, 3), return_counts=True)
+        often = np.flatnonzero(counts > 2)
+        many, back = np.unique((keys[often] >> HALF).astype(np.int64), return_inverse=True)
         w, f = np.unique((keys & LOW).astype(np.int64), return_counts=True)
         m, q = np.unique(np.minimum(counts, 5), return_counts=True)
-        sums = [(0, code, np.bincount(back, minlength=len(code)), np.bincount(back, counts, len(code))), (1, w, f, f), (2, m, q, q), (3, np.arange(6), levels, levels), (4, np.array([bucket]), np.ones(1), np.ones(1))]
+        sums = [(code, n), (w, f), (m, q), (np.arange(6), levels), (np.array([bucket]), np.ones(1)), (many, np.bincount(back, counts[often], len(many)))]
         column = lambda i: pa.array(np.concatenate([np.asarray(x[i]).astype(np.int64) for x in sums]))
-        return pa.table({"kind": pa.array(np.repeat(np.arange(5, dtype=np.int32), [len(x[1]) for x in sums])), "k": column(1), "c": column(2), "s": column(3)})
+        return pa.table({"kind": pa.array(np.repeat(np.arange(6, dtype=np.int32), [len(x[0]) for x in sums])), "k": column(0), "c": column(1)})
 
     def own_pairs(bucket: int, part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """The pairs that merge() has written for this bucket; a mark among its rows says if it had any."""
@@ -410,9 +412,9 @@ def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
     parts = max(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if order == 3:
         dealt = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(merge, f"{SENT}, own boolean")
-    settled = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(settle, "kind int, k long, c long, s long")
+    settled = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(settle, "kind int, k long, c long")
     # 3. sums by word, and counts of counts
-    parts_ = C.store(settled.groupBy("kind", "k").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), f"{path}/parts")
+    parts_ = C.store(settled.groupBy("kind", "k").agg(F.sum("c").alias("c")), f"{path}/parts")
     there = np.zeros(1 << bits, bool)
     there[[r.k for r in parts_.filter("kind = 4").collect()]] = True
     C.discard(f"{path}/continued")
@@ -429,36 +431,53 @@ def train(texts: DataFrame, path: str, order: int = 3) -> tuple[Model, Numbers]:
     unknown = free / (distinct + 1)
 
     # 4. the model's words
-    worth = F.element_at(F.array(*(F.lit(x) for x in discount[2])), (F.col("k") % 4 + 1).cast("int"))
-    contexts = parts_.filter("kind = 0").groupBy(F.shiftright("k", 2).alias("id")).agg(F.sum(worth * F.col("c")).alias("left"), F.sum("s").alias("sum"))
+    often = F.col("kind") == 5
+    worth = F.when(~often, F.element_at(F.array(*(F.lit(x) for x in discount[2])), (F.col("k") % 4 + 1).cast("int")) * F.col("c"))
+    times = F.when(often, F.col("c")).when(F.col("k") % 4 < 3, F.col("k") % 4 * F.col("c"))
+    by_first = parts_.filter("kind IN (0, 5)").groupBy(F.when(often, F.col("k")).otherwise(F.shiftright("k", 2)).alias("id"))
+    contexts = by_first.agg(F.sum(worth).alias("left"), F.sum(times).alias("sum"))
     ids = known_numbers(vocabulary, numbers).join(followers, "id", "left").join(contexts, "id", "left")
     taken = F.when(F.col("f") == 1, d1[1]).when(F.col("f") == 2, d1[2]).otherwise(d1[3])
     continued = F.when(F.col("f").isNull(), F.lit(unknown)).otherwise((F.col("f") - taken) / pairs_total + unknown)
-    words = C.write_table(ids.select("word", "c", continued.alias("p"), F.coalesce("sum", F.lit(0)).alias("sum"), F.coalesce(F.col("left") / F.col("sum"), F.lit(1.0)).alias("left")), f"{path}/words", distinct)
-    # the words lie in the order of known, so their places are their numbers
+    words = C.write_table(ids.select("word", "id", "c", continued.alias("p"), F.coalesce("sum", F.lit(0)).alias("sum"), F.coalesce(F.col("left") / F.col("sum"), F.lit(1.0)).alias("left")), f"{path}/words", distinct)
     for name in ("known", "vocabulary", "parts"):
         C.discard(f"{path}/{name}")
-    return Model(path, bits, order, total, distinct, unknown, discount, words, there), Numbers(words, base)
+    return Model(path, bits, order, total, distinct, unknown, discount, words, there)
 
 
 class Numbers:
-    """The number of each word: its place in the sorted table, files one after the other."""
+    """The number of each word, the first value of a table."""
 
-    def __init__(self, table: C.Table, base: np.ndarray):
-        self.table, self.base = table, base
+    def __init__(self, table: C.Table):
+        self.table = table
 
     def get(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers from 0; -1 for unknown words."""
         distinct, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(distinct), -1, np.int64)
-        tops = (distinct >> C.U64(64 - self.table.bits)).astype(np.int64) if self.table.bits else np.zeros(len(distinct), np.int64)
-        for a, b in C.runs(tops):
-            if (data := self.table.file(int(tops[a]))) is not None:
-                have = data[0].view(C.U64)
-                at = np.minimum(np.searchsorted(have, distinct[a:b]), len(have) - 1)
-                hit = have[at] == distinct[a:b]
-                out[a:b][hit] = self.base[int(tops[a])] + at[hit]
-        return out[back]
+        found, (out, *_) = self.table.get(distinct)
+        return np.where(found, out, -1)[back]
+
+
+def numbered(vocabulary: DataFrame, path: str, distinct: int) -> Numbers:
+    """Numbers the words (word, c): by powers of two of their counts, the largest first, then by file and place."""
+    os.makedirs(path)
+    bits = C.table_bits(vocabulary.sparkSession, distinct)
+    level = F.length(F.bin("c"))
+    rows = vocabulary.select("word", level.alias("level"), C.bucket_of(F.col("word"), bits).alias("bucket"))
+    sizes = sorted((-r.level, r.bucket, r.n) for r in rows.groupBy("level", "bucket").agg(F.count(F.lit(1)).alias("n")).collect())  # 63 a file at most
+    base = dict(zip([(-a, b) for a, b, _ in sizes], np.cumsum([0, *(n for *_, n in sizes)]).tolist(), strict=False))
+
+    def put(part: pa.Table) -> pa.Table:
+        bucket, word, own = part["bucket"][0].as_py(), C.longs(part["word"].combine_chunks()), C.longs(part["level"].combine_chunks())
+        order = np.argsort(word.view(C.U64))
+        word, own = word[order], own[order]
+        numbers, by = np.empty(len(word), np.int64), np.argsort(own, kind="stable")
+        for a, b in C.runs(own[by]):
+            numbers[by[a:b]] = base[int(own[by[a]]), bucket] + np.arange(b - a)
+        C.save(np.stack([word, numbers]), f"{path}/{bucket:05d}.npy")
+        return C.only(bucket)
+
+    return Numbers(C.Table(path, bits, 1, C.per_bucket(rows, bits, put)))
 
 
 def known_numbers(vocabulary: DataFrame, numbers: Numbers) -> DataFrame:
@@ -472,7 +491,7 @@ def known_numbers(vocabulary: DataFrame, numbers: Numbers) -> DataFrame:
     return vocabulary.mapInArrow(run, "word long, c long, id long")
 
 
-def score(docs: DataFrame, model: Model, numbers: Numbers) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
 
     @C.tidy
@@ -482,8 +501,7 @@ def score(docs: DataFrame, model: Model, numbers: Numbers) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for _, sizes, hashes in tokens_of(batch):
                 distinct, back = np.unique(hashes, return_inverse=True)
-                found, (count, p, total, left) = model.words.get(distinct)
-                ids = numbers.get(distinct)
+                found, (ids, count, p, total, left) = model.words.get(distinct)
                 end = np.searchsorted(distinct, END)
                 prob = np.where(found, p.view(np.float64), model.unknown)
                 weight = np.where(found & (total > 0), left.view(np.float64), 1.0)
@@ -526,6 +544,6 @@ def held_out(column):
 def query(spark, sf_dir: str) -> DataFrame:
     path = C.workspace(spark, "lm")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model, numbers = train(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text")), path)
-    found = score(docs, model, numbers)
+    model = train(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text")), path)
+    found = score(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
