@@ -10,7 +10,8 @@ record as a gzip member of its own, under a temporary name first, so a task that
 
 Defined results: a null or empty html is an empty payload, with an empty conversion record; a null url is the URI
 urn:page:<page_id>; records of other types, and rows without a block, give no derivatives; repeated rows give equal records with
-equal identifiers; an empty table gives an empty table; extra columns of pages are ignored.
+equal identifiers; an empty table gives an empty table; extra columns of pages are ignored. When files are read, what follows a
+record without a Content-Length, or with one beyond the end, is left out.
 """
 
 from __future__ import annotations
@@ -31,16 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .html_blocks import blocks_of, tags_of
 
 RECORD = "record_id string, warc_type string, target_uri string, date string, headers map<string,string>, block binary"
 ARROW = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
-UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
-ANY = re.compile(r"<[/!?a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
-HREF = re.compile(r"<(?:a|area|link)\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-META = re.compile(r"<meta\b[^>]*?\bname\s*=\s*[\"']?(\w+)[\"']?[^>]*?\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
-
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -58,17 +53,24 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
 
 
 def plain_text(page: str) -> str:
-    text = ANY.sub("", BLOCK.sub("\n", UNSEEN.sub(" ", page)))
-    return "\n".join(x for x in (" ".join(line.split()) for line in entities.unescape(text).split("\n")) if x)
+    """A line for each block of text, in time linear in the page."""
+    return "\n".join(b.text for b in blocks_of(page)[0])
+
+
+ABOUT = frozenset("title meta a area link".split())
 
 
 def about(page: str) -> dict:
-    title = TITLE.search(page)
-    return {
-        "Title": " ".join(entities.unescape(title[1]).split()) if title else None,
-        "Metas": [{"name": m[1], "content": entities.unescape(m[2] or m[3] or "")} for m in META.finditer(page)],
-        "Links": [entities.unescape(a or b or c) for a, b, c in HREF.findall(page)],
-    }
+    title, metas, links = None, [], []
+    for tag, attributes, text in tags_of(page, ABOUT):
+        if tag == "title":
+            title = " ".join(entities.unescape(text).split()) if title is None else title
+        elif tag == "meta":
+            if "name" in attributes and "content" in attributes:
+                metas.append({"name": entities.unescape(attributes["name"]), "content": entities.unescape(attributes["content"])})
+        elif "href" in attributes:
+            links.append(entities.unescape(attributes["href"]))
+    return {"Title": title, "Metas": metas, "Links": links}
 
 
 def derivatives(record_id: str, uri: str, date: str, headers: dict[str, str], block: bytes) -> Iterator[tuple]:
@@ -176,7 +178,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 while (end := data.find(b"\r\n\r\n", at)) >= 0:
                     lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
                     named = dict((k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines))
-                    size = int(named.get("Content-Length", 0))
+                    size = int(x) if (x := named.get("Content-Length", "")).isdigit() else -1
+                    if not 0 <= size <= len(data) - end - 4:
+                        break
                     rows.append((named.get("WARC-Record-ID"), named.get("WARC-Type"), named.get("WARC-Target-URI"), named.get("WARC-Date"), list(named.items()), data[end + 4 : end + 4 + size]))
                     at = end + 8 + size
                     if len(rows) >= 1000:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -460,14 +461,73 @@ def test_agreeing_and_extended():
 def test_main_text(spark):
     want = "The title First paragraph, with some words in it. It goes on. Short one. Second <b> paragraph here é."
     assert html_extract.main_text(PAGE) == want
-    for broken in (None, "", "<", "<p", "<!-- ", "<script>x", "</p></div>", "<div>" * 3000):
-        assert html_extract.main_text(broken) == ""
-    pages = spark.createDataFrame([(1, "u", PAGE, "t"), (None, None, None, None)], "page_id long, url string, html string, c0 string")
-    assert sorted((r.page_id or 0, r.c0, r.text) for r in html_extract.extract(pages).collect()) == sorted([(0, None, ""), (1, "t", want)], key=str)
+    for broken in (None, "", "<", "<p", "<!-- ", "<script>x", "</p></div>", "<div>" * 3000, "<a '" * 9, "<p title='"):
+        assert html_extract.main_text(broken) in ("", "<")
+    pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None)], "page_id long, url string, html string, text string").repartition(2)
+    out = html_extract.extract(pages)
+    assert out.columns == ["page_id", "url", "text", "text_"]
+    assert sorted((r.page_id or 0, r.text, r.text_) for r in out.collect()) == sorted([(0, None, ""), (1, "t", want), (1, "t", want)], key=str)
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+P = "<p>The first paragraph of the article, which is long enough. It has two sentences.</p><p>The second one goes on, with some more words in it.</p>"
+TEXT = "The first paragraph of the article, which is long enough. It has two sentences. The second one goes on, with some more words in it."
+LAYOUTS = {
+    "layout class": f'<body><div class="layout with-sidebar"><article>{P}</article><div class="sidebar"><a href=x>Other pages</a></div></div>',
+    "site class": f'<body><div class="hfeed fixed-header site"><article>{P}</article></div><footer>Contact us at any time of day.</footer>',
+    "named wrapper": f'<body><div class="sidebar-left widget"><div>{P}</div></div>',
+    "advert in the text": f'<article>{P.replace("</p><p>", "</p><div class=content-ad>Buy one of our new things today.</div><p>")}</article>',
+    "meta": f'<article><div class="post-meta">By a writer, at noon, in the city.</div>{P}<div class="article-share"><a href=x>Share this</a></div></article>',
+    "apostrophe": f"<article>{P.replace('<p>', '<p title=it&apos;s>', 1).replace('&apos;', chr(39))}</article>",
+    "quote": f'<article>{P.replace("<p>", "<p title=5" + chr(34) + ">", 1)}</article>',
+    "greater in value": f'<article>{P.replace("<p>", "<p title=" + chr(34) + "a > b" + chr(34) + ">", 1)}</article>',
+    "form page": f"<body><form action=x><div>{P}</div><input name=q></form>",
+    "search form": f"<body><form class=search><label>Search this site for words</label><input></form><main>{P}</main>",
+    "comments": f'<main>{P}</main><section id="comments"><h2>3 comments</h2><article class="comment"><p>I have read it all, and I did like it very much, thank you.</p></article></section>',
+    "long comments": f'<div class="content">{P}</div><div class="comment-list">' + "<div><p>A remark of a reader that is rather long, and says things. Quite so.</p></div>" * 6 + "</div>",
+    "cookies": f'<div class="cookie-consent"><p>We use cookies to give you the best pages that we can. You may agree.</p></div><div id="main">{P}</div>',
+    "hidden": f'<main>{P}<p style="display: none">This can not be seen by anyone who reads the page.</p><p hidden>Nor can this be seen, at all.</p></main>',
+    "svg": f"<article><svg viewBox=x /><svg><text>Label</text></svg>{P}<object>{''}</article>",
+    "head without end": f"<html><head><title>Name</title><meta charset=utf-8><article>{P}</article>",
+    "no article": f'<body><ul class="menu"><li><a href=a>One</a><li><a href=b>Two</a></ul><table><tr><td>{P}</td></tr></table><div class="footer">© 2020 Someone</div>',
+    "list inside": f"<article>{P.replace('</p><p>', '</p><ul><li>A point that is made in the list.<li>Another point that is made.</ul><p>')}</article>",
+    "breaks": f"<article>{P.replace(', with', ',<br>with')}</article>",
+    "header of the article": f'<article><header class="entry-header"><h2>A heading of it</h2></header>{P}</article>',
+    "aside": f"<article>{P}<aside><p>Read also this other article, which is about the same. It is good.</p></aside></article>",
+    "script": f'<article><script>document.write("<p>no</p>");</script>{P}<style>p > a {{}}</style><!-- <p>no</p> --></article>',
+}
+MORE = {"list inside": TEXT.replace("sentences. ", "sentences. A point that is made in the list. Another point that is made. "), "header of the article": f"A heading of it {TEXT}"}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    assert html_extract.main_text(LAYOUTS[name]) == MORE.get(name, TEXT)
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<b><i></u>", "<div>x ", "</x>", '<a b=" ', "<!-- ", "<p>Some words, in it.</p>", "<p><b><i><hr>t "])
+def test_pages_are_read_in_linear_time(piece):
+    def seconds(size):
+        start = time.perf_counter()
+        page = piece * (size // len(piece))
+        html_extract.main_text(page)
+        warc.plain_text(page)
+        warc.about(page)
+        return time.perf_counter() - start
+
+    small = seconds(300_000)
+    assert seconds(1_500_000) < 5 * 4 * small + 2
+
+
+def test_the_classifier_keeps_to_its_sure_blocks():
+    x = np.concatenate([html_extract.seen(p)[1] for p in LAYOUTS.values()])
+    w = html_extract.trained(x)
+    sure = np.abs(x @ html_extract.FIRST) >= 3
+    assert sure.any() and ((x @ w > 0) == (x @ html_extract.FIRST > 0))[sure].all() and np.abs(w - html_extract.FIRST).max() < 1
+    assert (html_extract.trained(x[:0]) == html_extract.FIRST).all()
 
 
 def test_cut_is_minimal():
-    for _ in range(60):
+    for _ in range(200):
         n = rng.randint(1, 8)
         odds = [rng.choice([-3, -1, -0.5, 0.5, 1, 2.5]) for _ in range(n)]
         edges = [(a, b, rng.random() * 2) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
@@ -499,6 +559,15 @@ def test_warc(spark, tmp_path):
     assert "First paragraph, with some words in it. It goes on." in text.split("\n") and "<" not in text.replace("<b>", "")
 
 
+def test_malformed_records(spark, tmp_path):
+    good = warc.encoded({"WARC-Type": "response", "Content-Length": "3"}, b"abc")
+    for i, bad in enumerate((b"", b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\nabc", b"WARC/1.1\r\nContent-Length: 99\r\n\r\nabc")):
+        (tmp_path / f"{i}.warc").write_bytes(good + bad)
+    assert [bytes(r.block) for r in warc.read_warc(spark, str(tmp_path)).collect()] == [b"abc"] * 4
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.derive(warc.responses(none)).count() == 0
+
+
 def test_sha_of_no_lines(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id long, text string")
     from pyspark.sql import functions as F
