@@ -1,8 +1,10 @@
 """Quality classifier: random Fourier features of text statistics, ridge by summed normal equations, isotonic calibration.
 
 Scale: one map over the texts gives a short vector for each document. The vectors of labelled rows meet their labels in a join
-on doc_id; each partition sums its normal equations, and the sums (a fixed size) are merged in a tree. Calibration uses counts
-by score bin. The driver holds one matrix of features**2 and one list of bins, whatever the input. All labelled rows are used.
+on doc_id; each partition sums its normal equations, eight tasks add these up, and the driver the eight (a fixed size). Calibration
+uses counts by score bin, of scores that each row gets from the half of the labels it isn't in. The driver holds matrices of
+features**2 and one list of bins, whatever the input. All labelled rows are used. accept() measures the texts twice, before the
+fit and after it, instead of writing or shuffling them.
 
 Defined results: a null or empty text has the statistics of an empty text and gets a score like any other; rows without doc_id
 are scored but never learned from; repeated rows are scored alike; with no labelled row, or labels of one kind only, all
@@ -133,20 +135,23 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, bandwidth: flo
     scale = np.array([(about[f"s{i}"] or 0.0) + 1e-6 for i in range(STATISTICS)])
     model = Model(centre, scale, features, bandwidth, seed)
     size = 1 + STATISTICS + features
-    rows = stats.join(labels.select("doc_id", F.col("y").cast("double").alias("y")).filter("y IS NOT NULL"), "doc_id").select("stats", "y")
+    labelled = labels.select("doc_id", F.col("y").cast("double").alias("y")).filter("y IS NOT NULL")
+    rows = stats.join(labelled, "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
 
     @C.tidy
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 2))
+        total = np.zeros((2, size, size + 1))
         for batch in batches:
             f, y = model.features(matrix(batch["stats"])), batch["y"].to_numpy(zero_copy_only=False)
-            total += f.T @ np.hstack([f, y[:, None], np.ones((len(y), 1))])
-        if total[0, 0]:
+            for half in (0, 1):
+                own = batch["half"].to_numpy(zero_copy_only=False) == half
+                total[half] += f[own].T @ np.hstack([f[own], y[own, None]])
+        if total[:, 0, 0].any():
             yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
 
     @C.tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros(size * (size + 2)), False
+        total, some = np.zeros(2 * size * (size + 1)), False
         for batch in batches:
             for x in batch["total"].to_pylist():
                 total, some = total + np.frombuffer(x), True
@@ -154,20 +159,24 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, bandwidth: flo
             yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
 
     parts = rows.mapInArrow(sums, "total binary").repartition(8).mapInArrow(merge, "total binary").collect()
-    total = sum((np.frombuffer(r.total) for r in parts), np.zeros(size * (size + 2))).reshape(size, size + 2)
+    halves = sum((np.frombuffer(r.total) for r in parts), np.zeros(2 * size * (size + 1))).reshape(2, size, size + 1)
+    total = halves.sum(axis=0)
     n = total[0, 0]
     share = total[0, size] / n if n else 0.5
     penalty = ridge * np.eye(size)
     penalty[0, 0] = 1e-6
-    model.weights = np.linalg.solve(total[:, :size] + penalty, total[:, size])
+    solved = lambda t: np.linalg.solve(t[:, :size] + penalty, t[:, size])
+    model.weights = solved(total)
     if not n or not 0 < share < 1:
         model.constant = float(share)
         return model
 
+    others = np.stack([solved(halves[1 - half]) for half in (0, 1)])
+
     @C.tidy
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = model.raw(matrix(batch["stats"]))
+            raw = (model.features(matrix(batch["stats"])) * others[batch["half"].to_numpy(zero_copy_only=False)]).sum(axis=1)
             at = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
             yield pa.RecordBatch.from_pydict({"bin": pa.array(at, pa.int32()), "y": batch["y"]})
 

@@ -347,6 +347,39 @@ def test_quality_without_labels_keeps_all(spark):
         assert quality.accept(docs, labels(rows)).count() == (4 if score >= 0.5 else 0)
 
 
+def test_ridge_equals_a_plain_fit(spark):
+    """Statistics, features and weights against a computation that shares no code with them but the random numbers."""
+    texts = [prose(rng.randint(5, 60)) + rng.choice(["", "!", " 12 #%", "\n"]) for _ in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 90, 3)], "doc_id long, y int")
+    stats = quality.featured(docs)
+    model = quality.fit(stats, labels, features=20)
+    x = np.array([quality.statistics(t.encode()) for t in texts])
+    words = [t.split() for t in texts]
+    assert np.allclose(x[:, :3], [[math.log(1 + len(t.encode())), math.log(1 + len(w)), sum(map(len, w)) / len(w)] for t, w in zip(texts, words, strict=True)])
+    every = np.concatenate([x, x[3:4]])
+    scaled = np.clip((x - every.mean(axis=0)) / (every.std(axis=0) + 1e-6), -5, 5)
+    gen = np.random.default_rng(7)
+    w, phase = gen.normal(0, 1 / 4.0, (x.shape[1], 20)), gen.uniform(0, 2 * np.pi, 20)
+    f = np.hstack([np.ones((90, 1)), scaled / 3, np.sqrt(2 / 20) * np.cos(scaled @ w + phase)])
+    own = [*range(0, 90, 3), 3]
+    penalty = np.diag([1e-6] + [1.0] * (f.shape[1] - 1))
+    y = np.array([i % 2 for i in own], float)
+    assert np.allclose(model.weights, np.linalg.solve(f[own].T @ f[own] + penalty, f[own].T @ y), atol=1e-6)
+
+
+def test_quality_of_odd_rows(spark):
+    good = [prose(60) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(100 + i, "### " * 30) for i in range(40)]
+    rows += [(None, good[0]), (None, None), (7, good[7]), (200, "word " * 400_000), (201, "é" * 900_000), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, y int")
+    got = collections.defaultdict(list)
+    for r in quality.score(docs, labels).collect():
+        got[r.doc_id].append(r.score)
+    assert len(got[7]) == 2 and got[7][0] == got[7][1] and got[0][0] in got[None] and all(0 <= s <= 1 for x in got.values() for s in x)
+
+
 def test_isotonic_is_monotone():
     x, y = np.arange(50.0), np.array([rng.random() for _ in range(50)])
     knots, levels = quality.isotonic(x, y, np.ones(50))
