@@ -9,15 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog import EntitySpec
 
-#: Rows of a table up to which a look-up side is broadcast.
-SMALL = 200_000
-
-
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if a bounded count shows that it is small; otherwise the optimiser chooses by size at run time."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def with_project_name(df: DataFrame, projects: DataFrame) -> DataFrame:
     """Each record with its project's name, null where it has none."""
     names = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))

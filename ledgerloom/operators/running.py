@@ -21,11 +21,14 @@ def running_total(events: DataFrame, day: str, order: list[Column], amount: str,
 
 
 def as_of(probes: DataFrame, events: DataFrame, at: str, amount: str, name: str) -> DataFrame:
-    """probes with the sum of amount over all events at or before their time."""
+    """probes with the sum of amount over all events at or before their time.
+
+    Times are summed by day first, so that the window over all of them has a row a day; within a day it goes by time.
+    """
     times = events.groupBy(at).agg(F.sum(amount).alias("_a")).unionByName(probes.select(at).distinct().withColumn("_a", F.lit(0).cast("long")))
-    days = times.groupBy(at).agg(F.sum("_a").alias("_a"))
-    total = F.sum("_a").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    return probes.join(days.select(at, total.alias(name)), at, "left")
+    times = times.groupBy(at).agg(F.sum("_a").alias("_a")).withColumn("_on", F.to_date(at))
+    total = running_total(times, "_on", [F.col(at)], "_a", name)
+    return probes.join(total.select(at, name), at, "left")
 
 
 def drawdown(curve: DataFrame, day: str, order: list[Column]) -> DataFrame:

@@ -1,56 +1,131 @@
-"""Bulk import: column roles from header words, amounts and units, what is new against the store."""
+"""Bulk import: tables of texts become records by their header's words, and what the store has already is left out.
+
+A table is a transactions table if its header has a date, an amount (or what comes in, or goes out) and a description; it is a notes
+table if it has a description and one other column; other tables (sums by day or category) are skipped, so nothing counts twice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import calendar, numbers
+from ledgerloom.functions import calendar
 from ledgerloom.operators import sets
 
-# The header words of each role, in order of claim.
+# The header words of each role, in order of claim; words of kinds; words of rows that sum up; words for nothing.
 ROLES = {
-    "date": ("تاریخ", "date"),
-    "income": ("دریافتی", "واریز", "بستانکار", "درآمد", "deposit", "income"),
-    "expense": ("پرداختی", "برداشت", "بدهکار", "withdrawal", "expense"),
-    "amount": ("مبلغ", "قیمت", "هزینه", "amount"),
-    "description": ("شرح", "بابت", "عنوان", "موضوع", "description"),
-    "category": ("دسته", "category"),
-    "kind": ("نوع", "kind"),
+    "date": ("تاریخ",),
+    "income": ("دریافتی", "واریز", "بستانکار", "درآمد"),
+    "expense": ("پرداختی", "برداشت", "بدهکار"),
+    "amount": ("مبلغ", "قیمت", "هزینه"),
+    "description": ("شرح", "بابت", "عنوان", "موضوع"),
+    "category": ("دسته",),
+    "kind": ("نوع",),
     "counterparty": ("طرف حساب", "طرف", "فروشنده", "گیرنده", "پرداخت به", "دریافت از"),
-    "notes": ("توضیحات", "ملاحظات", "یادداشت", "notes"),
+    "notes": ("توضیحات", "ملاحظات", "یادداشت"),
 }
+SPENT = "بازپرداخت|پرداخت|هزینه|خرید|برداشت|قسط"
+EARNED = "دریافت|درآمد|واریز|تأمین|تامین|قرض|وام|فروش"
+SUM_ROW = r"^(?:جمع|مجموع)(?![\p{L}\p{N}_])"
+NOTHING = ("", "-", "—", "نامشخص", "none", "null")
+TOMAN, RIAL = "تومان", "ریال"
+DAY = r"(1[34]\d\d)\s*[/.-]\s*(\d{1,2})\s*[/.-]\s*(\d{1,2})"
 KEY = ["tx_date", "kind", "amount", "description"]
 
 
 def roles(header: list[str]) -> dict[str, str]:
-    """role -> column: each role claims the first free column whose name holds one of its words."""
+    """role -> column. A word claims the first column with a word that begins with it, unless another role has that column."""
     out: dict[str, str] = {}
     for role, words in ROLES.items():
-        for name in header:
-            if name not in out.values() and any(w in name.lower() for w in words):
-                out[role] = name
+        for word in words:
+            first = next((h for h in header if f" {word}" in f" {h}"), None)
+            if first is not None and first not in out.values():
+                out[role] = first
                 break
     return out
 
 
-def unit_factor(name: str) -> int:
-    """Toman count ten times."""
-    return 10 if "تومان" in name or "toman" in name.lower() else 1
+def table_kind(header: list[str]) -> str:
+    """transactions, notes or skipped, by the roles of a header."""
+    at = roles(header)
+    if "date" in at and "description" in at and at.keys() & {"amount", "income", "expense"}:
+        return "transactions"
+    named = [h for h in header if h]
+    return "notes" if "description" in at and not at.keys() & {"date", "amount"} and len(named) >= 2 else "skipped"
+
+
+def find_header(rows: list[list[str]]) -> tuple[int, str]:
+    """Of a table's first six rows the one that is the header, and the table's kind; a transactions header goes first."""
+    kinds = [table_kind(r) for r in rows[:6]]
+    for kind, at in (("transactions", 0), ("notes", -1)):
+        found = [i for i, k in enumerate(kinds) if k == kind]
+        if found:
+            return found[at], kind
+    return -1, "skipped"
+
+
+def unit_factor(header: str) -> float:
+    """To rial: toman count ten times."""
+    return 10.0 if TOMAN in header else 1.0
+
+
+def squeezed(column: str) -> Column:
+    """A cell as text with single blanks; null if there's nothing in it."""
+    return F.nullif(F.trim(F.regexp_replace(F.col(f"`{column}`").cast("string"), r"\s+", " ")), F.lit(""))
 
 
-def read_rows(raw: DataFrame) -> DataFrame:
-    """Records (tx_date, kind, amount, description, category) of a table of texts, by its header's roles.
+def number(column: Column) -> Column:
+    """The first number of a text."""
+    plain = F.regexp_replace(calendar.fold_digits(column), "[٬،,]", "")
+    return F.bround(F.nullif(F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0), F.lit("")).cast("double"), 0)
 
-    Rows without an amount, or with 0, are left out; a negative amount turns the kind over unless a column gives it.
+
+def read_rows(raw: DataFrame, title: str = "") -> DataFrame:
+    """Records (tx_date, kind, amount, category, counterparty, description, guessed) of a transactions table of texts.
+
+    Rows that sum up, and those without a description or with no amount, are left out. A kind comes from the kind column's words,
+    else from the table's title; a negative amount turns it over where there is no such column. A description takes in the columns
+    of no role, the notes, and a date that can't be read whole. Rows without a date get the day before the earliest one.
     """
     at = roles(raw.columns)
-    get = lambda role: numbers.blank_to_null(F.col(f"`{at[role]}`").cast("string")) if role in at else F.lit(None).cast("string")
-    number = lambda role: F.coalesce(numbers.to_real(get(role)), F.lit(0.0)) * unit_factor(at.get(role, ""))
-    signed: Column = number("income") - number("expense") if "income" in at or "expense" in at else -number("amount")
-    kind = F.when(get("kind").isNotNull(), get("kind")).when(signed > 0, "income").otherwise("expense")
-    out = raw.select(calendar.normalize_date(get("date")).alias("tx_date"), kind.alias("kind"), F.bround(F.abs(signed)).cast("long").alias("amount"), F.substring(get("description"), 1, 500).alias("description"), get("category").alias("category"))
-    return out.filter("amount > 0 AND description IS NOT NULL")
+    get = lambda role: squeezed(at[role]) if role in at else F.lit(None).cast("string")
+    default = "income" if any(w in title for w in ("دریافت", "درآمد", "واریز")) else "expense"
+    text = F.coalesce(F.regexp_replace(get("kind"), "\u200c", " "), F.lit(""))
+    said = F.when(text.rlike(SPENT), "expense").when(text.rlike(EARNED), "income").otherwise(default)
+    if at.keys() & {"income", "expense"}:
+        up, down = number(get("income")), number(get("expense"))
+        earned = F.coalesce(up != 0, F.lit(False))
+        value = F.when(earned, up * unit_factor(at.get("income", ""))).otherwise(down * unit_factor(at.get("expense", "")))
+        said = F.when(earned, "income").otherwise("expense")
+    else:
+        value = number(get("amount")) * unit_factor(at["amount"])
+    if "kind" not in at:
+        said = F.when(value >= 0, said).otherwise(F.when(said == "income", "expense").otherwise("income"))
+    when = get("date")
+    part = lambda i: F.nullif(F.regexp_extract(calendar.fold_digits(when), DAY, i), F.lit(""))
+    day = calendar.normalize_date(F.concat_ws("/", *map(part, (1, 2, 3))))
+    extra = [F.when(~F.lower(squeezed(c)).isin(*NOTHING), F.concat(F.lit(f"{c}: "), squeezed(c))) for c in raw.columns if c and c not in at.values()]
+    unread = F.when(when.isNotNull() & (day.isNull() | when.rlike("[آ-ی]")), F.concat(F.lit("تاریخ در فایل: "), when))
+    out = raw.select(
+        day.alias("_day"), said.alias("kind"), F.bround(F.abs(value)).cast("long").alias("amount"), F.coalesce(get("category"), get("kind")).alias("category"),
+        get("counterparty").alias("counterparty"), get("description").alias("_first"), F.substring(F.concat_ws(" — ", get("description"), *extra, get("notes"), unread), 1, 500).alias("description"),
+    ).filter(F.col("_first").isNotNull() & ~F.col("_first").rlike(SUM_ROW) & (F.col("amount") > 0))
+    before = out.agg(calendar.jalali_text(F.date_sub(calendar.parse(F.min("_day")), 1)).alias("_before"))  # one row
+    dated = out.crossJoin(F.broadcast(before))
+    return dated.select(F.coalesce("_day", "_before").alias("tx_date"), "kind", "amount", "category", "counterparty", "description", F.col("_day").isNull().alias("guessed"))
+
+
+def read_notes(raw: DataFrame) -> DataFrame:
+    """title and content of a notes table: its description column, and the first other one with a name."""
+    at = roles(raw.columns)
+    other = next((c for c in raw.columns if c and c != at["description"]), None)
+    content = F.coalesce(squeezed(other), F.lit("")) if other else F.lit("")
+    return raw.select(F.substring(squeezed(at["description"]), 1, 200).alias("title"), content.alias("content")).filter("title IS NOT NULL")
+
+
+def new_notes(notes: DataFrame, stored: DataFrame) -> DataFrame:
+    """Notes whose title the store doesn't have; those of one title within the file all stay."""
+    return notes.join(stored.select("title").distinct(), "title", "left_anti")
 
 
 def new_rows(file: DataFrame, stored: DataFrame) -> DataFrame:
@@ -59,5 +134,5 @@ def new_rows(file: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def preview(rows: DataFrame) -> DataFrame:
-    """Totals by category (of expenses) and kind, with the span of dates."""
+    """Totals by kind and, of expenses, category, with the span of dates."""
     return rows.groupBy("kind", F.when(F.col("kind") == "expense", F.col("category")).alias("category")).agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n"), F.min("tx_date").cast("string").alias("first_day"), F.max("tx_date").cast("string").alias("last_day"))

@@ -1,19 +1,21 @@
 """The document queue as a stream: files arrive, each content is processed once, failures are retried and then set aside.
 
-Each micro-batch is one foreachBatch call that drops contents it has seen (an anti-join with the output's digests), processes
-page by page and appends. A batch that runs again after a crash finds its own output and adds nothing.
+Each micro-batch is one foreachBatch call that drops contents that other batches have (an anti-join with their digests), processes
+page by page and writes its documents and chunks under its own number. A batch that runs again after a crash writes the same again.
+Null texts are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ledgerloom.functions import text as T
+from ledgerloom.shipping import ship
 
 ATTEMPTS = 3
 
@@ -39,12 +41,14 @@ def run_queue(source: DataFrame, out: str, checkpoint: str, page_of: Callable[[D
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        done = existing(spark, f"{out}/documents", "sha string, batch long").select("sha").distinct()
-        new = df.withColumn("sha", F.sha2("text", 256)).dropDuplicates(["sha"]).join(done, "sha", "left_anti").persist()
+        ship(spark)
+        known = existing(spark, f"{out}/documents", "sha string, batch long")
+        done = known.filter(F.col("batch") != number).select("sha").distinct()
+        texts = df.filter("text IS NOT NULL").withColumn("sha", F.sha2("text", 256))
+        new = texts.dropDuplicates(["sha"]).join(done, "sha", "left_anti").persist()
         try:
-            chunks = process(new.filter("text IS NOT NULL AND trim(text) <> ''"), page_of)
-            chunks.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}-")
-            new.select("sha", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(f"{out}/documents")
+            process(new.filter("trim(text) <> ''"), page_of).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+            new.select("sha").write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
         finally:
             new.unpersist()
 
@@ -62,6 +66,24 @@ def retry(pages: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.col("attempts") < ATTEMPTS), rows.filter(F.col("attempts") >= ATTEMPTS)
 
 
+def in_order(queue: DataFrame) -> DataFrame:
+    """The order of work: documents begun first, then the smaller ones. queue: id, status, pages_done, size."""
+    waiting = queue.filter(F.col("status").isin("queued", "processing"))
+    return waiting.orderBy((F.col("status") != "processing").asc(), F.col("size").asc_nulls_last(), "id")
+
+
+def outdated(documents: DataFrame, version: int) -> DataFrame:
+    """Finished documents that an older version of the analysis has read; once read again they carry the new one."""
+    return documents.filter((F.col("status") == "ready") & (F.coalesce("version", F.lit(0)) < version))
+
+
+def without_vectors(chunks: DataFrame) -> DataFrame:
+    """Chunks to embed: those of finished documents that have no vector yet, in order, numbered into batches of 64."""
+    rows = chunks.filter("vec IS NULL AND status = 'ready'")
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "seq"))
+    return rows.withColumn("batch", F.floor((at - 1) / 64).cast("int"))
+
+
 def reminders(tasks: DataFrame, sent: DataFrame, now: str) -> DataFrame:
     """Tasks to remind now: due, open, and not among those sent. Appending the result to sent makes each go out once."""
     due = tasks.filter((F.col("remind_at") <= F.lit(now)) & F.col("status").isin("todo", "doing", "waiting"))

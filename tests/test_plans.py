@@ -60,18 +60,52 @@ def test_trade_metrics_with_partial_exits(spark):
     assert b.risk is None and b.status == "open" and b.result is None and b.net == 0
 
 
+def test_each_exit_has_its_own_net(spark):
+    schema = "id int, side string, entry_price double, margin double, leverage double, entry_fee double, sl double, tp double, opened_at date, exits array<struct<price:double,pct:double,fee:double,at:date>>"
+    day = datetime.date(2024, 1, 1)
+    trade = [(1, "long", 100.0, 1000.0, 1.0, 0.0, 0.0, 0.0, day, [(120.0, 50.0, None, day), (90.0, 50.0, None, None)])]
+    made = journal.metrics(spark.createDataFrame(trade, schema))
+    none = spark.createDataFrame([], "id long, day date, amount long")
+    assert sorted(r.amount for r in journal.events(made, none).collect()) == [-5000, 10000]
+    assert made.first().net == 50.0
+
+
 def test_streaks_break_even_is_a_run(spark):
     results = ["win", "win", "be", "win", "loss", "loss", "loss", "win"]
     rows = spark.createDataFrame([(1, i, r) for i, r in enumerate(results)], "g int, ord int, result string")
     assert {r.result: r.longest for r in running.streaks(rows, ["g"], [F.col("ord")], "result").collect()} == {"win": 2, "be": 1, "loss": 3}
 
 
-def test_import_roles_and_signs(spark):
-    raw = spark.createDataFrame([("1403/01/02", "100", "", "a"), ("1403/01/03", "", "۲۰", "b"), ("1403/01/03", "", "", "c")], "`تاریخ` string, `واریز تومان` string, `برداشت` string, `شرح` string")
+def frame(spark, header, *rows):
+    return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"`{h}` string" for h in header))
+
+
+def test_import_of_two_amount_columns(spark):
+    raw = frame(spark, ["تاریخ", "شرح", "واریز (تومان)", "برداشت (ریال)"], ("1403/01/02", "a", "100", ""), ("1403/01/03", "b", "", "۲۰"), ("1403/01/03", "c", "", ""))
     got = [(r.tx_date, r.kind, r.amount, r.description) for r in importing.read_rows(raw).orderBy("description").collect()]
     assert got == [("1403/01/02", "income", 1000, "a"), ("1403/01/03", "expense", 20, "b")]
 
 
+def test_import_kinds_totals_and_dateless_rows(spark):
+    spent = frame(spark, ["تاریخ", "شرح هزینه", "مبلغ (تومان)", "دسته‌بندی", "خودرو", "توضیحات"], ("۱۴۰۵/۰۶/۰۱", "سرویس روغن", "5000000", "خودرو", "پراید", "فیلتر هوا"), ("۱۴۰۵/۰۶/۰۲", "نان", "250000", "خوراک", None, None), ("۱۴۰۵/۰۶/۰۳", "بنزین", "-60000", "خودرو", "نامشخص", None), (None, "جمع کل", "99", None, None, None))
+    got = {r.description: r for r in importing.read_rows(spent, "ریز هزینه‌ها").collect()}
+    assert set(got) == {"سرویس روغن — خودرو: پراید — فیلتر هوا", "نان", "بنزین"}
+    assert got["بنزین"].kind == "income" and got["نان"].amount == 2_500_000 and got["نان"].kind == "expense"
+    loans = frame(spark, ["تاریخ", "شرح", "مبلغ (تومان)", "نوع", "توضیحات"], ("۱۴۰۵/۰۶/۰۵", "از خانواده", "3000000", "تأمین مالی دریافتی", None), ("تاریخ دقیق نامشخص؛ ماه قبل", "قرض قبلی", "1000000", "بدهی/قرض دریافتی", None), ("۱۴۰۵/۰۶/۰۶", "بدهی", "500000", "بازپرداخت بدهی", None))
+    rows = {r.description.split(" — ")[0]: r for r in importing.read_rows(loans).collect()}
+    assert [rows[k].kind for k in ("از خانواده", "قرض قبلی", "بدهی")] == ["income", "income", "expense"]
+    assert rows["قرض قبلی"].tx_date == "1405/06/04" and rows["قرض قبلی"].guessed and "تاریخ دقیق نامشخص" in rows["قرض قبلی"].description
+
+
+def test_import_tells_tables_apart(spark):
+    assert importing.table_kind(["تاریخ", "جمع هزینه (تومان)"]) == importing.table_kind(["دسته‌بندی", "جمع (تومان)"]) == "skipped"
+    assert importing.find_header([["a", "b"], ["تاریخ", "شرح", "مبلغ"]]) == (1, "transactions") and importing.find_header([["x"]]) == (-1, "skipped")
+    notes = frame(spark, ["موضوع", "جزئیات"], ("یادآوری", " در  پاییز"), (None, "x"))
+    assert importing.table_kind(notes.columns) == "notes"
+    found = importing.read_notes(notes)
+    assert [tuple(r) for r in found.collect()] == [("یادآوری", "در پاییز")] and importing.new_notes(found, found).count() == 0
+
+
 def test_free_text_wildcards_and_ascii_case(spark):
     rows = spark.createDataFrame([("Alpha_1",), ("ALPHA-2",), ("É",), (None,)], "name string")
     find = lambda t: rows.filter(listing.free_text(("name",), t)).count()
@@ -107,10 +141,32 @@ def test_queue_is_exactly_once_and_resumes(spark, tmp_path):
     spark.createDataFrame([("Another text, with words.",), ("One text. It has words.",)], "text string").write.mode("append").json(source)
     for _ in range(2):
         queue.run_queue(queue.file_stream(spark, source), out, mark).awaitTermination()
-    chunks = spark.read.parquet(f"{out}/chunks/*")
+    chunks = spark.read.parquet(f"{out}/chunks")
     assert sorted(r.chunk for r in chunks.collect()) == ["Another text, with words.", "One text. It has words."]
 
 
+def test_a_replayed_batch_writes_the_same(spark, tmp_path):
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    spark.createDataFrame([(f"Text number {i}. It has words.",) for i in range(5)] + [(None,)], "text string").write.json(source)
+    run = lambda: queue.run_queue(queue.file_stream(spark, source), out, mark).awaitTermination()
+    count = lambda: (spark.read.parquet(f"{out}/documents").count(), spark.read.parquet(f"{out}/chunks").count())
+    run()
+    first = count()
+    for f in (tmp_path / "mark" / "commits").iterdir():  # as after a crash before the commit
+        f.unlink()
+    run()
+    assert first == count() == (5, 5)
+
+
+def test_order_of_work_versions_and_vectors(spark):
+    rows = [(1, "queued", 5, 0), (2, "queued", 3, 0), (3, "processing", 9, 1), (4, "ready", 1, None), (5, "ready", 1, 7)]
+    docs = spark.createDataFrame(rows, "id int, status string, size int, version int")
+    assert [r.id for r in queue.in_order(docs).collect()] == [3, 2, 1]
+    assert [r.id for r in queue.outdated(docs, 7).collect()] == [4]
+    chunks = spark.createDataFrame([(1, 1, i, None if i < 70 else [1.0], "ready") for i in range(80)] + [(2, 1, 0, None, "queued")], "doc_id int, page int, seq int, vec array<float>, status string")
+    assert {r["batch"]: r["count"] for r in queue.without_vectors(chunks).groupBy("batch").count().collect()} == {0: 64, 1: 6}
+
+
 def test_retries_and_reminders(spark):
     pages = spark.createDataFrame([("a", 1), ("a", 2)], "sha string, page int")
     failures = spark.createDataFrame([("a", 2)] * 3, "sha string, page int")
