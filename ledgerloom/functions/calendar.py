@@ -33,8 +33,9 @@ def jalali_parts(date: Column) -> tuple[Column, Column, Column]:
 
 
 def jalali_text(date: Column) -> Column:
+    """YYYY/MM/DD of a DATE; null for null."""
     y, m, d = jalali_parts(date)
-    return F.format_string("%04d/%02d/%02d", y, m, d)
+    return F.when(date.isNotNull(), F.format_string("%04d/%02d/%02d", y, m, d))
 
 
 def from_parts(year: Column, month: Column, day: Column) -> Column:
@@ -90,3 +91,38 @@ def weekday_name(date: Column) -> Column:
 def long_text(date: Column) -> Column:
     y, m, d = jalali_parts(date)
     return F.concat_ws(" ", weekday_name(date), d.cast("string"), F.element_at(F.array(*map(F.lit, MONTHS)), m), y.cast("string"))
+
+
+def exchange_time(text: Column) -> Column:
+    """A time of a trade as YYYY-MM-DD HH:MM; years under 1700 are Solar-Hijri; without a clock it is 00:00."""
+    plain = F.translate(fold_digits(F.trim(text)), "/T", "- ")
+    shape = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:\s+(\d{1,2}):(\d{2}))?"
+    y, m, d, hour, minute = (F.nullif(F.regexp_extract(plain, shape, i), F.lit("")).cast("int") for i in range(1, 6))
+    own = F.when(m.between(1, 12) & d.between(1, 31), F.when(y < 1700, from_parts(y, m, d)).otherwise(F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")))
+    clock = F.format_string("%02d:%02d", F.coalesce(hour, F.lit(0)), F.coalesce(minute, F.lit(0)))
+    return F.when(own.isNotNull(), F.concat_ws(" ", F.date_format(own, "yyyy-MM-dd"), clock))
+
+
+def add_days(text: Column, days: Column) -> Column:
+    """A canonical text some days later."""
+    return jalali_text(F.date_add(parse(text), days))
+
+
+def days_until(text: Column, as_of: Column) -> Column:
+    """Days from one canonical text's day to another's."""
+    return F.datediff(parse(text), parse(as_of))
+
+
+def end_of(start: Column, n: Column, unit: Column) -> Column:
+    """The end of a duration from a canonical text on: units are day, week, month and year; the day before the same day."""
+    y, m, d = (F.substring(start, a, k).cast("int") for a, k in ((1, 4), (6, 2), (9, 2)))
+    later = F.format_string("%04d/%02d/%02d", *add_months(y, m, d, n * F.when(unit == "year", 12).otherwise(1)))
+    return F.when(unit.isin("month", "year"), later).when(unit.isin("day", "week"), add_days(start, (n * F.when(unit == "week", 7).otherwise(1)).cast("int")))
+
+
+def period(name: str, today: str) -> tuple[str | None, str | None]:
+    """First and last day, as canonical texts, of month, previous, quarter, year or all, on the driver; the end is one that no day passes."""
+    y, m = int(today[:4]), int(today[5:7])
+    at = lambda k: f"{(y * 12 + m - 1 + k) // 12:04d}/{(y * 12 + m - 1 + k) % 12 + 1:02d}"
+    first, last = {"month": (at(0), at(0)), "previous": (at(-1), at(-1)), "quarter": (at(-2), at(0)), "year": (f"{y:04d}/01", f"{y:04d}/12"), "all": (None, None)}[name]
+    return (f"{first}/01", f"{last}/31") if first else (None, None)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import calendar
 from ledgerloom.operators import sets
 
 
@@ -48,10 +49,7 @@ def deadlines(rows: DataFrame, as_of: Column, n: int = 12) -> DataFrame:
 
 
 def progress(invoices: DataFrame) -> DataFrame:
-    """Invoices of a project in order (number, date, id) with their period's work, total so far and percent of the contract.
-
-    A missing period is the total less the one before; a missing total is the one before plus the period.
-    """
+    """Invoices of a project in order (number, date, id) with their period's work, the total so far and before, and the last marked."""
     order = Window.partitionBy("project_id").orderBy(F.col("no").asc_nulls_last(), F.col("submit_date").asc_nulls_last(), "id")
     so_far = F.sum("work").over(order.rowsBetween(Window.unboundedPreceding, 0))
     seq = F.row_number().over(order)
@@ -67,25 +65,90 @@ def s_curve(points: DataFrame) -> DataFrame:
     return days.withColumns({"x": F.datediff("day", F.min("day").over(w)), "y": y})
 
 
-def alerts(facts: DataFrame, as_of: Column) -> DataFrame:
-    """A project's alerts, as (project_id, rule, severity), all rules over one row of facts each.
+def percent(part: Column, whole: Column) -> Column:
+    return F.round(100 * part / F.nullif(whole, F.lit(0)), 1)
+
 
-    facts: project_id, start_date, end_date, work_pct, claimed, approved, last_invoice, waiting_days, guarantee_until.
+def alerts(facts: DataFrame, guarantees: DataFrame, due: DataFrame, letters: DataFrame, as_of: Column) -> DataFrame:
+    """Control alerts as (project_id, severity, rule, n, ref), to be shown by by_severity().
+
+    facts, a row a project: start_date, end_date, contract_amount, and of the last invoice work, claimed, approved, check_failed,
+    invoice_date, progress; problems of the last report. guarantees: id, project_id, valid_until (an alert each). due: id,
+    project_id, due. letters: id, project_id, waiting_days. n is how many, or by how much; ref the first one's id.
     """
+    c, none = F.col, F.lit(None)
     total, passed = F.datediff("end_date", "start_date"), F.datediff(as_of, "start_date")
-    time = F.least(F.lit(100.0), 100.0 * passed / F.nullif(total, F.lit(0)))
-    gap, left, cut = time - F.col("work_pct"), F.datediff("end_date", as_of), (F.col("claimed") - F.col("approved")) / F.nullif(F.col("claimed"), F.lit(0))
-    guarantee = F.datediff("guarantee_until", as_of)
-    rules: list[tuple[str, Column]] = [
-        ("gap", F.when(gap >= 30, "red").when(gap >= 15, "amber").when(gap <= -10, "info")),
-        ("end", F.when(left < 0, "red").when(left <= 60, "amber")),
-        ("cut", F.when(cut >= 0.03, "amber")),
-        ("invoice", F.when(F.datediff(as_of, "last_invoice") > 60, "amber")),
-        ("guarantee", F.when(guarantee < 0, "red").when(guarantee <= 30, "amber")),
-        ("letters", F.when(F.col("waiting_days") >= 14, "amber")),
+    timed = (total > 0) & (passed > 0)
+    spent = F.when(timed, F.least(F.lit(100.0), percent(passed, total)))
+    money = F.when((c("work") != 0) & (c("contract_amount") != 0), percent(c("work"), c("contract_amount")))
+    gap, age = spent - money, F.datediff(as_of, "invoice_date")
+    cut = F.when((c("approved") != 0) & (c("approved") < c("claimed")), percent(c("claimed") - c("approved"), c("claimed")))
+    apart = F.when(c("progress") != 0, F.abs(c("progress") - money))
+    rules = [
+        ("time", F.when(timed & (passed > total), "red").when(timed & (total - passed <= 60), "amber"), F.abs(total - passed)),
+        ("work", F.when(gap >= 30, "red").when(gap >= 15, "amber").when(gap <= -10, "info"), gap),
+        ("cut", F.when(cut >= 3, "amber"), cut),
+        ("sums", F.when(c("check_failed"), "amber"), none),
+        ("invoice", F.when(age > 60, "amber"), age),
+        ("progress", F.when(apart >= 15, "info"), apart),
+        ("problems", F.when(F.size("problems") > 0, "info"), F.size("problems")),
     ]
-    listed = F.array(*(F.struct(F.lit(n).alias("rule"), s.alias("severity")) for n, s in rules))
-    return facts.select("project_id", F.explode(F.filter(listed, lambda r: r["severity"].isNotNull())).alias("a")).select("project_id", "a.rule", "a.severity")
+    row = lambda rule, severity, n, ref: F.struct(severity.alias("severity"), F.lit(rule).alias("rule"), n.cast("double").alias("n"), ref.cast("long").alias("ref"))
+    listed = F.filter(F.array(*(row(r, s, n, none) for r, s, n in rules)), lambda x: x["severity"].isNotNull())
+    out = [facts.select("project_id", F.explode(listed).alias("a"))]
+    left = F.datediff("valid_until", as_of)
+    out.append(guarantees.select("project_id", row("guarantee", F.when(left < 0, "red").when(left <= 30, "amber"), left, c("id")).alias("a")).filter("a.severity IS NOT NULL"))
+    days = F.datediff("due", as_of)
+    late, soon = (days < 0) & (days >= -60), (days >= 1) & (days <= 7)
+    counts = due.groupBy("project_id").agg(F.count_if(late).alias("l"), F.max_by("id", F.struct(F.when(late, c("due")), F.when(late, -c("id")))).alias("lid"), F.count_if(soon).alias("s"), F.min_by("id", F.when(soon, F.struct("due", "id"))).alias("sid"))
+    for rule, severity, n, ref in (("late", "red", "l", "lid"), ("soon", "amber", "s", "sid")):
+        out.append(counts.filter(c(n) > 0).select("project_id", row(rule, F.lit(severity), c(n), c(ref)).alias("a")))
+    waits = letters.filter("waiting_days >= 14").groupBy("project_id").agg(F.count(F.lit(1)).alias("w"), F.max_by("id", F.struct("waiting_days", -c("id"))).alias("wid"))
+    out.append(waits.select("project_id", row("letters", F.lit("amber"), c("w"), c("wid")).alias("a")))
+    return reduce(DataFrame.unionByName, out).select("project_id", "a.*")
+
+
+SEVERITY = ("red", "amber", "info")
+RULES = ("time", "work", "cut", "sums", "invoice", "progress", "guarantee", "late", "soon", "letters", "problems")
+
+
+def by_severity(alerts_: DataFrame) -> DataFrame:
+    """A project's alerts in order: red, amber, info, and within one by rule; with their place."""
+    rank = lambda x, values: F.array_position(F.array(*map(F.lit, values)), x)
+    w = Window.partitionBy("project_id").orderBy(rank(F.col("severity"), SEVERITY), rank(F.col("rule"), RULES), "ref")
+    return alerts_.withColumn("place", F.row_number().over(w))
+
+
+def library(documents: DataFrame) -> DataFrame:
+    """How many documents and pages there are, and how many are still to be read; one row."""
+    waiting = F.col("status").isin("queued", "processing")
+    return documents.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.count_if(waiting).alias("pending"))
+
+
+def letters_by_month(letters: DataFrame) -> DataFrame:
+    """Letters by Solar-Hijri month, "—" without a date, with how many are late."""
+    month = F.coalesce(F.substring(calendar.jalali_text(F.col("letter_date")), 1, 7), F.lit("—"))
+    return letters.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"))
+
+
+def derived_work(invoices: DataFrame) -> DataFrame:
+    """work_period and work_total of invoices, the missing one of them from the other and work_prev; work_check where all three are
+    there and don't fit within 2 percent."""
+    prev, period, total = (F.col(x) for x in ("work_prev", "work_period", "work_total"))
+    off = F.abs(prev + period - total) > 0.02 * F.abs(total)
+    return invoices.withColumns({"work_check": F.coalesce(off, F.lit(False)), "work_period": F.coalesce(period, total - prev), "work_total": F.coalesce(total, period + prev)})
+
+
+def invoice_records(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Invoices read from documents as records, without those whose number the project has already, or that have no amount.
+
+    The gross amount is the period's work and adjustment, the net amount if these are nothing.
+    """
+    zero = F.lit(0)
+    gross = F.coalesce(F.nullif(F.coalesce("work_period", zero) + F.coalesce("adjustment", zero), zero), F.col("net"))
+    rows = found.withColumns({"gross_amount": gross, "number": F.coalesce("invoice_no", "title"), "status": F.lit("submitted"), "deductions": F.coalesce("deductions", zero)})
+    fresh = rows.filter("project_id IS NOT NULL AND gross_amount IS NOT NULL AND gross_amount <> 0")
+    return fresh.join(stored.select("project_id", "number"), ["project_id", "number"], "left_anti").select("project_id", "number", "gross_amount", "deductions", F.col("net").alias("net_amount"), "status", F.col("doc_date").alias("submit_date"))
 
 
 def story_order(events: DataFrame) -> DataFrame:

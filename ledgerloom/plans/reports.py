@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import calendar
 from ledgerloom.functions.numbers import share
 
 OPEN = ("todo", "doing", "waiting")
@@ -67,6 +68,37 @@ def by_project(transactions: DataFrame, projects: DataFrame) -> DataFrame:
     return sums.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id", "left")
 
 
+def month_of(date: Column) -> Column:
+    """The Solar-Hijri month of a DATE."""
+    return F.substring(calendar.jalali_text(date), 1, 7)
+
+
+def span(transactions: DataFrame) -> DataFrame:
+    """How many there are, and the first and last day."""
+    return transactions.agg(F.count(F.lit(1)).alias("n"), F.min("tx_date").cast("string").alias("first_day"), F.max("tx_date").cast("string").alias("last_day"))
+
+
+def month_to_date(transactions: DataFrame, as_of: str) -> DataFrame:
+    """Sums by kind from the month's first day to as_of; a kind without any has 0."""
+    rows = transactions.filter((F.col("tx_date") >= F.trunc(day(as_of), "month")) & (F.col("tx_date") <= day(as_of)))
+    sums = rows.agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0)).alias(k) for k in ("income", "expense")))
+    return sums.select(F.explode(F.create_map(F.lit("income"), F.col("income"), F.lit("expense"), F.col("expense"))).alias("kind", "total"))
+
+
+def top_categories(transactions: DataFrame, n: int = 5) -> DataFrame:
+    """Expenses of the n largest categories, and of all others together."""
+    sums = transactions.filter("kind = 'expense'").groupBy(F.coalesce("category", F.lit("-")).alias("category")).agg(F.sum("amount").alias("total"))
+    best = sums.orderBy(F.desc("total"), "category").limit(n).select("category", F.lit(True).alias("_best"))
+    named = F.when(F.col("_best"), F.col("category")).otherwise("other")
+    return sums.join(F.broadcast(best), "category", "left").groupBy(named.alias("category")).agg(F.sum("total").alias("total"))  # n rows
+
+
+def month_pivot(transactions: DataFrame) -> DataFrame:
+    """Income and expense by Solar-Hijri month, 0 where there's none."""
+    rows = transactions.select(month_of(F.col("tx_date")).alias("month"), "kind", "amount")
+    return rows.groupBy("month").pivot("kind", ["income", "expense"]).agg(F.sum("amount")).na.fill(0, ["income", "expense"])
+
+
 def overview(projects: DataFrame, tasks: DataFrame, invoices: DataFrame, transactions: DataFrame) -> DataFrame:
     """Each project's task counts, invoice sums, income and expense, and the billed share of its contract."""
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -87,14 +119,13 @@ def time_progress(start: Column, end: Column, as_of: Column) -> Column:
 
 
 def due_reminders(tasks: DataFrame, at: str, as_of: str) -> DataFrame:
-    """Open tasks whose reminder time has come and that have not been reminded."""
-    return tasks.filter((F.col(at) <= F.lit(as_of)) & F.col("status").isin(*OPEN))
+    """Open tasks whose reminder time has come and that have not been reminded (column reminded, where the table has it)."""
+    fresh = F.coalesce("reminded", F.lit(0)) == 0 if "reminded" in tasks.columns else F.lit(True)
+    return tasks.filter((F.col(at) <= F.lit(as_of)) & F.col("status").isin(*OPEN) & fresh)
 
 
 def daily_brief(tasks: DataFrame, activity_: DataFrame, invoices: DataFrame, as_of: str, stale_days: int = 3, waiting_days: int = 30) -> DataFrame:
     """Lines of a day's brief: (section, ord, text), at most 10 tasks of a bucket and 8 of each other kind."""
-    from pyspark.sql import Window
-
     t = task_buckets(tasks, as_of).select(F.col("bucket").alias("section"), F.col("title").alias("text"), F.col("due_date").alias("at"), F.col("id"))
     stale = activity_.filter((F.col("status") == "active") & (F.col("last_report").isNull() | (F.datediff(day(as_of), "last_report") >= stale_days))).select(F.lit("stale").alias("section"), F.col("name").alias("text"), F.col("last_report").alias("at"), F.col("project_id").alias("id"))
     late = invoices.filter(F.col("status").isin("submitted", "reviewing") & (F.datediff(day(as_of), "submit_date") > waiting_days)).select(F.lit("waiting").alias("section"), F.col("number").alias("text"), F.col("submit_date").alias("at"), "id")

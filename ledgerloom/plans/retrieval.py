@@ -8,11 +8,14 @@ higher-order functions; hits are cut to the best before any sort of the whole.
 from __future__ import annotations
 
 import math
-from functools import partial, reduce
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as T
+
 K1, B, FUSION = 1.2, 0.75, 60
 
 
@@ -21,20 +24,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def fits(term: str, word: Column) -> Column:
-    """Terms of 3 letters and more match by prefix."""
-    return word.startswith(term) if len(term) >= 3 else word == term
-
-
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score of the documents that hold any term; larger is better.
 
-    A prefix term counts all its words as one term; idf has a floor of 1e-6. One scan: each document gives its length and a
-    count for each term, a single row aggregates the corpus, and joins back to the hits as scalars.
+    A prefix term counts all its words as one term; idf has a floor of 1e-6. Words are counted in the text by patterns; a single row
+    aggregates the corpus, and joins back to the hits as scalars.
     """
-    words = words_of(F.col(text))
-    counts = [F.size(F.filter(F.col("_w"), partial(fits, t))).alias(f"_t{i}") for i, t in enumerate(terms)]
-    rows = docs.select(key, words.alias("_w")).select(key, F.size("_w").alias("_len"), *counts)
+    low, inside = F.lower(F.col(text)), r"[\p{L}\p{N}]"
+    shape = lambda t: rf"(?<!{inside}){re.escape(t)}" + ("" if len(t) >= 3 else rf"(?!{inside})")
+    counts = [F.coalesce(F.regexp_count("_low", F.lit(shape(t))), F.lit(0)).alias(f"_t{i}") for i, t in enumerate(terms)]
+    rows = docs.select(key, low.alias("_low")).select(key, F.coalesce(F.regexp_count("_low", F.lit(rf"{inside}+")), F.lit(0)).alias("_len"), *counts)
     about = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_t{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
     hits = rows.filter(reduce(lambda a, b: a | b, (F.col(f"_t{i}") > 0 for i in range(len(terms))))).crossJoin(F.broadcast(about))  # one row
 
@@ -103,18 +102,95 @@ def answer(docs: DataFrame, terms: list[str], n: int = 4) -> DataFrame:
     return once.crossJoin(F.broadcast(best)).filter(F.col("score") >= F.greatest(F.lit(1.0), F.col("best") / 2)).orderBy(F.desc("score"), "norm").limit(n).select("f.doc_id", "f.sentence", "score")
 
 
+# Words that tell a sentence's weight, and beginnings of lines that are no sentences.
+CUES = """خواهشمند مقرر ابلاغ لازم موظف تمدید تاخیر پرداخت درخواست اعلام تایید موافقت الزام جریمه خسارت تحویل شروع پایان اتمام مبلغ مدت تعهد
+    اصلاح shall amend extension payment completion""".split()
+HEADERS = r"^(?:شماره|تاریخ|پیوست|موضوع|رونوشت|جناب|سرکار|امضا|نام\s|ردیف|صفحه|مدیرعامل|ریاست|نشانی|آدرس|تلفن|کد\s+پستی|حاضرین|غایبین|مدعوین|دستور\s+جلسه)"
+LEAD = r"^\s*(?:\d{1,2}\s*[-.)]|[-•*]|(?:ماده|بند|تبصره)\s*\d{1,3}\s*[-–:.)]?)\s*"
+CUT = 280
+
+
+def cut_short(text: Column, most: int = CUT) -> Column:
+    """A text of at most this many characters, cut at a word."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s\S*$", ""), F.lit("…")))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, pos and sentence of what a summary may hold: 6 to 80 words, no heading, few numbers, readable."""
+    s = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).withColumn("sentence", F.regexp_replace("sentence", LEAD, ""))
+    words = F.split(F.trim("sentence"), r"\s+")
+    numbers = F.size(F.filter(words, lambda w: ~w.rlike(r"\p{L}")))
+    s = s.filter(F.size(words).between(6, 80) & ~F.col("sentence").rlike(HEADERS) & (numbers <= 0.3 * F.size(words)))
+    return T.with_quality(s, "sentence", "_q").filter("_q.plausible >= 0.6 AND _q.score >= 0.7").drop("_q")
+
+
 def summary(docs: DataFrame, n: int = 4) -> DataFrame:
-    """Of each document its n most telling sentences, in order: words shared with other sentences, earlier sentences first.
+    """Of each document its n most telling sentences, in order, cut at 280 characters.
 
-    Frequencies are counted by document and word, so a long document spreads over tasks.
+    A sentence weighs what its stems count in the document's candidates, (sum of df) / stems^0.6, more with up to three cue words,
+    and more towards the beginning. Frequencies are counted by document and stem, so a long document spreads over tasks.
     """
-    s = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-    s = s.withColumn("terms", F.array_distinct(F.filter(words_of(F.col("sentence")), lambda w: F.length(w) > 2))).filter(F.size("terms") >= 3)
-    words = s.select("doc_id", "pos", F.size("terms").alias("u"), F.explode("terms").alias("w"))
+    s = candidates(docs)
+    plain = T.normalize_plain(F.col("sentence"))
+    kept = F.filter(T.tokens(plain), lambda w: (F.length(w) > 2) & ~w.isin(*T.FA_STOP, *T.EN_STOP) & ~w.rlike("^[0-9]+$"))
+    cues = F.least(F.lit(3), reduce(lambda a, b: a + b, (plain.contains(c).cast("int") for c in CUES)))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    s = s.withColumns({"terms": F.array_distinct(F.transform(kept, T.stem)), "cues": cues, "k": F.row_number().over(order) - 1, "m": F.count(F.lit(1)).over(Window.partitionBy("doc_id"))})
+    words = s.select("doc_id", "pos", F.explode("terms").alias("w"))
     df = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("df"))
-    last = s.groupBy("doc_id").agg(F.max("pos").alias("last"))
-    scored = words.join(df, ["doc_id", "w"]).groupBy("doc_id", "pos", "u").agg(F.sum("df").alias("f")).join(last, "doc_id")
-    score = F.col("f") / F.pow(F.col("u").cast("double"), F.lit(0.6)) * (1.25 - 0.4 * F.col("pos") / (F.col("last") + 1))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))
-    kept = scored.withColumn("score", score).withColumn("r", rank).filter(F.col("r") <= n)
-    return kept.join(s.select("doc_id", "pos", "sentence"), ["doc_id", "pos"]).select("doc_id", "pos", "sentence")
+    found = words.join(df, ["doc_id", "w"]).groupBy("doc_id", "pos").agg(F.sum("df").alias("f"))
+    size = F.pow(F.greatest(F.lit(1), F.size("terms")).cast("double"), F.lit(0.6))
+    score = F.coalesce("f", F.lit(0)) / size * (1 + 0.35 * F.col("cues")) * (1.25 - 0.4 * F.col("k") / F.col("m"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("pos")))
+    scored = s.join(found, ["doc_id", "pos"], "left").withColumn("score", F.round(score, 9)).withColumn("r", rank)
+    return scored.filter(F.col("r") <= n).select("doc_id", "pos", cut_short(F.col("sentence")).alias("sentence"))
+
+
+def index_chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, page, seq, text and method of every chunk: pages of the texts, chunked; the first chunk of page 1 is known by its title too."""
+    pages = docs.select("doc_id", *(["title"] if "title" in docs.columns else [F.lit(None).cast("string").alias("title")]), F.posexplode(T.virtual_pages(F.col("text"))).alias("page", "body"))
+    rows = pages.select("doc_id", "title", (F.col("page") + 1).alias("page"), F.posexplode(T.chunks(F.col("body"))).alias("seq", "text"))
+    known = F.when((F.col("page") == 1) & (F.col("seq") == 0), F.concat_ws(" ", "title", "text")).otherwise(F.col("text"))
+    return rows.withColumn("indexed", known).withColumn("chunk_id", F.concat_ws("-", "doc_id", "page", "seq")).drop("title")
+
+
+def one_for_each_page(hits: DataFrame, limit: int) -> DataFrame:
+    """The best hit of each page, the best `limit` of these. hits: chunk_id, doc_id, page, score."""
+    rank = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("score"), "chunk_id"))
+    return hits.withColumn("_r", rank).filter("_r = 1").drop("_r").orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
+def search(chunks: DataFrame, terms: list[str], near: DataFrame | None = None, limit: int = 6) -> DataFrame:
+    """Hits of a question among chunks (of index_chunks()): BM25, fused with vector hits (chunk_id, score) where there are some.
+
+    Both lists have max(5 * limit, 40) entries; the best 3 * limit of the fused ones meet their chunks, and a page counts once.
+    """
+    pool = max(5 * limit, 40)
+    words = top(bm25(chunks.filter("indexed IS NOT NULL"), terms, "chunk_id", "indexed"), pool, "chunk_id")
+    none = words.limit(0)
+    fused = fuse(words, near if near is not None else none, "chunk_id", 3 * limit)
+    hits = chunks.select("chunk_id", "doc_id", "page", "text").join(F.broadcast(fused), "chunk_id")  # 3 * limit rows
+    return one_for_each_page(hits, limit).withColumn("score", F.round("score", 5))
+
+
+def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id and doc_id of the documents that hold a passage whole, as it stands.
+
+    A word inside a passage, with other signs on both sides, is a whole word of each text that holds it. So the longest such word of
+    a passage names the candidates, and the whole passage is then looked for in these. Passages without one (of one or two words,
+    or of one script that doesn't part words) are compared with all texts: they are the side that is sent to the others.
+    """
+    words = lambda c: F.split(c, r"[^\p{L}\p{N}]+")
+    edge = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[\p{L}\p{N}]+", ""), r"[\p{L}\p{N}]+$", "")
+    known = items.filter("text IS NOT NULL").select("item_id", F.col("text").alias("passage")).distinct()
+    inner = F.filter(words(edge(F.col("passage"))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = known.withColumn("k", longest)
+    named = keyed.filter("k IS NOT NULL")
+    # a document gives one row for each of its words that is a key
+    keys = named.select("k").distinct()
+    has = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("k")).join(keys, "k", "left_semi")
+    pairs = has.join(named, "k").select("item_id", "doc_id", "passage")
+    first = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    short = keyed.filter("k IS NULL").select("item_id", "passage")
+    return first.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")).distinct()

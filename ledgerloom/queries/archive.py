@@ -9,6 +9,7 @@ from ledgerloom.plans import archive as A
 from ledgerloom.plans import extraction as E
 from ledgerloom.plans.reports import day
 from ledgerloom.queries.book import Book
+from ledgerloom.queries.reports import jalali
 
 BOOK = Book()
 AS_OF, LATE = "2024-02-15", "1998-06-15"
@@ -66,10 +67,10 @@ def header_vote(b):
 @BOOK.add("boilerplate_lines", """
 WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM l GROUP BY source),
 o AS (SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM l WHERE length(line) > 0 GROUP BY ALL)
-SELECT o.source, line, on_pages FROM o JOIN n ON o.source = n.source WHERE on_pages >= greatest(3, pages // 10)""")
+SELECT o.source, line, on_pages FROM o JOIN n ON o.source = n.source WHERE on_pages >= greatest(3, pages // 3)""")
 def boilerplate_lines(b):
     rows = b.table("documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return A.boilerplate(rows, "source", "doc_id", "line", 10)
+    return A.boilerplate(rows, "source", "doc_id", "line")
 
 
 DUE = "SELECT id, project_id, CAST(due_date + CAST(id % 90 AS INT) AS DATE) AS due FROM tasks WHERE due_date IS NOT NULL AND status <> 'done'"
@@ -109,27 +110,74 @@ def s_curve(b):
     return A.s_curve(points).select("project_id", F.col("day").cast("string").alias("day"), "x", "y")
 
 
+FACTS = f"""li AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY submit_date DESC, id DESC) AS r FROM invoices WHERE submit_date <= DATE '{LATE}') WHERE r = 1),
+w AS (SELECT project_id, min(submit_date) AS s, max(submit_date) AS e, CAST(sum(gross_amount - deductions) AS DOUBLE) AS work FROM invoices GROUP BY project_id),
+f AS (SELECT w.project_id, w.s, CAST(w.e - CAST(w.project_id % 2000 AS INT) AS DATE) AS e, w.work, CAST(p.contract_amount AS DOUBLE) * 40 AS amount, CAST(li.gross_amount AS DOUBLE) AS claimed, CAST(li.approved_amount AS DOUBLE) AS approved,
+  li.id % 6 = 0 AS bad, li.submit_date AS li, CAST(li.id % 90 AS DOUBLE) AS prog, w.project_id % 4 AS probs FROM w LEFT JOIN li USING (project_id) LEFT JOIN projects p ON p.id = w.project_id)"""
+DUES = f"d AS ({DUE}), x AS (SELECT *, CAST(due - DATE '{LATE}' AS INT) AS days FROM d)"
+
+
 @BOOK.add("control_alerts", f"""
-WITH f AS (SELECT project_id, min(submit_date) AS s, max(submit_date) AS e, CAST(sum(gross_amount) AS DOUBLE) AS claimed, CAST(sum(coalesce(approved_amount, net_amount, 0)) AS DOUBLE) AS approved,
-  100.0 * count(*) FILTER (status = 'paid') / count(*) AS work_pct, max(CASE WHEN submit_date <= DATE '{LATE}' THEN submit_date END) AS li FROM invoices GROUP BY project_id),
-g AS (SELECT *, least(100.0, 100.0 * CAST(DATE '{LATE}' - s AS DOUBLE) / nullif(e - s, 0)) - work_pct AS gap, e - DATE '{LATE}' AS lft, (claimed - approved) / nullif(claimed, 0) AS cut FROM f)
-SELECT project_id, rule, severity FROM (
- SELECT project_id, 'gap' AS rule, CASE WHEN gap >= 30 THEN 'red' WHEN gap >= 15 THEN 'amber' WHEN gap <= -10 THEN 'info' END AS severity FROM g UNION ALL
- SELECT project_id, 'end', CASE WHEN lft < 0 THEN 'red' WHEN lft <= 60 THEN 'amber' END FROM g UNION ALL SELECT project_id, 'cut', CASE WHEN cut >= 0.03 THEN 'amber' END FROM g UNION ALL
- SELECT project_id, 'invoice', CASE WHEN DATE '{LATE}' - li > 60 THEN 'amber' END FROM g UNION ALL SELECT project_id, 'guarantee', CASE WHEN lft < 0 THEN 'red' WHEN lft <= 30 THEN 'amber' END FROM g UNION ALL
- SELECT project_id, 'letters', CASE WHEN project_id % 30 >= 14 THEN 'amber' END FROM g) WHERE severity IS NOT NULL""", ("invoices",))
+WITH {FACTS}, {DUES}, g AS (SELECT *, e - s AS total, DATE '{LATE}' - s AS passed FROM f),
+h AS (SELECT *, CASE WHEN total > 0 AND passed > 0 THEN least(100.0, round(100.0 * passed / total, 1)) END AS spent, CASE WHEN work <> 0 AND amount <> 0 THEN round(100 * work / amount, 1) END AS fin FROM g),
+a AS (SELECT project_id, 'time' AS rule, CASE WHEN passed > total THEN 'red' WHEN total - passed <= 60 THEN 'amber' END AS severity, CAST(abs(total - passed) AS DOUBLE) AS n, NULL AS ref FROM h WHERE total > 0 AND passed > 0
+UNION ALL SELECT project_id, 'work', CASE WHEN spent - fin >= 30 THEN 'red' WHEN spent - fin >= 15 THEN 'amber' WHEN spent - fin <= -10 THEN 'info' END, spent - fin, NULL FROM h
+UNION ALL SELECT project_id, 'cut', CASE WHEN round(100 * (claimed - approved) / claimed, 1) >= 3 THEN 'amber' END, round(100 * (claimed - approved) / claimed, 1), NULL FROM h WHERE approved <> 0 AND approved < claimed
+UNION ALL SELECT project_id, 'sums', 'amber', NULL, NULL FROM h WHERE bad UNION ALL SELECT project_id, 'invoice', 'amber', CAST(DATE '{LATE}' - li AS DOUBLE), NULL FROM h WHERE DATE '{LATE}' - li > 60
+UNION ALL SELECT project_id, 'progress', 'info', abs(prog - fin), NULL FROM h WHERE prog <> 0 AND abs(prog - fin) >= 15 UNION ALL SELECT project_id, 'problems', 'info', CAST(probs AS DOUBLE), NULL FROM h WHERE probs > 0
+UNION ALL SELECT project_id, 'guarantee', CASE WHEN days < 0 THEN 'red' ELSE 'amber' END, CAST(days AS DOUBLE), id FROM x WHERE days <= 30
+UNION ALL SELECT project_id, 'late', 'red', CAST(count(*) AS DOUBLE), arg_max(id, (due, -id)) FROM x WHERE days BETWEEN -60 AND -1 GROUP BY project_id
+UNION ALL SELECT project_id, 'soon', 'amber', CAST(count(*) AS DOUBLE), arg_min(id, (due, id)) FROM x WHERE days BETWEEN 1 AND 7 GROUP BY project_id
+UNION ALL SELECT project_id, 'letters', 'amber', CAST(count(*) AS DOUBLE), arg_max(id, (wait, -id)) FROM (SELECT id, project_id, CAST(DATE '{AS_OF}' - letter_date AS INT) AS wait FROM letters) WHERE wait >= 14 GROUP BY project_id)
+SELECT project_id, rule, severity, round(n, 4) AS n, CAST(ref AS BIGINT) AS ref,
+  CAST(row_number() OVER (PARTITION BY project_id ORDER BY list_position(['red', 'amber', 'info'], severity), list_position(['time', 'work', 'cut', 'sums', 'invoice', 'progress', 'guarantee', 'late', 'soon', 'letters', 'problems'], rule), ref NULLS FIRST) AS INT) AS place
+FROM a WHERE severity IS NOT NULL""", ("invoices", "projects", "tasks", "letters"))
 def control_alerts(b):
-    i = b.entity("invoices")
-    facts = i.groupBy("project_id").agg(
-        F.min("submit_date").alias("start_date"),
-        F.max("submit_date").alias("end_date"),
-        F.sum("gross_amount").cast("double").alias("claimed"),
-        F.sum(F.coalesce("approved_amount", "net_amount", F.lit(0))).cast("double").alias("approved"),
-        (100.0 * F.count_if(F.col("status") == "paid") / F.count(F.lit(1))).alias("work_pct"),
-        F.max(F.when(F.col("submit_date") <= day(LATE), F.col("submit_date"))).alias("last_invoice"),
-    )
-    facts = facts.withColumns({"waiting_days": F.col("project_id") % 30, "guarantee_until": F.col("end_date")})
-    return A.alerts(facts, day(LATE))
+    i, now = b.entity("invoices"), day(LATE)
+    last = sets.first_of_each(i.filter(F.col("submit_date") <= now), ["project_id"], [F.desc("submit_date"), F.desc("id")])
+    last = last.select("project_id", F.col("gross_amount").cast("double").alias("claimed"), F.col("approved_amount").cast("double").alias("approved"), (F.col("id") % 6 == 0).alias("check_failed"), F.col("submit_date").alias("invoice_date"), (F.col("id") % 90).cast("double").alias("progress"))
+    work = i.groupBy("project_id").agg(F.min("submit_date").alias("start_date"), F.max("submit_date").alias("_e"), F.sum(F.col("gross_amount") - F.col("deductions")).cast("double").alias("work"))
+    p = b.entity("projects").select(F.col("id").alias("project_id"), (F.col("contract_amount").cast("double") * 40).alias("contract_amount"))
+    number = (F.col("project_id") % 2000).cast("int")
+    facts = work.join(last, "project_id", "left").join(p, "project_id", "left").withColumns({"end_date": F.date_sub("_e", number), "problems": F.array_repeat(F.lit("x"), (F.col("project_id") % 4).cast("int"))})
+    waiting = b.entity("letters").select("id", "project_id", F.datediff(day(AS_OF), "letter_date").alias("waiting_days"))
+    out = A.by_severity(A.alerts(facts, dues(b).withColumnRenamed("due", "valid_until"), dues(b), waiting, now))
+    return out.select("project_id", "rule", "severity", F.round("n", 4).alias("n"), "ref", "place")
+
+
+@BOOK.add("letters_by_month", f"""
+WITH {jalali("SELECT DISTINCT letter_date AS g FROM letters")} SELECT CASE WHEN l.id % 9 = 0 THEN '—' ELSE format('{{:04d}}/{{:02d}}', jy, jm) END AS month, count(*) AS n, count(*) FILTER (role = 'user') AS late
+FROM letters l JOIN j ON g = l.letter_date GROUP BY 1""", ("letters",))
+def letters_by_month(b):
+    rows = b.entity("letters").select(F.when(F.col("id") % 9 != 0, F.col("letter_date")).alias("letter_date"), (F.col("role") == "user").alias("late"))
+    return A.letters_by_month(rows)
+
+
+@BOOK.add("library_stats", "SELECT count(*) AS documents, CAST(sum(n_chars % 7) AS BIGINT) AS pages, count(*) FILTER (lang IN ('fr', 'de')) AS pending FROM documents")
+def library_stats(b):
+    state = F.when(F.col("lang") == "fr", "queued").when(F.col("lang") == "de", "processing").otherwise("ready")
+    return A.library(b.table("documents").select(state.alias("status"), (F.col("n_chars") % 7).alias("pages")))
+
+
+WORK = "SELECT id, project_id, CASE WHEN id % 3 <> 0 THEN gross_amount END AS work_period, deductions AS work_prev, CASE WHEN id % 4 <> 0 THEN gross_amount + deductions + CASE WHEN id % 5 = 0 THEN gross_amount // 10 ELSE 0 END END AS work_total FROM invoices"
+
+
+@BOOK.add("invoice_work", f"WITH w AS ({WORK}) SELECT id, coalesce(work_period, work_total - work_prev) AS work_period, coalesce(work_total, work_period + work_prev) AS work_total, coalesce(abs(work_prev + work_period - work_total) > 0.02 * abs(work_total), false) AS work_check FROM w", ("invoices",))
+def invoice_work(b):
+    i, n = b.entity("invoices"), F.col("id")
+    more = F.when(n % 5 == 0, F.floor(F.col("gross_amount") / 10)).otherwise(0)
+    rows = i.select("id", F.when(n % 3 != 0, F.col("gross_amount")).alias("work_period"), F.col("deductions").alias("work_prev"), F.when(n % 4 != 0, F.col("gross_amount") + F.col("deductions") + more).alias("work_total"))
+    return A.derived_work(rows).select("id", "work_period", "work_total", "work_check")
+
+
+@BOOK.add("invoice_records", """
+SELECT project_id, number, gross_amount, deductions, net_amount, 'submitted' AS status, CAST(submit_date AS VARCHAR) AS submit_date FROM (SELECT project_id, CASE WHEN id % 8 <> 0 THEN number ELSE 'untitled' END AS number,
+  CASE WHEN id % 3 <> 0 THEN gross_amount ELSE net_amount END AS gross_amount, deductions, net_amount, submit_date, id FROM invoices) WHERE gross_amount IS NOT NULL AND gross_amount <> 0 AND (id % 2 = 1 OR id % 8 = 0)""", ("invoices",))
+def invoice_records(b):
+    """Every second invoice is stored already, under its number; the untitled ones are not."""
+    i, n = b.entity("invoices"), F.col("id")
+    found = i.select("project_id", F.when(n % 8 != 0, F.col("number")).alias("invoice_no"), F.lit("untitled").alias("title"), F.when(n % 3 != 0, F.col("gross_amount")).alias("work_period"), F.lit(None).cast("long").alias("adjustment"), "deductions", F.col("net_amount").alias("net"), F.col("submit_date").alias("doc_date"))
+    return A.invoice_records(found, i.filter(n % 2 == 0)).withColumn("submit_date", F.col("submit_date").cast("string"))
 
 
 @BOOK.add("story_timeline", """

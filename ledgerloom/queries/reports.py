@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import reports as R
@@ -39,13 +38,12 @@ def outstanding_invoices(b):
 @BOOK.add("project_overview", """
 SELECT p.id AS project_id, p.name, p.contract_amount, coalesce(t.tasks, 0) AS tasks, coalesce(t.tasks_done, 0) AS tasks_done, coalesce(i.invoices, 0) AS invoices, coalesce(i.net, 0) AS net,
   coalesce(i.approved, 0) AS approved, coalesce(i.paid, 0) AS paid, coalesce(x.income, 0) AS income, coalesce(x.expense, 0) AS expense,
-  round(coalesce(i.approved, 0) / nullif(p.contract_amount, 0), 4) AS billed
+  round_even(100 * coalesce(i.approved, 0)::DOUBLE / nullif(p.contract_amount, 0), 1) AS billed
 FROM projects p LEFT JOIN (SELECT project_id, count(*) AS tasks, count(*) FILTER (status = 'done') AS tasks_done FROM tasks GROUP BY 1) t ON t.project_id = p.id
 LEFT JOIN (SELECT project_id, count(*) AS invoices, CAST(coalesce(sum(net_amount), 0) AS BIGINT) AS net, CAST(coalesce(sum(approved_amount), 0) AS BIGINT) AS approved, CAST(coalesce(sum(paid_amount), 0) AS BIGINT) AS paid FROM invoices GROUP BY 1) i ON i.project_id = p.id
 LEFT JOIN (SELECT project_id, CAST(coalesce(sum(amount) FILTER (kind = 'income'), 0) AS BIGINT) AS income, CAST(coalesce(sum(amount) FILTER (kind = 'expense'), 0) AS BIGINT) AS expense FROM transactions GROUP BY 1) x ON x.project_id = p.id""", ("projects", "tasks", "invoices", "transactions"))
 def project_overview(b):
-    out = R.overview(b.entity("projects"), b.entity("tasks"), b.entity("invoices"), b.entity("transactions"))
-    return out.withColumn("billed", F.round(F.col("approved") / F.nullif(F.col("contract_amount"), F.lit(0)), 4))
+    return R.overview(b.entity("projects"), b.entity("tasks"), b.entity("invoices"), b.entity("transactions"))
 
 
 def total(sql_keys: str, where: str = "") -> str:
@@ -63,9 +61,19 @@ def finance_by_category(b):
     return R.by_kind(b.entity("transactions"), "category")
 
 
-@BOOK.add("finance_by_month", total("strftime(tx_date, '%Y-%m') AS month"), ("transactions",))
+def jalali(days: str) -> str:
+    """SQL of d (days g), and j: g with its Solar-Hijri year, month and day."""
+    return f"""d AS ({days}), a AS (SELECT g, (g - DATE '1970-01-01') + 1075195 AS n FROM d), c AS (SELECT g, n // 12053 AS c33, n % 12053 AS r FROM a), f AS (SELECT g, c33, r // 1461 AS c4, r % 1461 AS r FROM c),
+y AS (SELECT g, -1595 + 33 * c33 + 4 * c4 + CASE WHEN r > 365 THEN (r - 1) // 365 ELSE 0 END AS jy, CASE WHEN r > 365 THEN (r - 1) % 365 ELSE r END AS r FROM f),
+j AS (SELECT g, jy, CASE WHEN r < 186 THEN r // 31 + 1 ELSE (r - 186) // 30 + 7 END AS jm, CASE WHEN r < 186 THEN r % 31 ELSE (r - 186) % 30 END + 1 AS jd FROM y)"""
+
+
+MONTHS = jalali("SELECT DISTINCT tx_date AS g FROM transactions")
+
+
+@BOOK.add("finance_by_month", f"WITH {MONTHS} SELECT format('{{:04d}}/{{:02d}}', jy, jm) AS month, kind, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n FROM transactions JOIN j ON g = tx_date GROUP BY ALL", ("transactions",))
 def finance_by_month(b):
-    return R.by_kind(b.entity("transactions"), F.date_format("tx_date", "yyyy-MM").alias("month"))
+    return R.by_kind(b.entity("transactions"), R.month_of(F.col("tx_date")).alias("month"))
 
 
 @BOOK.add("finance_by_project", """
@@ -76,33 +84,28 @@ def finance_by_project(b):
 
 @BOOK.add("finance_span", "SELECT count(*) AS n, CAST(min(tx_date) AS VARCHAR) AS first_day, CAST(max(tx_date) AS VARCHAR) AS last_day FROM transactions", ("transactions",))
 def finance_span(b):
-    return b.entity("transactions").agg(F.count(F.lit(1)).alias("n"), F.min("tx_date").cast("string").alias("first_day"), F.max("tx_date").cast("string").alias("last_day"))
+    return R.span(b.entity("transactions"))
 
 
 @BOOK.add("finance_month_to_date", f"""
 SELECT k.kind, coalesce(t.total, 0) AS total FROM (VALUES ('income'), ('expense')) k(kind) LEFT JOIN
 (SELECT kind, CAST(sum(amount) AS BIGINT) AS total FROM transactions WHERE tx_date BETWEEN date_trunc('month', DATE '{AS_OF}') AND DATE '{AS_OF}' GROUP BY kind) t ON t.kind = k.kind""", ("transactions",))
 def finance_month_to_date(b):
-    rows = b.entity("transactions").filter((F.col("tx_date") >= F.trunc(R.day(AS_OF), "month")) & (F.col("tx_date") <= R.day(AS_OF)))
-    sums = rows.groupBy("kind").agg(F.sum("amount").alias("total"))
-    return b.spark.createDataFrame([("income",), ("expense",)], "kind string").join(sums, "kind", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return R.month_to_date(b.entity("transactions"), AS_OF)
 
 
 @BOOK.add("top_categories", """
 WITH s AS (SELECT coalesce(category, '-') AS category, CAST(sum(amount) AS BIGINT) AS total FROM transactions WHERE kind = 'expense' GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY total DESC, category) AS r FROM s)
-SELECT CASE WHEN r <= 3 THEN category ELSE 'other' END AS category, CAST(sum(total) AS BIGINT) AS total FROM r GROUP BY 1""", ("transactions",))
+SELECT CASE WHEN r <= 5 THEN category ELSE 'other' END AS category, CAST(sum(total) AS BIGINT) AS total FROM r GROUP BY 1""", ("transactions",))
 def top_categories(b):
-    sums = b.entity("transactions").filter("kind = 'expense'").groupBy(F.coalesce("category", F.lit("-")).alias("category")).agg(F.sum("amount").alias("total"))
-    ranked = sums.withColumn("r", F.row_number().over(Window.orderBy(F.desc("total"), "category")))
-    return ranked.groupBy(F.when(F.col("r") <= 3, F.col("category")).otherwise("other").alias("category")).agg(F.sum("total").alias("total"))
+    return R.top_categories(b.entity("transactions"))
 
 
-@BOOK.add("month_pivot", """
-SELECT strftime(tx_date, '%Y-%m') AS month, CAST(coalesce(sum(amount) FILTER (kind = 'income'), 0) AS BIGINT) AS income, CAST(coalesce(sum(amount) FILTER (kind = 'expense'), 0) AS BIGINT) AS expense FROM transactions GROUP BY 1""", ("transactions",))
+@BOOK.add("month_pivot", f"""
+WITH {MONTHS} SELECT format('{{:04d}}/{{:02d}}', jy, jm) AS month, CAST(coalesce(sum(amount) FILTER (kind = 'income'), 0) AS BIGINT) AS income, CAST(coalesce(sum(amount) FILTER (kind = 'expense'), 0) AS BIGINT) AS expense FROM transactions JOIN j ON g = tx_date GROUP BY 1""", ("transactions",))
 def month_pivot(b):
-    rows = b.entity("transactions").select(F.date_format("tx_date", "yyyy-MM").alias("month"), "kind", "amount")
-    return rows.groupBy("month").pivot("kind", ["income", "expense"]).agg(F.sum("amount")).na.fill(0, ["income", "expense"])
+    return R.month_pivot(b.entity("transactions"))
 
 
 @BOOK.add("receivable", """
