@@ -64,7 +64,8 @@ class Reader:
                 self.at = size if end < 0 else end + (3 if comment else 1)
                 continue
             tag = name[0].lower()
-            attributes, self.at, slash = self.attributes(name.end())
+            end = name.end()
+            attributes, self.at, slash = ({}, end + 1, False) if page[end : end + 1] == ">" else self.attributes(end)
             if attributes is None:
                 return
             yield "end" if closing else "empty" if slash else "start", tag, attributes
@@ -123,13 +124,16 @@ class Block:
         self.parts, self.linked, self.holder, self.text = [], 0, holder, ""
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
-    """The page's blocks that hold text, in order, and its elements, parents first."""
+def blocks_of(page: str, watched: frozenset[str] = frozenset()) -> tuple[list[Block], list[Element], list[list]]:
+    """The page's blocks that hold text, in order; its elements, parents first; and the start tags of the watched names, as lists of
+    name, attributes and, of raw text elements, the text."""
+    found: list[list] = []
     root = Element("#root", None, {})
     stack, elements, out, block = [root], [root], [], None
     opened: Counter = Counter()
     low = page.lower()
     ends: dict[str, int] = {}
+    last = ""
 
     def close(i: int) -> None:
         for e in stack[i:]:
@@ -149,7 +153,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     for kind, tag, attributes in Reader(page):
         top = stack[-1]
         if kind == "raw":
+            if found and found[-1][0] == last:
+                found[-1][2] = tag
             continue
+        if kind != "end" and kind != "text":
+            last = tag
+            if tag in watched:
+                found.append([tag, attributes, ""])
         if kind == "text":
             if top.unseen:
                 continue
@@ -206,17 +216,4 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
         b.text = " ".join(entities.unescape("".join(b.parts)).split())
         if b.text:
             kept.append(b)
-    return kept, elements
-
-
-def tags_of(page: str, names: frozenset[str]) -> Iterator[tuple[str, dict[str, str], str]]:
-    """Start tags of these names, with their attributes and, for raw text elements, their text."""
-    held = None
-    for kind, tag, attributes in Reader(page):
-        if held:
-            yield *held, tag if kind == "raw" else ""
-            held = None
-        if kind in ("start", "empty") and tag in names:
-            held = tag, attributes
-    if held:
-        yield *held, ""
+    return kept, elements, found

@@ -129,7 +129,7 @@ def features(block: Block, has_article: bool) -> list[float]:
 
 def seen(page: str | None) -> tuple[list[Block], np.ndarray]:
     """A page's blocks and their features."""
-    blocks, elements = blocks_of(page or "")
+    blocks, elements, _ = blocks_of(page or "")
     settle(blocks, elements)
     has_article = any(b.holder.within for b in blocks)
     return blocks, np.array([features(b, has_article) for b in blocks], float).reshape(len(blocks), len(FIRST))

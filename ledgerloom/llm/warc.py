@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .html_blocks import blocks_of, tags_of
+from .html_blocks import blocks_of
 
 RECORD = "record_id string, warc_type string, target_uri string, date string, headers map<string,string>, block binary"
 ARROW = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
@@ -52,17 +52,14 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status, dict((k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)), payload
 
 
-def plain_text(page: str) -> str:
-    """A line for each block of text, in time linear in the page."""
-    return "\n".join(b.text for b in blocks_of(page)[0])
-
-
 ABOUT = frozenset("title meta a area link".split())
 
 
-def about(page: str) -> dict:
+def read(page: str) -> tuple[str, dict]:
+    """A page's text, a line for each block, and what it says of itself; in time linear in the page."""
+    blocks, _, found = blocks_of(page, ABOUT)
     title, metas, links = None, [], []
-    for tag, attributes, text in tags_of(page, ABOUT):
+    for tag, attributes, text in found:
         if tag == "title":
             title = " ".join(entities.unescape(text).split()) if title is None else title
         elif tag == "meta":
@@ -70,7 +67,7 @@ def about(page: str) -> dict:
                 metas.append({"name": entities.unescape(attributes["name"]), "content": entities.unescape(attributes["content"])})
         elif "href" in attributes:
             links.append(entities.unescape(attributes["href"]))
-    return {"Title": title, "Metas": metas, "Links": links}
+    return "\n".join(b.text for b in blocks), {"Title": title, "Metas": metas, "Links": links}
 
 
 def derivatives(record_id: str, uri: str, date: str, headers: dict[str, str], block: bytes) -> Iterator[tuple]:
@@ -82,8 +79,9 @@ def derivatives(record_id: str, uri: str, date: str, headers: dict[str, str], bl
         page = payload.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
-    envelope = {"WARC-Header": headers, "HTTP-Status": status, "HTTP-Headers": fields, "Payload-Digest": source, "Payload-Length": len(payload), "HTML": about(page)}
-    for kind, content_type, data in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode())):
+    text, about = read(page)
+    envelope = {"WARC-Header": headers, "HTTP-Status": status, "HTTP-Headers": fields, "Payload-Digest": source, "Payload-Length": len(payload), "HTML": about}
+    for kind, content_type, data in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode()), ("conversion", "text/plain; charset=utf-8", text.encode())):
         own = identifier(kind, record_id)
         named = {"WARC-Type": kind, "WARC-Record-ID": own, "WARC-Refers-To": record_id, "WARC-Target-URI": uri, "WARC-Date": date, "Content-Type": content_type, "Content-Length": str(len(data)), "WARC-Block-Digest": digest(data), "WARC-Source-Payload-Digest": source}
         yield own, kind, uri, date, list(named.items()), data

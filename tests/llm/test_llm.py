@@ -543,8 +543,7 @@ def test_pages_are_read_in_linear_time(piece):
         start = time.perf_counter()
         page = piece * (size // len(piece))
         html_extract.main_text(page)
-        warc.plain_text(page)
-        warc.about(page)
+        warc.read(page)
         return time.perf_counter() - start
 
     small = seconds(300_000)
@@ -592,6 +591,11 @@ def test_warc(spark, tmp_path):
     assert "First paragraph, with some words in it. It goes on." in text.split("\n") and "<" not in text.replace("<b>", "")
 
 
+def test_what_a_page_says_of_itself():
+    text, about = warc.read('<head><title>A &amp; b</title><meta name=k content="v"><link href=x></head><p>One<a href="/y?a=1&amp;b">two</a><style>s</style><p>three')
+    assert text == "Onetwo\nthree" and about == {"Title": "A & b", "Metas": [{"name": "k", "content": "v"}], "Links": ["x", "/y?a=1&b"]}
+
+
 def test_malformed_records(spark, tmp_path):
     good = warc.encoded({"WARC-Type": "response", "Content-Length": "3"}, b"abc")
     for i, bad in enumerate((b"", b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\nabc", b"WARC/1.1\r\nContent-Length: 99\r\n\r\nabc")):
