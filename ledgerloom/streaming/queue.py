@@ -68,8 +68,7 @@ def retry(pages: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def in_order(queue: DataFrame) -> DataFrame:
     """The order of work: documents begun first, then the smaller ones. queue: id, status, pages_done, size."""
-    waiting = queue.filter(F.col("status").isin("queued", "processing"))
-    return waiting.orderBy((F.col("status") != "processing").asc(), F.col("size").asc_nulls_last(), "id")
+    return queue.filter("status = 'queued'").orderBy(F.coalesce(F.col("pages_done") > 0, F.lit(False)).desc(), F.col("size").asc_nulls_first(), "id")
 
 
 def outdated(documents: DataFrame, version: int) -> DataFrame:

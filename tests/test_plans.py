@@ -159,8 +159,8 @@ def test_a_replayed_batch_writes_the_same(spark, tmp_path):
 
 
 def test_order_of_work_versions_and_vectors(spark):
-    rows = [(1, "queued", 5, 0), (2, "queued", 3, 0), (3, "processing", 9, 1), (4, "ready", 1, None), (5, "ready", 1, 7)]
-    docs = spark.createDataFrame(rows, "id int, status string, size int, version int")
+    rows = [(1, "queued", 5, 0, 0), (2, "queued", 3, None, 0), (3, "queued", 9, 2, 1), (4, "ready", 1, 0, None), (5, "ready", 1, 0, 7)]
+    docs = spark.createDataFrame(rows, "id int, status string, size int, pages_done int, version int")
     assert [r.id for r in queue.in_order(docs).collect()] == [3, 2, 1]
     assert [r.id for r in queue.outdated(docs, 7).collect()] == [4]
     chunks = spark.createDataFrame([(1, 1, i, None if i < 70 else [1.0], "ready") for i in range(80)] + [(2, 1, 0, None, "queued")], "doc_id int, page int, seq int, vec array<float>, status string")
