@@ -157,12 +157,12 @@ def sheet_words(b):
 
 
 @BOOK.add("best_sheets", """
-WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, CASE WHEN l_partkey % 9 = 0 THEN 'برگ خلاصه' WHEN l_partkey % 2 = 0 THEN 'برگ' END AS title, CASE WHEN l_suppkey % 5 > 0 THEN CAST(l_quantity AS BIGINT) END AS contract, l_suppkey % 3 AS parties FROM lineitem)
+WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber + 8 * (l_partkey * 100000 + l_suppkey) AS ord, CASE WHEN l_partkey % 9 = 0 THEN 'برگ خلاصه' WHEN l_partkey % 2 = 0 THEN 'برگ' END AS title, CASE WHEN l_suppkey % 5 > 0 THEN CAST(l_quantity AS BIGINT) END AS contract, l_suppkey % 3 AS parties FROM lineitem)
 SELECT doc_id, ord, title, contract, parties FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY contains(coalesce(title, ''), 'خلاصه') DESC, coalesce(contract, 0) DESC, parties DESC, ord) AS r FROM s) WHERE r = 1""")
 def best_sheets(b):
     title = F.when(F.col("l_partkey") % 9 == 0, "برگ خلاصه").when(F.col("l_partkey") % 2 == 0, "برگ")
     contract = F.when(F.col("l_suppkey") % 5 > 0, F.col("l_quantity").cast("long"))
-    return pages.best_sheet(b.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), title.alias("title"), contract.alias("contract"), (F.col("l_suppkey") % 3).alias("parties")))
+    return pages.best_sheet(b.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") + 8 * (F.col("l_partkey") * 100000 + F.col("l_suppkey"))).alias("ord"), title.alias("title"), contract.alias("contract"), (F.col("l_suppkey") % 3).alias("parties")))
 
 
 POINTS = ("به پیوست مدارک ارسال می‌گردد", "خواهشمند است بررسی شود", "تاخیر در کار دیده شد")
