@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive_ann, chunk_dedup, decontaminate, html_extract, jaccard_join, line_dedup, ngram_lm, packing, quality, warc
+from . import additive_ann, chunk_dedup, decontaminate, html_extract, jaccard_join, line_dedup, merkle, ngram_lm, packing, quality, warc
 
 MODULES = {
     "op1_packing": packing,
@@ -15,6 +15,7 @@ MODULES = {
     "op8_decontamination": decontaminate,
     "op9_warc_derivatives": warc,
     "op10_ngram_jaccard_join": jaccard_join,
+    "op13_merkle_manifest": merkle,
 }
 
 QUERIES = {name: m.query for name, m in MODULES.items()}
