@@ -151,9 +151,9 @@ def indexed(rows: DataFrame, path: str) -> DataFrame:
     return ranges.alias("r").join(starts.alias("o"), same("r", "g", "part")).select("r.*", "o.n", (F.col("r.at") + F.col("o.start")).alias("i")).drop("at", "key")
 
 
-def tree(rows: DataFrame, path: str, fanout: int = FANOUT, cut: int = CUT) -> Tree:
+def tree(rows: DataFrame, path: str) -> Tree:
     """The trees of rows: g (the group), key (the order in it), leaf, and other columns that are kept with the leaves."""
-    leaves = indexed(rows, path)
+    leaves, fanout, cut = indexed(rows, path), FANOUT, CUT
 
     @C.tidy
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +204,9 @@ def tree(rows: DataFrame, path: str, fanout: int = FANOUT, cut: int = CUT) -> Tr
 STEP = "struct<place:int,run:array<string>>"
 
 
-def downward(t: Tree, path: str, above: DataFrame, cut: int = CUT, fanout: int = FANOUT) -> DataFrame:
+def downward(t: Tree, path: str, above: DataFrame) -> DataFrame:
     """g, n, i, path: for each node of level CUT the runs from it up to the root. above: g and path, those above the subroots."""
-    steps = None
+    steps, fanout, cut = None, FANOUT, CUT
     for level in reversed(range(cut, t.heights)):
         here = t.nodes.filter(F.col("level") == level).withColumn("up", F.expr(f"i div {fanout}"))
         here = here.filter(F.col("n") > fanout**level)
