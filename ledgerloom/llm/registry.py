@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive_ann, chunk_dedup, decontaminate, html_extract, jaccard_join, line_dedup, merkle, ngram_lm, packing, quality, warc
+from . import additive_ann, chunk_dedup, decontaminate, delta_lloyd, html_extract, jaccard_join, language_id, line_dedup, merkle, ngram_lm, packing, quality, warc
 
 MODULES = {
     "op1_packing": packing,
@@ -15,6 +15,8 @@ MODULES = {
     "op8_decontamination": decontaminate,
     "op9_warc_derivatives": warc,
     "op10_ngram_jaccard_join": jaccard_join,
+    "op11_centroid_clustering": delta_lloyd,
+    "op12_language_id": language_id,
     "op13_merkle_manifest": merkle,
 }
 
