@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import archive, importing, journal, monthly, paperwork, relational, reports, retrieval, story
+from . import archive, importing, journal, monthly, paperwork, relational, reports, retrieval, sheets, story
 
-MODULES = (relational, reports, journal, retrieval, archive, importing, paperwork, story, monthly)
+MODULES = (relational, reports, journal, retrieval, archive, importing, paperwork, story, monthly, sheets)
 QUERIES = {name: f for m in MODULES for name, f in m.BOOK.queries.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.BOOK.sql.items()}
