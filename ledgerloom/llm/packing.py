@@ -21,20 +21,27 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import common as C
 
-#: The vocabulary of byte_bpe_50k.json, as ranks: the ids are equal, and pieces of words are merged faster.
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: A vocabulary, and the same as ranks: the ids are equal, and pieces of words are merged faster.
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: A space inside a run of white space: there a text can't be cut before the space without changing the ids.
 RUN = re.compile(r" (?=\s|\Z)(?<=\s )")
+#: White space so long that the encoder of ranks, whose pattern goes back over it step by step, may run out of stack.
+LONG = re.compile(r"\s{10000}")
 
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit numbers; pieces between spaces are remembered, up to a number of them."""
+    """Ids of texts, as little-endian 32-bit numbers; pieces between spaces are remembered, up to a number of them.
 
-    def __init__(self, ranks: str, remembered: int = 200_000):
+    Texts with very long white space go to the tokenizer of the vocabulary itself.
+    """
+
+    def __init__(self, ranks: str, vocabulary: str, remembered: int = 200_000):
+        self.vocabulary, self.tokenizer = vocabulary, None
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -44,6 +51,9 @@ class Encoder:
         self.most = remembered
 
     def plain(self, text: str) -> bytes:
+        if LONG.search(text):
+            self.tokenizer = self.tokenizer or Tokenizer.from_file(self.vocabulary)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         return np.array(self.bpe.encode_ordinary(text), np.uint32).tobytes()
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
@@ -160,16 +170,17 @@ def powers_of_two(window: list[tuple]) -> list[list[tuple]]:
     return out
 
 
-def pack(docs: DataFrame, capacity: int = 1024, ranks: str = RANKS, end_id: int = 0, max_open: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, ranks: str | None = None, vocabulary: str | None = None, end_id: int = 0, max_open: int = 2048) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids (binary, little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    A document is the ids of its text and end_id. A sequence is full, or its length is a power of two: there is no padding.
+    ranks and vocabulary are files of one tokenizer; without them, those of a public one. A document is the ids of its text and end_id. A sequence is full, or its length is a power of two: there is no padding.
     Windows that sum-of-squares packing leaves open at a partition's end are merged, cutting pieces where a window is full.
     """
+    ranks, vocabulary = ranks or public_tokenizers.path(RANKS), vocabulary or public_tokenizers.path(VOCABULARY)
 
     @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, serial = Encoder(ranks), SumOfSquares(capacity, max_open), [TaskContext.get().partitionId() << 40]
+        encoder, packer, serial = Encoder(ranks, vocabulary), SumOfSquares(capacity, max_open), [TaskContext.get().partitionId() << 40]
         end, step = np.uint32(end_id).tobytes(), 4 * capacity
 
         def rows(windows: list[list[tuple]]) -> Iterator[tuple]:

@@ -88,13 +88,25 @@ def test_packing(spark, odd, empty):
 
 
 def test_encoder_equals_the_tokenizer():
-    tokenizer, encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder(packing.RANKS, remembered=40)
+    tokenizer, encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder(*map(public_tokenizers.path, (packing.RANKS, packing.VOCABULARY)), remembered=40)
     parts = [" ", "  ", "\n", " \n", "\t", "foo", "bar.", "é", "123", "'s", "<|endoftext|>", "日本", "!!", "　", " ", "a"]
     for _ in range(1500):
         s = "".join(rng.choices(parts, k=rng.randint(0, 14)))
         assert encoder.encode(s) == np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_long_runs(spark):
+    """Runs of a million signs of one kind, alone and between words, and a text of 5 MB."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [x * 1_000_000 for x in (" ", "\t", "\n", "7", "a")] + [" \n" * 300_000, "one" + "\u00a0" * 500_000 + "two", " " * 1_000_000 + "<|endoftext|> x", "word " * 1_000_000]
+    rows = [(i, t, 1, None, None) for i, t in enumerate(texts)]
+    got = collections.defaultdict(dict)
+    for r in packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        got[r.doc_id][r.start] = bytes(r.ids)
+    for i, t in enumerate(texts):
+        assert b"".join(got[i][s] for s in sorted(got[i])) == np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+
 def test_sum_of_squares_takes_the_best_level():
     packer, counts = packing.SumOfSquares(16, 1000), collections.Counter()
     for i in range(300):
