@@ -97,12 +97,13 @@ BINDINGS: dict[str, str] = {
         CAST(DATE '2024-01-01' + CAST(conv_id % 20 AS INT) + CAST(turn AS INT) AS DATE) AS letter_date FROM conversations""",
     "trades": """SELECT l_orderkey * 10 + l_linenumber AS id, p_brand AS symbol, CASE WHEN l_linestatus = 'O' THEN 'long' ELSE 'short' END AS side,
         p_retailprice AS entry_price, l_quantity AS margin, 1 + l_linenumber AS leverage, l_extendedprice / l_quantity AS price1, l_tax AS entry_fee,
-        CASE WHEN l_linenumber = 5 THEN 0.0 ELSE p_retailprice * 0.9 END AS sl, p_retailprice * 1.3 AS tp, CAST(o_orderdate AS DATE) AS opened_at, CAST(l_shipdate AS DATE) AS at1,
+        CASE WHEN l_linenumber = 5 THEN 0.0 ELSE p_retailprice * 0.9 END AS sl, p_retailprice * 1.3 AS tp,
+        CASE WHEN l_shipdate >= o_orderdate THEN CAST(o_orderdate AS DATE) ELSE CAST(CAST(l_shipdate AS DATE) - CAST(1 + l_linenumber AS INT) AS DATE) END AS opened_at, CAST(l_shipdate AS DATE) AS at1,
         CASE WHEN l_linenumber % 3 = 0 THEN 60.0 WHEN l_linenumber = 7 THEN 50.0 ELSE 100.0 END AS pct1, CASE WHEN l_linenumber % 3 = 0 THEN 40.0 END AS pct2,
         l_extendedprice / l_quantity * 1.05 AS price2, CAST(CAST(l_shipdate AS DATE) + 2 AS DATE) AS at2, l_tax / 2 AS fee2,
         nullif(p_type, 'PROMO') AS strategy, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS exit_type,
         CASE WHEN l_linenumber = 4 THEN 'late، early' WHEN l_linenumber = 1 THEN 'late' END AS mistake, o_orderpriority AS mood, o_orderstatus AS exchange
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= o_orderdate""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "transfers": """SELECT s_suppkey AS id, CAST(round(s_acctbal * 100) AS BIGINT) AS amount, CAST(DATE '1995-01-01' + CAST(s_suppkey % 2000 AS INT) AS DATE) AS day FROM supplier""",
 }
 

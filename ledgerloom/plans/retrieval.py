@@ -102,11 +102,9 @@ def answer(docs: DataFrame, terms: list[str], n: int = 4) -> DataFrame:
     return once.crossJoin(F.broadcast(best)).filter(F.col("score") >= F.greatest(F.lit(1.0), F.col("best") / 2)).orderBy(F.desc("score"), "norm").limit(n).select("f.doc_id", "f.sentence", "score")
 
 
-# Words that tell a sentence's weight, and beginnings of lines that are no sentences.
+# Words that tell a sentence's weight.
 CUES = """خواهشمند مقرر ابلاغ لازم موظف تمدید تاخیر پرداخت درخواست اعلام تایید موافقت الزام جریمه خسارت تحویل شروع پایان اتمام مبلغ مدت تعهد
     اصلاح shall amend extension payment completion""".split()
-HEADERS = r"^(?:شماره|تاریخ|پیوست|موضوع|رونوشت|جناب|سرکار|امضا|نام\s|ردیف|صفحه|مدیرعامل|ریاست|نشانی|آدرس|تلفن|کد\s+پستی|حاضرین|غایبین|مدعوین|دستور\s+جلسه)"
-LEAD = r"^\s*(?:\d{1,2}\s*[-.)]|[-•*]|(?:ماده|بند|تبصره)\s*\d{1,3}\s*[-–:.)]?)\s*"
 CUT = 280
 
 
@@ -115,35 +113,49 @@ def cut_short(text: Column, most: int = CUT) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s\S*$", ""), F.lit("…")))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, pos and sentence of what a summary may hold: 6 to 80 words, no heading, few numbers, readable."""
-    s = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).withColumn("sentence", F.regexp_replace("sentence", LEAD, ""))
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is reckoned once for each row, however often and wherever it is used then: Spark copies no expression
+    over a generator, into filters below it neither."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
+def candidates(docs: DataFrame, reflow: bool = False) -> DataFrame:
+    """doc_id, pos and sentence of what a summary may hold: units of 6 to 80 words, no heading, few numbers, readable.
+
+    reflow: texts whose lines are broken anywhere, as some programs leave them.
+    """
+    split = T.reflowed_units if reflow else T.units
+    s = docs.select("doc_id", F.posexplode(split(F.col("text"))).alias("pos", "sentence"))
+    shown = F.trim(F.regexp_replace(F.regexp_replace("sentence", T.LIST_ITEM, ""), T.GREETING, ""), F.lit(" -–:،,"))
+    s = once(s, "sentence", shown)
     words = F.split(F.trim("sentence"), r"\s+")
     numbers = F.size(F.filter(words, lambda w: ~w.rlike(r"\p{L}")))
-    s = s.filter(F.size(words).between(6, 80) & ~F.col("sentence").rlike(HEADERS) & (numbers <= 0.3 * F.size(words)))
-    return T.with_quality(s, "sentence", "_q").filter("_q.plausible >= 0.6 AND _q.score >= 0.7").drop("_q")
+    s = s.filter(F.size(words).between(6, 80) & ~F.col("sentence").rlike(T.LINE_HEAD) & (numbers <= 0.3 * F.size(words)))
+    return once(T.with_quality(s, "sentence", "_q"), "_q", F.col("_q")).filter("_q.plausible >= 0.6 AND _q.score >= 0.7").drop("_q")
 
 
-def summary(docs: DataFrame, n: int = 4) -> DataFrame:
+def summary(docs: DataFrame, n: int = 4, reflow: bool = False) -> DataFrame:
     """Of each document its n most telling sentences, in order, cut at 280 characters.
 
     A sentence weighs what its stems count in the document's candidates, (sum of df) / stems^0.6, more with up to three cue words,
-    and more towards the beginning. Frequencies are counted by document and stem, so a long document spreads over tasks.
+    and more towards the beginning. The texts are read once: a row for each stem of a sentence, with the sentence beside the first
+    alone, is counted in a window by document and stem, so that a long document spreads over tasks.
     """
-    s = candidates(docs)
-    plain = T.normalize_plain(F.col("sentence"))
-    kept = F.filter(T.tokens(plain), lambda w: (F.length(w) > 2) & ~w.isin(*T.FA_STOP, *T.EN_STOP) & ~w.rlike("^[0-9]+$"))
-    cues = F.least(F.lit(3), reduce(lambda a, b: a + b, (plain.contains(c).cast("int") for c in CUES)))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    s = s.withColumns({"terms": F.array_distinct(F.transform(kept, T.stem)), "cues": cues, "k": F.row_number().over(order) - 1, "m": F.count(F.lit(1)).over(Window.partitionBy("doc_id"))})
-    words = s.select("doc_id", "pos", F.explode("terms").alias("w"))
-    df = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("df"))
-    found = words.join(df, ["doc_id", "w"]).groupBy("doc_id", "pos").agg(F.sum("df").alias("f"))
-    size = F.pow(F.greatest(F.lit(1), F.size("terms")).cast("double"), F.lit(0.6))
-    score = F.coalesce("f", F.lit(0)) / size * (1 + 0.35 * F.col("cues")) * (1.25 - 0.4 * F.col("k") / F.col("m"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("pos")))
-    scored = s.join(found, ["doc_id", "pos"], "left").withColumn("score", F.round(score, 9)).withColumn("r", rank)
-    return scored.filter(F.col("r") <= n).select("doc_id", "pos", cut_short(F.col("sentence")).alias("sentence"))
+    s = once(candidates(docs, reflow), "plain", T.normalize_plain(F.col("sentence")))
+    kept = F.filter(T.tokens(F.col("plain")), lambda w: (F.length(w) > 2) & ~w.isin(*T.FA_STOP, *T.EN_STOP) & ~w.rlike("^[0-9]+$"))
+    cues = F.least(F.lit(3), reduce(lambda a, b: a + b, (F.col("plain").contains(c).cast("int") for c in CUES)))
+    s = s.select("doc_id", "pos", "sentence", cues.alias("cues"), F.array_distinct(F.transform(kept, T.stem)).alias("terms"))
+    rows = s.select("doc_id", "pos", "sentence", "cues", F.size("terms").alias("size"), F.posexplode_outer("terms").alias("i", "w"))
+    lead = F.coalesce("i", F.lit(0)) == 0
+    rows = rows.select("doc_id", "pos", "w", *(F.when(lead, F.col(c)).alias(c) for c in ("sentence", "cues", "size")))
+    counted = rows.withColumn("df", F.count("w").over(Window.partitionBy("doc_id", "w")))
+    whole = counted.groupBy("doc_id", "pos").agg(F.sum("df").alias("f"), *(F.max(c).alias(c) for c in ("sentence", "cues", "size")))
+    own = Window.partitionBy("doc_id")
+    whole = whole.withColumns({"k": F.row_number().over(own.orderBy("pos")) - 1, "m": F.count(F.lit(1)).over(own)})
+    weight = F.col("f") / F.pow(F.greatest(F.lit(1), "size").cast("double"), F.lit(0.6))
+    score = F.round(weight * (1 + 0.35 * F.col("cues")) * (1.25 - 0.4 * F.col("k") / F.col("m")), 9)
+    rank = F.row_number().over(own.orderBy(F.desc("score"), F.desc("pos")))
+    return whole.withColumn("score", score).withColumn("r", rank).filter(F.col("r") <= n).select("doc_id", "pos", cut_short(F.col("sentence")).alias("sentence"))
 
 
 def index_chunks(docs: DataFrame) -> DataFrame:

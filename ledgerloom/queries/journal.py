@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import nested
+from ledgerloom.functions import nested, numbers
 from ledgerloom.operators import running
 from ledgerloom.plans import journal as J
 from ledgerloom.queries.book import Book
@@ -83,16 +83,22 @@ def prior_balance_asof(b):
     return running.as_of(probes, rows, "at", "amount", "balance").select("id", F.col("at").cast("string").alias("opened_at"), "net", "balance")
 
 
+def up(x: str, digits: int = 4) -> str:
+    """Half up as the number reads in ten decimals: shares of a round balance are often half-way."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 10)), {digits}) AS DOUBLE)"
+
+
 @BOOK.add("trade_balances", f"""
 WITH {METRICS}, {EVENTS}, d AS (SELECT day, sum(sum(amount)) OVER (ORDER BY day) AS balance FROM e GROUP BY day),
 p AS (SELECT j.*, CASE WHEN j.opened_at < DATE '{START_AT}' THEN {START} ELSE {START} + coalesce(d.balance, 0) / 100.0 END AS b FROM j ASOF LEFT JOIN d ON j.opened_at >= d.day)
-SELECT id, round(b, 2) AS balance_before, round(CASE WHEN b > 0 THEN 100 * margin / b END, 4) AS position_pct, round(CASE WHEN b > 0 THEN 100 * risk / b END, 4) AS risked_pct,
-  round(CASE WHEN b > 0 THEN 100 * net / b END, 4) AS change_pct, round(CASE WHEN status = 'closed' THEN b + net END, 2) AS new_balance FROM p""", ("trades", "transfers"))
+SELECT id, {up('b', 2)} AS balance_before, {up('CASE WHEN b > 0 THEN 100 * margin / b END')} AS position_pct, {up('CASE WHEN b > 0 THEN 100 * risk / b END')} AS risked_pct,
+  {up('CASE WHEN b > 0 THEN 100 * net / b END')} AS change_pct, {up("CASE WHEN status = 'closed' THEN b + net END", 2)} AS new_balance FROM p""", ("trades", "transfers"))
 def trade_balances(b):
     j = journal(b)
     prior = running.as_of(j.withColumn("at", F.col("opened_at")), J.events(j, b.entity("transfers")), "at", "amount", "balance")
     out = J.with_balance(prior, START, F.to_date(F.lit(START_AT)))
-    return out.select("id", F.round("balance_before", 2).alias("balance_before"), *(F.round(c, 4).alias(c) for c in ("position_pct", "risked_pct", "change_pct")), F.round("new_balance", 2).alias("new_balance"))
+    digits = {"balance_before": 2, "position_pct": 4, "risked_pct": 4, "change_pct": 4, "new_balance": 2}
+    return out.select("id", *(numbers.half_up(F.col(c), n).alias(c) for c, n in digits.items()))
 
 
 @BOOK.add("journal_return", f"""

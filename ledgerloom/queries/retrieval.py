@@ -33,28 +33,34 @@ def normalized_tokens(b):
     return b.table("documents").select(F.explode(T.tokens(T.normalize(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.add("text_quality_stats", r"""
-SELECT lang, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '[A-Za-z]'))) AS BIGINT) AS latin, CAST(sum(len(regexp_extract_all(text, '[0-9]'))) AS BIGINT) AS digits,
-  CAST(sum(len(regexp_extract_all(text, '[#$%&*|]'))) AS BIGINT) AS symbols FROM documents GROUP BY lang""")
-def text_quality_stats(b):
-    n = lambda p: F.sum(F.regexp_count("text", F.lit(p))).cast("long")
-    return b.table("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), n("[A-Za-z]").alias("latin"), n("[0-9]").alias("digits"), n("[#$%&*|]").alias("symbols"))
-
-
 KIND = r"CASE WHEN NOT regexp_matches(x, '\p{L}') THEN 'num' WHEN regexp_full_match(regexp_replace(x, '[^\p{L}]', '', 'g'), '[A-Za-z]+') THEN 'en' ELSE 'bad' END"
 EN = ", ".join(f"'{w}'" for w in sorted(T.EN_STOP))
 
 
-@BOOK.add("text_quality", rf"""
-WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS raw FROM documents),
+def quality_sql(source: str, keys: str) -> str:
+    """Common tables from `source` (keys and text) to q, with score, bad, words and plausible."""
+    return rf"""t AS (SELECT {keys}, text, list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS raw FROM {source}),
 k AS (SELECT *, list_transform(w, lambda x: {KIND}) AS k, len(list_filter(raw, lambda x: {KIND} = 'bad')) AS loose, list_filter(w, lambda x: {KIND} = 'en') AS en FROM t),
 c AS (SELECT *, len(w)::DOUBLE AS a, len(list_filter(k, lambda x: x = 'num'))::DOUBLE AS num, len(list_filter(k, lambda x: x = 'bad'))::DOUBLE AS b, len(en)::DOUBLE AS e,
   len(list_filter(en, lambda x: length(x) <= 3 AND NOT (upper(x) = x AND length(x) >= 2) AND lower(x) NOT IN ({EN})))::DOUBLE AS junk, len(list_filter(en, lambda x: lower(x) IN ({EN})))::DOUBLE AS stop,
+  len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}') AND length(x) >= 7 AND NOT regexp_full_match(x, '[0-9]+')))::DOUBLE AS long,
   length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))::DOUBLE AS letters, len(regexp_extract_all(text, '[©®•@$§\\=+^|~<>{{}}\[\]¦¬°±*#%&_`]'))::DOUBLE AS sym FROM k),
-q AS (SELECT *, a - num AS n, least(1, (b + loose) / (2 * greatest(1, a - num))) AS bad, num / greatest(1, a) AS share,
-  (1 - least(1, greatest(0, junk / greatest(1, e) - 0.08) * 2.5)) * (0.55 + 0.45 * least(1, stop / greatest(1, e) / 0.08)) AS good FROM c)
-SELECT doc_id, round(CASE WHEN n > 0 THEN (1 - bad) * CASE WHEN share > 0.4 AND a >= 10 THEN 1 - (share - 0.4) ELSE 1 END * CASE WHEN e >= 6 THEN 1 - e / greatest(1, n) * (1 - good) ELSE 1 END
-  * CASE WHEN letters >= 30 THEN 1 - least(0.6, greatest(0, sym / greatest(1, letters) - 0.02) * 4) ELSE 1 END ELSE 0 END, 3) AS score, round(CASE WHEN n > 0 THEN bad ELSE 0 END, 3) AS bad, CAST(n AS INT) AS words FROM q""")
+g AS (SELECT *, a - num AS n, least(1, (b + loose) / (2 * greatest(1, a - num))) AS broken, num / greatest(1, a) AS share,
+  (1 - least(1, greatest(0, junk / greatest(1, e) - 0.08) * 2.5)) * (0.55 + 0.45 * least(1, stop / greatest(1, e) / 0.08)) AS good FROM c),
+q AS (SELECT {keys}, text, round(CASE WHEN n > 0 THEN (1 - broken) * CASE WHEN share > 0.4 AND a >= 10 THEN 1 - (share - 0.4) ELSE 1 END * CASE WHEN e >= 6 THEN 1 - e / greatest(1, n) * (1 - good) ELSE 1 END
+  * CASE WHEN letters >= 30 THEN 1 - least(0.6, greatest(0, sym / greatest(1, letters) - 0.02) * 4) ELSE 1 END ELSE 0 END, 3) AS score, round(CASE WHEN n > 0 THEN broken ELSE 0 END, 3) AS bad, CAST(n AS INT) AS words,
+  CASE WHEN a > 0 THEN greatest(0, 1 - 1.3 * b / greatest(1, a) - 1.2 * (junk + long) / greatest(1, a) - least(0.5, 3 * sym / greatest(1, letters))) ELSE 0 END AS plausible FROM g)"""
+
+
+@BOOK.add("text_quality_stats", f"""
+WITH {quality_sql("documents", "doc_id, lang")} SELECT lang, count(*) AS docs, count(*) FILTER (score >= 0.7) AS readable, CAST(sum(words) AS BIGINT) AS words, round(CAST(sum(CAST(score AS DECIMAL(9, 3))) AS DOUBLE), 3) AS score FROM q GROUP BY lang""")
+def text_quality_stats(b):
+    """Quality of the texts of each language; sums are of three decimals, so that their order doesn't matter."""
+    rows = T.with_quality(b.table("documents").select("doc_id", "lang", "text"), "text", "q").select("lang", "q.score", "q.words")
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("score") >= 0.7).alias("readable"), F.sum("words").cast("long").alias("words"), F.sum(F.col("score").cast("decimal(9,3)")).cast("double").alias("score"))
+
+
+@BOOK.add("text_quality", f"WITH {quality_sql('documents', 'doc_id')} SELECT doc_id, score, bad, words FROM q")
 def text_quality(b):
     """The fixture has texts in Latin letters alone; tests have Persian ones."""
     return T.with_quality(b.table("documents").select("doc_id", "text"), "text", "q").select("doc_id", "q.score", "q.bad", "q.words")
@@ -111,7 +117,42 @@ def extractive_answer(b):
     return R.answer(b.table("documents"), ["license", "version", "under"])
 
 
-@BOOK.add("summary_topn")
+def units_sql(source: str) -> str:
+    """Common tables from `source` (doc_id, text) to u: doc_id, pos and text of each unit. A fold over the lines, with what is held."""
+    begins = f"regexp_matches(x.h, '{T.LIST_ITEM}|{T.LINE_HEAD}')"
+    held = f"(s.h <> '' AND (x.h = '' OR {begins}))"
+    before = f"CASE WHEN {held} THEN list_append(s.u, s.h) ELSE s.u END"
+    left = f"CASE WHEN {held} THEN '' ELSE s.h END"
+    now = f"trim(({left}) || ' ' || x.h)"
+    ends = f"(x.h <> '' AND (suffix(x.h, '.') OR suffix(x.h, '؟') OR suffix(x.h, '!') OR suffix(x.h, ':') OR suffix(x.h, '؛') OR (({left}) = '' AND len(regexp_split_to_array(x.h, '\\s+')) < 6)))"
+    step = f"{{'u': CASE WHEN {ends} THEN list_append({before}, {now}) ELSE {before} END, 'h': CASE WHEN {ends} THEN '' ELSE {now} END}}"
+    part = lambda x: f"regexp_replace({x}, '([.؟!؛])\\s+(\\D)', '\\1' || chr(1) || '\\2', 'g')"
+    return f"""l0 AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS filled FROM {source}),
+l1 AS (SELECT doc_id, CASE WHEN len(filled) >= 8 AND len(list_filter(filled, lambda x: len(regexp_split_to_array(x, '\\s+')) <= 3)) > 0.4 * len(filled) THEN [trim(regexp_replace(text, '\\s+', ' ', 'g'))] ELSE list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) END AS lines FROM l0),
+l2 AS (SELECT doc_id, list_reduce([{{'u': []::VARCHAR[], 'h': ''}}] || list_transform(list_append(lines, ''), lambda x: {{'u': []::VARCHAR[], 'h': x}}), lambda s, x: {step}).u AS p FROM l1),
+l3 AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(p, lambda x: string_split({part(part('x'))}, chr(1)))), lambda x: trim(x)), lambda x: x <> '') AS v FROM l2),
+u AS (SELECT doc_id, unnest(range(len(v))) AS pos, unnest(v) AS text FROM l3)"""
+
+
+@BOOK.add("text_units", f"WITH {units_sql('documents')} SELECT doc_id, pos::INTEGER AS pos, md5(text) AS md5 FROM u")
+def text_units(b):
+    return b.table("documents").select("doc_id", F.posexplode(T.units(F.col("text"))).alias("pos", "unit")).select("doc_id", "pos", F.md5("unit").alias("md5"))
+
+
+STOPS = ", ".join(f"'{w}'" for w in sorted(T.FA_STOP | T.EN_STOP))
+CUE_COUNT = " + ".join(f"contains(plain, '{c}')::INT" for c in R.CUES)
+
+
+@BOOK.add("summary_topn", f"""
+WITH {units_sql('documents')}, s0 AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(text, '{T.LIST_ITEM}', ''), '{T.GREETING}', ''), ' -–:،,') AS text FROM u),
+s1 AS (SELECT *, regexp_split_to_array(trim(text), '\\s+') AS words FROM s0), s2 AS (SELECT doc_id, pos, text FROM s1 WHERE len(words) BETWEEN 6 AND 80 AND NOT regexp_matches(text, '{T.LINE_HEAD}') AND len(list_filter(words, lambda w: NOT regexp_matches(w, '\\p{{L}}'))) <= 0.3 * len(words)),
+{quality_sql('s2', 'doc_id, pos')}, s3 AS (SELECT doc_id, pos, text, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS plain FROM q WHERE plausible >= 0.6 AND score >= 0.7),
+s4 AS (SELECT *, least(3, {CUE_COUNT}) AS cues, list_distinct(list_filter(string_split(plain, ' '), lambda w: length(w) > 2 AND w NOT IN ({STOPS}) AND NOT regexp_full_match(w, '[0-9]+'))) AS terms,
+  row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM s3),
+d AS (SELECT doc_id, w, count(*) AS df FROM (SELECT doc_id, unnest(terms) AS w FROM s4) GROUP BY ALL), f AS (SELECT x.doc_id, x.pos, sum(df) AS f FROM (SELECT doc_id, pos, unnest(terms) AS w FROM s4) x JOIN d USING (doc_id, w) GROUP BY ALL),
+s5 AS (SELECT s4.*, round(coalesce(f, 0) / pow(greatest(1, len(terms)), 0.6) * (1 + 0.35 * cues) * (1.25 - 0.4 * k / m), 9) AS weight FROM s4 LEFT JOIN f USING (doc_id, pos)),
+s6 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, pos DESC) AS r FROM s5)
+SELECT doc_id, pos::INTEGER AS pos, md5(CASE WHEN length(text) <= {R.CUT} THEN text ELSE regexp_replace(substring(text, 1, {R.CUT}), '\\s\\S*$', '') || '…' END) AS md5 FROM s6 WHERE r <= 4""")
 def summary_topn(b):
     return R.summary(b.table("documents")).select("doc_id", "pos", F.md5("sentence").alias("md5"))
 
