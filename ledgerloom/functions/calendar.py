@@ -117,7 +117,7 @@ def end_of(start: Column, n: Column, unit: Column) -> Column:
     """The end of a duration from a canonical text on: units are day, week, month and year; the day before the same day."""
     y, m, d = (F.substring(start, a, k).cast("int") for a, k in ((1, 4), (6, 2), (9, 2)))
     later = F.format_string("%04d/%02d/%02d", *add_months(y, m, d, n * F.when(unit == "year", 12).otherwise(1)))
-    return F.when(unit.isin("month", "year"), later).when(unit.isin("day", "week"), add_days(start, (n * F.when(unit == "week", 7).otherwise(1)).cast("int")))
+    return F.when(start.isNull() | n.isNull(), F.lit(None)).when(unit.isin("month", "year"), later).when(unit.isin("day", "week"), add_days(start, (n * F.when(unit == "week", 7).otherwise(1)).cast("int")))
 
 
 def period(name: str, today: str) -> tuple[str | None, str | None]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.functions.nested import once
 
 K1, B, FUSION = 1.2, 0.75, 60
 
@@ -113,12 +114,6 @@ def cut_short(text: Column, most: int = CUT) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s\S*$", ""), F.lit("…")))
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is reckoned once for each row, however often and wherever it is used then: Spark copies no expression
-    over a generator, into filters below it neither."""
-    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
-
-
 def candidates(docs: DataFrame, reflow: bool = False) -> DataFrame:
     """doc_id, pos and sentence of what a summary may hold: units of 6 to 80 words, no heading, few numbers, readable.
 
