@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog import CATALOG
 from ledgerloom.functions import calendar, numbers
+from ledgerloom.functions import text as T
 from ledgerloom.operators import listing, sets
-from ledgerloom.plans import reports
+from ledgerloom.plans import matching, reports
 from ledgerloom.queries.book import Book
 
 BOOK = Book()
@@ -136,19 +137,32 @@ def content_dedup(b):
 
 
 @BOOK.add("project_matcher", """
-WITH keys AS (SELECT id, concat(' ', lower(name), ' ') AS k FROM projects WHERE length(name) >= 4),
-texts AS (SELECT event_id, concat(' ', lower(concat('Customer#', lpad(CAST(user_id AS VARCHAR), 9, '0'), CASE WHEN event_id % 3 = 0 THEN concat(' and Customer#', lpad(CAST(user_id + 1 AS VARCHAR), 9, '0')) ELSE '' END)), ' ') AS t FROM events)
-SELECT event_id, min(id) AS project_id FROM texts JOIN keys ON contains(t, k) GROUP BY event_id HAVING count(*) = 1""", ("projects",))
+WITH d AS (SELECT o_orderkey AS doc_id, o_custkey AS p, concat('Re: works at site ', CAST(o_orderkey % 50 AS VARCHAR), ', ', CASE o_orderkey % 4 WHEN 0 THEN concat('Customer#', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) WHEN 1 THEN concat('project no. C-', CAST(o_custkey AS VARCHAR), '/X.')
+    WHEN 2 THEN concat('CUSTOMER ', lpad(CAST(o_custkey AS VARCHAR), 9, '0'), ' and C-', CAST(o_custkey + 1 AS VARCHAR), '/X') ELSE 'nothing of C 7' END, ' as agreed') AS t FROM orders),
+n AS (SELECT doc_id, concat(' ', trim(regexp_replace(lower(t), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ') AS t FROM d),
+k AS (SELECT id, concat(' customer ', lpad(CAST(id AS VARCHAR), 9, '0'), ' ') AS k FROM projects UNION ALL SELECT id, concat(' c ', CAST(id AS VARCHAR), ' x ') FROM projects),
+h AS (SELECT DISTINCT doc_id, id FROM n JOIN k ON contains(t, k))
+SELECT doc_id, min(id) AS project_id FROM h GROUP BY doc_id HAVING count(*) = 1""", ("projects",))
 def project_matcher(b):
-    """Names are looked up by their words, not compared with every text: a name of one word is a hash join on words."""
-    keys = b.entity("projects").filter(F.length("name") >= 4).select("id", F.lower("name").alias("k"))
-    number = lambda c: F.lpad(c.cast("string"), 9, "0")
-    second = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" and Customer#"), number(F.col("user_id") + 1))).otherwise("")
-    texts = b.table("events").select("event_id", F.lower(F.concat(F.lit("Customer#"), number(F.col("user_id")), second)).alias("t"))
-    words = texts.select("event_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    first = keys.withColumn("w", F.split_part("k", F.lit(" "), F.lit(1)))
-    hits = words.join(first, "w").filter(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), "k", F.lit(" "))))
-    return hits.groupBy("event_id").agg(F.min("id").alias("project_id"), F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c")
+    """Names share their first word, and codes their first and last: the number is the rarest."""
+    number = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    code = lambda i: F.concat(F.lit("C-"), i.cast("string"), F.lit("/X"))
+    n = F.col("o_orderkey") % 4
+    said = F.when(n == 0, F.concat(F.lit("Customer#"), number)).when(n == 1, F.concat(F.lit("project no. "), code(F.col("o_custkey")), F.lit("."))).when(n == 2, F.concat(F.lit("CUSTOMER "), number, F.lit(" and "), code(F.col("o_custkey") + 1))).otherwise("nothing of C 7")
+    docs = b.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Re: works at site "), (F.col("o_orderkey") % 50).cast("string"), F.lit(", "), said, F.lit(" as agreed")).alias("text"))
+    return matching.match_projects(docs, b.entity("projects").select("id", "name", code(F.col("id")).alias("code")))
+
+
+@BOOK.add("passages_held", """
+WITH k AS (SELECT item_id, CAST(n AS INT) AS n, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda w: w <> '')[1:n], ' ') AS k FROM benchmark, (SELECT unnest([1, 2, 3, 5]) AS n)),
+t AS (SELECT doc_id, concat(' ', trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ') AS t FROM documents)
+SELECT item_id, n, count(DISTINCT doc_id) AS docs FROM k JOIN t ON contains(t, concat(' ', k, ' ')) GROUP BY ALL""")
+def passages_held(b):
+    """The first words of each benchmark text, one to five of them, as keys in all documents."""
+    n = F.explode(F.array(*map(F.lit, (1, 2, 3, 5)))).alias("n")
+    keys = b.table("benchmark").select("item_id", T.normalize_plain(F.col("text")).alias("t"), n).select(F.struct("item_id", "n").alias("key_id"), F.array_join(F.slice(T.tokens(F.col("t")), 1, F.col("n")), " ").alias("k"))
+    texts = b.table("documents").select(F.col("doc_id").alias("text_id"), T.normalize_plain(F.col("text")).alias("t"))
+    return matching.held(texts, keys).groupBy(F.col("key_id.item_id").alias("item_id"), F.col("key_id.n").alias("n")).agg(F.count(F.lit(1)).alias("docs"))
 
 
 @BOOK.add("number_keys", """
