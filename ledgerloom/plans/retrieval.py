@@ -180,24 +180,34 @@ def search(chunks: DataFrame, terms: list[str], near: DataFrame | None = None, l
     return one_for_each_page(hits, limit).withColumn("score", F.round("score", 5))
 
 
+#: Passages that are compared with all texts at once.
+BLOCK = 1000
+
+
 def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id and doc_id of the documents that hold a passage whole, as it stands.
 
-    A word inside a passage, with other signs on both sides, is a whole word of each text that holds it. So the longest such word of
-    a passage names the candidates, and the whole passage is then looked for in these. Passages without one (of one or two words,
-    or of one script that doesn't part words) are compared with all texts: they are the side that is sent to the others.
+    A word inside a passage, with other signs on both sides, is a whole word of each text that holds it. So of each passage the inner
+    word that fewest texts have names the candidates, as pairs of ids, and the whole passage is then looked for in their texts. Passages
+    without one (of one or two words, or of one script that doesn't part words) are compared with all texts, BLOCK at a time.
     """
     words = lambda c: F.split(c, r"[^\p{L}\p{N}]+")
     edge = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[\p{L}\p{N}]+", ""), r"[\p{L}\p{N}]+$", "")
     known = items.filter("text IS NOT NULL").select("item_id", F.col("text").alias("passage")).distinct()
-    inner = F.filter(words(edge(F.col("passage"))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = known.withColumn("k", longest)
-    named = keyed.filter("k IS NOT NULL")
+    inner = F.array_distinct(F.filter(words(edge(F.col("passage"))), lambda w: w != ""))
+    keyed = known.withColumn("inner", inner)
+    named = keyed.filter("size(inner) > 0").select("item_id", "passage", F.explode("inner").alias("k"))
     # a document gives one row for each of its words that is a key
-    keys = named.select("k").distinct()
-    has = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("k")).join(keys, "k", "left_semi")
-    pairs = has.join(named, "k").select("item_id", "doc_id", "passage")
-    first = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    short = keyed.filter("k IS NULL").select("item_id", "passage")
-    return first.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")).distinct()
+    has = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("k")).join(named.select("k").distinct(), "k", "left_semi")
+    counts = has.groupBy("k").agg(F.count(F.lit(1)).alias("texts"))
+    # a passage with a word that no text has is in none
+    rare = named.join(counts, "k", "left").groupBy("item_id", "passage").agg(F.max(F.col("texts").isNull()).alias("absent"), F.min_by("k", F.struct("texts", "k")).alias("k")).filter("NOT absent")
+    pairs = has.join(rare.select("item_id", "k", F.xxhash64("passage").alias("p")), "k").select("item_id", "p", "doc_id")
+    texts = pairs.join(docs.select("doc_id", "text"), "doc_id").join(rare.select("item_id", F.xxhash64("passage").alias("p"), "passage"), ["item_id", "p"])
+    out = texts.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    short = keyed.filter("size(inner) = 0").select("item_id", "passage")
+    blocks = -(-short.count() // BLOCK)
+    for b in range(blocks):
+        part = short.filter(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b)
+        out = out.unionByName(docs.join(F.broadcast(part), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))  # about BLOCK passages
+    return out.distinct()

@@ -64,6 +64,43 @@ def header_vote(b):
     return sets.vote(rows, ["o_custkey"], "value", "w", "ord")
 
 
+#: Readings of a customer's number and date: zeros stuck to every fifth, a wrong number in every seventh, dates with parts that can't be.
+READINGS = """r AS (SELECT o_custkey AS doc_id, o_orderkey AS place, 1400 + o_custkey % 5 AS year, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey AS VARCHAR(20)) WHEN o_orderkey % 5 = 0 THEN concat(CAST(o_custkey + 11 AS VARCHAR(20)), '00') ELSE CAST(o_custkey + 11 AS VARCHAR(20)) END AS seq,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'S' WHEN o_orderkey % 4 = 1 THEN 'M' END AS suffix, 1 + o_orderkey % 2 AS weight, CASE WHEN o_orderkey % 3 = 0 THEN 1700 ELSE 1400 + o_custkey % 5 END AS y,
+  CASE WHEN o_orderkey % 3 = 1 OR o_custkey % 4 = 0 THEN 60 + o_orderkey % 9 ELSE 1 + o_custkey % 12 END AS m, CASE WHEN o_orderkey % 3 = 2 AND o_custkey % 6 > 0 THEN 0 ELSE 1 + o_custkey % 29 END AS d FROM orders)"""
+
+
+def readings(b):
+    sql = READINGS[READINGS.index("(") + 1 : -1].replace("VARCHAR(20)", "STRING").replace("FROM orders", "FROM {orders}")
+    return b.spark.sql(sql, orders=b.table("orders"))
+
+
+@BOOK.add("number_votes", f"""
+WITH {READINGS}, c AS (SELECT doc_id, year, seq, sum(weight) AS own, min(place) AS first FROM r GROUP BY ALL),
+v AS (SELECT a.doc_id, a.year, a.seq, a.first, sum(b.own) AS votes FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.year = b.year AND starts_with(b.seq, a.seq) AND regexp_full_match(substr(b.seq, length(a.seq) + 1), '0*') GROUP BY ALL),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, length(seq), first) AS k FROM v) WHERE k = 1),
+s AS (SELECT w.doc_id, r.suffix, row_number() OVER (PARTITION BY w.doc_id ORDER BY sum(r.weight) DESC, min(r.place)) AS k FROM w JOIN r ON r.doc_id = w.doc_id AND r.year = w.year AND starts_with(r.seq, w.seq) WHERE r.suffix IS NOT NULL GROUP BY w.doc_id, r.suffix)
+SELECT w.doc_id, CAST(w.year AS BIGINT) AS year, w.seq, s.suffix, CAST(votes AS BIGINT) AS votes FROM w LEFT JOIN s ON s.doc_id = w.doc_id AND s.k = 1""")
+def number_votes(b):
+    return sets.vote_numbers(readings(b), ["doc_id"]).withColumn("year", F.col("year").cast("long"))
+
+
+def voted(part: str, ok: str, more: str = "") -> str:
+    return f"SELECT doc_id, {part}, row_number() OVER (PARTITION BY doc_id ORDER BY sum(weight) DESC, min(place)) AS k FROM (SELECT doc_id, {part}, weight, place FROM r WHERE {ok}{more}) GROUP BY doc_id, {part}"
+
+
+@BOOK.add("date_votes", f"""
+WITH {READINGS}, f AS (SELECT doc_id, y, m, d, row_number() OVER (PARTITION BY doc_id ORDER BY sum(weight) DESC, min(place)) AS k FROM r WHERE y BETWEEN 1350 AND 1460 AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND (m <= 6 OR d <= 30) GROUP BY doc_id, y, m, d),
+yy AS ({voted('y', 'y BETWEEN 1350 AND 1460', ' UNION ALL SELECT DISTINCT doc_id, year AS y, 1 AS weight, 1073741824 AS place FROM r')}), mm AS ({voted('m', 'm BETWEEN 1 AND 12')}), dd AS ({voted('d', 'd BETWEEN 1 AND 31')}),
+p AS (SELECT yy.doc_id, y, m, d FROM yy JOIN mm ON mm.doc_id = yy.doc_id AND mm.k = 1 JOIN dd ON dd.doc_id = yy.doc_id AND dd.k = 1 WHERE yy.k = 1 AND (m <= 6 OR d <= 30))
+SELECT coalesce(f.doc_id, p.doc_id) AS doc_id, CAST(coalesce(f.y, p.y) AS BIGINT) AS year, CAST(coalesce(f.m, p.m) AS BIGINT) AS month, CAST(coalesce(f.d, p.d) AS BIGINT) AS day, f.doc_id IS NOT NULL AS whole
+FROM (SELECT * FROM f WHERE k = 1) f FULL JOIN p ON p.doc_id = f.doc_id""")
+def date_votes(b):
+    rows = readings(b)
+    out = sets.vote_dates(rows, ["doc_id"], rows.select("doc_id", F.col("year").alias("y")).distinct())
+    return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("year", "month", "day")), "whole")
+
+
 @BOOK.add("boilerplate_lines", """
 WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM l GROUP BY source),
 o AS (SELECT source, line, count(DISTINCT doc_id) AS on_pages FROM l WHERE length(line) > 0 GROUP BY ALL)

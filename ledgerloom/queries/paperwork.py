@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import CATALOG
+from ledgerloom.functions import text as T
 from ledgerloom.operators import records
 from ledgerloom.plans import learning, letters, pages
 from ledgerloom.plans.reports import day
@@ -223,3 +224,29 @@ def learned_labels(b):
 def learned_values(b):
     docs, edits = corrections(b)
     return learning.apply(docs, learning.rules(learning.labels_of(edits, docs))).select("doc_id", "value")
+
+
+#: Letters as some programs write them: digits of a run mirrored, a ligature the wrong way round.
+EASTERN = "٠١٢٣٤٥٦٧٨٩"
+RIGHT = "'با سلام شماره ' || (1300 + o_orderkey % 150) || '/' || o_custkey || ' مورخ ' || (1390 + o_custkey % 20) || '/05/06 لازم است اعلام گردد'"
+PLAIN = "'نامه ' || o_custkey || ' رسید'"
+
+
+@BOOK.add("repaired_letters", f"""
+WITH t AS (SELECT o_orderkey AS doc_id, {RIGHT} AS good, {PLAIN} AS plain FROM orders)
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN plain WHEN doc_id % 5 = 0 THEN replace(good, 'لا', 'ال') ELSE good END AS text, doc_id % 7 > 0 AND (doc_id % 3 = 0 OR doc_id % 5 > 0 AND doc_id % 2 = 0) AS repaired
+FROM t""")
+def repaired_letters(b):
+    """Every third letter has mirrored digits; of those with a ligature every second is broken, and every fifth shows no sign of it, for
+    another page of it has the ligature as it should be. Every seventh has no year, so its digits stay as they are read."""
+    year = lambda x, n: (x + n).cast("string")
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    good = F.concat(F.lit("با سلام شماره "), year(o % 150, 1300), F.lit("/"), c.cast("string"), F.lit(" مورخ "), year(c % 20, 1390), F.lit("/05/06 لازم است اعلام گردد"))
+    plain = F.concat(F.lit("نامه "), c.cast("string"), F.lit(" رسید"))
+    broken = (o % 5 == 0) | (o % 2 == 0)
+    text = F.when(o % 7 == 0, plain).when(broken, F.replace(good, F.lit("لا"), F.lit("ال"))).otherwise(good)
+    turned = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), 1), lambda x: F.when(x.rlike("^[0-9]"), F.reverse(x)).otherwise(x)), "")
+    shown = F.translate(F.when((o % 3 == 0) & (o % 7 > 0), turned).otherwise(text), "0123456789", EASTERN)
+    first = b.table("orders").select(o.alias("doc_id"), F.lit(1).alias("page"), shown.alias("text"))
+    second = b.table("orders").filter("o_orderkey % 5 = 0").select(o.alias("doc_id"), F.lit(2).alias("page"), F.lit("بالا").alias("text"))
+    return T.repair(first.unionByName(second)).filter("page = 1").select("doc_id", "text", "repaired")
