@@ -6,8 +6,10 @@ table if it has a description and one other column; other tables (sums by day or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ledgerloom.functions import calendar
 from ledgerloom.operators import sets
@@ -80,14 +82,15 @@ def number(column: Column) -> Column:
     return F.bround(F.nullif(F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0), F.lit("")).cast("double"), 0)
 
 
-def read_rows(raw: DataFrame, title: str = "") -> DataFrame:
+def read_rows(raw: DataFrame, title: str = "", keep: str | None = None) -> DataFrame:
     """Records (tx_date, kind, amount, category, counterparty, description, guessed) of a transactions table of texts.
 
     Rows that sum up, and those without a description or with no amount, are left out. A kind comes from the kind column's words,
     else from the table's title; a negative amount turns it over where there is no such column. A description takes in the columns
-    of no role, the notes, and a date that can't be read whole. Rows without a date get the day before the earliest one.
+    of no role, the notes, and a date that can't be read whole. Rows without a date get the day before the earliest one: of all rows, or
+    of those with the same value in the column `keep`, which goes on to the records.
     """
-    at = roles(raw.columns)
+    at = roles([c for c in raw.columns if c != keep])
     get = lambda role: squeezed(at[role]) if role in at else F.lit(None).cast("string")
     default = "income" if any(w in title for w in ("دریافت", "درآمد", "واریز")) else "expense"
     text = F.coalesce(F.regexp_replace(get("kind"), "\u200c", " "), F.lit(""))
@@ -104,23 +107,71 @@ def read_rows(raw: DataFrame, title: str = "") -> DataFrame:
     when = get("date")
     part = lambda i: F.nullif(F.regexp_extract(calendar.fold_digits(when), DAY, i), F.lit(""))
     day = calendar.normalize_date(F.concat_ws("/", *map(part, (1, 2, 3))))
-    extra = [F.when(~F.lower(squeezed(c)).isin(*NOTHING), F.concat(F.lit(f"{c}: "), squeezed(c))) for c in raw.columns if c and c not in at.values()]
+    extra = [F.when(~F.lower(squeezed(c)).isin(*NOTHING), F.concat(F.lit(f"{c}: "), squeezed(c))) for c in raw.columns if c and c != keep and c not in at.values()]
     unread = F.when(when.isNotNull() & (day.isNull() | when.rlike("[آ-ی]")), F.concat(F.lit("تاریخ در فایل: "), when))
     out = raw.select(
-        day.alias("_day"), said.alias("kind"), F.bround(F.abs(value)).cast("long").alias("amount"), F.coalesce(get("category"), get("kind")).alias("category"),
+        *([keep] if keep else []), day.alias("_day"), said.alias("kind"), F.bround(F.abs(value)).cast("long").alias("amount"), F.coalesce(get("category"), get("kind")).alias("category"),
         get("counterparty").alias("counterparty"), get("description").alias("_first"), F.substring(F.concat_ws(" — ", get("description"), *extra, get("notes"), unread), 1, 500).alias("description"),
     ).filter(F.col("_first").isNotNull() & ~F.col("_first").rlike(SUM_ROW) & (F.col("amount") > 0))
-    before = out.agg(calendar.jalali_text(F.date_sub(calendar.parse(F.min("_day")), 1)).alias("_before"))  # one row
-    dated = out.crossJoin(F.broadcast(before))
-    return dated.select(F.coalesce("_day", "_before").alias("tx_date"), "kind", "amount", "category", "counterparty", "description", F.col("_day").isNull().alias("guessed"))
+    before = out.groupBy(*([keep] if keep else [])).agg(calendar.jalali_text(F.date_sub(calendar.parse(F.min("_day")), 1)).alias("_before"))
+    dated = out.join(before, keep) if keep else out.crossJoin(F.broadcast(before))  # one row without keep
+    return dated.select(*([keep] if keep else []), F.coalesce("_day", "_before").alias("tx_date"), "kind", "amount", "category", "counterparty", "description", F.col("_day").isNull().alias("guessed"))
 
 
-def read_notes(raw: DataFrame) -> DataFrame:
+def read_notes(raw: DataFrame, keep: str | None = None) -> DataFrame:
     """title and content of a notes table: its description column, and the first other one with a name."""
-    at = roles(raw.columns)
-    other = next((c for c in raw.columns if c and c != at["description"]), None)
+    at = roles([c for c in raw.columns if c != keep])
+    other = next((c for c in raw.columns if c and c != keep and c != at["description"]), None)
     content = F.coalesce(squeezed(other), F.lit("")) if other else F.lit("")
-    return raw.select(F.substring(squeezed(at["description"]), 1, 200).alias("title"), content.alias("content")).filter("title IS NOT NULL")
+    return raw.select(*([keep] if keep else []), F.substring(squeezed(at["description"]), 1, 200).alias("title"), content.alias("content")).filter("title IS NOT NULL")
+
+
+LAYOUT = StructType([StructField("head", IntegerType()), StructField("kind", StringType()), StructField("names", ArrayType(StringType()))])
+#: Different headers of one import.
+MOST_LAYOUTS = 500
+
+
+@F.pandas_udf(LAYOUT)
+def layout_of(first: pd.Series) -> pd.DataFrame:
+    """Which of a file's first rows is its header, what kind of table it makes, and its names with single blanks and folded letters."""
+    out, fold = [], str.maketrans("يىك", "ییک")
+    for rows in first:
+        plain = [[" ".join((c or "").split()).translate(fold) for c in r["cells"]] for r in rows]
+        at, kind = find_header(plain)
+        out.append((int(rows[at]["row"]), kind, plain[at]) if at >= 0 else (None, kind, None))
+    return pd.DataFrame(out, columns=["head", "kind", "names"])
+
+
+def layouts(cells: DataFrame, looked_at: int = 6) -> DataFrame:
+    """path, head, kind and names of each file, from its first rows with anything in them. cells: path, row, cells."""
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("row"))
+    first = cells.withColumn("_n", nth).filter(F.col("_n") <= looked_at).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("first"))
+    return first.select("path", layout_of("first").alias("x")).select("path", "x.*")
+
+
+def read_folder(cells: DataFrame, kind: str = "transactions") -> DataFrame:
+    """The records (or, with kind "notes", the notes) of all files of that kind, with their path; see read_rows() and read_notes().
+
+    Files may have different headers, of at most MOST_LAYOUTS kinds; those of one kind are read together. Titles and remarks above
+    a header are left out, and so are columns without a name and later ones of the same name.
+    """
+    found = layouts(cells)
+    own = cells.join(found.filter(F.col("kind") == kind), "path").filter("row > head")
+    headers = [r.names for r in found.filter(F.col("kind") == kind).select("names").distinct().limit(MOST_LAYOUTS + 1).collect()]
+    if len(headers) > MOST_LAYOUTS:
+        raise ValueError(f"more than {MOST_LAYOUTS} different headers in one import")
+    out = None
+    for names in headers:
+        places = {n: i for i, n in reversed(list(enumerate(names))) if n and n != "_path"}
+        columns = sorted(places, key=places.get)
+        same = own.filter(F.col("names") == F.array(*map(F.lit, names)))
+        raw = same.select(F.col("path").alias("_path"), *(F.get("cells", places[n]).alias(n) for n in columns))
+        part = read_rows(raw, keep="_path") if kind == "transactions" else read_notes(raw, keep="_path")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        some = cells.limit(0).select(F.col("path").alias("_path"), *(F.lit("").alias(n) for n in ("تاریخ", "شرح", "مبلغ")))
+        out = read_rows(some, keep="_path") if kind == "transactions" else read_notes(some, keep="_path")
+    return out.withColumnRenamed("_path", "path")
 
 
 def new_notes(notes: DataFrame, stored: DataFrame) -> DataFrame:

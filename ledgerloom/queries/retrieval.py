@@ -168,3 +168,13 @@ def passage_recall(b):
 def chunk_search(b):
     """Chunks of all documents, searched by words; the page's best sentences are those of its best hit."""
     return R.search(R.index_chunks(b.table("documents")), TERMS).select("chunk_id", "doc_id", "page", "score")
+
+
+MARKS = " OR ".join(f"starts_with(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '{t}')" for t in TERMS)
+ESCAPED = "replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@BOOK.add("highlighted", f"""
+SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '\\s+|\\S+'), lambda x: CASE WHEN {MARKS} THEN '<mark>' || {ESCAPED} || '</mark>' ELSE {ESCAPED} END), '')) AS md5 FROM documents""")
+def highlighted(b):
+    return b.table("documents").select("doc_id", F.md5(T.highlight(F.col("text"), TERMS)).alias("md5"))

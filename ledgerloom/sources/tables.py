@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
+import io
 import re
 from collections.abc import Iterator
 
@@ -12,12 +14,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.shipping import ship
 
-#: Encodings tried in turn.
+#: Encodings tried in turn; UTF-16 where a file says so by its mark, for without one nearly any bytes can be read as it.
 ENCODINGS = ("utf-8-sig", "utf-16", "cp1256")
 
 
 def decode(data: bytes) -> str:
     for name in ENCODINGS:
+        if name == "utf-16" and data[:2] not in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+            continue
         try:
             return data.decode(name)
         except UnicodeError:
@@ -61,6 +65,31 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"`{n}` string" for n in names))
 
 
+def read_cells(spark: SparkSession, path: str, rows: int = 5000) -> DataFrame:
+    """path, row (from 0) and cells of every row with anything in it, of all delimited files of a folder.
+
+    Each file has an encoding and a delimiter of its own; quoted cells may hold delimiters and line feeds. A file is one row of Spark's
+    binary source, so it is of at most 2 GB and read by one task, and comes from any store that Spark reads.
+    """
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                text = decode(bytes(content))
+                held: list[tuple[int, list[str]]] = []
+                for i, cells in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=sniff(text[:65536]))):
+                    if any(x.strip() for x in cells):
+                        held.append((i, [x.strip() for x in cells]))
+                    if len(held) == rows:
+                        yield pd.DataFrame({"path": name, "row": [r for r, _ in held], "cells": [c for _, c in held]})
+                        held = []
+                if held:
+                    yield pd.DataFrame({"path": name, "row": [r for r, _ in held], "cells": [c for _, c in held]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells array<string>")
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path and text of each file, decoded."""
     ship(spark)
