@@ -59,14 +59,24 @@ def rules(labelled: DataFrame, most: int = 60) -> DataFrame:
     return seen.withColumn("rank", rank).filter(F.col("rank") <= most).drop("_last")
 
 
-def apply(documents: DataFrame, rules_: DataFrame, head: int = 6000) -> DataFrame:
-    """doc_id, field, value: what the first rule of a document's category finds behind its label within the document's head.
+def generic(label: Column) -> Column:
+    """Whether all words of a label are such as say nothing by themselves."""
+    return F.size(F.array_except(F.split(label, " "), F.array(*map(F.lit, GENERIC)))) == 0
 
-    documents: doc_id, text, category. Rules are at most 60 a field, and meet documents by category.
+
+def apply(documents: DataFrame, rules_: DataFrame, head: int | None = 6000, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, field, value: what the first rule of a document's category finds behind its label within the document's head, or,
+    with None, anywhere in it.
+
+    documents: doc_id, text, category. Rules are at most 60 a field, and meet documents by category. known (doc_id, field, guessed): what
+    was found without rules; a rule whose label is generic leaves that alone, unless it was guessed.
     """
     pattern = F.array_join(F.transform(F.split("label", " "), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), r"[\s‌]*")
-    r = rules_.select("category", "field", "rank", F.concat(F.lit("(?s)"), pattern, F.lit("(.{0,60})")).alias("_rx"))
-    rows = documents.select("doc_id", "category", F.substring("text", 1, head).alias("_top")).join(r, "category")
+    r = rules_.select("category", "field", "rank", generic(F.col("label")).alias("_generic"), F.concat(F.lit("(?s)"), pattern, F.lit("(.{0,60})")).alias("_rx"))
+    rows = documents.select("doc_id", "category", (F.col("text") if head is None else F.substring("text", 1, head)).alias("_top")).join(r, "category")
+    if known is not None:
+        sure = known.filter(~F.coalesce("guessed", F.lit(False))).select("doc_id", "field").distinct().withColumn("_sure", F.lit(True))
+        rows = rows.join(sure, ["doc_id", "field"], "left").filter("NOT (_generic AND coalesce(_sure, false))")
     rows = rows.select("doc_id", "field", "rank", F.posexplode(F.regexp_extract_all("_top", F.col("_rx"), 1)).alias("_n", "_after"))
     number = F.regexp_replace(F.regexp_replace(F.regexp_extract("_after", NUMBER, 1), r"\s+", ""), r"^[/.\-]+|[/.\-]+$", "")
     numeric = (F.length(F.regexp_replace(number, r"\D", "")) >= 3) & ~number.rlike(f"^{DATE}$")

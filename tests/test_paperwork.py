@@ -88,3 +88,14 @@ def test_learning(spark):
     assert found == {(1, "12/345"), (2, "77/881"), (3, "1403/5/7"), (4, "1402/11/02")}
     kinds = learning.category_rules(spark.createDataFrame([(1, "minutes", 1)], "doc_id int, category string, at int"), d)
     assert {(r.doc_id, r.category) for r in learning.category_for(d, kinds).collect()} == {(1, "minutes"), (2, "minutes")}
+
+
+def test_generic_labels_leave_what_is_known(spark):
+    docs = spark.createDataFrame([(i, f"شماره: {i}111\nکد پرونده: {i}222\n" + "x" * 7000 + f"\nشناسه قرارداد {i}333", "letter") for i in (1, 2, 3)], "doc_id long, text string, category string")
+    rule = lambda *labels: spark.createDataFrame([("letter", "doc_no", x, i + 1) for i, x in enumerate(labels)], "category string, field string, label string, rank int")
+    known = spark.createDataFrame([(1, "doc_no", False), (2, "doc_no", True), (3, "doc_date", False)], "doc_id long, field string, guessed boolean")
+    found = lambda r, **o: {x.doc_id: x.value for x in learning.apply(docs, r, **o).collect()}
+    assert found(rule("شماره"), known=known) == {2: "2111", 3: "3111"}
+    assert found(rule("شماره", "کد پرونده"), known=known) == {1: "1222", 2: "2111", 3: "3111"}
+    assert found(rule("شماره")) == {1: "1111", 2: "2111", 3: "3111"}
+    assert found(rule("شناسه قرارداد")) == {} and found(rule("شناسه قرارداد"), head=None) == {1: "1333", 2: "2333", 3: "3333"}
