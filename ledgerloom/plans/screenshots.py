@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import calendar
 
-#: What exchanges call a field. Phrases under "" look like others and name none.
+# What exchanges call a field, the currencies that prices are in, and the words of the two sides. Phrases under "" look like
+# others and name none.
 PHRASES = {
     "entry_price": ("entry price", "avg entry price", "average entry price", "open price", "avg open price", "opening price", "filled price", "average price", "avg price", "avg. price", "قیمت ورود", "قیمت خرید", "قیمت میانگین", "میانگین قیمت"),
     "exit_price": ("exit price", "close price", "closing price", "avg close price", "avg exit price", "قیمت خروج", "قیمت فروش", "قیمت بستن"),
@@ -25,13 +26,14 @@ PHRASES = {
     "pnl": ("pnl", "p&l", "realized pnl", "unrealized pnl", "realised pnl", "closed pnl", "profit", "سود و زیان", "سود/زیان"),
     "": ("margin ratio", "margin mode", "maintenance margin", "mark price", "liq. price", "liquidation price", "order size"),
 }
+QUOTES = ("USDT", "USDC", "BUSD", "FDUSD", "USD", "IRT", "TMN", "BTC", "ETH")
+SIDES = {"short": ("short", "شورت", "فروش"), "long": ("long", "لانگ", "خرید")}
+
 FIELDS = tuple(f for f in PHRASES if f)
 OF_PHRASE = {p: f for f, phrases in PHRASES.items() for p in phrases}
 #: Any phrase, the longest at a place first.
 PHRASE = r"(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, sorted(OF_PHRASE, key=len, reverse=True))) + r")(?![\p{L}\p{N}])"
 NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?"
-QUOTES = ("USDT", "USDC", "BUSD", "FDUSD", "USD", "IRT", "TMN", "BTC", "ETH")
-SIDES = {"short": ("short", "شورت", "فروش"), "long": ("long", "لانگ", "خرید")}
 
 
 def first_number(text: Column, shape: str = NUMBER) -> Column:
