@@ -73,6 +73,16 @@ def month_of(date: Column) -> Column:
     return F.substring(calendar.jalali_text(date), 1, 7)
 
 
+def by_day(transactions: DataFrame) -> DataFrame:
+    """Sums and counts by day and kind: what reports by month start from, so that the calendar is reckoned for days and not for rows."""
+    return by_kind(transactions, "tx_date")
+
+
+def by_month(transactions: DataFrame) -> DataFrame:
+    """Sums and counts by Solar-Hijri month and kind."""
+    return by_day(transactions).groupBy(month_of(F.col("tx_date")).alias("month"), "kind").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 def span(transactions: DataFrame) -> DataFrame:
     """How many there are, and the first and last day."""
     return transactions.agg(F.count(F.lit(1)).alias("n"), F.min("tx_date").cast("string").alias("first_day"), F.max("tx_date").cast("string").alias("last_day"))
@@ -95,8 +105,8 @@ def top_categories(transactions: DataFrame, n: int = 5) -> DataFrame:
 
 def month_pivot(transactions: DataFrame) -> DataFrame:
     """Income and expense by Solar-Hijri month, 0 where there's none."""
-    rows = transactions.select(month_of(F.col("tx_date")).alias("month"), "kind", "amount")
-    return rows.groupBy("month").pivot("kind", ["income", "expense"]).agg(F.sum("amount")).na.fill(0, ["income", "expense"])
+    rows = by_day(transactions).select(month_of(F.col("tx_date")).alias("month"), "kind", "total")
+    return rows.groupBy("month").pivot("kind", ["income", "expense"]).agg(F.sum("total")).na.fill(0, ["income", "expense"])
 
 
 def overview(projects: DataFrame, tasks: DataFrame, invoices: DataFrame, transactions: DataFrame) -> DataFrame:

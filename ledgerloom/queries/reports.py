@@ -73,7 +73,7 @@ MONTHS = jalali("SELECT DISTINCT tx_date AS g FROM transactions")
 
 @BOOK.add("finance_by_month", f"WITH {MONTHS} SELECT format('{{:04d}}/{{:02d}}', jy, jm) AS month, kind, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n FROM transactions JOIN j ON g = tx_date GROUP BY ALL", ("transactions",))
 def finance_by_month(b):
-    return R.by_kind(b.entity("transactions"), R.month_of(F.col("tx_date")).alias("month"))
+    return R.by_month(b.entity("transactions"))
 
 
 @BOOK.add("finance_by_project", """
