@@ -93,14 +93,15 @@ def best_sentences(docs: DataFrame, terms: list[str], n: int = 2, key: str = "do
     return docs.select(key, F.explode(found).alias("x")).select(key, "x.pos", "x.sentence", (-F.col("x.h")).alias("hits"))
 
 
-def answer(docs: DataFrame, terms: list[str], n: int = 4) -> DataFrame:
-    """The best sentences of all documents: equal ones once, short ones half a point less, at least half as good as the best."""
-    s = docs.select("doc_id", F.explode(sentences(F.col("text"))).alias("sentence"))
-    rows = s.select("doc_id", "sentence", F.array_join(words_of(F.col("sentence")), " ").alias("norm")).filter(F.length("norm") >= 15)
+def answer(docs: DataFrame, terms: list[str], n: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The best sentences of all rows of docs (keep, text): equal ones once, of the first place they are in, short ones half a point less,
+    at least half as good as the best."""
+    s = docs.select(*keep, F.explode(sentences(F.col("text"))).alias("sentence"))
+    rows = s.select(*keep, "sentence", F.array_join(words_of(F.col("sentence")), " ").alias("norm")).filter(F.length("norm") >= 15)
     scored = rows.withColumn("score", hits_of(F.col("sentence"), terms) - F.when(F.length("sentence") < 40, 0.5).otherwise(0.0)).filter("score > 0")
-    once = scored.groupBy("norm").agg(F.min(F.struct("doc_id", "sentence")).alias("f"), F.max("score").alias("score"))
+    once = scored.groupBy("norm").agg(F.min(F.struct(*keep, "sentence")).alias("f"), F.max("score").alias("score"))
     best = once.agg(F.max("score").alias("best"))
-    return once.crossJoin(F.broadcast(best)).filter(F.col("score") >= F.greatest(F.lit(1.0), F.col("best") / 2)).orderBy(F.desc("score"), "norm").limit(n).select("f.doc_id", "f.sentence", "score")
+    return once.crossJoin(F.broadcast(best)).filter(F.col("score") >= F.greatest(F.lit(1.0), F.col("best") / 2)).orderBy(F.desc("score"), "norm").limit(n).select("f.*", "score")  # one row
 
 
 # Words that tell a sentence's weight.
@@ -180,6 +181,20 @@ def search(chunks: DataFrame, terms: list[str], near: DataFrame | None = None, l
     return one_for_each_page(hits, limit).withColumn("score", F.round("score", 5))
 
 
+def ask(chunks: DataFrame, question: str, near: DataFrame | None = None, limit: int = 6, n: int = 4) -> DataFrame:
+    """The answer to a question from the best hits among chunks: source (the hit's place, from 1), doc_id, page, sentence and score.
+
+    Hits are those of search(), by words and, with near (chunk_id, score), by vectors; only they are read for sentences. A question
+    without terms has no answer.
+    """
+    terms = T.query_terms(question)
+    if not terms:
+        return chunks.limit(0).select(F.lit(0).alias("source"), "doc_id", "page", F.lit("").alias("sentence"), F.lit(0.0).alias("score"))
+    hits = search(chunks, terms, near, limit)
+    placed = hits.withColumn("source", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # `limit` rows
+    return answer(placed, terms, n, ("source", "doc_id", "page"))
+
+
 #: Passages that are compared with all texts at once.
 BLOCK = 1000
 
