@@ -11,12 +11,19 @@ from ledgerloom.queries.book import Book
 BOOK = Book()
 TERMS = ["license", "the", "tion", "it"]
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-FIT = {t: f"starts_with(w, '{t}')" if len(t) >= 3 else f"w = '{t}'" for t in TERMS}
-TF = ", ".join(f"len(list_filter(w0, lambda w: {FIT[t]})) AS t{i}" for i, t in enumerate(TERMS))
-IDF = [f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) ELSE 1e-6 END" for i in range(len(TERMS))]
-BM25 = f"""w AS (SELECT doc_id, {WORDS} AS w0 FROM documents), c AS (SELECT doc_id, len(w0) AS len, {TF} FROM w),
-a AS (SELECT count(*) AS n, avg(len) AS av, {', '.join(f'count(*) FILTER (t{i} > 0) AS df{i}' for i in range(len(TERMS)))} FROM c),
-k AS (SELECT doc_id, {' + '.join(f'({IDF[i]}) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / av))' for i in range(len(TERMS)))} AS score FROM c, a WHERE {' OR '.join(f't{i} > 0' for i in range(len(TERMS)))})"""
+
+
+def bm25_sql(source: str, key: str, terms: list[str]) -> str:
+    """Common tables from `source` (key, text) to k: key and score of each hit."""
+    fit = {t: f"starts_with(w, '{t}')" if len(t) >= 3 else f"w = '{t}'" for t in terms}
+    tf = ", ".join(f"len(list_filter(w0, lambda w: {fit[t]})) AS t{i}" for i, t in enumerate(terms))
+    idf = [f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) ELSE 1e-6 END" for i in range(len(terms))]
+    return f"""w AS (SELECT {key}, {WORDS} AS w0 FROM {source}), c AS (SELECT {key}, len(w0) AS len, {tf} FROM w),
+a AS (SELECT count(*) AS n, avg(len) AS av, {', '.join(f'count(*) FILTER (t{i} > 0) AS df{i}' for i in range(len(terms)))} FROM c),
+k AS (SELECT {key}, {' + '.join(f'({idf[i]}) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / av))' for i in range(len(terms)))} AS score FROM c, a WHERE {' OR '.join(f't{i} > 0' for i in range(len(terms)))})"""
+
+
+BM25 = bm25_sql("documents", "doc_id", TERMS)
 SEM = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 7),
 s AS (SELECT vec_id, list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe))) AS score FROM v, q ORDER BY score DESC, vec_id LIMIT 40),
 h AS (SELECT vec_id, score FROM s WHERE score >= greatest(0.78, (SELECT max(score) FROM s) - 0.05))"""
@@ -66,12 +73,44 @@ def text_quality(b):
     return T.with_quality(b.table("documents").select("doc_id", "text"), "text", "q").select("doc_id", "q.score", "q.bad", "q.words")
 
 
-@BOOK.add("chunks")
+BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+PAGES = f"""g0 AS (SELECT doc_id, list_reduce([{{'o': []::VARCHAR[], 'h': ''}}] || list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {{'o': []::VARCHAR[], 'h': x}}), lambda s, x:
+  CASE WHEN s.h <> '' AND length(s.h) + length(x.h) > {T.PAGE} THEN {{'o': list_append(s.o, s.h), 'h': x.h || chr(10)}} ELSE {{'o': s.o, 'h': s.h || x.h || chr(10)}} END) AS p FROM documents),
+g1 AS (SELECT doc_id, CASE WHEN trim(p.h, {BLANKS}) <> '' OR len(p.o) = 0 THEN list_append(p.o, CASE WHEN trim(p.h, {BLANKS}) <> '' THEN p.h ELSE '' END) ELSE p.o END AS l FROM g0),
+g AS (SELECT doc_id, unnest(range(len(l))) AS page, unnest(l) AS text FROM g1)"""
+
+
+def chunk_sql(source: str, keys: str) -> str:
+    """Common tables from `source` (keys, text) to h: keys, seq and text of each chunk. A fold makes paragraphs of lines, another one
+    chunks of their pieces; k says what a piece is: w a whole paragraph, p a part, h a hard cut."""
+    short = f"trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {BLANKS})"
+    line = f"list_transform(list_append(string_split({short}, chr(10)), ''), lambda x: trim(x, {BLANKS}))"
+    joined = "CASE WHEN x.h = '' THEN s.h WHEN s.h = '' THEN x.h ELSE s.h || ' ' || x.h END"
+    full = f"({joined}) <> '' AND (x.h = '' OR (right(x.h, 1) IN ('.', '؟', '?', ':', '!') AND length({joined}) > 200))"
+    hard, size, step = f"greatest(0, length(x) - {T.OVERLAP + 1}) // {T.SIZE - T.OVERLAP}", T.SIZE, T.SIZE - T.OVERLAP
+    piece = f"list_transform(range({hard}), lambda i: {{'o': []::VARCHAR[], 'n': '', 'k': 'h', 'p': substring(x, i * {step} + 1, {size})}}) || [{{'o': []::VARCHAR[], 'n': '', 'k': 'p', 'p': substring(x, {hard} * {step} + 1)}}]"
+    cuts = f"list_filter(string_split(regexp_replace(x, '([.!?؟؛:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda y: y <> '')"
+    over = f"(s.n <> '' AND (x.k = 'h' OR length(s.n) + length(x.p) + 1 > {size}))"
+    tail = f"right(s.n, {T.OVERLAP})"
+    left = f"CASE WHEN NOT {over} THEN s.n WHEN x.k = 'h' OR strpos({tail}, ' ') = 0 THEN '' ELSE substring({tail}, strpos({tail}, ' ') + 1) END"
+    out = f"CASE WHEN {over} THEN list_append(s.o, s.n) ELSE s.o END"
+    fold = f"""CASE WHEN x.k = 'h' THEN {{'o': list_append({out}, x.p), 'n': '', 'k': '', 'p': ''}}
+  ELSE {{'o': {out}, 'n': ({left}) || CASE WHEN ({left}) <> '' AND x.k = 'w' THEN chr(10) ELSE ' ' END || x.p, 'k': '', 'p': ''}} END"""
+    return f"""h0 AS (SELECT {keys}, {line} AS lines FROM {source} WHERE text IS NOT NULL),
+h1 AS (SELECT {keys}, list_reduce([{{'o': []::VARCHAR[], 'h': ''}}] || list_transform(lines, lambda x: {{'o': []::VARCHAR[], 'h': x}}), lambda s, x: CASE WHEN {full} THEN {{'o': list_append(s.o, {joined}), 'h': ''}} ELSE {{'o': s.o, 'h': {joined}}} END).o AS p FROM h0),
+h2 AS (SELECT {keys}, flatten(list_transform(p, lambda z: CASE WHEN length(z) <= {size} THEN [{{'o': []::VARCHAR[], 'n': '', 'k': 'w', 'p': z}}] ELSE flatten(list_transform({cuts.replace('(x,', '(z,')}, lambda x: {piece})) END)) AS c FROM h1),
+h3 AS (SELECT {keys}, list_reduce([{{'o': []::VARCHAR[], 'n': '', 'k': '', 'p': ''}}] || c, lambda s, x: {fold}) AS f FROM h2),
+h4 AS (SELECT {keys}, list_filter(list_transform(list_append(f.o, f.n), lambda x: trim(x, {BLANKS})), lambda x: length(array_to_string(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+'), ' ')) >= 3) AS l FROM h3),
+h AS (SELECT {keys}, unnest(range(len(l))) AS seq, unnest(l) AS text FROM h4)"""
+
+
+@BOOK.add("chunks", f"WITH {chunk_sql('documents', 'doc_id')} SELECT doc_id, CAST(seq AS INT) AS seq, CAST(length(text) AS INT) AS n_chars, md5(text) AS md5 FROM h")
 def chunks(b):
+    """The fixture has no signs that the normal form for display composes; tests have."""
     return b.table("documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("seq", "chunk")).select("doc_id", "seq", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("md5"))
 
 
-@BOOK.add("virtual_pages")
+@BOOK.add("virtual_pages", f"WITH {PAGES} SELECT doc_id, CAST(page AS INT) AS page, CAST(length(text) AS INT) AS n_chars FROM g")
 def virtual_pages(b):
     return b.table("documents").select("doc_id", F.posexplode(T.virtual_pages(F.col("text"))).alias("page", "body")).select("doc_id", "page", F.length("body").alias("n_chars"))
 
@@ -164,12 +203,46 @@ def passage_recall(b):
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@BOOK.add("chunk_search")
+def hits_sql(terms: list[str], limit: int = 6, near: str = "SELECT NULL AS chunk_id, NULL AS score WHERE false") -> str:
+    """Common tables to hits: the best chunk of each of the best pages for the terms, fused with the hits `near`."""
+    chunked = chunk_sql("g", "doc_id, page").replace("h AS (SELECT doc_id, page,", "h AS (SELECT concat_ws('-', doc_id, page + 1, unnest(range(len(l)))) AS chunk_id, doc_id, page,")
+    return f"""{PAGES}, {chunked}, {bm25_sql('h', 'chunk_id', terms)}, pool AS (SELECT chunk_id, score FROM k ORDER BY k.score DESC, chunk_id LIMIT {max(5 * limit, 40)}), near AS ({near}),
+ranks AS (SELECT chunk_id, 0 AS s, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS r FROM pool UNION ALL SELECT chunk_id, 1, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 FROM near),
+fused AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM ranks GROUP BY chunk_id ORDER BY 2 DESC, min((s, r)) LIMIT {3 * limit}),
+paged AS (SELECT chunk_id, doc_id, page + 1 AS page, text, score, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, chunk_id) AS r FROM fused JOIN h USING (chunk_id)),
+hits AS (SELECT chunk_id, doc_id, CAST(page AS INT) AS page, text, round(score, 5) AS score FROM paged WHERE r = 1 ORDER BY paged.score DESC, chunk_id LIMIT {limit})"""
+
+
+@BOOK.add("chunk_search", f"WITH {hits_sql(TERMS)} SELECT chunk_id, doc_id, page, score FROM hits")
 def chunk_search(b):
     """Chunks of all documents, searched by words; the page's best sentences are those of its best hit."""
     return R.search(R.index_chunks(b.table("documents")), TERMS).select("chunk_id", "doc_id", "page", "score")
 
 
+QUESTION = "Which version of the license is meant, and under what terms?"
+ASKED = T.query_terms(QUESTION)
+FIRST = "concat_ws('-', vec_id, 1, 0)"
+NEAR = f"SELECT {FIRST} AS chunk_id, score FROM h0v WHERE score >= greatest(0.78, (SELECT max(score) FROM h0v) - 0.05)"
+SEMANTIC = f"""h0v AS (SELECT * FROM (SELECT vec_id, {FIRST} AS cid, list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe))) AS score
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), (SELECT embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id = 7)) ORDER BY score DESC, cid LIMIT 40)"""
+SPLIT = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?؟؛])\s+', '\1' || chr(10), 'g'), '\n'), lambda x: trim(x, ' ')), lambda x: length(x) > 10)"
+MET = " + ".join(f"CAST(contains(lower(sentence), '{t}') AS INT)" for t in ASKED)
+
+
+@BOOK.add("question_answer", rf"""
+WITH {SEMANTIC}, {hits_sql(ASKED, near=NEAR)}, e AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INT) AS source, doc_id, page, text FROM hits),
+s AS (SELECT source, doc_id, page, unnest({SPLIT}) AS sentence FROM e),
+n AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(lower(sentence), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), ' ') AS norm FROM s),
+t AS (SELECT *, {MET} - CASE WHEN length(sentence) < 40 THEN 0.5 ELSE 0.0 END AS points FROM n WHERE length(norm) >= 15),
+o AS (SELECT norm, min((source, doc_id, page, sentence)) AS f, max(points) AS points FROM t WHERE points > 0 GROUP BY norm),
+b AS (SELECT f, norm, points FROM o WHERE points >= greatest(1.0, (SELECT max(points) FROM o) / 2) ORDER BY points DESC, norm LIMIT 4)
+SELECT f[1] AS source, f[2] AS doc_id, f[3] AS page, f[4] AS sentence, CAST(points AS DOUBLE) AS score FROM b""")
+def question_answer(b):
+    """A question, answered from the hits by words and vectors in all chunks. A vector stands for the first chunk of the document of its number."""
+    first = b.table("embeddings").select(F.concat_ws("-", "vec_id", F.lit(1), F.lit(0)).alias("chunk_id"), "embedding")
+    return R.ask(R.index_chunks(b.table("documents")), QUESTION, R.semantic(first, vector(b), 40, "chunk_id"))
+
+
 MARKS = " OR ".join(f"starts_with(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '{t}')" for t in TERMS)
 ESCAPED = "replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
