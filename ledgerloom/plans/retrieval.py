@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,16 +27,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that spark.checkpoint.dir names, for plans that read it twice; as it is, where there is no such folder."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """key and score of the documents that hold any term; larger is better.
 
     A prefix term counts all its words as one term; idf has a floor of 1e-6. Words are counted in the text by patterns; a single row
-    aggregates the corpus, and joins back to the hits as scalars.
+    aggregates the corpus, and joins back to the hits as scalars. keep may store the counts, which are read for both.
     """
     low, inside = F.lower(F.col(text)), r"[\p{L}\p{N}]"
     shape = lambda t: rf"(?<!{inside}){re.escape(t)}" + ("" if len(t) >= 3 else rf"(?!{inside})")
     counts = [F.coalesce(F.regexp_count("_low", F.lit(shape(t))), F.lit(0)).alias(f"_t{i}") for i, t in enumerate(terms)]
     rows = docs.select(key, low.alias("_low")).select(key, F.coalesce(F.regexp_count("_low", F.lit(rf"{inside}+")), F.lit(0)).alias("_len"), *counts)
+    rows = keep(rows)
     about = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_t{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
     hits = rows.filter(reduce(lambda a, b: a | b, (F.col(f"_t{i}") > 0 for i in range(len(terms))))).crossJoin(F.broadcast(about))  # one row
 
@@ -172,12 +185,16 @@ def search(chunks: DataFrame, terms: list[str], near: DataFrame | None = None, l
     """Hits of a question among chunks (of index_chunks()): BM25, fused with vector hits (chunk_id, score) where there are some.
 
     Both lists have max(5 * limit, 40) entries; the best 3 * limit of the fused ones meet their chunks, and a page counts once.
+    Counts are stored, and the best are gathered first (3 * limit rows), so that only their documents are chunked a second time.
     """
     pool = max(5 * limit, 40)
-    words = top(bm25(chunks.filter("indexed IS NOT NULL"), terms, "chunk_id", "indexed"), pool, "chunk_id")
+    words = top(bm25(chunks.filter("indexed IS NOT NULL"), terms, "chunk_id", "indexed", stored), pool, "chunk_id")
     none = words.limit(0)
     fused = fuse(words, near if near is not None else none, "chunk_id", 3 * limit)
-    hits = chunks.select("chunk_id", "doc_id", "page", "text").join(F.broadcast(fused), "chunk_id")  # 3 * limit rows
+    best = [(r.chunk_id, r.score) for r in fused.collect()]  # 3 * limit rows
+    own = chunks.filter(F.col("doc_id").cast("string").isin(sorted({c.rsplit("-", 2)[0] for c, _ in best})))
+    placed = chunks.sparkSession.createDataFrame(best, "chunk_id string, score double")
+    hits = own.select("chunk_id", "doc_id", "page", "text").join(F.broadcast(placed), "chunk_id")
     return one_for_each_page(hits, limit).withColumn("score", F.round("score", 5))
 
 
