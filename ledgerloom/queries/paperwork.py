@@ -228,17 +228,24 @@ def learned_values(b):
 
 #: Letters as some programs write them: digits of a run mirrored, a ligature the wrong way round.
 EASTERN = "٠١٢٣٤٥٦٧٨٩"
-RIGHT = "'با سلام شماره ' || (1300 + o_orderkey % 150) || '/' || o_custkey || ' مورخ ' || (1390 + o_custkey % 20) || '/05/06 لازم است اعلام گردد'"
-PLAIN = "'نامه ' || o_custkey || ' رسید'"
+PLAIN = "'نامه ' || {c} || ' رسید'"
+RIGHT = "'با سلام شماره ' || {a} || '/' || {c} || ' مورخ ' || {y} || '/{m}/{d} لازم است اعلام گردد'"
+TURNED = {"a": "reverse(a)", "c": "reverse(c)", "y": "reverse(y)", "m": "50", "d": "60"}
+READ = {"a": "a", "c": "c", "y": "y", "m": "05", "d": "06"}
+YEARS = "len(list_filter(regexp_extract_all({t}, '[0-9]+'), lambda r: regexp_full_match(r, '1[34][0-9][0-9]')))"
 
 
 @BOOK.add("repaired_letters", f"""
-WITH t AS (SELECT o_orderkey AS doc_id, {RIGHT} AS good, {PLAIN} AS plain FROM orders)
-SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN plain WHEN doc_id % 5 = 0 THEN replace(good, 'لا', 'ال') ELSE good END AS text, doc_id % 7 > 0 AND (doc_id % 3 = 0 OR doc_id % 5 > 0 AND doc_id % 2 = 0) AS repaired
-FROM t""")
+WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 7 > 0 AS letter, o_orderkey % 7 > 0 AND o_orderkey % 3 = 0 AS mirrored, CAST(1300 + o_orderkey % 150 AS VARCHAR) AS a, CAST(o_custkey AS VARCHAR) AS c, CAST(1390 + o_custkey % 20 AS VARCHAR) AS y FROM orders),
+t AS (SELECT doc_id, letter, mirrored, CASE WHEN letter THEN {RIGHT.format(**READ)} ELSE {PLAIN.format(**READ)} END AS good, CASE WHEN letter THEN {RIGHT.format(**TURNED)} ELSE {PLAIN.format(**TURNED)} END AS back FROM o),
+s AS (SELECT doc_id, letter, CASE WHEN mirrored THEN back ELSE good END AS shown, CASE WHEN mirrored THEN good ELSE back END AS other FROM t),
+n AS (SELECT *, {YEARS.format(t="other")} > {YEARS.format(t="shown")} AS turn FROM s)
+SELECT doc_id, CASE WHEN letter AND doc_id % 5 = 0 THEN replace(CASE WHEN turn THEN other ELSE shown END, 'لا', 'ال') WHEN turn THEN other ELSE shown END AS text, turn OR letter AND doc_id % 5 > 0 AND doc_id % 2 = 0 AS repaired
+FROM n""")
 def repaired_letters(b):
     """Every third letter has mirrored digits; of those with a ligature every second is broken, and every fifth shows no sign of it, for
-    another page of it has the ligature as it should be. Every seventh has no year, so its digits stay as they are read."""
+    another page of it has the ligature as it should be. Every seventh has no year. Digits are turned where that makes more years of
+    them, whatever the numbers are: a customer's number may be read as a year too."""
     year = lambda x, n: (x + n).cast("string")
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     good = F.concat(F.lit("با سلام شماره "), year(o % 150, 1300), F.lit("/"), c.cast("string"), F.lit(" مورخ "), year(c % 20, 1390), F.lit("/05/06 لازم است اعلام گردد"))
