@@ -34,10 +34,15 @@ def maybe(*parts: Column | str) -> Column:
     return F.coalesce(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)), F.lit(""))
 
 
+def whole_times(a: Column, b: Column) -> Column:
+    """How often b goes into a, both 0 or more, in whole numbers: a quotient of doubles or decimals may be rounded up to the next one."""
+    return F.call_function("div", a, b)
+
+
 def decimals(scaled: Column, digits: int) -> Column:
     """A whole number of 1/10^digits as a text, without zeros at the end."""
     n = 10**digits
-    whole = F.floor(scaled / n).cast("long")
+    whole = whole_times(scaled, F.lit(n))
     return F.regexp_replace(F.concat(whole.cast("string"), F.lit("٫"), F.lpad((scaled - whole * n).cast("string"), digits, "0")), "٫?0*$", "")
 
 
@@ -46,14 +51,14 @@ def rials(amount: Column) -> Column:
     sign, size = F.when(amount < 0, "-").otherwise(""), F.abs(amount)
     text = F.concat(F.format_number(size, 0), F.lit(" ریال"))
     for unit, name in reversed(UNITS):
-        hundredths = F.floor((size + unit // 200) / (unit // 100)).cast("long")
+        hundredths = whole_times(size + unit // 200, F.lit(unit // 100))
         text = F.when(size >= unit, F.concat(decimals(hundredths, 2), F.lit(f" {name} ریال"))).otherwise(text)
     return F.when(amount != 0, F.concat(sign, text))
 
 
 def percent(part: Column, whole: Column) -> Column:
     """A share in percent with one digit, halves up; null without a whole. Both are 0 or more."""
-    tenths = F.floor((part.cast("decimal(30,0)") * 2000 + whole) / (whole.cast("decimal(30,0)") * 2)).cast("long")
+    tenths = whole_times(part.cast("decimal(30,0)") * 2000 + whole, F.nullif(whole.cast("decimal(30,0)") * 2, F.lit(0)))
     return F.when((whole > 0) & part.isNotNull(), F.concat(decimals(tenths, 1), F.lit("٪")))
 
 

@@ -37,3 +37,13 @@ def test_empty_and_undated(spark):
     found = {r.doc_id: (r.month, r.seq, r.text) for r in story.told(docs).collect()}
     assert found == {1: (None, 1, "سند «a» بایگانی شد."), 3: ("1403/01", 1, "در 31 فروردین، عکس «c» به بایگانی اضافه شد."), 4: ("1403/02", 1, "در 1 اردیبهشت، عکس «d» به بایگانی اضافه شد."), 5: ("1403/02", 2, "دو روز بعد، عکس «e» به بایگانی اضافه شد.")}
     assert story.told(docs.limit(0)).count() == 0 and story.summed(docs.limit(0)).count() == 0
+
+
+def test_shares_and_amounts_just_below_a_half(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(8_999_999, 2_000_000_000), (9_000_000, 2_000_000_000), (5, 0), (None, 7), (10**18, 10**18)]
+    df = spark.createDataFrame(rows, "part long, whole long")
+    assert [r[0] for r in df.select(story.percent(F.col("part"), F.col("whole"))).collect()] == ["0٫4٪", "0٫5٪", None, None, "100٪"]
+    amounts = spark.createDataFrame([(9_004_994_999_999_999_999,), (9_004_995_000_000_000_000,)], "a long")
+    assert [r[0] for r in amounts.select(story.rials(F.col("a"))).collect()] == ["9004995 هزار میلیارد ریال", "9004995 هزار میلیارد ریال"]
