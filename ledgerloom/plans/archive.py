@@ -176,7 +176,7 @@ def boilerplate(pages: DataFrame, doc: str, page: str, line: str, share: int = 3
     """Lines of a document on at least max(3, pages // 3) of its pages."""
     n = pages.groupBy(doc).agg(F.countDistinct(page).alias("pages"))
     on = pages.filter(F.length(line) > 0).groupBy(doc, line).agg(F.countDistinct(page).alias("on_pages"))
-    return on.join(n, doc).filter(F.col("on_pages") >= F.greatest(F.lit(3), F.floor(F.col("pages") / share))).select(doc, line, "on_pages")
+    return on.join(n.hint("merge"), doc).filter(F.col("on_pages") >= F.greatest(F.lit(3), F.floor(F.col("pages") / share))).select(doc, line, "on_pages")
 
 
 def classify(text: Column, rules: list[tuple[str, tuple[str, ...]]], least: int = 2, other: str = "other") -> Column:

@@ -31,3 +31,11 @@ def test_month_and_year_in_different_lines(spark):
     r = monthly.fields(df).first()
     assert (r.period, r.until) == ("اسفند 1403", "1403/12/30")
     assert monthly.fields(df.limit(0)).count() == 0
+
+
+def test_no_piece_of_a_report_is_sent_to_all_tasks(spark):
+    """Files of few bytes hold many lines, whose size Spark takes to be that of the file."""
+    from ledgerloom.queries import QUERIES
+    from tests.oracle import DATA
+
+    assert "BroadcastHashJoin" not in QUERIES["report_fields"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
