@@ -56,10 +56,15 @@ def fold_digits(text: Column) -> Column:
 def normalize_date(text: Column) -> Column:
     """YYYY/MM/DD, zero-padded, of a text with a plausible date and nothing else; null otherwise."""
     plain = F.regexp_replace(fold_digits(F.trim(text)), "[-.]", "/")
-    shape = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
-    y, m, d = (F.try_to_number(F.nullif(F.regexp_extract(plain, shape, i), F.lit("")), F.lit("9999")).cast("int") for i in (1, 2, 3))
-    good = m.between(1, 12) & (d >= 1) & (d <= F.when(m <= 6, 31).otherwise(30))
-    return F.when(good, F.format_string("%04d/%02d/%02d", y, m, d))
+    parts = F.split(F.nullif(F.regexp_extract(plain, r"^\d{4}/\d{1,2}/\d{1,2}$", 0), F.lit("")), "/")
+
+    def shown(x: Column) -> Column:
+        y, m, d = (F.get(x, i).cast("int") for i in range(3))
+        good = m.between(1, 12) & (d >= 1) & (d <= F.when(m <= 6, 31).otherwise(30))
+        return F.when(good, F.format_string("%04d/%02d/%02d", y, m, d))
+
+    # a list of one, so that the parts are reckoned once and not wherever they are named
+    return F.get(F.transform(F.array(parts), shown), 0)
 
 
 def parse(text: Column) -> Column:

@@ -91,7 +91,12 @@ def read_rows(raw: DataFrame, title: str = "", keep: str | None = None) -> DataF
     of those with the same value in the column `keep`, which goes on to the records.
     """
     at = roles([c for c in raw.columns if c != keep])
-    get = lambda role: squeezed(at[role]) if role in at else F.lit(None).cast("string")
+    others = [c for c in raw.columns if c and c != keep and c not in at.values()]
+    own = [keep] if keep else []
+    # cells, and then amounts and days, as lists of one: Spark copies no expression over a generator, so each is reckoned once
+    cell = F.struct(*(squeezed(c).alias(role) for role, c in at.items()), *(squeezed(c).alias(f"_{i}") for i, c in enumerate(others)))
+    cells = raw.select(*own, F.explode(F.array(cell)).alias("_cell"))
+    get = lambda role: F.col(f"_cell.{role}") if role in at else F.lit(None).cast("string")
     default = "income" if any(w in title for w in ("دریافت", "درآمد", "واریز")) else "expense"
     text = F.coalesce(F.regexp_replace(get("kind"), "\u200c", " "), F.lit(""))
     said = F.when(text.rlike(SPENT), "expense").when(text.rlike(EARNED), "income").otherwise(default)
@@ -102,20 +107,21 @@ def read_rows(raw: DataFrame, title: str = "", keep: str | None = None) -> DataF
         said = F.when(earned, "income").otherwise("expense")
     else:
         value = number(get("amount")) * unit_factor(at["amount"])
-    if "kind" not in at:
-        said = F.when(value >= 0, said).otherwise(F.when(said == "income", "expense").otherwise("income"))
     when = get("date")
-    part = lambda i: F.nullif(F.regexp_extract(calendar.fold_digits(when), DAY, i), F.lit(""))
-    day = calendar.normalize_date(F.concat_ws("/", *map(part, (1, 2, 3))))
-    extra = [F.when(~F.lower(squeezed(c)).isin(*NOTHING), F.concat(F.lit(f"{c}: "), squeezed(c))) for c in raw.columns if c and c != keep and c not in at.values()]
+    found = F.regexp_replace(F.regexp_extract(calendar.fold_digits(when), DAY, 0), r"\s*[/.-]\s*", "/")
+    read = cells.select(*own, "_cell", F.explode(F.array(F.struct(value.alias("value"), said.alias("kind"), calendar.normalize_date(found).alias("day")))).alias("_read"))
+    day, said, worth = F.col("_read.day"), F.col("_read.kind"), F.col("_read.value")
+    if "kind" not in at:
+        said = F.when(worth >= 0, said).otherwise(F.when(said == "income", "expense").otherwise("income"))
+    extra = [F.when(~F.lower(F.col(f"_cell._{i}")).isin(*NOTHING), F.concat(F.lit(f"{c}: "), F.col(f"_cell._{i}"))) for i, c in enumerate(others)]
     unread = F.when(when.isNotNull() & (day.isNull() | when.rlike("[آ-ی]")), F.concat(F.lit("تاریخ در فایل: "), when))
-    out = raw.select(
-        *([keep] if keep else []), day.alias("_day"), said.alias("kind"), F.bround(F.abs(value)).cast("long").alias("amount"), F.coalesce(get("category"), get("kind")).alias("category"),
+    out = read.select(
+        *own, day.alias("_day"), said.alias("kind"), F.bround(F.abs(worth)).cast("long").alias("amount"), F.coalesce(get("category"), get("kind")).alias("category"),
         get("counterparty").alias("counterparty"), get("description").alias("_first"), F.substring(F.concat_ws(" — ", get("description"), *extra, get("notes"), unread), 1, 500).alias("description"),
     ).filter(F.col("_first").isNotNull() & ~F.col("_first").rlike(SUM_ROW) & (F.col("amount") > 0))
-    before = out.groupBy(*([keep] if keep else [])).agg(calendar.jalali_text(F.date_sub(calendar.parse(F.min("_day")), 1)).alias("_before"))
+    before = out.groupBy(*own).agg(calendar.jalali_text(F.date_sub(calendar.parse(F.min("_day")), 1)).alias("_before"))
     dated = out.join(before, keep) if keep else out.crossJoin(F.broadcast(before))  # one row without keep
-    return dated.select(*([keep] if keep else []), F.coalesce("_day", "_before").alias("tx_date"), "kind", "amount", "category", "counterparty", "description", F.col("_day").isNull().alias("guessed"))
+    return dated.select(*own, F.coalesce("_day", "_before").alias("tx_date"), "kind", "amount", "category", "counterparty", "description", F.col("_day").isNull().alias("guessed"))
 
 
 def read_notes(raw: DataFrame, keep: str | None = None) -> DataFrame:

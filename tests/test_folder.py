@@ -38,3 +38,21 @@ def test_words_are_marked(spark):
     got = {r.id: r.t for r in df.select("id", T.highlight(df.text, ["tend", "قرارداد", "کار"]).alias("t")).collect()}
     assert got == {1: "The  <mark>&lt;tender&gt;,</mark> and <mark>&quot;tenders&quot;</mark>\nextend", 2: None, 3: "", 4: "<mark>قراردادِ</mark> ۱۲ <mark>كار</mark>"}
     assert df.filter("id = 1").select(T.highlight(df.text, []).alias("t")).first().t == 'The  &lt;tender&gt;, and &quot;tenders&quot;\nextend'
+
+
+def test_cells_are_read_once(spark):
+    """Days and amounts are used in many places, and read from their cells in one of each plan's two passes over the rows."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import calendar
+    from ledgerloom.plans import importing
+
+    raw = spark.createDataFrame([("1400 / 1 - 2", "a", "5"), ("x 1400/13/1", "b", "6"), ("", "c", "-7"), (None, "جمع", "8")], "`تاریخ` string, `شرح` string, `مبلغ` string")
+    rows = importing.read_rows(raw)
+    assert sorted((r.tx_date, r.kind, r.amount, r.description, r.guessed) for r in rows.collect()) == [
+        ("1400/01/01", "expense", 6, "b — تاریخ در فایل: x 1400/13/1", True), ("1400/01/01", "income", 7, "c", True), ("1400/01/02", "expense", 5, "a", False),
+    ]
+    # a day and an amount have three patterns to extract, in each of the two passes
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 6
+    dates = spark.createDataFrame([("1403-1.5",), ("1403/12/31",), ("1403/07/31",), ("",), (None,), ("1403/0/1",)], "t string").select(calendar.normalize_date(F.col("t")))
+    assert [r[0] for r in dates.collect()] == ["1403/01/05", None, None, None, None, None]
