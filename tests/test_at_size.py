@@ -16,3 +16,11 @@ def test_highlight_makes_the_normal_form_once_for_a_text(spark):
     marked = df.select("id", T.highlight(df.t, ["tend", "the", "οδο", "کتاب"], "<$1>", "</\\>").alias("m"))
     assert {r.id: r.m for r in marked.collect()} == {1: "<$1>The</\\>  <$1>&lt;Tender&gt;,</\\>\r\n<$1>ΟΔΟΣ</\\> \x0bend ", 2: None, 3: "", 4: " \n", 5: "<$1>كتاب‌ها</\\> <$1>کتَاب$1</\\>", 6: "x <$1>tend</\\>"}
     assert plan(marked).count("translate(") == 1
+
+
+def test_quality_counts_words_in_one_pass(spark):
+    rows = [(1, "قراردادAbc and 12 ۱۲3 café, a1 _ Ⅷ of IT it x 1234_567"), (2, None), (3, " \n")]
+    df = T.with_quality(spark.createDataFrame(rows, "id int, t string"), "t", "q")
+    assert "lambda" not in plan(df)
+    assert [(r.q.score, r.q.bad, r.q.words, r.q.fa) for r in df.orderBy("id").collect()] == [(0.328, 0.2, 10, 0.1), (0.0, 0.0, 0, 0.0), (0.0, 0.0, 0, 0.0)]
+    assert T.text_counts("قراردادAbc and 12 ۱۲3 café, a1 _ Ⅷ of IT it x 1234_567")[:4] == [14, 4, 1, 1]
