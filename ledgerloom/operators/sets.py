@@ -21,6 +21,12 @@ def bag_difference(new: DataFrame, stored: DataFrame, keys: list[str], order: li
     return joined.filter(F.col("_n") > F.coalesce("_c", F.lit(0))).select(*new.columns)
 
 
+def surplus(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and n: how many rows of each key bag_difference() keeps, counted on both sides in one shuffle."""
+    both = new.select(*keys, F.lit(1).alias("_n")).unionByName(stored.select(*keys, F.lit(-1).alias("_n")))
+    return both.groupBy(*keys).agg(F.sum("_n").alias("n")).filter("n > 0")
+
+
 def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return numbered(df, keys, order).filter("_n = 1").drop("_n")
 

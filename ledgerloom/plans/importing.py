@@ -190,6 +190,11 @@ def new_rows(file: DataFrame, stored: DataFrame) -> DataFrame:
     return sets.bag_difference(file, stored, KEY, [F.col("id")] if "id" in file.columns else [F.lit(0)])
 
 
+def new_counts(file: DataFrame, stored: DataFrame) -> DataFrame:
+    """KEY and n: how many of new_rows() have that key."""
+    return sets.surplus(file, stored, KEY)
+
+
 def preview(rows: DataFrame) -> DataFrame:
     """Totals by kind and, of expenses, category, with the span of dates."""
     return rows.groupBy("kind", F.when(F.col("kind") == "expense", F.col("category")).alias("category")).agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n"), F.min("tx_date").cast("string").alias("first_day"), F.max("tx_date").cast("string").alias("last_day"))

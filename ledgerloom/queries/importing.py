@@ -45,7 +45,8 @@ WITH {FILE}, r AS (SELECT tx_date, kind, amount, description FROM f EXCEPT ALL S
 SELECT CAST(tx_date AS VARCHAR) AS tx_date, kind, amount, description, count(*) AS n FROM r GROUP BY ALL""", ("transactions",))
 def import_dedup(b):
     """All stored rows, the expenses a second time, and those without a category changed."""
-    t = b.entity("transactions").select("id", "tx_date", "kind", "amount", "description", "category")
-    changed = t.filter("category IS NULL").withColumns({"id": F.col("id") + 1, "amount": F.col("amount") + 1})
-    new = I.new_rows(t.unionByName(t.filter("kind = 'expense'")).unionByName(changed), t)
-    return new.groupBy(F.col("tx_date").cast("string").alias("tx_date"), "kind", "amount", "description").agg(F.count(F.lit(1)).alias("n"))
+    t = b.entity("transactions").select(*I.KEY, "category")
+    row = lambda more: F.struct("tx_date", "kind", (F.col("amount") + more).alias("amount"), "description")
+    copies = F.array(row(0), F.when(F.col("kind") == "expense", row(0)), F.when(F.col("category").isNull(), row(1)))
+    file = t.select(F.explode(F.array_compact(copies)).alias("r")).select("r.*")
+    return I.new_counts(file, t).select(F.col("tx_date").cast("string").alias("tx_date"), "kind", "amount", "description", "n")

@@ -33,3 +33,13 @@ def test_summary_takes_no_windows(spark):
     found = retrieval.summary(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string"), 2)
     assert "Window" not in plan(found)
     assert [(r.doc_id, r.pos) for r in found.orderBy("pos").collect()] == [(1, 0), (1, 1)]
+
+
+def test_a_surplus_is_counted_in_one_shuffle(spark):
+    from ledgerloom.operators import sets
+
+    new = spark.createDataFrame([(1, None), (1, None), (1, "x"), (2, "y"), (2, "y"), (2, "y"), (3, "z")], "k int, v string")
+    stored = spark.createDataFrame([(1, None), (2, "y"), (3, "z"), (3, "z"), (9, "q")], "k int, v string")
+    found = sets.surplus(new, stored, ["k", "v"])
+    assert {(r.k, r.v): r.n for r in found.collect()} == {(1, None): 1, (1, "x"): 1, (2, "y"): 2}
+    assert "Join" not in plan(found) and "Window" not in plan(found)
