@@ -52,3 +52,14 @@ def test_facts_fold_no_text_without_other_digits(spark):
     rows = df.select(extraction.dates(F.col("t")).alias("d"), F.transform(extraction.amounts(F.col("t")), lambda x: x["value"]).alias("a")).collect()
     assert [(r.d, r.a) for r in rows] == [(["1402/05/06"], [120000]), (["1402/05/06"], [120000]), (None, None)]
     assert "CASE WHEN" in plan(df.select(extraction.folded(F.col("t")).alias("f")))
+
+
+@pytest.mark.parametrize("own", ["10000", "7000"])
+def test_whole_texts_go_to_python_in_small_batches(spark, own):
+    from ledgerloom import catalog
+
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, own)
+    catalog.Bound(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(name)) == (500 if own == "10000" else 7000)
+    spark.conf.set(name, before)
