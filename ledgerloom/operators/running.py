@@ -48,7 +48,23 @@ def drawdown(curve: DataFrame, day: str, order: list[Column]) -> DataFrame:
 
 
 def streaks(df: DataFrame, group: list[str], order: list[Column], result: str) -> DataFrame:
-    """Longest runs of equal results in each group, for each result."""
-    both = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - F.row_number().over(Window.partitionBy(*group, result).orderBy(*order))
-    runs = df.withColumn("_run", both).groupBy(*group, result, "_run").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(*group, result).agg(F.max("n").alias("longest"))
+    """Longest runs of equal results in each group, for each result.
+
+    Runs are found among rows of the same first value of the order (a day), and then the first and the last run of each day are
+    joined to those of the days around it, so that no task holds a whole group.
+    """
+    at, *rest = order
+    names = [f"_o{i}" for i in range(len(rest))]
+    rows = df.select(*group, F.col(result), at.alias("_at"), *(c.alias(n) for c, n in zip(rest, names, strict=True)))
+    within = lambda *more: F.row_number().over(Window.partitionBy(*group, "_at", *more).orderBy(*(names or ["_at"])))
+    rows = rows.withColumns({"_place": within(), "_own": within(result)}).withColumn("_run", F.col("_place") - F.col("_own"))
+    runs = rows.groupBy(*group, "_at", result, "_run").agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("_place"))
+    run = F.struct("_place", result, "n")
+    days = runs.groupBy(*group, "_at").agg(F.min(run).alias("_first"), F.max(run).alias("_last"), F.count(F.lit(1)).alias("_runs"))
+    edges = F.when(F.col("_runs") == 1, F.array("_first")).otherwise(F.array("_first", "_last"))
+    ends = days.select(*group, "_at", F.posexplode(edges).alias("_part", "x")).select(*group, "_at", "_part", f"x.{result}", "x.n")
+    along = Window.partitionBy(*group).orderBy("_at", "_part")  # at most two rows a day
+    begins = (F.col("_part") == 1) | ~F.lag(result).over(along).eqNullSafe(F.col(result))
+    ends = ends.withColumn("_begins", begins.cast("int")).withColumn("_run", F.sum("_begins").over(along))
+    joined = ends.groupBy(*group, result, "_run").agg(F.sum("n").alias("n"))
+    return runs.select(*group, result, "n").unionByName(joined.drop("_run")).groupBy(*group, result).agg(F.max("n").alias("longest"))

@@ -63,3 +63,13 @@ def test_whole_texts_go_to_python_in_small_batches(spark, own):
     catalog.Bound(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get(name)) == (500 if own == "10000" else 7000)
     spark.conf.set(name, before)
+
+
+def test_streaks_go_by_day_first(spark):
+    from ledgerloom.operators import running
+
+    rows = [("a", d, i, r) for d, rs in enumerate(["WWL", "LL", "L", "LWL", "LWW", "W", "WLW", "WBW"]) for i, r in enumerate(rs)] + [("b", 0, 0, None), ("b", 1, 0, None), ("b", 1, 1, "W")]
+    found = running.streaks(spark.createDataFrame(rows, "g string, day int, i int, r string"), ["g"], [F.col("day"), F.col("i")], "r")
+    assert {(x.g, x.r): x.longest for x in found.collect()} == {("a", "W"): 4, ("a", "L"): 5, ("a", "B"): 1, ("b", None): 2, ("b", "W"): 1}
+    windows = [line for line in plan(found).split("\n") if "Window [row_number" in line]
+    assert windows and all("_at" in line for line in windows)
