@@ -47,6 +47,24 @@ def drawdown(curve: DataFrame, day: str, order: list[Column]) -> DataFrame:
     return rows.agg(F.coalesce(F.max(fall), F.lit(0.0)).alias("max_drawdown"))
 
 
+def deepest_fall(events: DataFrame, day: str, order: list[Column]) -> DataFrame:
+    """drawdown() of the curve that events (amount, transfer, is_transfer) make, in one shuffle by day.
+
+    Sums and peaks go within a day first; what the days before add is a row a day.
+    """
+    within = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.select(day, "is_transfer", *order, F.sum("amount").over(within).alias("_a"), F.sum("transfer").over(within).alias("_t"), F.col("amount").alias("_amount"), "transfer")
+    rows = rows.withColumn("_top", F.max(F.when(~F.col("is_transfer"), F.col("_a") - F.col("_t"))).over(within))
+    days = rows.groupBy(day).agg(F.sum("_amount").alias("a"), F.sum("transfer").alias("t"), F.max("_top").alias("top"))
+    before = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumnRenamed(day, "_d").select("_d", "top", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}0") for c in "at"))
+    days = days.select("_d", "_a0", "_t0", F.max(F.col("top") + F.col("_a0") - F.col("_t0")).over(before).alias("_before"))
+    whole = rows.join(days, F.col(day).eqNullSafe(F.col("_d")))
+    peak = F.col("_t0") + F.col("_t") + F.greatest(F.col("_top") + F.col("_a0") - F.col("_t0"), F.col("_before"))
+    fall = F.when((peak > 0) & ~F.col("is_transfer"), 100.0 * (peak - F.col("_a0") - F.col("_a")) / peak)
+    return whole.agg(F.coalesce(F.max(fall), F.lit(0.0)).alias("max_drawdown"))
+
+
 def streaks(df: DataFrame, group: list[str], order: list[Column], result: str) -> DataFrame:
     """Longest runs of equal results in each group, for each result.
 

@@ -61,9 +61,8 @@ p AS (SELECT balance, rank, t + max(CASE WHEN rank = 1 THEN balance - t END) OVE
 SELECT round(coalesce(max(CASE WHEN peak > 0 AND rank = 1 THEN 100.0 * (CAST(peak AS DOUBLE) - CAST(balance AS DOUBLE)) / CAST(peak AS DOUBLE) END), 0.0), 6) AS max_drawdown FROM p""", ("trades", "transfers"))
 def max_drawdown(b):
     rows, _ = curve(b)
-    order = [F.col("rank"), F.col("ord"), F.col("amount")]
-    line = running.running_total(running.running_total(rows, "at", order, "amount", "balance"), "at", order, "transfer", "transfers")
-    return running.drawdown(line.withColumn("is_transfer", F.col("rank") == 0), "at", order).select(F.round("max_drawdown", 6).alias("max_drawdown"))
+    falls = running.deepest_fall(rows.withColumn("is_transfer", F.col("rank") == 0), "at", [F.col("rank"), F.col("ord"), F.col("amount")])
+    return falls.select(F.round("max_drawdown", 6).alias("max_drawdown"))
 
 
 @BOOK.add("streaks", f"""

@@ -73,3 +73,16 @@ def test_streaks_go_by_day_first(spark):
     assert {(x.g, x.r): x.longest for x in found.collect()} == {("a", "W"): 4, ("a", "L"): 5, ("a", "B"): 1, ("b", None): 2, ("b", "W"): 1}
     windows = [line for line in plan(found).split("\n") if "Window [row_number" in line]
     assert windows and all("_at" in line for line in windows)
+
+
+def test_the_deepest_fall_reads_its_events_twice(spark):
+    from ledgerloom.operators import running
+
+    rows = [(d, i, a, a if i == 0 else 0, i == 0) for d, day in enumerate([[100, 50, -30], [-20, -60], [500, 10, -200, 5], [0, -100]]) for i, a in enumerate(day)]
+    df = spark.createDataFrame(rows, "day int, i int, amount long, transfer long, is_transfer boolean")
+    by = [F.col("i")]
+    line = running.running_total(running.running_total(df, "day", by, "amount", "balance"), "day", by, "transfer", "transfers")
+    fall = running.deepest_fall(df, "day", by)
+    assert fall.first().max_drawdown == running.drawdown(line, "day", by).first().max_drawdown > 0
+    assert running.deepest_fall(df.limit(0), "day", by).first().max_drawdown == 0
+    assert plan(fall).count("LogicalRDD") == 2
