@@ -26,7 +26,10 @@ def pages(b):
     second = F.concat(F.lit(f"{HEAD}\nاقدامات انجام شده\nردیف شرح عملیات\n1 "), pick(WORKS, n), F.lit(" ادامه\n2 "), pick(WORKS, n + 1), F.lit("\n2 "), pick(WORKS, n + 1))
     third = F.concat(F.lit(f"{HEAD}\nمشکلات و موانع\n"), pick(TROUBLES, key), F.lit("\n"), text((n % 50 + 1) * 30), F.lit(" "), text(n % 50 + 1), F.lit(" جمع نفرات"))
     body = F.posexplode(F.array(first, second, third)).alias("page", "text")
-    return b.table("orders").select(key.alias("doc_id"), body).withColumn("page", F.col("page") + 1)
+    # a file of orders is small, and its texts are many times larger: orders are dealt before they become texts, and all that is found in
+    # a document meets where it was found
+    orders = b.table("orders").select("o_orderkey", "o_custkey").repartition(int(b.spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    return orders.select(key.alias("doc_id"), body).withColumn("page", F.col("page") + 1)
 
 
 def listed(values) -> str:

@@ -39,3 +39,16 @@ def test_no_piece_of_a_report_is_sent_to_all_tasks(spark):
     from tests.oracle import DATA
 
     assert "BroadcastHashJoin" not in QUERIES["report_fields"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orders_are_dealt_before_they_are_texts(spark):
+    """Small files of orders made few tasks, which wrote and searched all pages; pages that can't hold a date were folded sign by sign."""
+    from ledgerloom.queries import QUERIES
+    from tests.oracle import DATA
+
+    plan = QUERIES["report_fields"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    scans = plan.count("Relation [")
+    assert scans and plan.count("RepartitionByExpression [o_orderkey") == scans
+    odd = [(1, 1, "منتهی به مهر ماه سال ۱۴۰۲ و A-1"), (2, 1, "AB-C-1x AB-C-1"), (3, 1, "۱٬۲۴۰ 900 ۳۰ جمع نفرات"), (4, 1, "no hit"), (5, 1, None)]
+    found = {r.doc_id: (r.report_no, r.period, r.man_days, r.man_avg) for r in monthly.fields(spark.createDataFrame(odd, "doc_id int, page int, text string")).collect()}
+    assert found == {1: (None, "مهر 1402", None, None), 2: ("AB-C-1", None, None, None), 3: (None, None, 900, 30), 4: (None,) * 4, 5: (None,) * 4}
